@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewheel.llm.common import scratch
 from tidewheel.llm.exact_dedup import unique_documents
 from tidewheel.llm.mixing import mixed_documents
+from tidewheel.llm.near_join import distinct_documents
 from tidewheel.llm.packing import packed_documents
 from tidewheel.llm.toxicity import clean_documents
 
@@ -23,6 +24,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return unique_documents(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of Jaccard similarity 0.8 or more lead to, the one with the smallest doc_id."""
+    return distinct_documents(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix of sources takes them."""
     return mixed_documents(docs)
@@ -36,6 +42,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
@@ -48,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = scratch(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,9 +1,10 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from tidewheel.llm import exact_dedup, mixing, packing, toxicity
+from tidewheel.llm import exact_dedup, mixing, near_join, packing, toxicity
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_jaccard_join": near_join.op4_jaccard_join,
     "op5_mixing": mixing.op5_mixing,
     "op6_packing": packing.op6_packing,
     "op7_toxicity": toxicity.op7_toxicity,
