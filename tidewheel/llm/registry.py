@@ -1,8 +1,9 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from tidewheel.llm import exact_dedup, mixing, near_join, packing, toxicity
+from tidewheel.llm import exact_dedup, mixing, near_join, packing, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_jaccard_join": near_join.op4_jaccard_join,
     "op5_mixing": mixing.op5_mixing,
