@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from tidewheel.llm import exact_dedup, mixing, near_join, packing, substring_dedup, toxicity
+from tidewheel.llm import exact_dedup, mixing, near_join, packing, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_packing": packing.op6_packing,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
 }
 
 ORACLE_SQL = {
