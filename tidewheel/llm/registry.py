@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from tidewheel.llm import exact_dedup, mixing, near_join, packing, substring_dedup, suffix_dedup, toxicity
+from tidewheel.llm import exact_dedup, mixing, near_join, neighbours, packing, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_nearest": neighbours.op9_nearest,
 }
 
 ORACLE_SQL = {
