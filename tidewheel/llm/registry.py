@@ -1,9 +1,10 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from tidewheel.llm import exact_dedup, mixing, near_join, neighbours, packing, substring_dedup, suffix_dedup, toxicity
+from tidewheel.llm import exact_dedup, licences, mixing, near_join, neighbours, packing, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_licences": licences.op2_licences,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_jaccard_join": near_join.op4_jaccard_join,
     "op5_mixing": mixing.op5_mixing,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_licences": licences.op2_licences,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
 }
