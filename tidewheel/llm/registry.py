@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from tidewheel.llm import exact_dedup, licences, mixing, near_join, neighbours, packing, substring_dedup, suffix_dedup, toxicity
+from tidewheel.llm import exact_dedup, licences, mixing, near_join, neighbours, packing, secrets, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_nearest": neighbours.op9_nearest,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLE_SQL = {
