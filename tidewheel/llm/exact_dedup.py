@@ -38,7 +38,8 @@ class DigestIndex:
         """digests: (digest, id). Appends the digests that no other batch has; of equal ones the largest id is kept."""
         if self.rows().where(F.col("batch") == batch).limit(1).count():
             return
-        groups = digests.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+        # Written first: else the anti-join would move below the aggregation, where a hot digest has all its rows.
+        groups = scratch(digests.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
         new = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         out = new.withColumn("batch", F.lit(batch)).repartition(self.buckets, "digest").sortWithinPartitions("digest")
         out.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
