@@ -29,13 +29,14 @@ class SearchParams:
 
 
 class CollisionIndex:
-    """Sorted single projections of vectors. A query counts, window by growing window, in how many projections each
+    """Sorted single projections of vectors of about one length. A query counts, window by growing window, in how many projections each
     vector lies within the window around the query's own; only what a growth adds is counted anew."""
 
-    def __init__(self, vectors: np.ndarray, longest: float, p: SearchParams):
+    def __init__(self, vectors: np.ndarray, p: SearchParams):
         self.vectors, self.p = vectors, p
+        squares = (vectors**2).sum(1)
         # One more coordinate brings all vectors to the same length, so that the largest inner product is the nearest.
-        rest = np.sqrt(np.maximum(0.0, longest**2 - (vectors**2).sum(1)))
+        rest = np.sqrt(squares.max() - squares)
         self.axes = np.random.default_rng(p.seed).normal(size=(vectors.shape[1] + 1, p.projections))
         values = (np.column_stack([vectors, rest]) @ self.axes).T
         self.order = np.argsort(values, axis=1, kind="stable")
@@ -78,6 +79,22 @@ class CollisionIndex:
         return ids[rows][best], scores[best]
 
 
+class LengthBands:
+    """An index for each range of vector lengths (a factor of the square root of 2), so that a few long vectors don't
+    flatten the differences between all others."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, p: SearchParams):
+        band = np.round(np.log2((vectors**2).sum(1)))
+        self.p = p
+        self.parts = [(CollisionIndex(vectors[band == b], p), ids[band == b]) for b in np.unique(band)]
+
+    def top(self, query: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        found = [index.top(query, ids, own) for index, ids in self.parts]
+        ids, scores = (np.concatenate(x) for x in zip(*found))
+        best = np.lexsort((ids, -scores))[: self.p.k]
+        return ids[best], scores[best]
+
+
 def vectors_of(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of rows that take part: an id, and a vector of finite components that aren't all zero; one row an id."""
     v = F.col(vector_col).cast("array<double>")
@@ -95,8 +112,7 @@ def nearest(table: DataFrame, every: int = 20, id_col: str = "vec_id", vector_co
     vector counts. Ties go to the smaller id. Vectors are dealt by hash into shards of p.shard, each shard meets the
     queries once, and a query's k best of every shard are merged. An empty table gives an empty result."""
     rows = vectors_of(table, id_col, vector_col)
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("q")).first()
-    shards, longest = max(1, -(-facts["n"] // p.shard)), float(facts["q"] or 0) ** 0.5
+    shards = max(1, -(-rows.count() // p.shard))
     rows = rows.withColumn("dim", F.size("v"))
     base = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(shards)).cast("int"))
     asked = rows.where(F.col("id") % every == 0).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
@@ -109,10 +125,9 @@ def nearest(table: DataFrame, every: int = 20, id_col: str = "vec_id", vector_co
     def searched(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "ids": [], "scores": []}
         if left.num_rows and right.num_rows:
-            ids = left.column("id").to_numpy()
-            index = CollisionIndex(matrix(left, "v"), longest, p)
+            index = LengthBands(matrix(left, "v"), left.column("id").to_numpy(), p)
             for own, q in zip(right.column("q_id").to_pylist(), matrix(right, "q_v")):
-                best, scores = index.top(q, ids, own)
+                best, scores = index.top(q, own)
                 out["query_id"].append(own)
                 out["ids"].append(best)
                 out["scores"].append(scores)
