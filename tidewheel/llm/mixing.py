@@ -38,20 +38,22 @@ def targets(sizes: dict, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
 def fit_budget(lengths: dict[int, int], budget: int) -> dict[int, int]:
     """How many of the lengths[n] documents of each length n to take so that the lengths sum near budget.
 
-    First the same share of every length is taken, rounded down; then largest lengths first, while what is left
-    exceeds twice the largest length; the rest, now bounded by the longest document, is fitted by bounded-knapsack
-    dynamic programming over the reachable sums (one bit a sum, counts in powers of two)."""
+    Of all but the last part of the budget, three times the longest document, the same share of every length is taken,
+    rounded down, and what rounding leaves is taken largest lengths first. The last part, bounded by the longest
+    document, is fitted by bounded-knapsack dynamic programming over the reachable sums (one bit a sum, counts in
+    powers of two)."""
     lengths = {n: c for n, c in lengths.items() if n > 0 and c > 0}
     total = sum(n * c for n, c in lengths.items())
     budget = max(0, min(budget, total))
     if not total or budget == total:
         return dict(lengths) if budget else {}
-    take = {n: c * budget // total for n, c in lengths.items()}
-    left = budget - sum(n * k for n, k in take.items())
     longest = max(lengths)
+    last = 3 * longest
+    take = {n: c * max(0, budget - last) // total for n, c in lengths.items()}
+    left = budget - sum(n * k for n, k in take.items())
     for n in sorted(lengths, reverse=True):
-        if left > 2 * longest:
-            k = min(lengths[n] - take[n], (left - 2 * longest) // n + 1, left // n)
+        if left > last:
+            k = min(lengths[n] - take[n], (left - last) // n + 1, left // n)
             take[n] += k
             left -= k * n
     bound = left + longest
@@ -68,9 +70,9 @@ def fit_budget(lengths: dict[int, int], budget: int) -> dict[int, int]:
             seen.append(seen[-1] | (seen[-1] << n * k) & keep if n * k <= bound else seen[-1])
             if n * k > bound or seen[-1] >> left & 1:
                 break
-    last = seen[-1]
-    low = (last & ((1 << (left + 1)) - 1)).bit_length() - 1
-    above = last >> left
+    sums = seen[-1]
+    low = (sums & ((1 << (left + 1)) - 1)).bit_length() - 1
+    above = sums >> left
     high = left + (above & -above).bit_length() - 1 if above else None
     at = low if high is None or left - low <= high - left else high
     for (n, k), before in zip(reversed(steps), reversed(seen[:-1])):
