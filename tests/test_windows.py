@@ -161,7 +161,7 @@ def test_files(spark, tmp_path):
     assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out").select(*counts.columns).collect())) == sorted(map(str, counts.collect()))
     text.write_totals(postops.totals(counts, "(2,2)", 0, 4), f"{tmp_path}/totals")
     assert sorted(r["value"] for r in spark.read.text(f"{tmp_path}/totals").collect()) == ["2\t1", "4\t1"]
-    signals.send(spark, f"{tmp_path}/signals", 5, 3, "addition", 7)
+    signals.main(["--path", f"{tmp_path}/signals", "--w", "5", "--i", "3", "--at", "7"])
     assert signals.registry_of(spark.read.parquet(f"{tmp_path}/signals")).lives[0].since == 7
 
 
@@ -216,3 +216,4 @@ def test_window_stream_with_changing_timescales(spark, tmp_path):
     registry = Registry.of("(5,3)").apply([(6, 4, 1, 9), (5, 3, 2, 21)])
     ticks = [((t - dt.datetime(2024, 1, 1)) // dt.timedelta(hours=1), k) for t, k in rows]
     assert found(sink.results(spark)) == brute(ticks, registry.lives, 40)
+    assert sink.clean(spark, 101) >= 1 and found(sink.results(spark)) == brute(ticks, registry.lives, 40)

@@ -1,0 +1,45 @@
+"""A table of results by time span, as a planner or a test keeps it: save, find, find the longest that fits, delete."""
+
+from __future__ import annotations
+
+from bisect import bisect_right, insort
+
+
+class SpanTable:
+    def __init__(self):
+        self._rows: dict[int, dict[int, object]] = {}
+        self._ends: dict[int, list[int]] = {}
+
+    def save(self, begin: int, end: int, value) -> None:
+        if end not in self._rows.setdefault(begin, {}):
+            insort(self._ends.setdefault(begin, []), end)
+        self._rows[begin][end] = value
+
+    def find(self, begin: int, end: int):
+        """The value of exactly this span; KeyError if there is none."""
+        return self._rows[begin][end]
+
+    def row(self, begin: int) -> dict[int, object]:
+        """All values that begin here, by end."""
+        return dict(sorted(self._rows[begin].items()))
+
+    def longest(self, begin: int, end: int) -> tuple[int, object]:
+        """(end, value) of the longest span that begins here and does not end after `end`; KeyError if there is none."""
+        ends = self._ends[begin]
+        k = bisect_right(ends, end)
+        if not k:
+            raise KeyError((begin, end))
+        return ends[k - 1], self._rows[begin][ends[k - 1]]
+
+    def delete(self, begin: int, end: int | None = None) -> None:
+        """One span, or all that begin here."""
+        if end is None:
+            del self._rows[begin], self._ends[begin]
+            return
+        del self._rows[begin][end]
+        self._ends[begin].remove(end)
+
+    def drop_before(self, begin: int) -> None:
+        """All spans that begin earlier: what no window of the largest size reaches any more."""
+        for b in [b for b in self._rows if b < begin]:
+            self.delete(b)

@@ -132,15 +132,22 @@ def _dynamic(align: str, signals):
     return query
 
 
-def _dynamic_sql(align: str, signals) -> str:
-    lives = Registry.of("(5,4)(6,6)").apply(signals, align).lives
+def _spine_sql(lives) -> str:
     rows = ", ".join(f"({x.scale.w},{x.scale.i},{x.since},{HOURS if x.until is None else x.until})" for x in lives)
     return f"""
 WITH s(w, i, b, z) AS (VALUES {rows}),
 sp AS (SELECT w, i, b, e FROM s, LATERAL (SELECT unnest(range(b + i, z + 1, i)) AS e)),
-ev AS (SELECT event_type, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '{ORIGIN}')) / 3600000000) AS BIGINT) AS t FROM events)
-SELECT CAST(w AS BIGINT) AS w, CAST(i AS BIGINT) AS i, CAST(greatest(e - w, b) AS BIGINT) AS window_start, CAST(e AS BIGINT) AS window_end, event_type, count(*) AS n, e - w >= b AS fully_processed
-FROM sp JOIN ev ON t >= greatest(e - w, b) AND t < e GROUP BY w, i, b, e, event_type"""
+ev AS (SELECT *, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '{ORIGIN}')) / 3600000000) AS BIGINT) AS t FROM events)"""
+
+
+_WINDOW_SQL = "CAST(w AS BIGINT) AS w, CAST(i AS BIGINT) AS i, CAST(greatest(e - w, b) AS BIGINT) AS window_start, CAST(e AS BIGINT) AS window_end"
+_CENTS = "CAST(round(value * 100) AS BIGINT)"
+_JOIN_SQL = "FROM sp JOIN ev ON t >= greatest(e - w, b) AND t < e"
+
+
+def _dynamic_sql(align: str, signals) -> str:
+    lives = Registry.of("(5,4)(6,6)").apply(signals, align).lives
+    return f"{_spine_sql(lives)} SELECT {_WINDOW_SQL}, event_type, count(*) AS n, e - w >= b AS fully_processed {_JOIN_SQL} GROUP BY w, i, b, e, event_type"
 
 
 def mts_linreg(spark, sf_dir):
@@ -158,6 +165,34 @@ SELECT CAST(w AS BIGINT) AS w, CAST(i AS BIGINT) AS i, CAST(e AS BIGINT) AS wind
 FROM sp JOIN li ON t >= e - w AND t < e GROUP BY w, i, e, l_returnflag"""
 
 
+_LIVE = "(5,4)(6,6)"
+
+
+def _changing() -> Registry:
+    return Registry.of(_LIVE).apply(SIGNALS)
+
+
+def word_count_dynamic(spark, sf_dir):
+    registry = Registry.of("(4,2)").apply([(5, 3, 1, 6), (4, 2, 2, 20)])
+    return multi_window(words(spark, sf_dir), registry, ["word"], A.count(), until=40).select("w", "i", "window_end", "word", "n")
+
+
+def mts_avg_dynamic(spark, sf_dir):
+    cents = events(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return multi_window(cents, _changing(), ["event_type"], A.avg("cents", "mean_cents"), until=HOURS).select("w", "i", "window_start", "window_end", "event_type", "mean_cents")
+
+
+def mts_linreg_dynamic(spark, sf_dir):
+    cents = events(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    out = multi_window(cents, _changing(), ["event_type"], A.linreg("user_id", "cents"), until=HOURS)
+    return out.select("w", "i", "window_start", "window_end", "event_type", "slope", "intercept")
+
+
+def mts_topk_dynamic(spark, sf_dir):
+    counts = multi_window(events(spark, sf_dir), _changing(), ["user_id"], A.count(), until=HOURS)
+    return postops.top_keys(counts, "user_id", 5).select("w", "i", "window_start", "window_end", "rank", "user_id", "n", "total")
+
+
 def custom_fold(spark, sf_dir):
     """The largest of two numbers as a fold of one's own, over user ids."""
     agg = A.fold(F.col("user_id"), F.lit(-1).cast("long"), lambda a, b: F.when(b > a, b).otherwise(a), "largest")
@@ -250,6 +285,10 @@ QUERIES = {
     "mts_shared_adaptive": _hourly(A.count(), "adaptive", NESTED),
     "mts_shared_pruned": _hourly(A.minmax("value"), "dp", NESTED, prune="cost", reuse=0.5, tradeoff=10),
     "mts_triweave": _hourly(A.count(), "grouped", NESTED),
+    "word_count_dynamic": word_count_dynamic,
+    "mts_avg_dynamic": mts_avg_dynamic,
+    "mts_linreg_dynamic": mts_linreg_dynamic,
+    "mts_topk_dynamic": mts_topk_dynamic,
     "filter_drop": filter_drop,
     "map_project": map_project,
     "split_words": split_words,
@@ -314,6 +353,15 @@ FROM sp JOIN ev ON t >= greatest(e - w, 101) AND t < e GROUP BY w, i, e, event_t
     "stopword_split_then_filter": f"SELECT word, count(*) AS n FROM (SELECT {_SPLIT} FROM conversations) WHERE word NOT IN ({_STOP}) GROUP BY word",
     "stopword_filter_then_split": f"SELECT word, count(*) AS n FROM (SELECT {_SPLIT} FROM conversations WHERE text NOT IN ({_STOP})) GROUP BY word",
     "word_count_windows": _WORDS_SQL,
+    "word_count_dynamic": _WORDS_SQL.replace("WITH s(w, i) AS (VALUES (4,2), (5,3)),", "WITH s(w, i, b, z) AS (VALUES (4,2,0,20), (5,3,6,40)),").replace("SELECT w, i, e FROM s, LATERAL (SELECT unnest(range(i, 41, i)) AS e)", "SELECT w, i, b, e FROM s, LATERAL (SELECT unnest(range(b + i, z + 1, i)) AS e)").replace("t >= e - w AND", "t >= greatest(e - w, b) AND").replace("GROUP BY w, i, e, word", "GROUP BY w, i, b, e, word"),
+    "mts_avg_dynamic": f"{_spine_sql(_changing().lives)} SELECT {_WINDOW_SQL}, event_type, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(value) AS mean_cents {_JOIN_SQL} GROUP BY w, i, b, e, event_type",
+    "mts_linreg_dynamic": f"""{_spine_sql(_changing().lives)},
+g AS (SELECT w, i, b, e, event_type, count(*) AS n, CAST(sum(user_id) AS DOUBLE) AS x, CAST(sum(c) AS DOUBLE) AS y, CAST(sum(user_id * c) AS DOUBLE) AS xy, CAST(sum(user_id * user_id) AS DOUBLE) AS xx FROM sp JOIN (SELECT *, {_CENTS} AS c FROM ev) ON t >= greatest(e - w, b) AND t < e GROUP BY w, i, b, e, event_type)
+SELECT {_WINDOW_SQL}, event_type, CASE WHEN n * xx - x * x = 0 THEN 0 ELSE (n * xy - x * y) / (n * xx - x * x) END AS slope, CASE WHEN n * xx - x * x = 0 THEN 0 ELSE (xx * y - xy * x) / (n * xx - x * x) END AS intercept FROM g""",
+    "mts_topk_dynamic": f"""{_spine_sql(_changing().lives)},
+c AS (SELECT w, i, b, e, user_id, count(*) AS n {_JOIN_SQL} GROUP BY w, i, b, e, user_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY w, i, b, e ORDER BY n DESC, user_id) AS rank, sum(n) OVER (PARTITION BY w, i, b, e) AS total FROM c)
+SELECT {_WINDOW_SQL}, CAST(rank AS INTEGER) AS rank, user_id, n, CAST(total AS BIGINT) AS total FROM r WHERE rank <= 5""",
     "plan_slices": _PLAN_SQL,
     "custom_fold": _with(SCALES, "max(user_id) AS largest"),
 }

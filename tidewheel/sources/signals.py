@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import argparse
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewheel.plans.timescale import Registry
@@ -24,3 +26,19 @@ def registry_of(table: DataFrame, timescales=(), start: int = 0, align: str = "o
     """The initial timescales with all signals of a table applied; a table of signals is as small as the changes are few."""
     rows = [tuple(r) for r in table.select("window", "interval", "type", "start_time").collect()]
     return Registry.of(timescales, start).apply(rows, align)
+
+
+def main(args: list[str] | None = None) -> None:
+    """python -m tidewheel.sources.signals --path P --w 30 --i 2 --type addition --at 100"""
+    parser = argparse.ArgumentParser(description="Append a change of the timescales to a signal table.")
+    parser.add_argument("--path", required=True)
+    parser.add_argument("--w", type=int, required=True)
+    parser.add_argument("--i", type=int, required=True)
+    parser.add_argument("--type", choices=("addition", "deletion"), default="addition")
+    parser.add_argument("--at", type=int, default=0)
+    a = parser.parse_args(args)
+    send(SparkSession.builder.getOrCreate(), a.path, a.w, a.i, a.type, a.at)
+
+
+if __name__ == "__main__":
+    main()

@@ -84,6 +84,17 @@ class WindowStream:
         done.write.mode("overwrite").parquet(f"{self.path}/out/batch={number}")
         spark.range(1).select(F.lit(upto).cast("long").alias("upto")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/closed/batch={number}")
 
+    def clean(self, spark: SparkSession, number: int) -> int:
+        """Deletes slices of batches before `number` that no live window reaches any more; returns how many batches went."""
+        closed, registry = self._closed(spark, number), self._registry(spark)
+        keep = closed - max((x.scale.w for x in registry.lives if x.until is None or x.until > closed), default=0)
+        old = spark.read.parquet(f"{self.path}/slices").where(F.col("batch") < number).groupBy("batch").agg(F.max("_end").alias("top")).where(F.col("top") <= keep).collect()
+        jvm = spark.sparkContext._jvm
+        for r in old:
+            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/slices/batch={r['batch']}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        return len(old)
+
     def flush(self, spark: SparkSession, number: int, upto: int) -> None:
         """Emits what is due up to `upto`, as batch `number`, once no more records come."""
         closed = self._closed(spark, number)
