@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.common import keyed, scratch, small_batches, tasks
 from tidewheel.llm.components import components
+from tidewheel.llm.sketch import PARTIAL, Shape, merged, partial, partial_batch, repeated
 from tidewheel.llm.words import Hasher, Words, mixed
 
 _U = np.uint64
@@ -94,6 +95,11 @@ def signatures(docs: DataFrame, p: JoinParams) -> DataFrame:
     return docs.mapInArrow(signed, "id long, key long, n long, d1 long, d2 long, bands array<long>")
 
 
+def _marks(b: pa.RecordBatch) -> np.ndarray:
+    ids, keys = (b.column(c).to_numpy().astype(np.uint64) for c in ("id", "key"))
+    return mixed(mixed(ids + _U(1)) ^ keys)
+
+
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections, as a matrix product a slice of the common values at a time."""
     m = len(sets)
@@ -199,22 +205,32 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = scratch(classes.select("n", "d1", "d2", "rep.id", "rep.key", "rep.bands", "weight"), "classes")
     banded = classes.select("id", "key", F.explode("bands").alias("band"))
     mark = F.xxhash64("id", "key")
-    shared = banded.groupBy("band").agg(F.count("*").alias("m"), F.sum(mark.cast("decimal(38,0)")).alias("s"), F.min(mark).alias("least")).where("m > 1")
+    shared = banded.groupBy("band").agg(F.count("*").alias("m"), F.bit_xor(mark).alias("s"), F.min(mark).alias("least")).where("m > 1")
     # Bands whose buckets have the same members are one bucket.
     shared = shared.select("band", F.xxhash64("m", "s", "least").alias("bucket"), F.ceil(F.col("m") / p.block).cast("int").alias("parts"))
     member = banded.join(shared, "band").select("id", "key", F.struct("bucket", "parts").alias("b"))
     member = member.groupBy("id", "key").agg(F.collect_set("b").alias("in_buckets"))  # at most one a band
     member = scratch(member.join(classes.select("id", "key", "weight"), ["id", "key"]), "members")
 
+    # Which texts to read again: a filter of a fixed size lets all members pass and few others; the join is exact.
+    shape = Shape.of(member.count())
+
+    def marked(batches):
+        for b in batches:
+            yield partial_batch(partial(np.repeat(_marks(b), 2), shape))  # given twice, a mark shows
+
+    marks = merged(member.select("id", "key").mapInArrow(marked, PARTIAL), shape)
+    shared_marks = spark.sparkContext.broadcast(marks)
+
     def hashed(batches):
         for b in batches:
+            b = b.filter(pa.array(repeated(_marks(b), shared_marks.value, shape)))
             flat, counts = shingle_sets(b.column("text").to_pylist(), p.words, p.seed)
             ends = np.cumsum(counts)
             sets = [flat[z - n : z].tobytes() for n, z in zip(counts, ends)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "key", "weight", "in_buckets")), pa.array(sets, pa.binary())], ["id", "key", "weight", "in_buckets", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(sets, pa.binary())], ["id", "key", "shingles"])
 
-    texts = rows.join(member, ["id", "key"]).dropDuplicates(["id", "key"]).select("id", "key", "weight", "in_buckets", "text")
-    sets = texts.mapInArrow(hashed, "id long, key long, weight long, in_buckets array<struct<bucket:long,parts:int>>, shingles binary")
+    sets = rows.mapInArrow(hashed, "id long, key long, shingles binary").join(member, ["id", "key"]).dropDuplicates(["id", "key"])
     sets = sets.select("id", "key", "weight", "shingles", F.col("in_buckets.bucket").alias("buckets"), F.explode("in_buckets").alias("b"))
     part = F.pmod(F.xxhash64(F.lit(3), "id", "key"), F.col("b.parts")).cast("int")
     sets = sets.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b.parts") - 1)))
