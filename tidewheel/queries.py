@@ -37,10 +37,13 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.transform(dataflow.split_then_filter("line", STOP_WORDS)).select("tick", "word")
 
 
-def _hourly(agg: A.Aggregate, mode: str = "slices", scales: str = SCALES, columns=None, **plan):
+def _hourly(aggregate, mode: str = "slices", scales: str = SCALES, **plan):
+    """aggregate makes the aggregate once there is a session."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        agg = aggregate()
         out = multi_window(events(spark, sf_dir), scales, ["event_type"], agg, until=HOURS, mode=mode, **plan)
-        return out.select("w", "i", "window_end", "event_type", *(columns or agg.final))
+        return out.select("w", "i", "window_end", "event_type", *agg.final)
 
     return query
 
@@ -260,19 +263,19 @@ def plan_edges(spark, sf_dir):
 
 
 QUERIES = {
-    "mts_count_shared": _hourly(A.count()),
-    "mts_count_naive": _hourly(A.count(), "naive"),
+    "mts_count_shared": _hourly(A.count),
+    "mts_count_naive": _hourly(A.count, "naive"),
     "mts_sum_value": mts_sum_value,
     "mts_avg": mts_avg,
     "mts_avg_trunc": mts_avg_trunc,
     "mts_linreg": mts_linreg,
-    "mts_uniq_count": _hourly(A.uniq("user_id", count_name="n_users")),
+    "mts_uniq_count": _hourly(lambda: A.uniq("user_id", count_name="n_users")),
     "mts_uniq_set": mts_uniq_set,
-    "mts_minmax": _hourly(A.minmax("value")),
+    "mts_minmax": _hourly(lambda: A.minmax("value")),
     "mts_topk": mts_topk,
     "mts_totals": mts_totals,
     "mts_map_view": mts_map_view,
-    "mts_tumbling": _hourly(A.count(), scales="(1,1)(6,6)(24,24)"),
+    "mts_tumbling": _hourly(A.count, scales="(1,1)(6,6)(24,24)"),
     "mts_fully_processed": mts_fully_processed,
     "mts_clamped_start": mts_late_start,
     "mts_count_based": mts_count_based,
@@ -280,11 +283,11 @@ QUERIES = {
     "mts_dynamic_add": _dynamic("own", SIGNALS[:2]),
     "mts_dynamic_remove": _dynamic("own", SIGNALS),
     "mts_dynamic_grid_align": _dynamic("grid", SIGNALS),
-    "mts_shared_greedy": _hourly(A.count(), "greedy", NESTED),
-    "mts_shared_dp": _hourly(A.count(), "dp", NESTED),
-    "mts_shared_adaptive": _hourly(A.count(), "adaptive", NESTED),
-    "mts_shared_pruned": _hourly(A.minmax("value"), "dp", NESTED, prune="cost", reuse=0.5, tradeoff=10),
-    "mts_triweave": _hourly(A.count(), "grouped", NESTED),
+    "mts_shared_greedy": _hourly(A.count, "greedy", NESTED),
+    "mts_shared_dp": _hourly(A.count, "dp", NESTED),
+    "mts_shared_adaptive": _hourly(A.count, "adaptive", NESTED),
+    "mts_shared_pruned": _hourly(lambda: A.minmax("value"), "dp", NESTED, prune="cost", reuse=0.5, tradeoff=10),
+    "mts_triweave": _hourly(A.count, "grouped", NESTED),
     "word_count_dynamic": word_count_dynamic,
     "mts_avg_dynamic": mts_avg_dynamic,
     "mts_linreg_dynamic": mts_linreg_dynamic,
