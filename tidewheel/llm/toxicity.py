@@ -24,11 +24,13 @@ class FMParams:
     #: Labelled rows to learn from, at most; more are cut by a hash of the id, so the same rows each time.
     max_rows: int = 12_000
     bits: int = 26
-    #: Terms that fewer labelled rows have are not learned and count nothing.
+    #: Terms that fewer labelled rows have, or whose share differs between the labels by fewer standard errors, are not
+    #: learned and count nothing: tens of thousands of chance weights would drown the few that matter.
     min_rows: int = 6
+    least_z: float = 4.0
     factors: int = 4
-    epochs: int = 6
-    rate: float = 0.15
+    epochs: int = 16
+    rate: float = 0.3
     l2: float = 1e-5
     seed: int = 7
 
@@ -51,8 +53,13 @@ class FactorizationMachine:
         rng = np.random.default_rng(p.seed)
         share = (labels.sum() + 0.5) / (len(labels) + 1)
         flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        terms, counts = np.unique(flat, return_counts=True)
-        terms = terms[counts >= p.min_rows]
+        terms, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        n, ones = len(labels), labels.sum()
+        have = np.bincount(at, np.repeat(labels, [len(r) for r in rows]), len(terms))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share_of = counts / n
+            z = (have / ones - (counts - have) / (n - ones)) / np.sqrt(share_of * (1 - share_of) * (1 / ones + 1 / (n - ones)))
+        terms = terms[(counts >= p.min_rows) & (np.abs(np.nan_to_num(z)) >= p.least_z)]
         fm = cls(terms, float(np.log(share / (1 - share))), np.zeros(len(terms) + 1), rng.normal(0, 0.01, (len(terms) + 1, p.factors)))
         fm.factors[-1] = 0
         if not len(terms) or labels.min() == labels.max():
