@@ -22,7 +22,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class FMParams:
     #: Labelled rows to learn from, at most; more are cut by a hash of the id, so the same rows each time.
-    max_rows: int = 12_000
+    max_rows: int = 8_000
     bits: int = 26
     #: Terms that fewer labelled rows have, or whose share differs between the labels by fewer standard errors, are not
     #: learned and count nothing: tens of thousands of chance weights would drown the few that matter.
@@ -52,7 +52,7 @@ class FactorizationMachine:
         """AdaGrad on the logistic loss, in mini-batches; without rows of both labels the score is constant."""
         rng = np.random.default_rng(p.seed)
         share = (labels.sum() + 0.5) / (len(labels) + 1)
-        flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
         terms, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
         n, ones = len(labels), labels.sum()
         have = np.bincount(at, np.repeat(labels, [len(r) for r in rows]), len(terms))
@@ -127,9 +127,11 @@ def train(docs: DataFrame, labels: DataFrame, p: FMParams = FMParams(), id_col:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(terms, pa.list_(pa.int32()))], ["id", "label", "terms"])
 
     got = rows.mapInArrow(hashed, "id long, label int, terms array<int>").toArrow()
-    got = got.sort_by("id")
-    flat = [np.asarray(x.values.to_numpy() if x.is_valid else [], dtype=np.int64) for x in got.column("terms")]
-    return FactorizationMachine.fit(flat, got.column("label").to_numpy().astype(float), p)
+    order = np.argsort(got.column("id").to_numpy(), kind="stable")
+    terms = got.column("terms").combine_chunks()
+    edges, values = terms.offsets.to_numpy(), terms.values.to_numpy()
+    rows = [values[edges[k] : edges[k + 1]] for k in order]
+    return FactorizationMachine.fit(rows, got.column("label").to_numpy().astype(float)[order], p)
 
 
 def score(docs: DataFrame, fm: FactorizationMachine, p: FMParams = FMParams(), text_col: str = "text", score_col: str = "score") -> DataFrame:
