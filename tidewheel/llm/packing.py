@@ -6,7 +6,9 @@ finds its place by its rank among the documents of its length."""
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 
@@ -116,8 +118,16 @@ def tokenizer(vocabulary: str = VOCABULARY):
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={special: 50256})
     kept: dict[str, bytes | None] = {}
 
+    def packed(ids: list[int]) -> bytes:
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
     def raw(text: str) -> bytes:
-        return np.array(encoding.encode(text, allowed_special="all"), dtype="<u4").tobytes()
+        return packed(encoding.encode(text, allowed_special="all"))
+
+    ordinary = encoding.encode_ordinary
 
     def ids(text: str) -> bytes:
         if special in text:
@@ -130,10 +140,10 @@ def tokenizer(vocabulary: str = VOCABULARY):
             try:
                 part = kept[chunk]
             except KeyError:
-                if len(kept) > 200_000:
+                if len(kept) >= 400_000:
                     kept.clear()
                 odd = not chunk or chunk[0].isspace() or chunk[-1].isspace()
-                part = None if odd else raw(" " + chunk)
+                part = None if odd else packed(ordinary(" " + chunk))
                 if len(chunk) < 64:
                     kept[chunk] = part
             if part is None:
