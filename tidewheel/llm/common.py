@@ -14,6 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Arrow batches of at most so many rows go to Python, so that a batch of long texts stays small.
 BATCH_ROWS = "500"
 
+#: Bytes of input text for which one group of a shuffle stands, at most.
+SHARD_BYTES = 32 << 20
+
 _made: list[tuple[object, str]] = []
 
 
@@ -41,11 +44,17 @@ def drop_scratch() -> None:
             _drop(spark, path)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when this process ends."""
+    path = f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: the lineage is cut, and any executor can read it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -67,6 +76,11 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shards_for(spark: SparkSession, n_bytes: int) -> int:
+    """Groups for a shuffle whose groups a task holds whole: one for each SHARD_BYTES of input at least."""
+    return max(tasks(spark), -(-n_bytes // SHARD_BYTES))
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, text): text null counts as empty; key tells rows of one id with different texts apart.
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import fresh, scratch, shared_dir, tasks
+from tidewheel.llm.common import fresh, scratch, scratch_path, tasks
 
 
 class DigestIndex:
@@ -66,8 +66,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "
 
 
 def new_index(spark: SparkSession) -> DigestIndex:
-    """An empty index in the shared folder."""
-    return DigestIndex(spark, f"{shared_dir(spark)}/digest-index/{uuid.uuid4().hex}", max(8, tasks(spark)))
+    """An empty index in the shared folder, for this process only."""
+    return DigestIndex(spark, scratch_path(spark, "digest-index"), max(8, tasks(spark)))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,46 @@
+"""What reducers say of texts, back to the texts: few wide rows by bucket of texts, then one row a text."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from tidewheel.llm.words import mixed
+
+REPLY = "bucket int, ids binary, keys binary, sizes binary, data binary"
+_NAMES = [x.split()[0] for x in REPLY.split(", ")]
+
+
+def reply_batch(rows: list[tuple[int, int, bytes]], buckets: int) -> pa.RecordBatch:
+    """(id, key, data) rows as one row for each bucket of texts."""
+    ids, keys = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+    bucket = (mixed(mixed(ids.astype(np.uint64)) ^ keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    out = []
+    for a, z in zip(edges, np.append(edges[1:], len(order))):
+        own = order[a:z]
+        data = [rows[k][2] for k in own]
+        out.append((int(bucket[own[0]]), ids[own].tobytes(), keys[own].tobytes(), np.array([len(d) for d in data], np.uint32).tobytes(), b"".join(data)))
+    columns = list(zip(*out)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int32()] + [pa.binary()] * 4)], _NAMES)
+
+
+def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    said: dict[tuple[int, int], list[bytes]] = {}
+    for b in batches:
+        for r in b.to_pylist():
+            ids, keys, ends = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["keys"], np.int64), np.cumsum(np.frombuffer(r["sizes"], np.uint32)).tolist()
+            for i, k, a, z in zip(ids.tolist(), keys.tolist(), [0, *ends], ends):
+                said.setdefault((i, k), []).append(r["data"][a:z])
+    ids, keys = ([k[n] for k in said] for n in (0, 1))
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(said.values(), pa.list_(pa.binary()))], ["id", "key", "ats"])
+
+
+def with_replies(rows: DataFrame, replies: DataFrame) -> DataFrame:
+    """(id, key, text, ats) for each of rows; ats: all data that replies (REPLY) hold of the text, null for none."""
+    by_text = replies.groupBy("bucket").applyInArrow(_by_text, "id long, key long, ats array<binary>")
+    return rows.join(by_text, ["id", "key"], "left").select("id", "key", "text", "ats")

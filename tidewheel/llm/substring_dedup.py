@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import keyed, scratch, small_batches, tasks
+from tidewheel.llm.common import keyed, shards_for, small_batches
+from tidewheel.llm.replies import REPLY, reply_batch, with_replies
 from tidewheel.llm.sketch import PARTIAL, Shape, merged, packed, partial, partial_batch, repeated, unpacked
 from tidewheel.llm.words import Hasher, Words
 
 WINDOW = 20
 #: Bytes of text that one block of work holds; a longer text is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def blocks(batches, most: int = BLOCK):
@@ -35,6 +36,13 @@ def blocks(batches, most: int = BLOCK):
         yield np.array(ids, np.int64), np.array(keys, np.int64), texts
 
 
+def _first_hashes(texts: list[bytes], n: int) -> np.ndarray:
+    """The first hash of every window of n words."""
+    words = Words(texts)
+    m = max(0, len(words.of) - n + 1)
+    return Hasher(13).runs(words.hashes(Hasher(11)), n)[words.of[:m] == words.of[n - 1 :][:m]]
+
+
 class _Windows:
     """Windows of n words of a block: two hashes, text number and first word."""
 
@@ -70,15 +78,6 @@ def _later(h1: np.ndarray, h2: np.ndarray, place: np.ndarray) -> tuple[np.ndarra
 
 
 _FOUND = "shard int, kind int, ids binary, keys binary, counts binary, at binary, h1 binary, h2 binary"
-_REPLY = "id long, key long, at binary"
-
-
-def _by_text(ids, keys, of, at):
-    """(id, key, packed places) of each text that has some; (of, at) ascending."""
-    if not len(of):
-        return []
-    edges = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
-    return [(int(ids[of[a]]), int(keys[of[a]]), packed(at[a:z])) for a, z in zip(edges, edges[1:])]
 
 
 def _candidates(rows: DataFrame, n: int, shape: Shape, sketch, shards: int) -> DataFrame:
@@ -115,39 +114,36 @@ def _candidates(rows: DataFrame, n: int, shape: Shape, sketch, shards: int) -> D
     return rows.mapInArrow(found, _FOUND)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one shard's windows all but the first of each group, by text."""
-    parts = {0: [], 1: []}
-    for b in batches:
-        for r in b.to_pylist():
-            ids, own, counts = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["keys"], np.int64), np.frombuffer(r["counts"], np.uint32)
-            at = np.frombuffer(r["at"], np.uint32).astype(np.int64)
-            parts[r["kind"]].append((np.repeat(ids, counts), np.repeat(own, counts), at, np.frombuffer(r["h1"], np.uint64), np.frombuffer(r["h2"], np.uint32)))
-    out = []
-    for kind, some in parts.items():
-        if not some:
-            continue
-        ids, own, at, h1, h2 = (np.concatenate(x) for x in zip(*some))
-        rank = _order(ids, own)
-        place = (rank << 32) | at
-        if kind:
-            pick = np.argsort(place)
-        else:
-            order, later = _later(h1, h2, place)
-            pick = order[later]
-            pick = pick[np.argsort(place[pick])]
-        ids, own, rank, at = ids[pick], own[pick], rank[pick], at[pick]
-        new = np.flatnonzero(np.diff(rank, prepend=-1))
-        for a, z in zip(new, np.append(new[1:], len(rank))):
-            out.append((int(ids[a]), int(own[a]), packed(at[a:z])))
-    columns = list(zip(*out)) or [[]] * 3
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["id", "key", "at"])
-
-
-def with_replies(rows: DataFrame, replies: DataFrame) -> DataFrame:
-    """rows with `ats`, all that replies say of each text."""
-    by_text = replies.groupBy("id", "key").agg(F.collect_list("at").alias("ats"))  # bounded by the text itself
-    return rows.join(by_text, ["id", "key"], "left").select("id", "key", "text", "ats")
+def _grouper(buckets: int):
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of one shard's windows all but the first of each group, by text."""
+        parts = {0: [], 1: []}
+        for b in batches:
+            for r in b.to_pylist():
+                ids, own, counts = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["keys"], np.int64), np.frombuffer(r["counts"], np.uint32)
+                at = np.frombuffer(r["at"], np.uint32)
+                parts[r["kind"]].append((ids, own, counts, at, np.frombuffer(r["h1"], np.uint64), np.frombuffer(r["h2"], np.uint32)))
+        out = []
+        for kind, some in parts.items():
+            if not some:
+                continue
+            ids, own, counts, at, h1, h2 = (np.concatenate(x) for x in zip(*some))
+            some.clear()
+            order = _order(ids, own)
+            _, pick = np.unique(order, return_index=True)
+            ids, own = ids[pick], own[pick]  # by rank
+            place = (np.repeat(order, counts) << 32) | at
+            if kind:
+                place.sort()
+            else:
+                order, later = _later(h1, h2, place)
+                place = np.sort(place[order[later]])
+            rank = place >> 32
+            new = np.flatnonzero(np.diff(rank, prepend=-1))
+            out += [(int(ids[rank[a]]), int(own[rank[a]]), packed(place[a:z] & 0xFFFFFFFF)) for a, z in zip(new, np.append(new[1:], len(rank)))]
+        yield reply_batch(out, buckets)
+
+    return grouped
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = True) -> DataFrame:
@@ -167,13 +163,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shape = Shape.of(size // 6)
 
     def sketched(batches):
-        for _, _, texts in blocks(batches, 4 * BLOCK):
-            yield partial_batch(partial(_Windows(texts, window).h1, shape))
+        held, n = [], 0
+        for _, _, texts in blocks(batches):
+            held.append(_first_hashes(texts, window))
+            n += len(held[-1])
+            if n > 3 << 20:  # the denser a part, the fewer bytes a counter takes
+                yield partial_batch(partial(np.concatenate(held), shape))
+                held, n = [], 0
+        if held:
+            yield partial_batch(partial(np.concatenate(held), shape))
 
     sketch = merged(rows.mapInArrow(sketched, PARTIAL), shape)
-    shards = tasks(spark)
+    shards = shards_for(spark, size)
     found = _candidates(rows, window, shape, sketch, shards)
-    replies = found.groupBy("shard").applyInArrow(_grouped, _REPLY)
+    replies = found.groupBy("shard").applyInArrow(_grouper(shards), REPLY)
 
     def applied(batches):
         for b in batches:

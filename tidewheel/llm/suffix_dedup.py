@@ -16,17 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import keyed, small_batches, tasks
+from tidewheel.llm.common import keyed, shards_for, small_batches
+from tidewheel.llm.replies import REPLY, reply_batch, with_replies
 from tidewheel.llm.sketch import PARTIAL, Shape, merged, packed, partial, partial_batch, repeated, unpacked
-from tidewheel.llm.substring_dedup import _order, blocks, with_replies
+from tidewheel.llm.substring_dedup import _order, blocks
 from tidewheel.llm.words import Hasher
 
 LENGTH = 100
 #: Bytes of the strings whose hashes deal suffixes into buckets, and of the first sorting step.
 STEP = 32
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Bytes of text that are sorted at a time.
-RANGE = 4 << 20
+RANGE = 2 << 20
 #: Suffixes of one stretch; longer ones are cut.
 STRETCH = 1 << 16
 
@@ -237,7 +238,7 @@ def _runs(of: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[tuple[int, n
     return [(int(who[a]), packed(flat[a:z].ravel())) for a, z in zip(edges, np.append(edges[1:], len(who)))]
 
 
-def _sorter(length: int):
+def _sorter(length: int, buckets: int):
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[bool, list] = {True: [], False: []}
         data = []
@@ -263,8 +264,7 @@ def _sorter(length: int):
             some, at = np.unique(rank, return_index=True)
             who = {int(k): (int(ids[a]), int(keys[a])) for k, a in zip(some, at)}
             out = [(*who[k], x) for k, x in _runs(rank, start, n)]
-        columns = list(zip(*out)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["id", "key", "at"])
+        yield reply_batch(out, buckets)
 
     return grouped
 
@@ -354,8 +354,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield partial_batch(partial(np.concatenate(held), shape))
 
     sketch = merged(rows.mapInArrow(sketched, PARTIAL), shape)
-    found = _candidates(rows, length, shape, sketch, tasks(spark))
-    replies = found.groupBy("shard").applyInArrow(_sorter(length), "id long, key long, at binary")
+    shards = shards_for(spark, size)
+    found = _candidates(rows, length, shape, sketch, shards)
+    replies = found.groupBy("shard").applyInArrow(_sorter(length, shards), REPLY)
 
     def applied(batches):
         for b in batches:

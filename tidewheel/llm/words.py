@@ -14,40 +14,48 @@ _U = np.uint64
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit over all."""
     x = x ^ (x >> _U(33))
-    x = x * _U(0xFF51AFD7ED558CCD)
+    x *= _U(0xFF51AFD7ED558CCD)
     x ^= x >> _U(33)
-    x = x * _U(0xC4CEB9FE1A85EC53)
+    x *= _U(0xC4CEB9FE1A85EC53)
     x ^= x >> _U(33)
     return x
 
 
+#: An odd base, its inverse modulo 2^64, and powers of both as far as they were needed.
+_BASE = 0x5851F42D4C957F2D
+_INVERSE = pow(_BASE, -1, 2**64)
+_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    if n > len(_powers[0]):
+        for k, b in enumerate((_BASE, _INVERSE)):
+            out = np.full(1 << (n - 1).bit_length(), b, dtype=np.uint64)
+            out[0] = 1
+            _powers[k] = np.multiply.accumulate(out, out=out)
+    return _powers
+
+
 class Hasher:
     """Hashes of substrings of a byte array, and of runs of consecutive numbers, by prefix sums modulo 2^64.
 
     A prefix sum is weighted by powers of an odd base, whose inverse takes the place out of a difference of two;
-    the result is mixed."""
+    the result is mixed. The seed picks the numbers that stand for the bytes."""
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.table = rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-        self.base = int(rng.integers(1, 2**60)) * 8 + 5
-        self.inverse = pow(self.base, -1, 2**64)
-        self._grow(1 << 12)
-
-    def _grow(self, n: int) -> None:
-        def powers(b: int) -> np.ndarray:
-            out = np.ones(n, dtype=np.uint64)
-            out[1:] = _U(b)
-            return np.multiply.accumulate(out)
-
-        self.up, self.down = powers(self.base), powers(self.inverse)
 
     def _spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(values) + 1 > len(self.up):
-            self._grow(2 * len(values) + 1)
+        up, down = _powers_to(len(values) + 1)
         sums = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values * self.up[: len(values)], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+        np.multiply(values, up[: len(values)], out=sums[1:])
+        np.cumsum(sums, out=sums)
+        out = sums[ends]
+        out -= sums[starts]
+        out *= down[starts]
+        out += (ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15)
+        return mixed(out)
 
     def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of data[start:end] for ascending spans that don't overlap; a slice of the data at a time."""
@@ -65,8 +73,14 @@ class Hasher:
         m = len(values) - n + 1
         if m <= 0:
             return np.empty(0, dtype=np.uint64)
-        at = np.arange(m)
-        return self._spans(values, at, at + n)
+        up, down = _powers_to(len(values) + 1)
+        sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.multiply(values, up[: len(values)], out=sums[1:])
+        np.cumsum(sums, out=sums)
+        out = sums[n:] - sums[:m]
+        out *= down[:m]
+        out += _U(n * 0x9E3779B97F4A7C15 % 2**64)
+        return mixed(out)
 
 
 class Words:
