@@ -16,6 +16,5 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op2_licences": licences.op2_licences,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
 }
