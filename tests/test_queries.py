@@ -24,3 +24,16 @@ def test_linreg_takes_line_items_of_all_days(spark, tmp_path):
     assert got.keys() == held.keys()
     for key, some in held.items():
         assert got[key] == pytest.approx((2.0, 10.0 * sum(some) / len(some))), key
+
+
+def test_rates_go_on_for_all_events(spark, tmp_path):
+    n, rates = 17_000, [50, 150, 100, 300, 200]
+    spark.range(n).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id) AS ts", "'view' AS event_type").write.parquet(f"{tmp_path}/events.parquet")
+    expect, left, t = {}, n, 0
+    while left:
+        some = min(left, rates[t % 5])
+        for key in ends([(5, 2), (10, 5)], t):
+            expect[key] = expect.get(key, 0) + some
+        left, t = left - some, t + 1
+    assert t > 100
+    assert {(r["w"], r["i"], r["window_end"]): r["n"] for r in QUERIES["mts_rate_based"](spark, str(tmp_path)).collect()} == expect

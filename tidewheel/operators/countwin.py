@@ -26,12 +26,19 @@ def count_ticks(df: DataFrame, ts: str, tie: str, records: int = 100, name: str
     return placed.withColumn(name, F.floor(F.col("_place") / records).cast("long")).drop("_place")
 
 
-def rate_ticks(df: DataFrame, ts: str, tie: str, rates: list[int], name: str = "tick") -> DataFrame:
-    """The first rates[0] records are tick 0, the next rates[1] tick 1, and so on; what is left over belongs to the tick after the last."""
+def rate_ticks(df: DataFrame, ts: str, tie: str, rates: list[int], name: str = "tick", rounds: bool = False) -> DataFrame:
+    """The first rates[0] records are tick 0, the next rates[1] tick 1, and so on; what is left over belongs to the tick after the last.
+
+    rounds: what is left over goes through the rates again, as often as it takes."""
     ends, n = [], 0
     for r in rates:
         n += r
         ends.append(n)
+    if rounds and not n:
+        raise ValueError("rounds need a rate above 0")
     placed = positions(df, ts, tie, "_place")
-    tick = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("_place")))
+    place = F.col("_place") % n if rounds else F.col("_place")
+    tick = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= place)).cast("long")
+    if rounds:
+        tick = tick + F.floor(F.col("_place") / n) * len(rates)
     return placed.withColumn(name, tick.cast("long")).drop("_place")

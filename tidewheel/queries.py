@@ -121,8 +121,8 @@ RATES = [50, 150, 100, 300, 200] * 20
 
 
 def mts_rate_based(spark, sf_dir):
-    ticks = countwin.rate_ticks(events(spark, sf_dir).drop("tick"), "ts", "event_id", RATES)
-    return multi_window(ticks, "(5,2)(10,5)", ["event_type"], A.count(), until=len(RATES)).select("w", "i", "window_end", "event_type", "n")
+    ticks = countwin.rate_ticks(events(spark, sf_dir).drop("tick"), "ts", "event_id", RATES, rounds=True)
+    return multi_window(ticks, "(5,2)(10,5)", ["event_type"], A.count(), until=ALL).select("w", "i", "window_end", "event_type", "n")
 
 
 SIGNALS = [(24, 6, 1, 100), (48, 10, 1, 205), (24, 6, 2, 400), (6, 6, 2, 300), (24, 6, 1, 500)]
