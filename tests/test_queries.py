@@ -37,3 +37,18 @@ def test_rates_go_on_for_all_events(spark, tmp_path):
         left, t = left - some, t + 1
     assert t > 100
     assert {(r["w"], r["i"], r["window_end"]): r["n"] for r in QUERIES["mts_rate_based"](spark, str(tmp_path)).collect()} == expect
+
+
+def _talk(spark, path):
+    """A word said once in each of some conversations; their ticks."""
+    ids = [0, 55, 150, 215, 399, 400, 401, 780, 999, 20_003]
+    spark.createDataFrame([(k, 0, "user", "hello the") for k in ids], "conv_id long, turn int, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return [k // 10 for k in ids]
+
+
+def test_words_of_all_conversations(spark, tmp_path):
+    expect = {}
+    for t in _talk(spark, tmp_path):
+        for key in ends([(4, 2), (5, 3)], t):
+            expect[key] = expect.get(key, 0) + 1
+    assert {(r["w"], r["i"], r["window_end"]): r["n"] for r in QUERIES["word_count_windows"](spark, str(tmp_path)).collect()} == expect

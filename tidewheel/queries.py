@@ -233,7 +233,7 @@ _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
 def word_count_windows(spark, sf_dir):
-    return multi_window(words(spark, sf_dir), "(4,2)(5,3)", ["word"], A.count(), until=40).select("w", "i", "window_end", "word", "n")
+    return multi_window(words(spark, sf_dir), "(4,2)(5,3)", ["word"], A.count(), until=ALL).select("w", "i", "window_end", "word", "n")
 
 
 _WORDS_SQL = f"""
