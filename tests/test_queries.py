@@ -52,3 +52,12 @@ def test_words_of_all_conversations(spark, tmp_path):
         for key in ends([(4, 2), (5, 3)], t):
             expect[key] = expect.get(key, 0) + 1
     assert {(r["w"], r["i"], r["window_end"]): r["n"] for r in QUERIES["word_count_windows"](spark, str(tmp_path)).collect()} == expect
+
+
+def test_open_timescale_counts_words_of_all_conversations(spark, tmp_path):
+    expect = {}
+    for t in _talk(spark, tmp_path):
+        open_ones = ends([(5, 3)], t, since=6) if t >= 6 else []
+        for key in [k for k in ends([(4, 2)], t) if k[2] <= 20] + open_ones:
+            expect[key] = expect.get(key, 0) + 1
+    assert {(r["w"], r["i"], r["window_end"]): r["n"] for r in QUERIES["word_count_dynamic"](spark, str(tmp_path)).collect()} == expect

@@ -179,7 +179,7 @@ def _changing() -> Registry:
 
 def word_count_dynamic(spark, sf_dir):
     registry = Registry.of("(4,2)").apply([(5, 3, 1, 6), (4, 2, 2, 20)])
-    return multi_window(words(spark, sf_dir), registry, ["word"], A.count(), until=40).select("w", "i", "window_end", "word", "n")
+    return multi_window(words(spark, sf_dir), registry, ["word"], A.count(), until=ALL).select("w", "i", "window_end", "word", "n")
 
 
 def mts_avg_dynamic(spark, sf_dir):
