@@ -61,3 +61,16 @@ def test_open_timescale_counts_words_of_all_conversations(spark, tmp_path):
         for key in [k for k in ends([(4, 2)], t) if k[2] <= 20] + open_ones:
             expect[key] = expect.get(key, 0) + 1
     assert {(r["w"], r["i"], r["window_end"]): r["n"] for r in QUERIES["word_count_dynamic"](spark, str(tmp_path)).collect()} == expect
+
+
+def test_totals_are_over_all_events(spark, tmp_path):
+    day, scales = dt.datetime(2024, 1, 1), [(5, 4), (6, 6), (24, 6), (48, 10)]
+    rows = [(k, day + dt.timedelta(hours=7 * k % 720), 5 * k, ["view", "purchase", "click"][k % 3]) for k in range(150) if not 200 < 7 * k % 720 < 300]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    expect = {(w, i, e): 0 for w, i in scales for e in range(i, 721, i)}
+    for k, *_ in rows:
+        for key in ends(scales, 7 * k % 720):
+            if key in expect:
+                expect[key] += 1
+    assert {(r["w"], r["i"], r["window_end"]): r["total"] for r in QUERIES["mts_totals"](spark, str(tmp_path)).collect()} == expect
+    assert 0 in expect.values()
