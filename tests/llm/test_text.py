@@ -137,3 +137,21 @@ def test_secret_forest_on_held_out_findings(spark):
 def test_secret_scan_is_native(spark, docs):
     plan = secrets.scan(docs, secrets.train(spark, p=secrets.ForestParams(trees=2)), path_col="source")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_factorization_machine_learns_a_group_word_that_is_neutral_alone(spark):
+    r = random.Random(8)
+    rows, labels = [], []
+    for k in range(1000):
+        a, b, g = (r.random() < 0.5 for _ in range(3))
+        words = [*(r.choice("abcdefgh") * 4 for _ in range(6)), *["nitwit"] * a, *["dolt"] * b, *["martians"] * g]
+        r.shuffle(words)
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(a if g else b)))
+    with_g = [x for (_, x), (_, t) in zip(labels, rows) if "martians" in t]
+    assert abs(np.mean(with_g) - np.mean([x for _, x in labels])) < 0.03
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    p = toxicity.FMParams(epochs=40)
+    fm = toxicity.train(docs, labels, p)
+    got = toxicity.score(docs, fm, p).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).collect()
+    assert np.mean([(x["score"] >= 0.5) == bool(x["toxic"]) for x in got]) > 0.95

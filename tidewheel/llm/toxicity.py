@@ -25,9 +25,11 @@ class FMParams:
     max_rows: int = 8_000
     bits: int = 26
     #: Terms that fewer labelled rows have, or whose share differs between the labels by fewer standard errors, are not
-    #: learned and count nothing: tens of thousands of chance weights would drown the few that matter.
+    #: learned and count nothing: tens of thousands of chance weights would drown the few that matter. Among the rows of a
+    #: term so kept, other terms are compared anew, and those whose share differs by least_pair_z are learned as well.
     min_rows: int = 6
     least_z: float = 4.0
+    least_pair_z: float = 6.0
     factors: int = 4
     epochs: int = 16
     rate: float = 0.3
@@ -42,6 +44,44 @@ def term_ids(text: str, mask: int) -> list[int]:
     return sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) & mask for w in words | stems})
 
 
+def differences(counts: np.ndarray, have: np.ndarray, n: int, ones: float) -> np.ndarray:
+    """By how many standard errors the share of rows with a term differs between the labels; 0 where there is nothing to compare.
+
+    counts: rows with the term, have: those of them labelled 1, of n rows of which `ones` are labelled 1."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = counts / n
+        z = (have / ones - (counts - have) / (n - ones)) / np.sqrt(share * (1 - share) * (1 / ones + 1 / (n - ones)))
+    return np.nan_to_num(z, posinf=0, neginf=0)
+
+
+def beside(kept: np.ndarray, at: np.ndarray, of: np.ndarray, labels: np.ndarray, counts: np.ndarray, p: FMParams) -> np.ndarray:
+    """Which terms tell the labels apart among the rows of a kept term, whatever they do over all rows.
+
+    at, of: the term and the row of every occurrence. A normal deviate says little of small counts, so that the smallest
+    of the four counts that chance would give has to reach 1, and the counts are corrected by a half."""
+    found = np.zeros(len(counts), bool)
+    often = counts >= p.min_rows
+    use = often[at]
+    at, of = at[use], of[use]
+    edges = np.searchsorted(of, np.arange(len(labels) + 1))
+    by_term = np.argsort(at, kind="stable")
+    first = np.searchsorted(at, kept, sorter=by_term)
+    for f, k in zip(first, kept):
+        has = of[by_term[f : f + counts[k]]]
+        n, ones = len(has), labels[has].sum()
+        if not 0 < ones < n:
+            continue
+        pos = [at[edges[r] : edges[r + 1]] for r in has if labels[r]]
+        neg = [at[edges[r] : edges[r + 1]] for r in has if not labels[r]]
+        h = np.bincount(np.concatenate(pos), minlength=len(counts))
+        c = h + np.bincount(np.concatenate(neg), minlength=len(counts))
+        chance = c * ones / n
+        least = np.minimum(np.minimum(chance, c - chance), np.minimum(ones - chance, n - ones - c + chance))
+        nearer = chance + np.sign(h - chance) * np.maximum(np.abs(h - chance) - 0.5, 0)
+        found |= (c >= p.min_rows) & (least >= 1) & (np.abs(differences(c, nearer, n, ones)) >= p.least_pair_z)
+    return found & often
+
+
 class FactorizationMachine:
     def __init__(self, terms: np.ndarray, bias: float, weights: np.ndarray, factors: np.ndarray):
         self.terms, self.bias, self.weights, self.factors = terms, bias, weights, factors
@@ -55,11 +95,10 @@ class FactorizationMachine:
         flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
         terms, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
         n, ones = len(labels), labels.sum()
-        have = np.bincount(at, np.repeat(labels, [len(r) for r in rows]), len(terms))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            share_of = counts / n
-            z = (have / ones - (counts - have) / (n - ones)) / np.sqrt(share_of * (1 - share_of) * (1 / ones + 1 / (n - ones)))
-        terms = terms[(counts >= p.min_rows) & (np.abs(np.nan_to_num(z)) >= p.least_z)]
+        of = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+        have = np.bincount(at, labels[of], len(terms))
+        kept = (counts >= p.min_rows) & (np.abs(differences(counts, have, n, ones)) >= p.least_z)
+        terms = terms[kept | beside(np.flatnonzero(kept), at.astype(np.int32), of, labels, counts, p)]
         fm = cls(terms, float(np.log(share / (1 - share))), np.zeros(len(terms) + 1), rng.normal(0, 0.01, (len(terms) + 1, p.factors)))
         fm.factors[-1] = 0
         if not len(terms) or labels.min() == labels.max():
