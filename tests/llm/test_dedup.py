@@ -4,11 +4,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from tidewheel.llm import exact_dedup, near_join, substring_dedup, suffix_dedup
-from tidewheel.llm.sketch import Shape, packed, partial, repeated, unpacked
-from tidewheel.llm.words import Hasher, Words
+from tidewheel.llm import exact_dedup, near_join, rounds, substring_dedup, suffix_dedup
+from tidewheel.llm.rounds import placed, places, spans_of, table, verdict_rows
+from tidewheel.llm.sketch import TOLD, Shape, answered, packed, repeated, told, unpacked
+from tidewheel.llm.words import Words, runs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LAST = 2**63
@@ -77,36 +80,67 @@ def test_unique_documents(docs, rows, none):
     assert sorted(t for _, t in kept) == sorted({r[1] or "" for r in rows})
 
 
+def thue_morse(n):
+    """Two strings of 2^n bytes that all polynomial hashes modulo 2^64 confuse from n = 10 on."""
+    a, b = b"a", b"b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a.decode(), b.decode()
+
+
 def test_words_and_hashes():
     texts = [b" a  bb\tccc ", b"", b"bb", "é\n".encode()]
     words = Words(texts)
     assert [bytes(words.data[a:z]) for a, z in zip(words.starts, words.ends)] == [b"a", b"bb", b"ccc", b"bb", "é".encode()]
     assert words.of.tolist() == [0, 0, 0, 2, 3] and words.counts.tolist() == [3, 0, 1, 1]
-    h = words.hashes(Hasher(1))
-    assert h[1] == h[3] and len(set(h.tolist())) == 4
-    runs = Hasher(2).runs(np.array([1, 2, 3, 1, 2, 3, 4], np.uint64), 3)
-    assert runs[0] == runs[3] and len(set(runs.tolist())) == 4
-
-
-def test_sketch_misses_no_repeat():
+    r = random.Random(4)
+    some = [t[:k].encode() for k in (8, 9, 63, 200, 255, 256, 257, 1024) for t in thue_morse(10)] + ["".join(r.choice("ab") for _ in range(r.choice([1, 2, 8, 9, 16, 17, 40]))).encode() for _ in range(2000)]
+    for lane in (0, 1):
+        h = words.hashes(lane)
+        assert h[1] == h[3] and len(set(h.tolist())) == 4
+        h = Words([b" ".join(some)]).hashes(lane)
+        assert len(set(zip(some, h.tolist()))) == len(set(h.tolist())) == len(set(some))
+        for n in (1, 2, 3, 5, 20):
+            values = np.array([r.randrange(3) for _ in range(400)], np.uint64)
+            got, strings = runs(values, n, lane).tolist(), [tuple(values[k : k + n].tolist()) for k in range(400 - n + 1)]
+            assert len(set(zip(got, strings))) == len(set(got)) == len(set(strings))
+        assert len(runs(np.zeros(3, np.uint64), 4, lane)) == 0
+
+
+def test_sketch_misses_no_repeat(spark):
     rng = np.random.default_rng(1)
-    h = rng.integers(0, 2**63, 5000, dtype=np.uint64)
-    h = np.append(h, h[:700])
+    h = rng.integers(0, 2**63, 50_000, dtype=np.uint64)
+    h = np.append(h, h[:7000])
+    rng.shuffle(h)
+    values, counts = np.unique(h, return_counts=True)
+    twice = values[counts > 1]
     shape = Shape.of(len(h))
-    parts = [partial(x, shape) for x in np.array_split(h, 5)]
-    width = 1 << (shape.log2 - shape.cut)
-    shards = {}
-    for part in parts:
-        for line, shard, one, two in part:
-            counts = shards.setdefault((line, shard), np.zeros(width, np.int64))
-            counts[unpacked(one)] += 1
-            counts[unpacked(two)] += 2
-    hit = repeated(h, {k: np.packbits(c > 1) for k, c in shards.items()}, shape)
-    assert hit[:700].all() and hit[5000:].all() and hit[700:5000].mean() < 0.3
-    for numbers in ([], [0], [0, 127, 128, 300, 20_000, 3_000_000, 2**32 - 1]):
+    parts = np.array_split(h, 5)
+    rows = [r for k, x in enumerate(parts) for r in told(k, x, shape).to_pylist()]
+    answers = answered(spark.createDataFrame([tuple(r.values()) for r in rows], TOLD).repartition(3), shape).toArrow()
+    for k, x in enumerate(parts):
+        hit = repeated(x, answers.filter(pc.equal(answers["bucket"], k)), shape)
+        again = np.isin(x, twice)
+        assert hit[again].all() and hit[~again].mean() < 0.3
+    for numbers in ([], [0], [0, 127, 128, 300, 20_000, 3_000_000, 2**32 - 1, 2**61], [-(2**63), -5, 0, 2**63 - 1]):
         assert unpacked(packed(np.array(numbers, np.int64))).tolist() == numbers
 
 
+def test_verdicts_come_back_as_joined_spans():
+    r = random.Random(6)
+    rows = [(r.randrange(3), r.randrange(4), a, a + r.randint(1, 9)) for a in (r.randrange(60) for _ in range(80))]
+    cut = [verdict_rows(*(np.array(c) for c in zip(*some))) for some in (rows[:30], rows[30:])]
+    for bucket in range(3):
+        answers = table([x for part in cut for x in part if x[0] == bucket], "bucket int, texts binary, counts binary, starts binary, ends binary, tops binary")
+        for of, spans in enumerate(spans_of(answers, 4)):
+            held = {k for b, o, a, z in rows if (b, o) == (bucket, of) for k in range(a, z)}
+            assert {k for a, z in spans for k in range(a, z)} == held
+            assert all(y[0] > x[1] for x, y in zip(spans, spans[1:]))
+    of, at = np.array([0, 0, 4, 9, 9]), np.array([7, 9, 0, 3, 2**20])
+    assert [x.tolist() for x in placed(places(of, at))] == [of.tolist(), at.tolist()]
+    assert verdict_rows(*[np.empty(0, np.int64)] * 4) == [] and spans_of(table([], "bucket int, texts binary"), 2) == [[], []]
+
+
 def test_substring_dedup(docs, rows, none):
     got = Counter((r["id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["kept"]) for r in substring_dedup.substring_dedup(docs).collect())
     seqs = [(ident_of(r), WORD.findall(r[1] or "")) for r in rows]
@@ -134,18 +168,24 @@ def test_suffix_dedup(docs, rows, none):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
-def test_difference_cover_and_suffix_order():
+def test_difference_cover_and_suffix_order(monkeypatch):
     v = suffix_dedup.STEP
     assert {(a - b) % v for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(v))
     r = random.Random(2)
     for alphabet in ("a", "ab", "abcdefgh"):
         data = "".join(r.choice(alphabet) for _ in range(900)).encode() * 2
         starts = np.array(r.sample(range(len(data) - 100), 600))
-        at, new = suffix_dedup.suffix_groups(np.frombuffer(data, np.uint8), starts, 100)
+        cover = suffix_dedup.CoverRanks(np.frombuffer(data, np.uint8), 100)
+        at, new = cover.sorted_bucket(starts)
         assert sorted(at.tolist()) == sorted(starts.tolist())
         groups = np.cumsum(new)
         strings = [data[k : k + 100] for k in at]
         assert len(set(strings)) == groups[-1] and len(set(zip(strings, groups.tolist()))) == groups[-1]
+        monkeypatch.setattr(suffix_dedup, "SUFFIXES", 50)
+        parts = list(cover.buckets(starts))
+        assert sorted(np.concatenate(parts).tolist()) == sorted(starts.tolist()) and (alphabet == "a" or len(parts) > 2)
+        tops = [max(data[k : k + 8] for k in part) for part in parts]
+        assert all(min(data[k : k + 8] for k in part) > top for part, top in zip(parts[1:], tops))
 
 
 def test_jaccard_join(docs, rows, none):
@@ -194,6 +234,54 @@ def test_near_copies_are_compared_in_blocks(spark):
     assert [x["doc_id"] for x in kept.collect()] == [0]
 
 
+def test_no_hash_takes_different_texts_for_equal(spark):
+    """Strings that a polynomial hash confuses, long words, and repeated rows, by brute force for op1, op4 and op8."""
+    a, b = thue_morse(10)
+    r, words = random.Random(9), []
+    pool = [a, b, a[:256], b[:256], a[:257], b[:257], *(t[k : k + 64] for t in (a, b) for k in (0, 64, 128)), "p", "q", "r"]
+    head = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{head} {a}"), (2, f"{head} {b}"), (3, f"p q r s {a}"), (4, f"p q r s {b}"), (5, a), (6, b), (7, a + b), (8, b + a)]
+    rows += [(k, " ".join(r.choice(pool) for _ in range(r.randint(0, 60)))) for k in range(9, 60)]
+    rows += [rows[0], rows[20]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((x["id"], x["n_removed"], x["kept_sha256"]) for x in substring_dedup.substring_dedup(docs).collect())
+    expect = Counter()
+    for (ident, _), words, gone in repeats([(ident_of(x), WORD.findall(x[1])) for x in rows], 20, tuple):
+        expect[ident, sum(gone), sha(" ".join(w for w, g in zip(words, gone) if not g))] += 1
+    assert got == expect and {x[1] for x in got if x[0] in (1, 2)} == {0}
+    got = Counter((x["id"], x["n_removed"], x["kept_sha256"]) for x in suffix_dedup.suffix_dedup(docs).collect())
+    expect = Counter()
+    for (ident, _), data, gone in repeats([(ident_of(x), x[1].encode()) for x in rows], 100, bytes):
+        expect[ident, sum(gone), sha(bytes(c for c, g in zip(data, gone) if not g))] += 1
+    assert got == expect
+    links = {x["id"]: (x["class_id"], x["n_links"]) for x in near_join.jaccard_join(docs).collect()}
+    # 1 and 2 share 15 of 17 shingles, and 1 is there twice; all others have nothing in common.
+    assert all(links[k] == (k, 0) for k in range(3, 9)) and links[1] == links[2] == (1, 2)
+
+
+def test_very_long_text_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 700)
+    r = random.Random(11)
+    passage = "".join(r.choice("abc d") for _ in range(400))
+    text = "".join(passage if k % 40 == 3 else r.choice(["x", "y ", "zz", passage[k : k + 90]]) for k in range(200))
+    b = suffix_dedup._Stretches(rounds.Bucket([pa.record_batch({"bucket": pa.array([0] * 2, pa.int32()), "id": [1, 2], "key": [5, 6], "text": [text.encode(), passage.encode()]})]), 100)
+    held = Counter(s + k for s, n in zip(b.start.tolist(), b.count.tolist()) for k in range(n))
+    assert held == Counter([*range(len(text) - 99), *range(len(text), len(text) + 301)])
+    by_string = {}
+    for s, n, h in zip(b.start.tolist(), b.count.tolist(), b.least.tolist()):
+        for k in range(s, s + n):
+            assert by_string.setdefault(b.raw[k : k + 100], h) == h
+
+
+def test_distinct_documents_tells_texts_of_one_id_apart(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join(["x", *base[1:]])
+    rows = [(1, " ".join(base)), (2, near), (2, "all other words"), (2, "all other words"), (3, None), (None, near)]
+    kept = near_join.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], *rows[2:]], key=str)
+
+
 def test_band_shape():
     bands, per = near_join.band_shape(0.8, 0.9999, 192)
     assert bands * per <= 192 and 1 - (1 - 0.8**per) ** bands >= 0.9999

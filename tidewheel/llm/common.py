@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: White space that separates words (space, \t \n \v \f \r), as a Java regular expression of one word.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Arrow batches of at most so many rows go to Python, so that a batch of long texts stays small.
-BATCH_ROWS = "500"
+#: Arrow batches of at most so many rows and bytes go to Python, so that a batch of long texts stays small.
+BATCH_ROWS, BATCH_BYTES = "500", "16m"
 
 #: Bytes of input text for which one group of a shuffle stands, at most.
 SHARD_BYTES = 32 << 20
@@ -21,11 +22,17 @@ _made: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local default (local runs only)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's own. Without either, a local
+    master gets a temporary folder; on a cluster there is no folder that every machine sees, and that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else "/tmp/checkpoints"
+        if found.isDefined():
+            base = found.get()
+        elif spark.sparkContext.master.startswith("local"):
+            base = f"{tempfile.gettempdir()}/checkpoints"
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return base.rstrip("/")
 
 
@@ -68,8 +75,12 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch for this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Bounds the rows and the bytes of an Arrow batch, unless the session sets such bounds itself.
+
+    The bounds stay in the session: results are lazy, and they have to hold when the results are read."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
 def tasks(spark: SparkSession) -> int:
@@ -90,6 +101,18 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(ident.alias("id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
 
 
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], uses: str, total: int | None = None) -> DataFrame:
+    """rows joined with table, which has one row a key and in `uses` how many rows use it; rows without a key there are left out.
+
+    Keys that fill more than a quarter of an even task meet their rows by broadcast, so that none of them fills a task:
+    as uses add up to no more than all rows, there are at most four such keys a task. All others are shuffled."""
+    total = rows.count() if total is None else total
+    least = max(100, total // (4 * tasks(rows.sparkSession)))
+    hot = F.broadcast(table.where(F.col(uses) > least))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col(uses) <= least), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def salted_rank(df: DataFrame, group: list[str], order: list[Column], salts: int = 64, attach: DataFrame | None = None) -> DataFrame:
     """Adds rank (from 0) within each group by a seeded hash of `order`, then by `order` itself.
 

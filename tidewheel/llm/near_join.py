@@ -8,13 +8,12 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import keyed, scratch, small_batches, tasks
+from tidewheel.llm.common import fresh, hot_join, keyed, scratch, small_batches, tasks
 from tidewheel.llm.components import components
-from tidewheel.llm.sketch import PARTIAL, Shape, merged, partial, partial_batch, repeated
-from tidewheel.llm.words import Hasher, Words, mixed
+from tidewheel.llm.words import Words, mixed, runs
 
 _U = np.uint64
 
@@ -26,8 +25,9 @@ class JoinParams:
     #: Chance that a pair at the threshold itself meets in a band; bands and rows follow from it.
     recall: float = 0.9999
     most_hashes: int = 192
-    #: Members of a bucket that are compared in one step; larger buckets are compared in pairs of blocks.
-    block: int = 512
+    #: Members, and bytes of their sets, that are compared in one step; larger buckets are compared in pairs of blocks.
+    block: int = 2048
+    block_bytes: int = 16 << 20
     seed: int = 5
 
 
@@ -45,23 +45,25 @@ def band_shape(similarity: float, recall: float, most_hashes: int) -> tuple[int,
     return best
 
 
-def shingle_sets(texts: list[bytes], n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(flat, counts): each text's distinct shingle hashes, ascending. A text of fewer words than n, but not none, is one shingle."""
+def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(flat, second, counts): each text's distinct shingle hashes, ascending, with their second lane. A text of fewer
+    words than n, but not none, is one shingle."""
     words = Words(texts)
-    hashes = words.hashes(Hasher(seed))
-    runs = Hasher(seed + 1).runs(hashes, n)
-    whole = words.of[: len(runs)] == words.of[n - 1 :] if len(runs) else np.empty(0, bool)
-    values, of = runs[whole], words.of[: len(runs)][whole]
-    short = np.flatnonzero((words.counts > 0) & (words.counts < n))
-    if len(short):
-        first, last = words.first[short], words.first[short] + words.counts[short]
-        values = np.append(values, Hasher(seed + 1)._spans(hashes, first, last))
-        of = np.append(of, short)
+    lanes = [words.hashes(k) for k in (0, 1)]
+    whole = words.of[: max(0, len(words.of) - n + 1)] == words.of[n - 1 :]
+    of, found = [words.of[: len(whole)][whole]], [[runs(h, n, k)[whole]] for k, h in enumerate(lanes)]
+    for m in range(1, n):
+        short = np.flatnonzero(words.counts == m)
+        of.append(short)
+        for k, h in enumerate(lanes):
+            found[k].append(runs(h[words.first[short][:, None] + np.arange(m)].ravel(), m, k)[::m])
+    of = np.concatenate(of)
+    values, second = map(np.concatenate, found)
     order = np.lexsort((values, of))
-    values, of = values[order], of[order]
+    values, second, of = values[order], second[order], of[order]
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
-    return values[new], np.bincount(of[new], minlength=len(texts))
+    return values[new], second[new], np.bincount(of[new], minlength=len(texts))
 
 
 def signatures(docs: DataFrame, p: JoinParams) -> DataFrame:
@@ -75,14 +77,14 @@ def signatures(docs: DataFrame, p: JoinParams) -> DataFrame:
     def signed(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
-            flat, counts = shingle_sets(texts, p.words, p.seed)
+            flat, second, counts = shingle_sets(texts, p.words)
             full = np.flatnonzero(counts)
             starts = (np.cumsum(counts) - counts)[full]
             out = np.zeros((len(texts), bands), np.uint64)
             digest = np.zeros((2, len(texts)), np.uint64)
             if len(full):
                 digest[0, full] = np.add.reduceat(mixed(flat + _U(1)), starts)
-                digest[1, full] = np.add.reduceat(mixed(flat ^ _U(0xA5A5A5A5A5A5A5A5)), starts)
+                digest[1, full] = np.add.reduceat(mixed(second + _U(1)), starts)
                 for k in range(bands):
                     band = np.full(len(full), k + 1, np.uint64)
                     for r in range(rows):
@@ -95,9 +97,32 @@ def signatures(docs: DataFrame, p: JoinParams) -> DataFrame:
     return docs.mapInArrow(signed, "id long, key long, n long, d1 long, d2 long, bands array<long>")
 
 
-def _marks(b: pa.RecordBatch) -> np.ndarray:
-    ids, keys = (b.column(c).to_numpy().astype(np.uint64) for c in ("id", "key"))
-    return mixed(mixed(ids + _U(1)) ^ keys)
+#: Bits of a filter for each member, and the most bits that are broadcast (64 MB).
+_BITS, _MOST_BITS = 16, 1 << 29
+
+
+def _places(bits: int) -> Column:
+    """Where (id, key) is marked in a filter of so many bits."""
+    return F.array(*[F.pmod(F.xxhash64(F.lit(k), "id", "key"), F.lit(bits)) for k in (31, 32)])
+
+
+def member_filter(members: DataFrame) -> tuple[int, dict[int, np.ndarray]]:
+    """(bits, bytes by bitmap number): a filter of bounded size that lets all members pass, and few others."""
+    bits = min(_MOST_BITS, max(1 << 15, 1 << (_BITS * members.count()).bit_length()))
+    at = members.select(F.explode(F.transform(_places(bits), lambda x: x + 1)).alias("at"))
+    maps = at.groupBy(F.bitmap_bucket_number("at").alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map"))
+    return bits, {r["number"]: np.frombuffer(bytes(r["map"]), np.uint8) for r in maps.collect()}
+
+
+def _passes(places: np.ndarray, maps: dict[int, np.ndarray]) -> np.ndarray:
+    """Which rows of two places each are marked at both; a bitmap holds 2^15 places and is numbered from 1."""
+    out = np.zeros(places.shape, bool)
+    number, at = (places >> 15) + 1, places & 32767
+    for k in np.unique(number):
+        if int(k) in maps:
+            mine = number == k
+            out[mine] = maps[int(k)][at[mine] >> 3] >> (at[mine] & 7) & 1
+    return out.all(1)
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -187,50 +212,38 @@ def _links(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "key", "links", "to_id", "to_key"])
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: JoinParams = JoinParams()) -> DataFrame:
-    """(id, class_id, copy_id, n_shingles, n_links): one row for every row of docs.
-
-    Shingles are runs of p.words white-space words, unchanged; documents link when the Jaccard similarity of their
-    shingle sets is p.similarity or more. Documents of one set are copies: the smallest id stands for them (copy_id),
-    and only it is compared. n_links counts the other documents that a document links to, its copies among them.
-    class_id is the smallest id that links lead to. Fewer words than p.words are one shingle; null, empty and blank
-    texts have no shingles and no links. A null id sorts last and is returned as null. Rows repeated are copies.
-    Links are lost only where no band meets (p.recall at the threshold, less often above); what meets is compared
-    exactly on the sets, whatever the bucket's size. An empty table gives an empty result."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, p: JoinParams) -> DataFrame:
+    """(id, key, n, copy_id, root, root_key, links) for every row of docs, where a null id is 2^63 - 1; see jaccard_join."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = keyed(docs, id_col, text_col)
     signed = scratch(signatures(rows, p), "signatures")
     classes = signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "key", "bands")).alias("rep"), F.count("*").alias("weight"))
     classes = scratch(classes.select("n", "d1", "d2", "rep.id", "rep.key", "rep.bands", "weight"), "classes")
-    banded = classes.select("id", "key", F.explode("bands").alias("band"))
+    banded = classes.select("id", "key", "n", F.explode("bands").alias("band"))
     mark = F.xxhash64("id", "key")
-    shared = banded.groupBy("band").agg(F.count("*").alias("m"), F.bit_xor(mark).alias("s"), F.min(mark).alias("least")).where("m > 1")
+    shared = banded.groupBy("band").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.bit_xor(mark).alias("s"), F.min(mark).alias("least")).where("m > 1")
     # Bands whose buckets have the same members are one bucket.
-    shared = shared.select("band", F.xxhash64("m", "s", "least").alias("bucket"), F.ceil(F.col("m") / p.block).cast("int").alias("parts"))
-    member = banded.join(shared, "band").select("id", "key", F.struct("bucket", "parts").alias("b"))
+    parts = F.greatest(F.ceil(F.col("m") / p.block), F.ceil(F.col("size") * 8 / p.block_bytes)).cast("int")
+    shared = scratch(shared.select("band", F.xxhash64("m", "s", "least").alias("bucket"), parts.alias("parts"), "m"), "bands")
+    member = hot_join(banded.select("id", "key", "band"), shared, ["band"], "m").select("id", "key", F.struct("bucket", "parts").alias("b"))
     member = member.groupBy("id", "key").agg(F.collect_set("b").alias("in_buckets"))  # at most one a band
     member = scratch(member.join(classes.select("id", "key", "weight"), ["id", "key"]), "members")
 
-    # Which texts to read again: a filter of a fixed size lets all members pass and few others; the join is exact.
-    shape = Shape.of(member.count())
-
-    def marked(batches):
-        for b in batches:
-            yield partial_batch(partial(np.repeat(_marks(b), 2), shape))  # given twice, a mark shows
-
-    marks = merged(member.select("id", "key").mapInArrow(marked, PARTIAL), shape)
-    shared_marks = spark.sparkContext.broadcast(marks)
+    # Which texts to read again: the filter lets all members pass and few others; the join is exact.
+    bits, maps = member_filter(member.select("id", "key"))
+    shared_maps = spark.sparkContext.broadcast(maps)
 
     def hashed(batches):
         for b in batches:
-            b = b.filter(pa.array(repeated(_marks(b), shared_marks.value, shape)))
-            flat, counts = shingle_sets(b.column("text").to_pylist(), p.words, p.seed)
+            places = b.column("places").flatten().to_numpy().reshape(-1, 2)
+            b = b.filter(pa.array(_passes(places, shared_maps.value)))
+            flat, _, counts = shingle_sets(b.column("text").to_pylist(), p.words)
             ends = np.cumsum(counts)
             sets = [flat[z - n : z].tobytes() for n, z in zip(counts, ends)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(sets, pa.binary())], ["id", "key", "shingles"])
 
-    sets = rows.mapInArrow(hashed, "id long, key long, shingles binary").join(member, ["id", "key"]).dropDuplicates(["id", "key"])
+    sets = rows.withColumn("places", _places(bits)).mapInArrow(hashed, "id long, key long, shingles binary").join(member, ["id", "key"]).dropDuplicates(["id", "key"])
     sets = sets.select("id", "key", "weight", "shingles", F.col("in_buckets.bucket").alias("buckets"), F.explode("in_buckets").alias("b"))
     part = F.pmod(F.xxhash64(F.lit(3), "id", "key"), F.col("b.parts")).cast("int")
     sets = sets.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b.parts") - 1)))
@@ -239,26 +252,50 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = scratch(verified(sets, p), "links")
     vertex = F.struct("id", "key")
     edges = links.select(vertex.alias("u"), F.struct(F.col("to_id").alias("id"), F.col("to_key").alias("key")).alias("v"))
-    roots = components(edges).select("u.id", "u.key", F.col("v.id").alias("root"))
+    roots = components(edges).select("u.id", "u.key", F.col("v.id").alias("root"), F.col("v.key").alias("root_key"))
     sums = links.groupBy("id", "key").agg(F.sum("links").alias("links"))
     known = classes.select("n", "d1", "d2", "id", "key", "weight").join(sums, ["id", "key"], "left").join(roots, ["id", "key"], "left")
-    known = known.select("n", "d1", "d2", F.col("id").alias("copy_id"), F.coalesce("root", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = signed.select("id", "n", "d1", "d2").join(known, ["n", "d1", "d2"], "left")
+    known = known.select("n", "d1", "d2", F.col("id").alias("copy_id"), F.coalesce("root", "id").alias("root"), F.coalesce("root_key", "key").alias("root_key"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "weight")
+    found = hot_join(signed.where("n > 0").select("id", "key", "n", "d1", "d2"), scratch(known, "classes"), ["n", "d1", "d2"], "weight")
+    alone = signed.where("n = 0").select("id", "key", "n", F.col("id").alias("copy_id"), F.col("id").alias("root"), F.col("key").alias("root_key"), F.lit(0).cast("long").alias("links"))
+    return found.select(*alone.columns).unionByName(alone)
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: JoinParams = JoinParams()) -> DataFrame:
+    """(id, class_id, copy_id, n_shingles, n_links): one row for every row of docs.
+
+    Shingles are runs of p.words white-space words, unchanged; documents link when the Jaccard similarity of their
+    shingle sets is p.similarity or more. Documents of one set are copies: the smallest id stands for them (copy_id),
+    and only it is compared. n_links counts the other documents that a document links to, its copies among them.
+    class_id is the smallest id that links lead to. Fewer words than p.words are one shingle; null, empty and blank
+    texts have no shingles and no links. A null id sorts last and is returned as null. Rows repeated are copies.
+    Shingles are compared by 64 bits, copies by 128 bits of hashes that mix the words' own 128-bit hashes. Links are lost
+    only where no band meets (p.recall at the threshold, less often above); what meets is compared exactly on the sets,
+    whatever the bucket's size. Counting the links of m different near copies takes m^2 comparisons, in blocks that tasks
+    share. An empty table gives an empty result."""
 
     def real(c):
         return F.when(F.col(c) != 2**63 - 1, F.col(c))
 
-    return out.select(real("id").alias("id"), F.coalesce(real("class_id"), real("id")).alias("class_id"), F.coalesce(real("copy_id"), real("id")).alias("copy_id"), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = _classes(docs, id_col, text_col, p)
+    return found.select(real("id").alias("id"), real("root").alias("class_id"), real("copy_id").alias("copy_id"), F.col("n").alias("n_shingles"), F.col("links").alias("n_links"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document with its class; see jaccard_join for nulls, empty texts, ties, repeated rows and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_join(docs).withColumnRenamed("id", "doc_id")
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the smallest id of their class; rows without an id stay."""
-    keep = jaccard_join(docs, id_col, text_col).where("id = class_id").select(F.col("id").alias("k")).distinct()
-    same = F.col(f"d.{id_col}").cast("long") == F.col("m.k")
-    kept = docs.alias("d").join(keep.alias("m"), same, "left_semi")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of docs whose id and text are the first of their class, with all their columns.
+
+    First is the smallest id, of different texts under one id the one with the smaller hash. Rows repeated under one id
+    and text are one document and stay together. Rows without an id stay; null, empty and blank texts link to nothing and
+    stay. An empty table gives an empty result."""
+    keep = _classes(docs.where(F.col(id_col).isNotNull()), id_col, text_col, JoinParams()).where("id = root and key = root_key")
+    ident, mark = fresh(docs, "id"), fresh(docs, "key")
+    keep = keep.select(F.col("id").alias(ident), F.col("key").alias(mark)).distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    kept = docs.select("*", F.col(id_col).cast("long").alias(ident), F.xxhash64(text).alias(mark)).join(keep, [ident, mark], "left_semi")
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -1,7 +1,10 @@
-"""A Count-min sketch over 64-bit hashes that partitions fill and a shuffle merges, shard by shard.
+"""A Count-min sketch over 64-bit hashes that parts of the data fill and a shuffle merges, shard by shard.
 
 Counters stop at 2: all that is asked of it is which hashes may have been seen twice. An estimate never is below the
-count, so no repeated hash is missed; a hash seen once passes if all its counters are shared."""
+count, so no repeated hash is missed; a hash seen once passes if all its counters are shared.
+
+The sketch grows with the hashes and is never in one place: each shard is a range of counters, told which of them every
+part of the data uses, and answers every part for just those. So as few hashes seen once pass at any size."""
 
 from __future__ import annotations
 
@@ -18,118 +21,127 @@ _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB866
 
 @dataclass(frozen=True)
 class Shape:
-    """depth rows of 2^log2 counters, in 2^cut shards. What is broadcast has depth * 2^log2 bits, at most 64 MB."""
+    """depth rows of 2^log2 counters, each row in 2^cut shards."""
 
     log2: int
+    cut: int
     depth: int = 2
-    cut: int = 6
 
     @classmethod
-    def of(cls, hashes: int, most_log2: int = 28) -> Shape:
-        """About two counters a hash and row, from 2^16 to 2^most_log2; beyond, more hashes seen once pass."""
-        return cls(min(most_log2, max(16, int(max(1, hashes)).bit_length() + 1)))
+    def of(cls, hashes: int) -> Shape:
+        """Two to four counters a hash and row; shards of 2^20 counters, or larger ones where that would be over 2^16 shards."""
+        log2 = max(16, int(max(1, hashes)).bit_length() + 1)
+        return cls(log2, min(16, max(2, log2 - 20)))
 
     def cells(self, hashes: np.ndarray, row: int) -> np.ndarray:
         return (hashes * _U(_ODD[row])) >> _U(64 - self.log2)
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Ascending numbers below 2^32, as differences of 7 bits a byte."""
-    steps = np.diff(numbers.astype(np.int64), prepend=0)
-    size = 1 + (steps > 127) + (steps > 16383) + (steps > 2097151) + (steps > 268435455)
+    """Ascending whole numbers, as differences of 7 bits a byte."""
+    steps = np.diff(numbers.astype(np.int64), prepend=0).view(np.uint64)
+    size = np.ones(len(steps), np.int64)
+    for k in range(1, 10):
+        above = steps >= _U(1 << 7 * k)
+        if not above.any():
+            break
+        size += above
     out = np.zeros(int(size.sum()), np.uint8)
     at = np.cumsum(size) - size
-    for k in range(5):
-        some = size > k
-        if not some.any():
+    for k in range(10):
+        some = size > k if k else slice(None)
+        if k and not some.any():
             break
-        out[at[some] + k] = ((steps[some] >> (7 * k)) & 127) | np.where(size[some] > k + 1, 128, 0)
+        out[at[some] + k] = ((steps[some] >> _U(7 * k)) & _U(127)).astype(np.uint8) | np.where(size[some] > k + 1, 128, 0).astype(np.uint8)
     return out.tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
-    last = raw < 128
-    ends = np.flatnonzero(last)
+    ends = np.flatnonzero(raw < 128)
     begins = np.append(0, ends[:-1] + 1) if len(ends) else ends
     size = ends - begins + 1
-    steps = np.zeros(len(ends), np.int64)
-    for k in range(5):
+    steps = np.zeros(len(ends), np.uint64)
+    for k in range(10):
         some = size > k
         if not some.any():
             break
-        steps[some] |= (raw[begins[some] + k].astype(np.int64) & 127) << (7 * k)
-    return np.cumsum(steps)
+        steps[some] |= (raw[begins[some] + k] & 127).astype(np.uint64) << _U(7 * k)
+    return np.cumsum(steps.view(np.int64))
 
 
-def partial(hashes: np.ndarray, shape: Shape) -> list[tuple[int, int, bytes, bytes]]:
-    """(row, shard, counters at 1, counters at 2 or more) of one block's hashes."""
-    out = []
-    width = shape.log2 - shape.cut
-    values, counts = np.unique(hashes, return_counts=True)
-    for row in range(shape.depth):
-        cells = shape.cells(values, row)
-        order = np.argsort(cells)
-        cells, n = cells[order], counts[order]
-        new = np.ones(len(cells), bool)
-        new[1:] = cells[1:] != cells[:-1]
-        n = np.add.reduceat(n, np.flatnonzero(new)) if len(cells) else n
-        cells = cells[new].astype(np.int64)
-        edges = np.searchsorted(cells, np.arange((1 << shape.cut) + 1) << width)
-        for shard in range(1 << shape.cut):
-            a, z = edges[shard], edges[shard + 1]
-            if a < z:
-                own, two = cells[a:z] - (shard << width), n[a:z] > 1
-                out.append((row, shard, packed(own[~two]), packed(own[two])))
-    return out
+def _used(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each used cell begins in the sorted cells, whether it is used twice)."""
+    new = np.ones(len(cells), bool)
+    new[1:] = cells[1:] != cells[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(cells))) > 1
 
 
-PARTIAL = "line int, shard int, one binary, two binary"
+def told(bucket: int, hashes: np.ndarray, shape: Shape) -> pa.RecordBatch:
+    """What a bucket of the data says to each shard: the cells that it uses once, and those that it uses more often."""
+    out, width = [], shape.log2 - shape.cut
+    for row in range(shape.depth):
+        cells = np.sort(shape.cells(hashes, row))
+        first, two = _used(cells)
+        cells = cells[first].astype(np.int64)
+        edges = np.searchsorted(cells, np.arange((1 << shape.cut) + 1, dtype=np.int64) << width)
+        for shard in np.flatnonzero(np.diff(edges)).tolist():
+            a, z = edges[shard], edges[shard + 1]
+            own = cells[a:z] - (shard << width)
+            out.append((row, shard, bucket, packed(own[~two[a:z]]), packed(own[two[a:z]])))
+    columns = list(zip(*out)) or [[]] * 5
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["line", "shard", "bucket", "one", "two"])
 
 
-def partial_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[]] * 4
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["line", "shard", "one", "two"])
+TOLD = "line int, shard int, bucket int, one binary, two binary"
+ANSWER = "bucket int, line int, shard int, bits binary"
 
 
-def merged(parts: DataFrame, shape: Shape) -> dict[tuple[int, int], np.ndarray]:
-    """The shards of the merged sketch, as bits of the counters at 2 or more; shards without such are left out."""
+def answered(parts: DataFrame, shape: Shape) -> DataFrame:
+    """ANSWER rows: for every bucket, row and shard of parts (TOLD), which of the cells that it uses once others use as well."""
     width = 1 << (shape.log2 - shape.cut)
 
-    def add(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answer(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(width, bool), np.zeros(width, bool)
+        said = []
         for b in batches:
-            for one, two in zip(b.column("one").to_pylist(), b.column("two").to_pylist()):
+            for bucket, one, two in zip(b.column("bucket").to_pylist(), b.column("one").to_pylist(), b.column("two").to_pylist()):
+                said.append((bucket, one))
                 one, two = unpacked(one), unpacked(two)
                 twice[one] |= once[one]
                 once[one] = True
                 twice[two] = True
                 once[two] = True
         line, shard = (k.as_py() for k in keys)
-        yield pa.RecordBatch.from_pydict({"line": pa.array([line], pa.int32()), "shard": pa.array([shard], pa.int32()), "bits": pa.array([np.packbits(twice).tobytes()], pa.binary())})
+        out = [(bucket, line, shard, np.packbits(twice[unpacked(one)]).tobytes()) for bucket, one in said]
+        columns = list(zip(*out))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "line", "shard", "bits"])
 
-    rows = parts.groupBy("line", "shard").applyInArrow(add, "line int, shard int, bits binary").toArrow().to_pylist()
-    return {(r["line"], r["shard"]): np.frombuffer(r["bits"], np.uint8) for r in rows}
+    return parts.groupBy("line", "shard").applyInArrow(answer, ANSWER)
 
 
-def repeated(hashes: np.ndarray, shards: dict[tuple[int, int], np.ndarray], shape: Shape) -> np.ndarray:
-    """Which hashes the merged sketch estimates at 2 or more."""
+def repeated(hashes: np.ndarray, answers: pa.Table, shape: Shape) -> np.ndarray:
+    """Which hashes of a bucket the merged sketch estimates at 2 or more, by the answers to what told() said of the same hashes."""
     width = shape.log2 - shape.cut
-    at = np.arange(len(hashes))
+    bits = {(r["line"], r["shard"]): r["bits"] for r in answers.to_pylist()}
+    spare = 64 - shape.log2
+    out = np.ones(len(hashes), bool)
     for row in range(shape.depth):
-        cells = shape.cells(hashes[at], row)
-        order = np.argsort(cells, kind="stable")
-        at, cells = at[order], cells[order].astype(np.int64)
-        edges = np.searchsorted(cells, np.arange((1 << shape.cut) + 1) << width)
-        hit = np.zeros(len(at), bool)
-        for shard in range(1 << shape.cut):
+        cells = shape.cells(hashes, row)
+        if len(hashes) < 1 << spare:  # cell and place in one number: sorted faster than by argsort
+            both = np.sort((cells << _U(spare)) | np.arange(len(hashes), dtype=np.uint64))
+            order, cells = (both & _U((1 << spare) - 1)).astype(np.int64), both >> _U(spare)
+        else:
+            order = np.argsort(cells)
+            cells = cells[order]
+        first, hit = _used(cells)
+        one = np.flatnonzero(~hit)
+        edges = np.searchsorted(cells[first[one]].astype(np.int64), np.arange((1 << shape.cut) + 1, dtype=np.int64) << width)
+        for shard in np.flatnonzero(np.diff(edges)).tolist():
             a, z = edges[shard], edges[shard + 1]
-            bits = shards.get((row, shard))
-            if a < z and bits is not None:
-                own = cells[a:z] - (shard << width)
-                hit[a:z] = (bits[own >> 3] >> (7 - (own & 7))) & 1
-        at = at[hit]
-    out = np.zeros(len(hashes), bool)
-    out[at] = True
+            hit[one[a:z]] = np.unpackbits(np.frombuffer(bits[row, shard], np.uint8), count=z - a).astype(bool)
+        out[order] &= np.repeat(hit, np.diff(np.append(first, len(cells))))
     return out

@@ -10,138 +10,92 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import keyed, shards_for, small_batches
-from tidewheel.llm.replies import REPLY, reply_batch, with_replies
-from tidewheel.llm.sketch import PARTIAL, Shape, merged, packed, partial, partial_batch, repeated, unpacked
-from tidewheel.llm.words import Hasher, Words
+from tidewheel.llm.common import shards_for, small_batches
+from tidewheel.llm.rounds import VERDICT, Bucket, Dealt, placed, places, spans_of, table, verdict_rows
+from tidewheel.llm.sketch import Shape, repeated
+from tidewheel.llm.words import Words
 
 WINDOW = 20
-#: Bytes of text that one block of work holds; a longer text is a block of its own.
+#: Bytes of text whose words are told apart at a time.
 BLOCK = 2 << 20
 
 
-def blocks(batches, most: int = BLOCK):
-    """(ids, keys, texts) of consecutive rows with about `most` bytes of text."""
-    ids, keys, texts, size = [], [], [], 0
-    for b in batches:
-        for i, k, t in zip(b.column("id").to_pylist(), b.column("key").to_pylist(), b.column("text").to_pylist()):
-            if texts and size + len(t) > most:
-                yield np.array(ids, np.int64), np.array(keys, np.int64), texts
-                ids, keys, texts, size = [], [], [], 0
-            ids.append(i)
-            keys.append(k)
-            texts.append(t)
-            size += len(t)
-    if texts:
-        yield np.array(ids, np.int64), np.array(keys, np.int64), texts
-
-
-def _first_hashes(texts: list[bytes], n: int) -> np.ndarray:
-    """The first hash of every window of n words."""
-    words = Words(texts)
-    m = max(0, len(words.of) - n + 1)
-    return Hasher(13).runs(words.hashes(Hasher(11)), n)[words.of[:m] == words.of[n - 1 :][:m]]
-
-
-class _Windows:
-    """Windows of n words of a block: two hashes, text number and first word."""
-
-    def __init__(self, texts: list[bytes], n: int):
-        words = Words(texts)
-        one, two = words.hashes(Hasher(11)), words.hashes(Hasher(12))
-        m = max(0, len(one) - n + 1)
-        inside = words.of[:m] == words.of[n - 1 :][:m]
-        self.of = words.of[:m][inside]
-        self.at = np.flatnonzero(inside) - words.first[self.of]
-        self.h1 = Hasher(13).runs(one, n)[inside]
-        self.h2 = Hasher(14).runs(two, n)[inside].astype(np.uint32)
-
-
-def _order(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Ranks of (id, key); equal pairs share one."""
-    order = np.lexsort((keys, ids))
-    new = np.ones(len(order), bool)
-    new[1:] = (ids[order][1:] != ids[order][:-1]) | (keys[order][1:] != keys[order][:-1])
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new) - 1
+def windows_of(b: Bucket, n: int, *lanes: int) -> list[np.ndarray]:
+    """(text, first word, a hash for each lane) of every window of n words of a bucket's texts, in order of places."""
+    parts = []
+    for first, texts in b.blocks(BLOCK):
+        of, at, *hashes = Words(texts).windows(n, *lanes)
+        parts.append(((of + first).astype(np.int32), at.astype(np.int32), *hashes))
+    if not parts:
+        return [np.empty(0, np.int32)] * 2 + [np.empty(0, np.uint64)] * len(lanes)
+    return [np.concatenate(x) for x in zip(*parts)]
+
+
+def later(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Of windows in order of places, which ones an earlier one equals in both hashes."""
+    order = np.argsort(h1, kind="stable")
+    a, b = h1[order], h2[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():  # equal in one hash only: the second one has to sort too
+        order = np.lexsort((h2, h1))
+        a, b = h1[order], h2[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    out = np.zeros(len(h1), bool)
+    out[order[1:][same]] = True
     return out
 
 
-def _later(h1: np.ndarray, h2: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, later): rows by hash and place, and which have an earlier place in their group of equal hashes."""
-    order = np.lexsort((place, h2, h1))
-    a, b, p = h1[order], h2[order], place[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    least = p[np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))]
-    return order, p > least
-
-
-_FOUND = "shard int, kind int, ids binary, keys binary, counts binary, at binary, h1 binary, h2 binary"
-
-
-def _candidates(rows: DataFrame, n: int, shape: Shape, sketch, shards: int) -> DataFrame:
-    """Windows estimated repeated, by hash shard in one row a block; of those equal within a block only the first.
-
-    The later ones are known to be repeats: they come as rows of kind 1, by a text's own shard."""
-    shared = rows.sparkSession.sparkContext.broadcast(sketch)
-
-    def found(batches):
-        for ids, keys, texts in blocks(batches):
-            w = _Windows(texts, n)
-            hit = np.flatnonzero(repeated(w.h1, shared.value, shape))
-            of, at, h1, h2 = w.of[hit], w.at[hit], w.h1[hit], w.h2[hit]
-            place = (_order(ids, keys)[of] << 32) | at
-            order, later = _later(h1, h2, place)
-            sure = np.sort(order[later])
-            out = []
-            if len(sure):
-                some, counts = np.unique(of[sure], return_counts=True)
-                out.append((int(ids[some[0]] % shards), 1, ids[some].tobytes(), keys[some].tobytes(), counts.astype(np.uint32).tobytes(), at[sure].astype(np.uint32).tobytes(), b"", b""))
-            first = np.sort(order[~later])
-            shard = (h1[first] >> np.uint64(32)) % np.uint64(shards)
-            first = first[np.argsort(shard, kind="stable")]
-            edges = np.searchsorted(np.sort(shard), np.arange(shards + 1, dtype=np.uint64))
-            for s in range(shards):
-                mine = first[edges[s] : edges[s + 1]]
-                if len(mine):
-                    some, counts = np.unique(of[mine], return_counts=True)
-                    out.append((s, 0, ids[some].tobytes(), keys[some].tobytes(), counts.astype(np.uint32).tobytes(), at[mine].astype(np.uint32).tobytes(), h1[mine].tobytes(), h2[mine].tobytes()))
-            columns = list(zip(*out)) or [[]] * 8
-            kinds = [pa.int32()] * 2 + [pa.binary()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in _FOUND.split(", ")])
-
-    return rows.mapInArrow(found, _FOUND)
-
-
-def _grouper(buckets: int):
+#: Windows of a bucket for one shard of hashes, by place; or, where sure, spans that are known to be repeats.
+_FOUND = "shard int, sure boolean, bucket int, texts binary, counts binary, starts binary, ends binary, tops binary, ids binary, h1 binary, h2 binary"
+
+
+def _candidates(dealt: Dealt, answers: DataFrame, n: int, shape: Shape, shards: int) -> DataFrame:
+    """Windows estimated repeated, by hash shard in one row a bucket; of those equal within a bucket only the first.
+
+    The later ones are known to be repeats: they come as spans, in rows that are sure."""
+
+    def found(b: Bucket, answers: pa.Table) -> pa.Table:
+        of, at, h1, h2 = windows_of(b, n, 0, 1)
+        hit = np.flatnonzero(repeated(h1, answers, shape))
+        of, at, h1, h2 = of[hit], at[hit].astype(np.int64), h1[hit], (h2[hit] >> np.uint64(32)).astype(np.uint32)
+        late = later(h1, h2)
+        known = np.full(int(late.sum()), b.number)
+        out = [(b.number % shards, True, *row, b"", b"", b"") for row in verdict_rows(known, of[late], at[late], at[late] + n)]
+        first = np.flatnonzero(~late)
+        shard = ((h1[first] >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        first, shard = first[order], shard[order]
+        edges = np.flatnonzero(np.diff(shard, prepend=-1))
+        for a, z in zip(edges, np.append(edges[1:], len(shard))):
+            mine = first[a:z]
+            texts, counts, starts, tops = places(of[mine], at[mine])
+            ids = np.diff(b.ids[np.unique(of[mine])], prepend=0)  # ascending
+            out.append((int(shard[a]), False, b.number, texts, counts, starts, b"", tops, ids.tobytes(), h1[mine].tobytes(), h2[mine].tobytes()))
+        return table(out, _FOUND)
+
+    return dealt.with_answers(answers, found, _FOUND)
+
+
+def _grouper(n: int):
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of one shard's windows all but the first of each group, by text."""
-        parts = {0: [], 1: []}
-        for b in batches:
-            for r in b.to_pylist():
-                ids, own, counts = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["keys"], np.int64), np.frombuffer(r["counts"], np.uint32)
-                at = np.frombuffer(r["at"], np.uint32)
-                parts[r["kind"]].append((ids, own, counts, at, np.frombuffer(r["h1"], np.uint64), np.frombuffer(r["h2"], np.uint32)))
-        out = []
-        for kind, some in parts.items():
-            if not some:
-                continue
-            ids, own, counts, at, h1, h2 = (np.concatenate(x) for x in zip(*some))
-            some.clear()
-            order = _order(ids, own)
-            _, pick = np.unique(order, return_index=True)
-            ids, own = ids[pick], own[pick]  # by rank
-            place = (np.repeat(order, counts) << 32) | at
-            if kind:
-                place.sort()
-            else:
-                order, later = _later(h1, h2, place)
-                place = np.sort(place[order[later]])
-            rank = place >> 32
-            new = np.flatnonzero(np.diff(rank, prepend=-1))
-            out += [(int(ids[rank[a]]), int(own[rank[a]]), packed(place[a:z] & 0xFFFFFFFF)) for a, z in zip(new, np.append(new[1:], len(rank)))]
-        yield reply_batch(out, buckets)
+        """Of one shard's windows all but the first of each group, by bucket and text."""
+        sure, parts = [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["sure"]:
+                    sure.append((r["bucket"], r["texts"], r["counts"], r["starts"], r["ends"], r["tops"]))
+                    continue
+                of, at = placed([r[c] for c in ("texts", "counts", "starts", "tops")])
+                new = np.flatnonzero(np.diff(of, prepend=-1))
+                ids = np.cumsum(np.frombuffer(r["ids"], np.int64))
+                parts.append((np.repeat(ids, np.diff(np.append(new, len(of)))), np.full(len(of), r["bucket"]), of, at, np.frombuffer(r["h1"], np.uint64), np.frombuffer(r["h2"], np.uint32)))
+        if parts:
+            ids, bucket, of, at, h1, h2 = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            order = np.lexsort((at, of, bucket, ids))
+            gone = order[later(h1[order], h2[order])]
+            sure += verdict_rows(bucket[gone], of[gone], at[gone], at[gone] + n)
+        yield from table(sure, VERDICT).to_batches()
 
     return grouped
 
@@ -150,54 +104,40 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_words, n_removed, kept_sha256[, kept]): each text without the words of repeated windows.
 
     A word goes if a window of `window` words of its text covers it whose words also start at an earlier place (a
-    smaller id, or the same text before); windows are judged on the input. First, each partition counts its windows in
-    a Count-min sketch; the merged sketch, of a fixed size, is broadcast. Then windows that it estimates repeated,
-    and there is no repeated one that it does not, are grouped by 96 bits of two independent hashes of their words.
-    A block sends a window once however often it holds it, so a frequent window does not fill a task.
-    Null text counts as empty; texts shorter than a window stay whole. A null id comes after all others. Rows repeated
-    are one place: none removes from the other. An empty table gives an empty result."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = keyed(docs, id_col, text_col)
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shape = Shape.of(size // 6)
-
-    def sketched(batches):
-        held, n = [], 0
-        for _, _, texts in blocks(batches):
-            held.append(_first_hashes(texts, window))
-            n += len(held[-1])
-            if n > 3 << 20:  # the denser a part, the fewer bytes a counter takes
-                yield partial_batch(partial(np.concatenate(held), shape))
-                held, n = [], 0
-        if held:
-            yield partial_batch(partial(np.concatenate(held), shape))
-
-    sketch = merged(rows.mapInArrow(sketched, PARTIAL), shape)
-    shards = shards_for(spark, size)
-    found = _candidates(rows, window, shape, sketch, shards)
-    replies = found.groupBy("shard").applyInArrow(_grouper(shards), REPLY)
-
-    def applied(batches):
-        for b in batches:
-            out = []
-            for ident, text, ats in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("ats").to_pylist()):
-                words = text.split()
-                gone = np.zeros(len(words) + 1, np.int32)
-                for at in map(unpacked, ats or ()):
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + window, -1)
-                keep = np.cumsum(gone)[:-1] == 0
-                kept = b" ".join(w for w, k in zip(words, keep) if k)
-                out.append((ident, len(words), int(len(words) - keep.sum()), hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "replace")] * with_text))
-            columns = list(zip(*out)) or [[]] * (4 + with_text)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text])
-
-    out = with_replies(rows, replies).mapInArrow(applied, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    smaller id, or the same text before); windows are judged on the input. Texts are dealt into buckets once. Each bucket
+    counts its windows in a Count-min sketch; the shards of the merged sketch answer every bucket. Then windows that are
+    estimated repeated, and there is no repeated one that is not, are grouped by 96 bits of hashes that mix the words' own
+    128-bit hashes: among 10^13 windows the chance of any two different ones in one group is below 0.001.
+    A bucket sends a window once however often it holds it, so a frequent window does not fill a task.
+    Null text counts as empty; texts shorter than a window stay whole. A null id comes after all others; rows of one id
+    with different texts come in an order of their hashes. Rows repeated are one place: none removes from the other.
+    An empty table gives an empty result."""
+    small_batches(docs.sparkSession)
+    dealt = Dealt.of(docs, id_col, text_col)
+    shape = Shape.of(dealt.size // 6)
+    answers = dealt.sketched(lambda b: windows_of(b, window, 0)[2], shape)
+    found = _candidates(dealt, answers, window, shape, shards_for(docs.sparkSession, dealt.size))
+    verdicts = found.groupBy("shard").applyInArrow(_grouper(window), VERDICT)
+    schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+
+    def applied(b: Bucket, answers: pa.Table) -> pa.Table:
+        out = []
+        for ident, text, spans in zip(b.ids.tolist(), b.texts, spans_of(answers, len(b.texts))):
+            words = text.split()
+            kept, end = [], 0
+            for a, z in spans:
+                kept += words[end:a]
+                end = z
+            kept += words[end:]
+            whole = b" ".join(kept)
+            out.append((ident, len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), *[whole.decode("utf-8", "replace")] * with_text))
+        return table(out, schema).take(pa.array(b.row))
+
+    out = dealt.with_answers(verdicts, applied, schema)
     return out.withColumn("id", F.when(F.col("id") != 2**63 - 1, F.col("id")))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract columns for every document; see substring_dedup for nulls, empty texts, ties, repeated rows and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return substring_dedup(docs, with_text=False).withColumnRenamed("id", "doc_id")

@@ -1,10 +1,11 @@
 """Dedup of repeated byte strings by blockwise suffix sorting with a difference cover.
 
-A full distributed suffix array moves every suffix. Here suffixes are dealt into buckets by the least hash among the
-32-byte strings of their first 100 bytes (equal 100-byte strings have the same), so that neighbouring suffixes travel
-as one stretch of text, and only stretches whose bucket a Count-min sketch estimates to be used twice travel at all.
-Each task sorts one bucket range at a time: by the first 32 bytes, then by ranks of a difference cover sample of the
-range's text, so that no comparison reads on through a long tie and memory is bounded by the range."""
+A full distributed suffix array moves every suffix. Here suffixes are dealt to shards by the least hash among the 32-byte
+strings of their first 100 bytes (equal 100-byte strings have the same), so that neighbouring suffixes travel as one
+stretch of text, and only stretches travel whose least hash a Count-min sketch estimates to be used twice. A shard's text
+gets the ranks of its difference cover sample first. Then its suffixes are sorted one suffix bucket (a range of first
+bytes) at a time: by the first 32 bytes, and where these tie by the ranks of the sample, so that no comparison reads on
+through a long tie and memory is bounded by the bucket. Only equal bytes decide; hashes only deal."""
 
 from __future__ import annotations
 
@@ -16,20 +17,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import keyed, shards_for, small_batches
-from tidewheel.llm.replies import REPLY, reply_batch, with_replies
-from tidewheel.llm.sketch import PARTIAL, Shape, merged, packed, partial, partial_batch, repeated, unpacked
-from tidewheel.llm.substring_dedup import _order, blocks
-from tidewheel.llm.words import Hasher
+from tidewheel.llm.common import shards_for, small_batches
+from tidewheel.llm.rounds import VERDICT, Bucket, Dealt, placed, places, spans_of, table, verdict_rows
+from tidewheel.llm.sketch import Shape, repeated
+from tidewheel.llm.words import joined, loads, mixed
 
 LENGTH = 100
-#: Bytes of the strings whose hashes deal suffixes into buckets, and of the first sorting step.
+#: Bytes of the strings whose hashes deal suffixes, and of the first sorting step.
 STEP = 32
+#: Bytes of text whose strings are hashed at a time.
 BLOCK = 1 << 20
-#: Bytes of text that are sorted at a time.
-RANGE = 2 << 20
+#: Bytes of a shard's text that are given cover ranks together, and suffixes of one suffix bucket. Stretches of one least
+#: hash stay together; so does the text of one least hash that alone is longer.
+RANGE, SUFFIXES = 4 << 20, 1 << 18
 #: Suffixes of one stretch; longer ones are cut.
 STRETCH = 1 << 16
+_U = np.uint64
+#: Odd numbers that weigh the four parts of a string.
+_WEIGHTS = tuple(_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
 def difference_cover(v: int) -> list[int]:
@@ -59,60 +64,73 @@ def _least(h: np.ndarray, n: int, pick=np.minimum) -> np.ndarray:
 
 
 class _Stretches:
-    """Runs of suffixes of a block's texts, of at least `length` bytes each, that share a bucket."""
+    """Runs of suffixes of a bucket's texts, of at least `length` bytes each, that share their least hash."""
 
-    def __init__(self, texts: list[bytes], length: int):
-        wide = length - STEP + 1
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
-        sizes = np.array([len(t) for t in texts], np.int64)
+    def __init__(self, b: Bucket, length: int):
+        self.raw, self.length = b"".join(b.texts), length
+        sizes = np.array([len(t) for t in b.texts], np.int64)
         self.begins = np.cumsum(sizes) - sizes
-        self.seen = self.bucket = np.empty(0, np.uint64)
-        self.start = self.count = self.of = np.empty(0, np.int64)
-        self.own = np.empty(0, bool)
-        m = len(self.data) - length + 1
+        data = np.frombuffer(self.raw, np.uint8)
+        parts = []
+        for first, texts in b.blocks(BLOCK):
+            at, size = int(self.begins[first]), sum(map(len, texts))
+            # A long text is cut; its pieces overlap so that each suffix is in one with its first `length` bytes.
+            for c in range(0, max(1, size - length + 1), BLOCK) if len(texts) == 1 else (0,):
+                z = min(size, c + BLOCK + length - 1) if len(texts) == 1 else size
+                parts.append(self._of(data[at + c : at + z], at + c, [(0, z - c)] if len(texts) == 1 else [(int(self.begins[first + k]) - at, len(t)) for k, t in enumerate(texts)]))
+        kinds = (np.uint64, np.int64, np.int64, np.uint64, np.uint64)
+        self.seen, self.start, self.count, self.least, self.mark = (np.concatenate([np.empty(0, k), *x]) for k, x in zip(kinds, zip(*parts) if parts else [[]] * 5))
+        self.of = np.searchsorted(self.begins, self.start, "right") - 1
+        values, counts = np.unique(self.seen, return_counts=True)
+        self.own = np.isin(self.least, values[counts > 1])  # such a stretch may repeat within itself
+
+    def _of(self, data: np.ndarray, base: int, spans: list[tuple[int, int]]):
+        length, wide, m = self.length, self.length - STEP + 1, len(data) - self.length + 1
         if m <= 0:
-            return
-        hasher = Hasher(21)
-        h = hasher.runs(hasher.table[self.data], STEP)
+            return [np.empty(0, k) for k in (np.uint64, np.int64, np.int64, np.uint64, np.uint64)]
+        eight, n = loads(data), len(data) - STEP + 1
+        h = eight[:n] * _WEIGHTS[0]
+        for k in range(1, STEP // 8):
+            h += eight[8 * k : 8 * k + n] * _WEIGHTS[k]
+        h = mixed(h)
         least = _least(h, wide)
-        valid = np.zeros(m + 1, np.int8)
-        some = sizes >= length
-        np.add.at(valid, self.begins[some], 1)
-        np.add.at(valid, (self.begins + sizes - length + 1)[some], -1)
+        valid, change = np.zeros(m + 1, np.int8), np.ones(m, bool)
+        change[1:] = least[1:] != least[:-1]
+        for a, size in spans:
+            if size >= length:
+                valid[a] += 1
+                valid[a + size - length + 1] -= 1
+                change[a] = True
         valid = np.cumsum(valid[:m]).astype(bool)
         least[~valid] = 0
-        edge = np.append(np.zeros(wide - 1, np.uint64), least)
-        edge = np.append(edge, np.zeros(wide - 1, np.uint64))
-        used = np.flatnonzero(_least(edge, wide, np.maximum)[: len(h)] == h)
-        self.seen = h[used]  # once for each place that gives a bucket its number
-        twice = self.seen[1:][(self.seen[1:] == self.seen[:-1])]
-        change = np.ones(m, bool)
-        change[1:] = least[1:] != least[:-1]
-        change[self.begins[(self.begins < m)]] = True
+        pad = np.zeros(wide - 1, np.uint64)
+        used = np.flatnonzero(_least(np.concatenate([pad, least, pad]), wide, np.maximum)[: len(h)] == h)
+        change[1:] |= valid[1:] != valid[:-1]
         change[::STRETCH] = True
         start = np.flatnonzero(change)
         count = np.diff(np.append(start, m))
         keep = valid[start]
-        self.start, self.count = start[keep], count[keep]
-        self.bucket = least[self.start]
-        self.of = np.searchsorted(self.begins, self.start, "right") - 1
-        self.own = np.isin(self.bucket, twice)  # such a stretch may repeat within itself
-
-
-_FOUND = "shard int, sure boolean, ids binary, keys binary, counts binary, start binary, n binary, bucket binary, own binary, data binary"
-_NAMES = [x.split()[0] for x in _FOUND.split(", ")]
-_KINDS = [pa.int32(), pa.bool_()] + [pa.binary()] * 8
-
-
-def _firsts(one, two, n, place):
-    """(order, later) of rows by content and place; later: an earlier place has the same content."""
-    order = np.lexsort((place, n, two, one))
-    new = np.ones(len(order), bool)
-    a, b, c, p = one[order], two[order], n[order], place[order]
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-    least = p[np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))]
-    later = p > least
-    return order, later
+        start, count = start[keep], count[keep]
+        end = start + count + length - 1
+        # Equal stretches have equal marks; which of those are equal, their bytes say.
+        mark = joined(joined(h[start], h[end - STEP]), least[start] ^ count.astype(np.uint64))
+        return h[used], start + base, count, least[start], mark
+
+
+def equal_to(raw: bytes, start: np.ndarray, size: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """For stretches in order of places, the number of the first that has the same bytes, or their own number."""
+    order = np.argsort(mark, kind="stable")
+    group = mark[order]
+    out = np.arange(len(mark))
+    first = -1
+    for k in np.flatnonzero(group[1:] == group[:-1]).tolist():
+        if first < 0 or mark[first] != group[k]:
+            first = int(order[k])
+        at = int(order[k + 1])
+        a, z, n = int(start[first]), int(start[at]), int(size[at])
+        if size[first] == n and raw[a : a + n] == raw[z : z + n]:
+            out[at] = first
+    return out
 
 
 def _cut(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -121,55 +139,66 @@ def _cut(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)]
 
 
-def _candidates(rows: DataFrame, length: int, shape: Shape, sketch, shards: int) -> DataFrame:
-    """Stretches whose bucket is estimated to be used twice; of those equal within a block the first only, the others as sure."""
-    shared = rows.sparkSession.sparkContext.broadcast(sketch)
-
-    def found(batches):
-        for ids, keys, texts in blocks(batches, BLOCK):
-            s = _Stretches(texts, length)
-            hit = np.flatnonzero(repeated(s.bucket, shared.value, shape))
-            out = []
-            if len(hit):
-                start, n, of = s.start[hit], s.count[hit], s.of[hit]
-                size = n + length - 1
-                one, two = (Hasher(k).spans(s.data, start, start + size) for k in (22, 23))
-                own = start - s.begins[of]
-                order, later = _firsts(one, two, n, (_order(ids, keys)[of] << 32) | own)
-
-                def row(shard, pick, sure):
-                    some, counts = np.unique(of[pick], return_counts=True)
-                    data = b"" if sure else _cut(s.data, start[pick], size[pick]).tobytes()
-                    numbers = (ids[some], keys[some], counts.astype(np.uint32), own[pick].astype(np.uint32), n[pick].astype(np.uint32), s.bucket[hit[pick]], s.own[hit[pick]])
-                    return (shard, sure, *(x.tobytes() for x in (numbers[:5] if sure else numbers)), *[b""] * 2 * sure, data)
-
-                if later.any():
-                    pick = np.sort(order[later])
-                    out.append(row(int(ids[of[pick[0]]] % shards), pick, True))
-                first = np.sort(order[~later])
-                shard = (s.bucket[hit[first]] >> np.uint64(20)) % np.uint64(shards)
-                first, shard = first[np.argsort(shard, kind="stable")], np.sort(shard)
-                edges = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-                out += [row(k, first[a:z], False) for k, (a, z) in enumerate(zip(edges, edges[1:])) if a < z]
-            columns = list(zip(*out)) or [[]] * len(_NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], _NAMES)
-
-    return rows.mapInArrow(found, _FOUND)
-
-
-def suffix_groups(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, new): starts in an order that has those with equal first `length` bytes side by side, and where such a group begins.
-
-    length is 32 to 160. Suffixes are sorted by their first 32 bytes; ties are resolved by the ranks of cover sample
-    suffixes, which are at most 31 bytes on."""
-    padded = np.append(data, np.zeros(STEP * 8, np.uint8)).astype(np.uint64)
-    n = len(data)
-    word = np.zeros(n + STEP * 4, np.uint64)
-    for k in range(8):
-        word |= padded[k : k + len(word)] << np.uint64(56 - 8 * k)
-
-    def sorted_by(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = [word[at + 8 * k] for k in range(STEP // 8)]
+#: Stretches of a bucket for one shard, by place, with their bytes; or, where sure, spans that are known to be repeats.
+_FOUND = "shard int, sure boolean, bucket int, texts binary, counts binary, starts binary, ends binary, tops binary, ids binary, least binary, mark binary, own binary, data binary"
+
+
+def _candidates(dealt: Dealt, answers: DataFrame, length: int, shape: Shape, shards: int) -> DataFrame:
+    """Stretches whose least hash is estimated to be used twice; of those equal within a bucket only the first."""
+
+    def found(b: Bucket, answers: pa.Table) -> pa.Table:
+        s = _Stretches(b, length)
+        twice = np.unique(s.seen[repeated(s.seen, answers, shape)])
+        hit = np.flatnonzero(np.isin(s.least, twice))
+        start, size, of = s.start[hit], s.count[hit] + length - 1, s.of[hit]
+        own = start - s.begins[of]
+        same = equal_to(s.raw, start, size, s.mark[hit])
+        late = same != np.arange(len(hit))
+        out = [(b.number % shards, True, *row, *[b""] * 5) for row in verdict_rows(np.full(int(late.sum()), b.number), of[late], own[late], (own + size)[late])]
+        first = np.flatnonzero(~late)
+        shard = ((s.least[hit[first]] >> _U(20)) % _U(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        first, shard = first[order], shard[order]
+        edges = np.flatnonzero(np.diff(shard, prepend=-1))
+        data = np.frombuffer(s.raw, np.uint8)
+        for a, z in zip(edges, np.append(edges[1:], len(shard))):
+            mine = first[a:z]
+            texts, counts, starts, ends, tops = places(of[mine], own[mine], (own + size)[mine])
+            ids = np.diff(b.ids[np.unique(of[mine])], prepend=0)
+            more = (ids, s.least[hit[mine]], s.mark[hit[mine]], s.own[hit[mine]])
+            out.append((int(shard[a]), False, b.number, texts, counts, starts, ends, tops, *(x.tobytes() for x in more), _cut(data, start[mine], size[mine]).tobytes()))
+        return table(out, _FOUND)
+
+    return dealt.with_answers(answers, found, _FOUND)
+
+
+class CoverRanks:
+    """Ranks of a text's difference cover sample by the first bytes, as many as any tie of `length` bytes can need."""
+
+    def __init__(self, data: np.ndarray, length: int):
+        n = len(data)
+        self.data, self.length = data, length
+        self.eight = loads(np.append(data, np.zeros(STEP * 8, np.uint8)), ">u8")
+        sample = np.flatnonzero(_IN_COVER[np.arange(n) % STEP])
+        self.rank = np.zeros(n + 8 * STEP + 1, np.int32)  # 0: beyond the end
+        order, new = self.sorted_by(sample)
+        self.rank[sample[order]] = np.cumsum(new)
+        depth = STEP
+        while depth < length + STEP and not new.all():  # doubling, in steps that stay in the sample
+            both = (self.rank[sample].astype(np.int64) << 32) | self.rank[np.minimum(sample + depth, n + 1)]
+            order = np.argsort(both)
+            both = both[order]
+            new = np.ones(len(order), bool)
+            new[1:] = both[1:] != both[:-1]
+            self.rank[sample[order]] = np.cumsum(new)
+            depth *= 2
+
+    def words(self, at: np.ndarray) -> np.ndarray:
+        return self.eight[at].astype(np.uint64)
+
+    def sorted_by(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order by the first 32 bytes, where such a group begins)."""
+        keys = [self.words(at + 8 * k) for k in range(STEP // 8)]
         order = np.lexsort(keys[::-1])
         new = np.zeros(len(at), bool)
         new[:1] = True
@@ -178,153 +207,120 @@ def suffix_groups(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
             new[1:] |= k[1:] != k[:-1]
         return order, new
 
-    # Ranks of the sample, by doubling in steps that stay in the sample.
-    sample = np.flatnonzero(_IN_COVER[np.arange(n) % STEP])
-    rank = np.zeros(n + 8 * STEP + 1, np.int64)  # 0: beyond the end
-    order, new = sorted_by(sample)
-    rank[sample[order]] = np.cumsum(new)
-    depth = STEP
-    while depth < length + STEP and not new.all():
-        first, second = rank[sample], rank[np.minimum(sample + depth, n + 1)]
-        order = np.lexsort((second, first))
-        a, b = first[order], second[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        rank[sample[order]] = np.cumsum(new)
-        depth *= 2
-    # Ties of the first 32 bytes: a quicksort of all tied groups at once, each around its own pivot.
-    order, new = sorted_by(starts)
-    at = starts[order]
-    group = np.cumsum(new) - 1
-    size = np.bincount(group) if len(group) else np.empty(0, np.int64)
-    open_ = np.flatnonzero(size[group] > 1)
-    rng = np.random.default_rng(1)
-    while len(open_):
-        own = at[open_]
-        edges = np.flatnonzero(np.diff(group[open_], prepend=-1))
-        sizes = np.diff(np.append(edges, len(open_)))
-        pivot = own[np.repeat(edges + rng.integers(0, 1 << 31, len(edges)) % sizes, sizes)]
-        move = _MOVE[own % STEP, pivot % STEP]
-        side = np.sign(rank[own + move] - rank[pivot + move])
-        turn = np.lexsort((side, np.repeat(np.arange(len(edges)), sizes)))
-        at[open_] = own[turn]
-        side = side[turn]
-        base = np.repeat(edges, sizes)
-        begin = np.ones(len(open_), bool)
-        begin[1:] = (side[1:] != side[:-1]) | (base[1:] != base[:-1])
-        begin_at = np.flatnonzero(begin)
-        group[open_] = open_[np.maximum.accumulate(np.where(begin, np.arange(len(open_)), 0))] + len(starts)
-        part = np.diff(np.append(begin_at, len(open_)))
-        open_ = open_[np.repeat((part > 1) & (side[begin_at] != 0), part)]
-    new = np.zeros(len(at), bool)
-    new[:1] = True
-    for k in [*range(0, length - 7, 8), length - 8]:
-        w = word[at + k]
-        new[1:] |= w[1:] != w[:-1]
-    return at, new
-
-
-def _runs(of: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(of, packed edges of joined runs) from runs [start, start + n) that don't overlap within one of."""
-    order = np.lexsort((start, of))
-    of, start, end = of[order], start[order], (start + n)[order]
-    new = np.ones(len(of), bool)
-    new[1:] = (of[1:] != of[:-1]) | (start[1:] > end[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:] - 1, len(of) - 1) if len(first) else first
-    flat = np.stack([start[first], end[last]], 1)
-    who = of[first]
-    edges = np.flatnonzero(np.diff(who, prepend=-1))
-    return [(int(who[a]), packed(flat[a:z].ravel())) for a, z in zip(edges, np.append(edges[1:], len(who)))]
-
-
-def _sorter(length: int, buckets: int):
+    def sorted_bucket(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(suffixes, new): starts in an order that has those with equal first `length` bytes side by side, and where such a group begins."""
+        order, new = self.sorted_by(starts)
+        at = starts[order]
+        group = np.cumsum(new) - 1
+        size = np.bincount(group) if len(group) else np.empty(0, np.int64)
+        open_ = np.flatnonzero(size[group] > 1)
+        rng = np.random.default_rng(1)
+        # A quicksort of all tied groups at once, each around its own pivot.
+        while len(open_):
+            own = at[open_]
+            edges = np.flatnonzero(np.diff(group[open_], prepend=-1))
+            sizes = np.diff(np.append(edges, len(open_)))
+            pivot = own[np.repeat(edges + rng.integers(0, 1 << 31, len(edges)) % sizes, sizes)]
+            move = _MOVE[own % STEP, pivot % STEP]
+            side = np.sign(self.rank[own + move] - self.rank[pivot + move])
+            turn = np.lexsort((side, np.repeat(np.arange(len(edges)), sizes)))
+            at[open_] = own[turn]
+            side = side[turn]
+            base = np.repeat(edges, sizes)
+            begin = np.ones(len(open_), bool)
+            begin[1:] = (side[1:] != side[:-1]) | (base[1:] != base[:-1])
+            begin_at = np.flatnonzero(begin)
+            group[open_] = open_[np.maximum.accumulate(np.where(begin, np.arange(len(open_)), 0))] + len(starts)
+            part = np.diff(np.append(begin_at, len(open_)))
+            open_ = open_[np.repeat((part > 1) & (side[begin_at] != 0), part)]
+        new = np.zeros(len(at), bool)
+        new[:1] = True
+        for k in [*range(0, self.length - 7, 8), self.length - 8]:
+            w = self.words(at + k)
+            new[1:] |= w[1:] != w[:-1]
+        return at, new
+
+    def buckets(self, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """starts by suffix buckets: ranges of the first eight bytes with about SUFFIXES suffixes each."""
+        parts = -(-len(starts) // SUFFIXES)
+        if parts < 2:
+            yield starts
+            return
+        first = self.words(starts)
+        splitters = np.unique(np.sort(first[:: max(1, len(first) // (64 * parts))])[::64])
+        bucket = np.searchsorted(splitters, first, "right").astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1))
+        for a, z in zip(edges, np.append(edges[1:], len(order))):
+            yield starts[order[a:z]]
+
+
+def _sorter(length: int):
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[bool, list] = {True: [], False: []}
-        data = []
-        for b in batches:
-            for r in b.to_pylist():
-                ids, keys, counts = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["keys"], np.int64), np.frombuffer(r["counts"], np.uint32)
-                start, n = (np.frombuffer(r[c], np.uint32).astype(np.int64) for c in ("start", "n"))
-                row = [np.repeat(ids, counts), np.repeat(keys, counts), start, n]
-                if not r["sure"]:
-                    row += [np.frombuffer(r["bucket"], np.uint64), np.frombuffer(r["own"], bool)]
-                    data.append(np.frombuffer(r["data"], np.uint8))
-                parts[r["sure"]].append(row)
-        gone = [[np.concatenate(x) for x in zip(*parts[True])]] if parts[True] else []
-        if parts[False]:
-            gone += _sorted(*(np.concatenate(x) for x in zip(*parts[False])), np.concatenate(data), length)
-        out = []
-        if gone:
-            ids, keys, start, n = (np.concatenate(x) for x in zip(*gone))
-            rank = _order(ids, keys)
-            # Repeated rows say the same twice.
-            _, once = np.unique((rank << 32) | start, return_index=True)
-            ids, keys, start, n, rank = ids[once], keys[once], start[once], n[once], rank[once]
-            some, at = np.unique(rank, return_index=True)
-            who = {int(k): (int(ids[a]), int(keys[a])) for k, a in zip(some, at)}
-            out = [(*who[k], x) for k, x in _runs(rank, start, n)]
-        yield reply_batch(out, buckets)
+        """Of one shard's stretches the suffixes whose first `length` bytes an earlier place has, by bucket and text."""
+        out, parts, data = [], [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["sure"]:
+                    out.append((r["bucket"], r["texts"], r["counts"], r["starts"], r["ends"], r["tops"]))
+                    continue
+                of, start, end = placed([r[c] for c in ("texts", "counts", "starts", "ends", "tops")])
+                new = np.flatnonzero(np.diff(of, prepend=-1))
+                ids = np.repeat(np.cumsum(np.frombuffer(r["ids"], np.int64)), np.diff(np.append(new, len(of))))
+                parts.append((ids, np.full(len(of), r["bucket"]), of, start, end - start, np.frombuffer(r["least"], np.uint64), np.frombuffer(r["mark"], np.uint64), np.frombuffer(r["own"], bool)))
+                data.append(r["data"])
+        if parts:
+            found = [np.concatenate(x) for x in zip(*parts)]
+            parts.clear()
+            raw = b"".join(data)
+            data.clear()
+            out += verdict_rows(*_repeats(*found, raw, length))
+        yield from table(out, VERDICT).to_batches()
 
     return grouped
 
 
-def _sorted(ids, keys, start, n, bucket, own, data, length):
-    """Runs of suffixes, of one shard's stretches, whose first `length` bytes an earlier place has."""
-    size = n + length - 1
-    ends = np.cumsum(size)
-    begins = ends - size
-    rank = _order(ids, keys)
-    place = (rank << 32) | start
-    one, two = (Hasher(k).spans(data, begins, ends) for k in (24, 25))
-    order, later = _firsts(one, two, n, place)
-    new = np.ones(len(order), bool)
-    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]) | (n[order][1:] != n[order][:-1])
-    sure = order[later]
-    gone = [[ids[sure], keys[sure], start[sure], n[sure]]]
-    first = order[new]
-    # Buckets that hold one stretch only, and that can't repeat within itself, need no sorting.
-    first = first[np.argsort(bucket[first], kind="stable")]
-    edges = np.flatnonzero(np.append(True, bucket[first][1:] != bucket[first][:-1])) if len(first) else np.empty(0, np.int64)
+def _repeats(ids, bucket, of, start, size, least, mark, own, raw, length):
+    """(bucket, text, start, end) of what an earlier place of the shard's stretches has."""
+    begins = np.cumsum(size) - size
+    order = np.lexsort((start, of, bucket, ids))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    same = np.empty(len(order), np.int64)
+    same[order] = order[equal_to(raw, begins[order], size[order], mark[order])]
+    late = same != np.arange(len(order))
+    gone = [[bucket[late], of[late], start[late], (start + size)[late]]]
+    # A least hash that one stretch alone has, and that this one has once, needs no sorting.
+    first = np.flatnonzero(~late)
+    first = first[np.argsort(least[first], kind="stable")]
+    new = np.append(True, least[first][1:] != least[first][:-1])
+    edges = np.flatnonzero(new[: len(first)])
     each = np.diff(np.append(edges, len(first)))
-    several = np.repeat(each > 1, each) | np.repeat(np.logical_or.reduceat(own[first], edges), each) if len(first) else np.empty(0, bool)
-    first = first[several]
-    if not len(first):
-        return gone
-    # One range of whole buckets at a time.
-    total = np.cumsum(size[first])
-    cut = np.flatnonzero(np.append(True, bucket[first][1:] != bucket[first][:-1]))
-    at = 0
+    if len(first):
+        several = np.repeat((each > 1) | np.logical_or.reduceat(own[first], edges), each)
+        first, new = first[several], new[several]
+    total, cut = np.cumsum(size[first]), np.append(np.flatnonzero(new[: len(first)]), len(first))
+    data, at = np.frombuffer(raw, np.uint8), 0
     while at < len(first):
-        base = total[at - 1] if at else 0
-        z = int(np.searchsorted(total, base + RANGE, "right"))
-        later_cuts = cut[cut > at]
-        fit = later_cuts[later_cuts <= max(z, at)]
-        z = int(fit[-1]) if len(fit) else int(later_cuts[0]) if len(later_cuts) else len(first)
-        if z < len(first) and total[-1] <= base + RANGE:
-            z = len(first)
-        gone.append(_range(first[at:z], ids, keys, start, n, size, begins, rank, data, length))
+        z = int(np.searchsorted(total, (total[at - 1] if at else 0) + RANGE, "right"))
+        z = int(max(cut[np.searchsorted(cut, z, "right") - 1], cut[np.searchsorted(cut, at, "right")]))
+        pick = first[at:z]
+        text, ends = _cut(data, begins[pick], size[pick]), np.cumsum(size[pick])
+        base, count = ends - size[pick], size[pick] - length + 1
+        row = np.repeat(np.arange(len(pick)), count)
+        suffixes = base[row] + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        cover = CoverRanks(text, length)
+        for some in cover.buckets(suffixes):
+            found, begin = cover.sorted_bucket(some)
+            stretch = np.searchsorted(base, found, "right") - 1
+            inside = found - base[stretch]
+            spot = (place[pick[stretch]] << 32) | (start[pick[stretch]] + inside)  # places of stretches are in order of theirs
+            edge = np.flatnonzero(begin)
+            hit = spot > np.repeat(np.minimum.reduceat(spot, edge), np.diff(np.append(edge, len(spot))))
+            who, inside = pick[stretch[hit]], inside[hit]
+            gone.append([bucket[who], of[who], start[who] + inside, start[who] + inside + length])
         at = z
-    return gone
-
-
-def _range(pick, ids, keys, start, n, size, begins, rank, data, length):
-    text = _cut(data, begins[pick], size[pick])
-    ends = np.cumsum(size[pick])
-    base = ends - size[pick]
-    count = n[pick]
-    row = np.repeat(np.arange(len(pick)), count)
-    inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    suffix = base[row] + inside
-    at, new = suffix_groups(text, suffix, length)
-    row_at = np.searchsorted(base, at, "right") - 1
-    own = start[pick][row_at] + at - base[row_at]
-    place = (rank[pick][row_at] << 32) | own
-    begin = np.flatnonzero(new)
-    least = np.repeat(np.minimum.reduceat(place, begin), np.diff(np.append(begin, len(place))))
-    hit = place > least
-    who = pick[row_at[hit]]
-    return [ids[who], keys[who], own[hit], np.ones(int(hit.sum()), np.int64)]
+    return [np.concatenate(x) for x in zip(*gone)]
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = True) -> DataFrame:
@@ -333,55 +329,34 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A byte goes if such a string of its text covers it that also starts at an earlier place (a smaller id, or the same
     text before; they may overlap); strings are judged on the input and never cross texts. Null text counts as empty;
     texts shorter than length stay whole. kept is binary, as a cut may split a character. A null id comes after all
-    others. Rows repeated are one place: none removes from the other. An empty table gives an empty result."""
+    others; rows of one id with different texts come in an order of their hashes. Rows repeated are one place: none
+    removes from the other. An empty table gives an empty result."""
     if not 64 <= length <= 160:
         raise ValueError("length is 64 to 160")
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = keyed(docs, id_col, text_col)
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shape = Shape.of(2 * size // (length - STEP))
-
-    def sketched(batches):
-        held, n = [], 0
-        for _, _, texts in blocks(batches, BLOCK):
-            held.append(_Stretches(texts, length).seen)
-            n += len(held[-1])
-            if n > 1 << 20:
-                yield partial_batch(partial(np.concatenate(held), shape))
-                held, n = [], 0
-        if held:
-            yield partial_batch(partial(np.concatenate(held), shape))
-
-    sketch = merged(rows.mapInArrow(sketched, PARTIAL), shape)
-    shards = shards_for(spark, size)
-    found = _candidates(rows, length, shape, sketch, shards)
-    replies = found.groupBy("shard").applyInArrow(_sorter(length, shards), REPLY)
-
-    def applied(batches):
-        for b in batches:
-            out = []
-            for ident, text, ats in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("ats").to_pylist()):
-                spans = []
-                for at in map(unpacked, ats or ()):
-                    spans += zip(at[0::2].tolist(), (at[1::2] + length - 1).tolist())
-                kept, at, removed, runs, end = [], 0, 0, 0, -1
-                for a, z in sorted(spans):
-                    if a > end:
-                        kept.append(text[at:a])
-                        runs += 1
-                    removed += max(0, z - max(a, end))
-                    end = at = max(end, z)
-                kept = b"".join([*kept, text[at:]])
-                out.append((ident, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept)[: 5 + with_text])
-            columns = list(zip(*out)) or [[]] * (5 + with_text)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
-
-    out = with_replies(rows, replies).mapInArrow(applied, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    small_batches(docs.sparkSession)
+    dealt = Dealt.of(docs, id_col, text_col)
+    shape = Shape.of(2 * dealt.size // (length - STEP))
+    answers = dealt.sketched(lambda b: _Stretches(b, length).seen, shape)
+    found = _candidates(dealt, answers, length, shape, shards_for(docs.sparkSession, dealt.size))
+    verdicts = found.groupBy("shard").applyInArrow(_sorter(length), VERDICT)
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+
+    def applied(b: Bucket, answers: pa.Table) -> pa.Table:
+        out = []
+        for ident, text, spans in zip(b.ids.tolist(), b.texts, spans_of(answers, len(b.texts))):
+            kept, end = [], 0
+            for a, z in spans:
+                kept.append(text[end:a])
+                end = z
+            whole = b"".join([*kept, text[end:]])
+            out.append((ident, len(text), len(text) - len(whole), len(spans), hashlib.sha256(whole).hexdigest(), *[whole] * with_text))
+        return table(out, schema).take(pa.array(b.row))
+
+    out = dealt.with_answers(verdicts, applied, schema)
     return out.withColumn("id", F.when(F.col("id") != 2**63 - 1, F.col("id")))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract columns for every document; see suffix_dedup for nulls, empty texts, ties, repeated rows and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return suffix_dedup(docs, with_text=False).withColumnRenamed("id", "doc_id")

@@ -1,14 +1,25 @@
-"""Words of many texts at once, as numpy arrays: places and 64-bit hashes."""
+"""Words and strings of many texts at once, as numpy arrays: places and 64-bit hashes.
+
+Bytes are read eight at a time and mixed after each step, so that no algebra of the bytes (such as that of a polynomial
+in one base) carries over to the hashes. Two lanes start from different numbers and together are a hash of 128 bits."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 SPACES = (9, 10, 11, 12, 13, 32)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
-_SLICE = 1 << 20
 _U = np.uint64
+#: Words of more bytes are hashed one by one.
+_LONG = 256
+#: For 0 to 8 bytes, which bits of eight loaded bytes count.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Where lanes start, and odd numbers that tell the first of two joined hashes from the second.
+_SEED = (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344))
+_FIRST = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -21,73 +32,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: An odd base, its inverse modulo 2^64, and powers of both as far as they were needed.
-_BASE = 0x5851F42D4C957F2D
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _powers_to(n: int) -> list[np.ndarray]:
-    if n > len(_powers[0]):
-        for k, b in enumerate((_BASE, _INVERSE)):
-            out = np.full(1 << (n - 1).bit_length(), b, dtype=np.uint64)
-            out[0] = 1
-            _powers[k] = np.multiply.accumulate(out, out=out)
-    return _powers
-
-
-class Hasher:
-    """Hashes of substrings of a byte array, and of runs of consecutive numbers, by prefix sums modulo 2^64.
-
-    A prefix sum is weighted by powers of an odd base, whose inverse takes the place out of a difference of two;
-    the result is mixed. The seed picks the numbers that stand for the bytes."""
-
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-
-    def _spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        up, down = _powers_to(len(values) + 1)
-        sums = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.multiply(values, up[: len(values)], out=sums[1:])
-        np.cumsum(sums, out=sums)
-        out = sums[ends]
-        out -= sums[starts]
-        out *= down[starts]
-        out += (ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15)
-        return mixed(out)
-
-    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of data[start:end] for ascending spans that don't overlap; a slice of the data at a time."""
-        out = np.empty(len(starts), dtype=np.uint64)
-        k = 0
-        while k < len(starts):
-            z = max(k + 1, int(np.searchsorted(ends, starts[k] + _SLICE, "right")))
-            at = int(starts[k])
-            out[k:z] = self._spans(self.table[data[at : int(ends[z - 1])]], starts[k:z] - at, ends[k:z] - at)
-            k = z
-        return out
+def joined(a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A hash of two hashes in this order."""
+    x = a * _FIRST[lane]
+    x += b
+    return mixed(x)
+
 
-    def runs(self, values: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of values[i:i+n] for every i."""
-        m = len(values) - n + 1
-        if m <= 0:
-            return np.empty(0, dtype=np.uint64)
-        up, down = _powers_to(len(values) + 1)
-        sums = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.multiply(values, up[: len(values)], out=sums[1:])
-        np.cumsum(sums, out=sums)
-        out = sums[n:] - sums[:m]
-        out *= down[:m]
-        out += _U(n * 0x9E3779B97F4A7C15 % 2**64)
-        return mixed(out)
+def loads(data: np.ndarray, kind: str = "<u8") -> np.ndarray:
+    """data[i:i+8] as a number for every i but the last seven; a view, not a copy."""
+    return np.ndarray((max(0, len(data) - 7),), kind, data, strides=(1,))
+
+
+def runs(values: np.ndarray, n: int, lane: int = 0) -> np.ndarray:
+    """Hashes of values[i:i+n] for every i, by doubling."""
+    m = len(values) - n + 1
+    if m <= 0:
+        return np.empty(0, dtype=np.uint64)
+    out, done, step, now = None, 0, 1, values
+    while True:
+        if n & step:  # the parts of n in binary, the smaller first
+            part = now[done : done + m]
+            out, done = (part if out is None else joined(out, part, lane)), done + step
+        if done == n:
+            return mixed(out + _U(n))
+        now, step = joined(now[:-step], now[step:], lane), 2 * step
 
 
 class Words:
     """Words (runs of other bytes than white space) of some texts, in order; of: each word's text."""
 
     def __init__(self, texts: list[bytes]):
-        self.data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+        self.data = np.frombuffer(b" ".join(texts) + b" " * 9, dtype=np.uint8)
         gap = np.empty(len(self.data) + 1, dtype=np.int8)
         gap[0] = 1
         gap[1:] = _IS_SPACE[self.data]
@@ -99,5 +75,23 @@ class Words:
         self.counts = np.diff(np.append(self.first, len(self.starts)))
         self.of = np.repeat(np.arange(len(texts)), self.counts)
 
-    def hashes(self, hasher: Hasher) -> np.ndarray:
-        return hasher.spans(self.data, self.starts, self.ends)
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        """A hash of each word; words of up to eight bytes of one length never share one."""
+        eight, size = loads(self.data), self.ends - self.starts
+        out = mixed(_SEED[lane] + size.astype(np.uint64))
+        some, at, left = np.arange(len(size)), self.starts, size
+        while len(some):
+            out[some] = mixed((out[some] ^ (eight[at] & _MASK[np.minimum(left, 8)])) * _FIRST[lane])
+            more = (left > 8) & (size[some] <= _LONG)
+            some, at, left = some[more], at[more] + 8, left[more] - 8
+        for k in np.flatnonzero(size > _LONG).tolist():
+            whole = hashlib.blake2b(self.data[self.starts[k] : self.ends[k]].tobytes(), digest_size=16).digest()
+            out[k] = np.frombuffer(whole, np.uint64)[lane]
+        return out
+
+    def windows(self, n: int, *lanes: int) -> tuple[np.ndarray, ...]:
+        """(text, first word, a hash for each lane) of every run of n words of one text."""
+        m = max(0, len(self.of) - n + 1)
+        inside = self.of[:m] == self.of[n - 1 :][:m]
+        of = self.of[:m][inside]
+        return of, np.flatnonzero(inside) - self.first[of], *(runs(self.hashes(k), n, k)[inside] for k in lanes)
