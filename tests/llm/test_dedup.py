@@ -73,11 +73,49 @@ def test_index_persists_and_does_not_append_twice(spark, tmp_path):
     assert "Exchange" not in plan
 
 
+def test_interrupted_batches_and_compaction(spark, tmp_path):
+    make = lambda rows: exact_dedup.digests_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    path = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, path, 4)
+    index.add(make([(1, "a"), (2, "b")]), "one")
+    # What a broken append leaves: rows of a batch that is not registered.
+    part = make([(3, "c"), (4, "d")]).selectExpr("digest", "id AS keep_id", "1L AS group_size", "'two' AS batch").limit(1)
+    index._write(part, "batch-broken")
+    assert index.rows().count() == 2
+    index.add(make([(3, "c"), (4, "d"), (5, "a")]), "two")
+    before = sorted(map(str, index.rows().collect()))
+    assert len(before) == 4
+    index.compact()
+    index.drop_unused()
+    again = exact_dedup.DigestIndex(spark, path, 4, "compacted")
+    assert sorted(map(str, again.rows().collect())) == before and len(set(again._registered()[1].values())) == 1
+    again.add(make([(9, "d"), (9, "e")]), "three")
+    again.add(make([(9, "f")]), "two")  # is there already
+    assert again.rows().count() == 5
+
+
+def test_batches_meet_an_index_that_is_not_empty(docs, rows, none, spark):
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[1] or "", []).append(r[0])
+    best = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    expect = Counter((r[0], sha(r[1] or ""), best[r[1] or ""], len(groups[r[1] or ""]), r[0] == best[r[1] or ""]) for r in rows)
+    for parts in (1, 3):
+        index = exact_dedup.new_index(spark)
+        got = exact_dedup.dedup_in_batches(docs, index, parts).collect()
+        assert Counter((r["id"], bytes(r["digest"]).hex(), r["keep_id"], r["group_size"], r["kept"]) for r in got) == expect
+        assert index.rows().select("batch").distinct().count() == parts
+    assert exact_dedup.dedup_in_batches(none, exact_dedup.new_index(spark)).count() == 0
+
+
 def test_unique_documents(docs, rows, none):
     got = exact_dedup.unique_documents(docs)
     assert got.columns == docs.columns and exact_dedup.unique_documents(none).count() == 0
     kept = [(r["doc_id"], r["text"] or "") for r in got.collect()]
     assert sorted(t for _, t in kept) == sorted({r[1] or "" for r in rows})
+    for t in {r[1] or "" for r in rows}:
+        ids = [r[0] for r in rows if (r[1] or "") == t and r[0] is not None]
+        assert (max(ids, default=None), t) in kept
 
 
 def thue_morse(n):

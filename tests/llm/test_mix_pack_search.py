@@ -69,6 +69,20 @@ def test_mixed_documents(docs, none):
             assert got[k] == n, k
 
 
+def test_mixed_documents_of_one_id(spark):
+    """Texts of one id have copies of their own, and the words taken come near the targets."""
+    r = random.Random(3)
+    rows = [(k % 40, " ".join(["w"] * r.randint(1, 30)) + f" {k}", ["a", "b", None][k % 3]) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes, taken = Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    for x in mixing.mixed_documents(docs).collect():
+        taken[x["source"]] += len(x["text"].split())
+    target = mixing.targets(sizes)
+    assert all(abs(taken[s] - target[s]) <= 16 for s in sizes)
+
+
 def test_pack_counts():
     r = random.Random(2)
     for _ in range(200):
@@ -136,6 +150,8 @@ def test_pack(docs, rows, none, ids_of):
             assert all(p["length"] == 64 for p in pieces[1:])
             assert len(pieces) == 1 or len(docs_ids[0]) > 64
     assert packing.pack(none).count() == 0
+    named = packing.packed_documents(docs)
+    assert named.select("doc_id", "copy", "piece").distinct().count() == named.count() == packing.pack(docs).count()
 
 
 def _vectors(spark, n=900, d=16):
@@ -151,9 +167,9 @@ def _vectors(spark, n=900, d=16):
 
 def test_nearest(spark):
     x, table = _vectors(spark)
-    for shard in (16_384, 200):
+    for shard, block in ((16_384, 1024), (200, 10)):
         got = defaultdict(list)
-        for r in neighbours.nearest(table.repartition(4), p=neighbours.SearchParams(shard=shard)).collect():
+        for r in neighbours.nearest(table.repartition(4), p=neighbours.SearchParams(shard=shard, block=block)).collect():
             got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
         assert sorted(got) == [*range(0, 900, 20), 2000, 2020]
         hits = 0

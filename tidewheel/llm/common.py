@@ -19,6 +19,7 @@ BATCH_ROWS, BATCH_BYTES = "500", "16m"
 SHARD_BYTES = 32 << 20
 
 _made: list[tuple[object, str]] = []
+_tables: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,19 +37,37 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def _file(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target, system = _file(spark, path)
+    return system.exists(target)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    target, system = _file(spark, path)
+    system.delete(target, True)
 
 
 @atexit.register
 def drop_scratch() -> None:
     """Deletes the scratch tables of this process; a session that is already gone leaves them."""
+    while _tables:
+        spark, name = _tables.pop()
+        if getattr(spark.sparkContext, "_jsc", None) is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     while _made:
         spark, path = _made.pop()
         if getattr(spark.sparkContext, "_jsc", None) is not None:
-            _drop(spark, path)
+            drop_path(spark, path)
+
+
+def forget_table(spark: SparkSession, name: str) -> None:
+    """Takes a table of files that stay out of the catalog when this process ends."""
+    _tables.append((spark, name))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

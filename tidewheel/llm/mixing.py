@@ -5,7 +5,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import WORD, fresh, salted_rank, scratch
@@ -82,18 +82,21 @@ def fit_budget(lengths: dict[int, int], budget: int) -> dict[int, int]:
     return {n: k for n, k in take.items() if k}
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(id, source, size, source_size, target, copies) for every row of docs; taken words are copies * size.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, mark: Column | None = None) -> DataFrame:
+    """(id, source, size, source_size, target, copies[, mark]) for every row of docs; taken words are copies * size.
 
     A source's budget takes every document whole as often as it can; of what is left, documents are counted by exact
     length, the counts are fitted (fit_budget), and for each length the first documents by a seeded hash of id are
     taken once more. Null text has size 0; null source is a source of its own, after the others; rows repeated under
-    one id are documents of their own. One row a source reaches the driver, and one source's counts by length,
-    bounded by its longest document, meet in one task. An empty table gives an empty result."""
+    one id are documents of their own. mark: a column of docs that comes along. One row a source reaches the driver. One
+    source's counts by length meet in one task: at most as many numbers as its longest document has words, L. The fit there
+    keeps a bit for each of at most 4 L sums after each of at most L log2(n) steps, and stops at the first exact sum: for
+    L = 20,000 about 10 KB a step. An empty table gives an empty result."""
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))  # no nulls in keys
-    rows = scratch(docs.select(F.col(id_col).cast("long").alias("id"), source.alias("source"), size.alias("size")), "sizes")
+    more = [] if mark is None else [mark.alias("mark")]
+    rows = scratch(docs.select(F.col(id_col).cast("long").alias("id"), source.alias("source"), size.alias("size"), *more), "sizes")
     sizes = {r["source"][1:] if r["source"] else None: r["size"] for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     plan = []
     for name, target in targets(sizes, weights, most).items():
@@ -113,21 +116,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     extra = scratch(budgets.groupBy("source").applyInArrow(fitted, "source string, size long, extra long"), "extra")
     ranked = salted_rank(rows, ["source", "size"], [F.col("id")], attach=extra).join(plan, "source")
     copies = F.col("whole") + F.when(F.col("rank") < F.coalesce(F.col("extra"), F.lit(0)), 1).otherwise(0)
-    return ranked.select("id", F.col("name").alias("source"), "size", "source_size", "target", copies.cast("int").alias("copies"))
+    return ranked.select("id", F.col("name").alias("source"), "size", "source_size", "target", copies.cast("int").alias("copies"), *["mark"] * len(more))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract columns for every document; see mix for nulls, empty texts, ties, repeated rows and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     out = mix(docs)
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with each row as often as the mix takes it; documents without words stay once, they cost no budget.
 
-    Rows that share an id share the number of copies that the mix gives the first of them."""
-    out = mix(docs, id_col=id_col).select("id", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).alias("copies"))
-    out = out.groupBy("id").agg(F.max("copies").alias("copies")).where("copies > 0").alias("m")
-    turn = fresh(docs, "copy")
-    joined = docs.alias("d").join(out, F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("m.id")))
-    return joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("m.copies"))).alias(turn)).drop(turn)
+    Rows of one id with different texts or sources are documents of their own. Rows repeated under one id, text and source
+    share what the mix gives them evenly, rounded down. Nulls are as in mix; an empty table gives an empty result."""
+    ident, key, source, copies = (fresh(docs, c) for c in ("id", "key", "mixed_source", "copies"))
+    mark = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")))
+    out = mix(docs, id_col, text_col, source_col, mark=mark)
+    out = out.groupBy("id", "mark").agg(F.floor(F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))) / F.count("*")).cast("int").alias("copies")).where("copies > 0")
+    out = out.select(F.coalesce("id", F.lit(-(2**63))).alias(ident), F.col("mark").alias(key), F.col("copies").alias(copies))
+    rows = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias(ident), mark.alias(key))
+    turn = F.explode(F.sequence(F.lit(1), F.col(copies))).alias(source)
+    return rows.join(out, [ident, key]).select("*", turn).select(*docs.columns)

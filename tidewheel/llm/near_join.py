@@ -293,9 +293,9 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     First is the smallest id, of different texts under one id the one with the smaller hash. Rows repeated under one id
     and text are one document and stay together. Rows without an id stay; null, empty and blank texts link to nothing and
     stay. An empty table gives an empty result."""
-    keep = _classes(docs.where(F.col(id_col).isNotNull()), id_col, text_col, JoinParams()).where("id = root and key = root_key")
+    found = _classes(docs.where(F.col(id_col).isNotNull()), id_col, text_col, JoinParams())
+    gone = scratch(found.where("id <> root or key <> root_key").select("id", "key").distinct(), "gone")
     ident, mark = fresh(docs, "id"), fresh(docs, "key")
-    keep = keep.select(F.col("id").alias(ident), F.col("key").alias(mark)).distinct()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kept = docs.select("*", F.col(id_col).cast("long").alias(ident), F.xxhash64(text).alias(mark)).join(keep, [ident, mark], "left_semi")
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    rows = docs.select("*", F.col(id_col).cast("long").alias(ident), F.xxhash64(text).alias(mark))
+    return rows.join(gone.toDF(ident, mark), [ident, mark], "left_anti").select(*docs.columns)

@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewheel.llm.common import scratch
+
 
 @dataclass(frozen=True)
 class SearchParams:
     k: int = 20
     #: Single projections, each a sorted array.
-    projections: int = 72
+    projections: int = 96
     #: A vector is verified when it has collided in this share of the projections.
     threshold: float = 0.7
-    #: Windows grow until this share of a shard, and so many more, are verified.
-    verify: float = 0.15
-    more: int = 240
+    #: Windows grow until k and so many more are verified, and a vector as near as the k-th best so far would be with this chance.
+    more: int = 60
+    catch: float = 0.86
     #: First half-width of a window, in standard deviations of the projections, and its growth.
-    width: float = 0.95
-    growth: float = 1.1
-    #: Vectors of one shard; each shard is indexed whole and answers every query.
-    shard: int = 16_384
+    width: float = 0.9
+    growth: float = 1.04
+    #: Vectors of one shard, which are indexed together, and queries that meet them in one task.
+    shard: int = 32_768
+    block: int = 1024
     seed: int = 9
 
 
@@ -32,67 +37,85 @@ class CollisionIndex:
     """Sorted single projections of vectors of about one length. A query counts, window by growing window, in how many projections each
     vector lies within the window around the query's own; only what a growth adds is counted anew."""
 
-    def __init__(self, vectors: np.ndarray, p: SearchParams):
-        self.vectors, self.p = vectors, p
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, p: SearchParams):
+        self.vectors, self.ids, self.p = vectors, ids, p
         squares = (vectors**2).sum(1)
+        self.length = float(np.sqrt(squares.max()))
         # One more coordinate brings all vectors to the same length, so that the largest inner product is the nearest.
         rest = np.sqrt(squares.max() - squares)
         self.axes = np.random.default_rng(p.seed).normal(size=(vectors.shape[1] + 1, p.projections))
         values = (np.column_stack([vectors, rest]) @ self.axes).T
-        self.order = np.argsort(values, axis=1, kind="stable")
+        self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
         self.values = np.take_along_axis(values, self.order, 1)
-        self.spread = max(float(values.std(axis=1).mean()), 1e-12)
+        self.spread = max(float(values.std(axis=1).mean()), 1e-9 * float(np.abs(values).max()), 1e-300)
+
+    def _caught(self, half: float, squared: float) -> bool:
+        """Whether windows of this half-width verify a vector at the root of this squared distance often enough.
+
+        Its projections differ from the query's by a normal deviate of that distance; collisions are counted as one too."""
+        p = self.p
+        one = math.erf(half / math.sqrt(2 * squared)) if squared > 0 else 1.0
+        if one >= 1:
+            return True
+        z = (p.projections * one - math.ceil(p.threshold * p.projections) + 0.5) / math.sqrt(p.projections * one * (1 - one))
+        return 0.5 * (1 + math.erf(z / math.sqrt(2))) >= p.catch
+
+    def top(self, query: np.ndarray, own: int, best: tuple[np.ndarray, np.ndarray], seen: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores): the k best of `best` and of what is verified here but the query's own, best first, ties to the smaller id.
 
-    def near(self, query: np.ndarray) -> np.ndarray:
-        """Rows that collide often enough."""
+        seen[0] grows by the number of verified vectors."""
         p, n = self.p, len(self.vectors)
-        enough = p.verify * n + p.more
-        if enough >= n:
-            return np.arange(n)
-        own = query @ self.axes[:-1]
-        least = max(1, int(p.threshold * p.projections))
-        counts, half, lo, hi = np.zeros(n, np.int64), p.width * self.spread, None, None
+        size = float(query @ query)
+        if len(best[0]) >= p.k and best[1][-1] > self.length * math.sqrt(size) * (1 + 1e-9):
+            return best  # no vector of this length can be as near
+        at, least, enough = query @ self.axes[:-1], math.ceil(p.threshold * p.projections), min(n, p.k + p.more)
+        counts, verified = np.zeros(n, np.int16), np.zeros(n, bool)
+        half, growth, lo, hi, found = p.width * self.spread, p.growth, None, None, 0
         while True:
-            a = np.array([v.searchsorted(x) for v, x in zip(self.values, own - half)])
-            z = np.array([v.searchsorted(x, "right") for v, x in zip(self.values, own + half)])
+            a = np.array([v.searchsorted(x) for v, x in zip(self.values, at - half)])
+            z = np.array([v.searchsorted(x, "right") for v, x in zip(self.values, at + half)])
             if lo is None:
                 new = [o[i:j] for o, i, j in zip(self.order, a, z)]
             else:
                 new = [o[i:j] for o, i, j in zip(self.order, a, lo)] + [o[i:j] for o, i, j in zip(self.order, hi, z)]
-            counts += np.bincount(np.concatenate(new), minlength=n)
+            counts += np.bincount(np.concatenate(new), minlength=n).astype(np.int16)
             lo, hi = a, z
-            found = np.flatnonzero(counts >= least)
-            if len(found) >= enough:
-                return found
-            half *= p.growth
-
-    def top(self, query: np.ndarray, ids: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best verified rows but the query's own, best first, ties to the smaller id."""
-        rows = self.near(query)
-        rows = rows[ids[rows] != own]
-        scores = self.vectors[rows] @ query
-        if len(rows) > self.p.k:
-            edge = np.partition(scores, len(scores) - self.p.k)[len(scores) - self.p.k]
-            some = scores >= edge
-            rows, scores = rows[some], scores[some]
-        best = np.lexsort((ids[rows], -scores))[: self.p.k]
-        return ids[rows][best], scores[best]
+            rows = np.flatnonzero((counts >= least) & ~verified)
+            verified[rows] = True
+            found += len(rows)
+            rows = rows[self.ids[rows] != own]
+            if len(rows):
+                scores = (self.vectors[rows] * query).sum(1)
+                best = _best(np.append(best[0], self.ids[rows]), np.append(best[1], scores), p.k)
+            if found == n or (found >= enough and len(best[0]) >= p.k and self._caught(half, self.length**2 + size - 2 * float(best[1][-1]))):
+                seen[0] += found
+                return best
+            half *= growth
+            growth *= 1.01
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(scores) > k:
+        some = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        ids, scores = ids[some], scores[some]
+    order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order]
 
 
 class LengthBands:
     """An index for each range of vector lengths (a factor of the square root of 2), so that a few long vectors don't
-    flatten the differences between all others."""
+    flatten the differences between all others. The longest come first: their finds may rule all shorter ones out."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, p: SearchParams):
         band = np.round(np.log2((vectors**2).sum(1)))
-        self.p = p
-        self.parts = [(CollisionIndex(vectors[band == b], p), ids[band == b]) for b in np.unique(band)]
+        self.verified = [0]
+        self.parts = [CollisionIndex(vectors[band == b], ids[band == b], p) for b in np.unique(band)[::-1]]
 
     def top(self, query: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-        found = [index.top(query, ids, own) for index, ids in self.parts]
-        ids, scores = (np.concatenate(x) for x in zip(*found))
-        best = np.lexsort((ids, -scores))[: self.p.k]
-        return ids[best], scores[best]
+        best = np.empty(0, np.int64), np.empty(0)
+        for index in self.parts:
+            best = index.top(query, own, best, self.verified)
+        return best
 
 
 def vectors_of(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -109,35 +132,40 @@ def nearest(table: DataFrame, every: int = 20, id_col: str = "vec_id", vector_co
 
     Candidates are all other ids of the same dimension; all are returned if there are fewer than p.k. Vectors null, zero or
     with null or non-finite components, and rows without an id, take no part; of rows repeated under one id the least
-    vector counts. Ties go to the smaller id. Vectors are dealt by hash into shards of p.shard, each shard meets the
-    queries once, and a query's k best of every shard are merged. An empty table gives an empty result."""
-    rows = vectors_of(table, id_col, vector_col)
-    shards = max(1, -(-rows.count() // p.shard))
+    vector counts. Ties go to the smaller id. Vectors are dealt by hash into shards of about p.shard, queries into blocks of
+    about p.block; a task indexes one shard and answers one block, and the k best of every shard are merged by a shuffle
+    on the query. An empty table gives an empty result."""
+    rows = scratch(vectors_of(table, id_col, vector_col), "vectors")
+    n = rows.agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("asked")).first()
+    shards, blocks = (max(1, -(-a // b)) for a, b in ((n["n"], p.shard), (n["asked"], p.block)))
+    deal = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(parts)).cast("int")
+    every_one = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     rows = rows.withColumn("dim", F.size("v"))
-    base = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(shards)).cast("int"))
-    asked = rows.where(F.col("id") % every == 0).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "v", "dim", "shard")])
+    base = rows.withColumn("shard", deal(9, shards)).withColumn("block", every_one(blocks))
+    asked = rows.where(F.col("id") % every == 0).withColumn("block", deal(10, blocks)).withColumn("shard", every_one(shards))
+    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "v", "dim", "shard", "block")])
 
     def matrix(t: pa.Table, name: str) -> np.ndarray:
         column = t.column(name).combine_chunks()
         return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
     def searched(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "ids": [], "scores": []}
+        out = {"query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
             index = LengthBands(matrix(left, "v"), left.column("id").to_numpy(), p)
             for own, q in zip(right.column("q_id").to_pylist(), matrix(right, "q_v")):
                 best, scores = index.top(q, own)
-                out["query_id"].append(own)
-                out["ids"].append(best)
-                out["scores"].append(scores)
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "ids": pa.array(out["ids"], pa.list_(pa.int64())), "scores": pa.array(out["scores"], pa.list_(pa.float64()))})
+                out["query_id"].append(np.full(len(best), own))
+                out["vec_id"].append(best)
+                out["score"].append(scores)
+        kinds = (np.int64, np.int64, np.float64)
+        return pa.table({name: np.concatenate([np.empty(0, kind), *x]) for (name, x), kind in zip(out.items(), kinds)})
 
-    found = base.groupBy("dim", "shard").cogroup(asked.groupBy("q_dim", "q_shard")).applyInArrow(searched, "query_id long, ids array<long>, scores array<double>")
-    pairs = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((-x["scores"]).alias("minus"), x["ids"].alias("vec_id")))
-    best = found.select("query_id", pairs.alias("some")).groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, p.k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "hit.vec_id", (-F.col("hit.minus")).alias("score"))
+    found = base.groupBy("dim", "shard", "block").cogroup(asked.groupBy("q_dim", "q_shard", "q_block")).applyInArrow(searched, "query_id long, vec_id long, score double")
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract columns for every query; see nearest for vectors that take no part, ties, repeated rows and empty tables."""
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))

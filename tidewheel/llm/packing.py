@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import salted_rank, scratch, small_batches
@@ -181,8 +182,8 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabu
     return rows.mapInArrow(encoded, schema)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset[, ids]): every piece of every row of docs.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, with_ids: bool = False, with_copy: bool = False) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, sequence_id, offset[, copy][, ids]): every piece of every row of docs.
 
     A document longer than capacity is cut; its first piece takes the remainder, so all others fill a sequence.
     Null and empty texts are the end id alone; rows repeated under one id are packed each; an empty table packs to
@@ -207,7 +208,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         starts[n], total = total, total + counts[n]
     shared = spark.sparkContext.broadcast((tables, starts, sequence))
     ranked = salted_rank(pieces.select("id", "first", "n", "crcs", *["ids"] * with_ids), ["first"], [F.col("id"), F.col("crcs")])
-    schema = "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids
+    if with_copy:  # rows of one id are few where copies come from a mix
+        ranked = ranked.withColumn("copy", F.row_number().over(W.partitionBy("id").orderBy("first", "rank")))
+    schema = "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", copy int" * with_copy + ", ids binary" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
 
     def placed(batches):
@@ -234,6 +237,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                 b.column(b.schema.get_field_index("id")).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                 pa.array([x for c in crcs for x in c], pa.int64()), pa.array(np.where(piece == 0, sequence[doc], full + place[doc] * most + piece - 1), pa.int64()), pa.array(np.where(piece == 0, offset[doc], 0), pa.int64()),
             ]
+            if with_copy:
+                columns.append(b.column(b.schema.get_field_index("copy")).take(pa.array(doc)))
             if with_ids:
                 raw = b.column(b.schema.get_field_index("ids")).to_pylist()
                 columns.append(pa.array([raw[d][4 * s : 4 * (s + n)] for d, s, n in zip(doc, start, length)], pa.binary()))
@@ -243,9 +248,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract columns for every piece; see pack for nulls, empty texts, ties, repeated rows and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return packed_documents(docs)
+    return pack(docs).withColumnRenamed("id", "doc_id")
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    return pack(docs).withColumnRenamed("id", "doc_id")
+    """Pieces as of pack, with copy: which of the rows of one doc_id the piece is of, from 1; see pack for odd rows.
+
+    (doc_id, copy, piece) tells all rows apart, null ids included."""
+    return pack(docs, with_copy=True).withColumnRenamed("id", "doc_id")
