@@ -67,6 +67,9 @@ def test_toxicity_scores_odd_rows(docs, none, spark):
     out = toxicity.score(docs, fm, score_col="own")
     assert out.columns == [*docs.columns, "own"] and out.count() == docs.count() and out.where("own is null").count() == 0
     assert toxicity.score(none, fm, score_col="own").count() == 0
+    clash = toxicity.score(docs, fm)  # docs have a column score
+    assert clash.columns == [*(c for c in docs.columns if c != "score"), "score"]
+    assert sorted(map(str, clash.select("doc_id", "text", "lang", "score").collect())) == sorted(map(str, out.select("doc_id", "text", "lang", F.col("own").alias("score")).collect()))
     assert set(toxicity.clean_documents(docs, labels).columns) == set(docs.columns)
     empty = toxicity.train(docs, labels.limit(0))
     assert toxicity.score(docs, empty, score_col="own").where("own < 0 or own > 1").count() == 0
@@ -78,6 +81,59 @@ def test_gradient_of_pairs():
     assert fm.scores([np.array([0, 2])])[0] == pytest.approx(1 / (1 + np.exp(-z)))
 
 
+def test_scores_equal_sums_over_all_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n, k = int(rng.integers(1, 9)), int(rng.integers(1, 5))
+        w, v = np.append(rng.normal(size=n), 0), np.vstack([rng.normal(size=(n, k)), np.zeros(k)])
+        fm = toxicity.FactorizationMachine(np.arange(n) * 3, float(rng.normal()), w, v)
+        rows = [np.sort(rng.choice(n, rng.integers(0, n + 1), replace=False)) for _ in range(5)]
+        found = [fm.known(list(r * 3) + [1, 7]) for r in rows]  # 1 and 7 are no terms of the model
+        for r, s in zip(rows, fm.scores(found)):
+            z = fm.bias + w[r].sum() + sum(v[a] @ v[b] for i, a in enumerate(r) for b in r[:i])
+            assert s == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
+def test_factorization_machine_learns_words_that_are_neutral_alone(spark):
+    """Toxic is an insult or a group mention, not both: no linear model does better than chance."""
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows, labels = [], []
+    for k in range(4000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        words = [*(r.choice(vocabulary) for _ in range(15)), *["nitwit"] * a, *["martians"] * b]
+        r.shuffle(words)
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(a != b)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    fm = toxicity.train(docs, labels)
+
+    def accuracy(fm):
+        got = toxicity.score(docs, fm).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).collect()
+        return np.mean([(x["score"] >= 0.5) == bool(x["toxic"]) for x in got])
+
+    assert accuracy(fm) > 0.97
+    fm.factors[:] = 0
+    assert accuracy(fm) < 0.8
+
+
+def test_training_rows_stay_within_the_bound(spark):
+    docs = spark.createDataFrame([(k % 20, f"word{k} same") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)] + [(3, 0)], "doc_id long, toxic int")
+    seen = {}
+
+    def fit(cls, rows, labels, p):
+        seen["n"] = len(rows), len(labels)
+        return cls(np.empty(0, int), 0.0, np.zeros(1), np.zeros((1, 1)))
+
+    before, toxicity.FactorizationMachine.fit = toxicity.FactorizationMachine.fit, classmethod(fit)
+    try:
+        toxicity.train(docs, labels, toxicity.FMParams(max_rows=5))
+    finally:
+        toxicity.FactorizationMachine.fit = before
+    assert seen["n"] == (5, 5)
+
+
 CANDIDATE = re.compile(secrets.CANDIDATE)
 
 

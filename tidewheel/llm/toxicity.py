@@ -24,12 +24,16 @@ class FMParams:
     #: Labelled rows to learn from, at most; more are cut by a hash of the id, so the same rows each time.
     max_rows: int = 8_000
     bits: int = 26
-    #: Terms that fewer labelled rows have, or whose share differs between the labels by fewer standard errors, are not
-    #: learned and count nothing: tens of thousands of chance weights would drown the few that matter. Among the rows of a
-    #: term so kept, other terms are compared anew, and those whose share differs by least_pair_z are learned as well.
+    #: Terms are learned that at least min_rows labelled rows have and that tell the labels apart: alone, by least_z
+    #: standard errors, or among the rows of another term, by least_pair_z. The others count nothing: tens of thousands
+    #: of chance weights would drown the few that matter. The other term is one that tells the labels apart alone, or any
+    #: that a share of pair_share of the rows has, as this one then has to: so two words that are neutral each are
+    #: found by what they are together, if by least_neutral_z, as tens of millions of such pairs are compared.
     min_rows: int = 6
     least_z: float = 4.0
     least_pair_z: float = 6.0
+    least_neutral_z: float = 9.0
+    pair_share: float = 0.01
     factors: int = 4
     epochs: int = 16
     rate: float = 0.3
@@ -54,11 +58,22 @@ def differences(counts: np.ndarray, have: np.ndarray, n: int, ones: float) -> np
     return np.nan_to_num(z, posinf=0, neginf=0)
 
 
+def _apart(c: np.ndarray, h: np.ndarray, n, ones, p: FMParams, least_z: float) -> np.ndarray:
+    """Whether terms that c of n rows have, h of the `ones` labelled 1 among them, tell the labels apart.
+
+    A normal deviate says little of small counts, so that the smallest of the four counts that chance would give has to
+    reach 1, and the counts are corrected by a half."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chance = c * ones / n
+        least = np.minimum(np.minimum(chance, c - chance), np.minimum(ones - chance, n - ones - c + chance))
+        nearer = chance + np.sign(h - chance) * np.maximum(np.abs(h - chance) - 0.5, 0)
+        return (c >= p.min_rows) & (least >= 1) & (np.abs(differences(c, nearer, n, ones)) >= least_z)
+
+
 def beside(kept: np.ndarray, at: np.ndarray, of: np.ndarray, labels: np.ndarray, counts: np.ndarray, p: FMParams) -> np.ndarray:
     """Which terms tell the labels apart among the rows of a kept term, whatever they do over all rows.
 
-    at, of: the term and the row of every occurrence. A normal deviate says little of small counts, so that the smallest
-    of the four counts that chance would give has to reach 1, and the counts are corrected by a half."""
+    at, of: the term and the row of every occurrence."""
     found = np.zeros(len(counts), bool)
     often = counts >= p.min_rows
     use = often[at]
@@ -75,13 +90,39 @@ def beside(kept: np.ndarray, at: np.ndarray, of: np.ndarray, labels: np.ndarray,
         neg = [at[edges[r] : edges[r + 1]] for r in has if not labels[r]]
         h = np.bincount(np.concatenate(pos), minlength=len(counts))
         c = h + np.bincount(np.concatenate(neg), minlength=len(counts))
-        chance = c * ones / n
-        least = np.minimum(np.minimum(chance, c - chance), np.minimum(ones - chance, n - ones - c + chance))
-        nearer = chance + np.sign(h - chance) * np.maximum(np.abs(h - chance) - 0.5, 0)
-        found |= (c >= p.min_rows) & (least >= 1) & (np.abs(differences(c, nearer, n, ones)) >= p.least_pair_z)
+        found |= _apart(c, h, n, ones, p, p.least_pair_z)
     return found & often
 
 
+def together(at: np.ndarray, of: np.ndarray, labels: np.ndarray, counts: np.ndarray, p: FMParams, block: int = 512) -> np.ndarray:
+    """Which terms tell the labels apart among the rows of any other term, of those that a share of p.pair_share of the rows has.
+
+    All pairs are counted, as products of blocks of the 0/1 matrix of rows and terms."""
+    n = len(labels)
+    often = np.flatnonzero(counts >= max(p.min_rows, p.pair_share * n))
+    place = np.full(len(counts), -1)
+    place[often] = np.arange(len(often))
+    use = place[at] >= 0
+    held = np.zeros((n, len(often)), bool)
+    held[of[use], place[at[use]]] = True
+    held = held[np.argsort(-labels, kind="stable")]  # rows labelled 1 first
+    ones = int(labels.sum())
+    with_one = held[:ones].sum(0).astype(float)
+    size = counts[often].astype(float)
+    found = np.zeros(len(often), bool)
+    for a in range(0, len(often), block):
+        x, i = held[:, a : a + block].astype(np.float32), slice(a, a + block)
+        for b in range(a, len(often), block):
+            y, j = held[:, b : b + block].astype(np.float32), slice(b, b + block)
+            h = (x[:ones].T @ y[:ones]).astype(float)
+            c = h + x[ones:].T @ y[ones:]
+            found[j] |= _apart(c, h, size[i, None], with_one[i, None], p, p.least_neutral_z).any(0)
+            found[i] |= _apart(c, h, size[None, j], with_one[None, j], p, p.least_neutral_z).any(1)
+    out = np.zeros(len(counts), bool)
+    out[often] = found
+    return out
+
+
 class FactorizationMachine:
     def __init__(self, terms: np.ndarray, bias: float, weights: np.ndarray, factors: np.ndarray):
         self.terms, self.bias, self.weights, self.factors = terms, bias, weights, factors
@@ -98,7 +139,10 @@ class FactorizationMachine:
         of = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
         have = np.bincount(at, labels[of], len(terms))
         kept = (counts >= p.min_rows) & (np.abs(differences(counts, have, n, ones)) >= p.least_z)
-        terms = terms[kept | beside(np.flatnonzero(kept), at.astype(np.int32), of, labels, counts, p)]
+        if 0 < ones < n:
+            at = at.astype(np.int32)
+            kept = kept | beside(np.flatnonzero(kept), at, of, labels, counts, p) | together(at, of, labels, counts, p)
+        terms = terms[kept]
         fm = cls(terms, float(np.log(share / (1 - share))), np.zeros(len(terms) + 1), rng.normal(0, 0.01, (len(terms) + 1, p.factors)))
         fm.factors[-1] = 0
         if not len(terms) or labels.min() == labels.max():
@@ -151,7 +195,9 @@ class FactorizationMachine:
 def train(docs: DataFrame, labels: DataFrame, p: FMParams = FMParams(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine:
     """Learns from labelled rows whose crc32(id as text) mod 5 is not 0, at most p.max_rows of them by a hash of the id.
 
-    What reaches the driver is bounded by p.max_rows. Null labels and labels other than 0 and 1 are no labels."""
+    What reaches the driver is bounded by p.max_rows. Null labels and labels other than 0 and 1 are no labels; of labels
+    under one id the larger counts, of different texts under one id the one with the smaller hash. Null text is empty.
+    Without labelled rows, or with rows of one label only, the model scores every text alike."""
     small_batches(docs.sparkSession)
     mask = (1 << p.bits) - 1
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -159,6 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, p: FMParams = FMParams(), id_col:
     marks = marks.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.col("id"), F.lit(p.seed)), "id").limit(p.max_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(marks), "id")  # at most p.max_rows rows of two numbers
+    rows = rows.groupBy("id").agg(F.min(F.struct(F.xxhash64("text"), "text", "label")).alias("r")).select("id", "r.text", "r.label")
 
     def hashed(batches):
         for b in batches:
@@ -174,16 +221,19 @@ def train(docs: DataFrame, labels: DataFrame, p: FMParams = FMParams(), id_col:
 
 
 def score(docs: DataFrame, fm: FactorizationMachine, p: FMParams = FMParams(), text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with score_col, the probability that a text is toxic; null and empty texts get the bias alone.
+    """docs with score_col, the probability that a text is toxic, as the last column; one of that name goes.
 
-    The model that each task gets holds the terms that p.min_rows of at most p.max_rows labelled rows share,
-    so its size does not grow with docs."""
+    Null and empty texts get the bias alone; rows repeated are scored each; an empty table gives an empty result. The
+    model that each task gets holds terms that p.min_rows of at most p.max_rows labelled rows share, so its size does not
+    grow with docs."""
+    if score_col.lower() == text_col.lower():
+        raise ValueError("the score can't take the text's column")
     small_batches(docs.sparkSession)
     mask = (1 << p.bits) - 1
     model = docs.sparkSession.sparkContext.broadcast((fm.terms, fm.bias, fm.weights, fm.factors))
-    out = docs.withColumn(score_col, F.lit(None).cast("double"))
+    out = docs.drop(*[c for c in docs.columns if c.lower() == score_col.lower()]).withColumn(score_col, F.lit(None).cast("double"))
     names = out.columns
-    at = [c.lower() for c in docs.columns].index(text_col.lower())
+    at = [c.lower() for c in names].index(text_col.lower())
 
     def scored(batches):
         own = FactorizationMachine(*model.value)
@@ -205,7 +255,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, p: FMParams = FMParams()) -> DataFrame:
-    """The documents that the model does not call toxic, with their columns."""
+    """The documents that the model does not call toxic, with their columns; see train and score for odd rows."""
     fm = train(docs, labels, p)
     col = fresh(docs, "score")
     return score(docs, fm, p, score_col=col).where(F.col(col) < 0.5).drop(col)
