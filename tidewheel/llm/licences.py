@@ -11,31 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import small_batches
+from tidewheel.llm.licence_texts import BASE, NAMES, TEXTS
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-# The phrases of the base scan and their labels.
-BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-
-# Opening words of public licences and notices. Words in brackets are the mandatory key phrase.
-TEMPLATES = {
-    "mit": ["[permission is hereby granted free of charge] to any person obtaining a copy of this software and associated documentation files"],
-    "apache": ["[licensed under the apache license] version 2 0 you may not use this file except in compliance with the license"],
-    "gpl": ["this program is free software you can redistribute it and or modify it under the terms of the [gnu general public license]"],
-    "lgpl": ["[gnu lesser general public license]"],
-    "agpl": ["[gnu affero general public license]"],
-    "bsd": ["[redistribution and use in source and binary forms] with or without modification are permitted provided that the following conditions are met", "[bsd 3 clause license]", "[bsd 2 clause license]"],
-    "mpl": ["this source code form is subject to the terms of the [mozilla public license]"],
-    "epl": ["[eclipse public license]"],
-    "isc": ["[permission to use copy modify and or distribute this software] for any purpose with or without fee is hereby granted"],
-    "cc-by": ["[creative commons attribution] 4 0 international license", "licensed under [cc by 4 0]"],
-    "cc-by-nc": ["licensed under [cc by nc 4 0]"],
-    "cc-by-sa": ["licensed under [cc by sa 4 0]"],
-    "cc0": ["[cc0 1 0 universal]"],
-    "unlicense": ["this is [free and unencumbered software] released into the public domain"],
-    "bsl": ["[boost software license] version 1 0"],
-    "proprietary": ["[all rights reserved]"],
-}
+#: A word of a text stands in its place if it is at most so many words off, as where a name was put in.
+SLACK = 8
+#: The most that a licence's name alone scores.
+NAME = 0.5
 
 
 @dataclass
@@ -44,23 +27,24 @@ class Template:
     words: list[bytes]
     start: int  # of the key phrase
     size: int
-    base: bool
+    base: bool = False
+    most: float = 1.0  # what the whole template scores
     keys: list[int] = field(default_factory=list)  # offsets of its rarest words in the key phrase
 
 
-def templates(base: dict[str, str] = BASE, more: dict[str, list[str]] = TEMPLATES) -> list[Template]:
-    out = [Template(label, phrase.encode().split(), 0, len(phrase.split()), True) for phrase, label in base.items()]
-    for label, texts in more.items():
-        for text in texts:
-            words = text.encode().split()
-            a = next(k for k, w in enumerate(words) if w.startswith(b"["))
-            z = next(k for k, w in enumerate(words) if w.endswith(b"]"))
-            out.append(Template(label, [w.strip(b"[]") for w in words], a, z - a + 1, False))
+def templates(base: dict[str, str] = BASE, names: dict[str, list[str]] = NAMES, texts: dict[str, str] = TEXTS) -> list[Template]:
+    """base: label by phrase; names: phrases by label; texts: by label, with the mandatory key phrase in brackets."""
+    named = [(label, phrase, True) for phrase, label in base.items()] + [(label, phrase, False) for label, some in names.items() for phrase in some]
+    out = [Template(label, words_of(phrase.encode()), 0, len(words_of(phrase.encode())), is_base, NAME) for label, phrase, is_base in named]
+    for label, text in texts.items():
+        before, key, after = (words_of(x.encode()) for x in (text.partition("[")[0], text.partition("[")[2].partition("]")[0], text.partition("]")[2]))
+        out.append(Template(label, before + key + after, len(before), len(key)))
     return out
 
 
 class RareWordIndex:
-    """Postings of each template's rarest key words: word -> (template, offset)."""
+    """Positional postings of every template's key words: word -> (template, offset). A template's two rarest ones, by the
+    frequencies of the scanned texts, have to meet in their relative positions before its key phrase is verified."""
 
     def __init__(self, known: list[Template], idf: dict[bytes, float], rare: int = 2):
         self.templates, self.idf = known, idf
@@ -88,12 +72,14 @@ class RareWordIndex:
                 out.append((k, at))
         return out
 
-    def share(self, words: list[bytes], k: int, at: int) -> float:
-        """The part of the template's IDF that stands in its place."""
+    def score(self, words: list[bytes], k: int, at: int) -> float:
+        """The part of the template, by IDF, of which each word stands at most SLACK words off its place."""
         t = self.templates[k]
-        whole = sum(self.idf[w] for w in t.words)
-        found = sum(self.idf[w] for o, w in enumerate(t.words) if 0 <= at + o < len(words) and words[at + o] == w)
-        return min(1.0, found / whole)
+        near: dict[bytes, list[int]] = {}
+        for p in range(max(0, at - SLACK), min(len(words), at + len(t.words) + SLACK)):
+            near.setdefault(words[p], []).append(p)
+        found = sum(self.idf[w] for o, w in enumerate(t.words) if any(abs(p - at - o) <= SLACK for p in near.get(w, ())))
+        return t.most * min(1.0, found / sum(self.idf[w] for w in t.words))
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -141,7 +127,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
                 base = [(at, known[k].label) for k, at in found if known[k].base]
                 places = [at for at, _ in base]
                 labels = {known[k].label for k, _ in found}
-                score = max((index.share(words, k, at) for k, at in found), default=0.0)
+                score = max((index.score(words, k, at) for k, at in found), default=0.0)
                 out.append((ident, len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), score))
             columns = list(zip(*out)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -150,5 +136,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
 
 
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract columns for every document; see scan for nulls, empty texts, repeated rows and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return scan(docs).withColumnRenamed("id", "doc_id")

@@ -12,8 +12,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Runs of 12 or more characters of secrets' alphabets with a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{12,}={0,2}"
+#: Runs of 12 or more characters of secrets' alphabets with a digit among them (group 1), and whatever of 6 or more
+#: characters is assigned to a secret's name (group 3, after the name and the sign in group 2).
+CANDIDATE = (
+    r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])([A-Za-z0-9_+/\-]{12,}={0,2})"
+    r"|((?i:passw(?:or)?d|pwd|secret|token|api_?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?)([^\s\"',;<>\x01\x02]{6,})"
+)
 #: Characters of context on either side.
 AROUND = 48
 
@@ -38,8 +42,9 @@ FEATURES = ("n", "transitions", "distinct", "digits", "letters", "upper", "cover
 
 @dataclass(frozen=True)
 class ForestParams:
-    #: Labelled findings to learn from, at most.
+    #: Labelled findings to learn from, at most; of a table of documents, so many are reviewed.
     max_findings: int = 4_000
+    max_reviewed: int = 2_000
     trees: int = 25
     depth: int = 7
     least: int = 3
@@ -71,25 +76,63 @@ def features(found: Column, before: Column, after: Column, path: Column) -> dict
     return {k: v.cast("double") for k, v in out.items()}
 
 
+def _sums(x: Column) -> Column:
+    """For an array of numbers 0 and the sums up to each element, by a fold."""
+    return F.aggregate(x, F.array(F.lit(0)), lambda a, v: F.array_append(a, F.element_at(a, -1) + v))
+
+
+def _starts(sizes: Column) -> Column:
+    """Where each piece begins, from their sizes. Folds copy what they have so far at each step; so they run over groups of
+    about the root of the number, and over the groups' sums."""
+    n = F.size(sizes)
+    each = F.ceil(F.sqrt(n)).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), F.ceil(n / each).cast("int") - 1), lambda g: F.slice(sizes, g * each + 1, each))
+    ends = _sums(F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda a, v: a + v)))
+    return F.flatten(F.transform(groups, lambda g, k: F.transform(F.slice(_sums(g), F.lit(1), F.size(g)), lambda v: v + F.get(ends, k))))
+
+
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
     """(id, start, found, before, after, path): one row for every candidate of every text; start counts characters from 0.
 
     Matches are marked with two control characters (which the text loses first, for spaces), the text is split at the
-    first of them, and starts are summed up over the pieces."""
+    first of them, and starts are summed up over the pieces. Of a text's pieces each candidate carries its own context only."""
     text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\x01\x02", "  ")
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), path.alias("path"), text.alias("text")).where(F.col("text").rlike(CANDIDATE))
-    parts = rows.select("id", "path", F.split(F.regexp_replace("text", f"({CANDIDATE})", "\x01$1\x02"), "\x01").alias("parts"))
+    parts = rows.select("id", "path", F.split(F.regexp_replace("text", CANDIDATE, "$2\x01$1$3\x02"), "\x01").alias("parts"))
     # The first piece has no mark; every other one has the second mark and lost the first.
-    sizes = F.transform("parts", lambda x, k: F.length(x) - F.when(k > 0, 1).otherwise(0))
-    start = F.aggregate(sizes, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
-    pieces = parts.select("id", "path", "parts", start.alias("starts"))
-    pieces = pieces.select("id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda k: F.struct(F.get("starts", k).alias("start"), F.get("parts", k).alias("piece"), F.get("parts", k - 1).alias("last"), F.get("parts", k + 1).alias("then")))).alias("p"))
-    found, rest = F.substring_index("p.piece", "\x02", 1), F.substring_index("p.piece", "\x02", -1)
-    # Context runs on into the neighbouring pieces, as far as they are one candidate away.
-    before = F.right(F.translate("p.last", "\x02", ""), F.lit(AROUND))
-    after = F.left(F.concat(rest, F.translate(F.coalesce("p.then", F.lit("")), "\x02", "")), F.lit(AROUND))
-    return pieces.select("id", F.col("p.start").cast("long").alias("start"), found.alias("found"), before.alias("before"), after.alias("after"), "path")
+    parts = parts.select("*", F.transform("parts", lambda x, k: F.length(x) - F.when(k > 0, 1).otherwise(0)).alias("sizes"))
+    parts = parts.select("id", "path", "parts", _starts(F.col("sizes")).alias("starts"))
+
+    def one(k: Column) -> Column:
+        piece, last, then = F.get("parts", k), F.get("parts", k - 1), F.coalesce(F.get("parts", k + 1), F.lit(""))
+        # Context runs on into the neighbouring pieces, as far as they are one candidate away.
+        after = F.concat(F.left(F.substring_index(piece, "\x02", -1), F.lit(AROUND)), F.left(F.translate(then, "\x02", ""), F.lit(AROUND)))
+        return F.struct(
+            F.get("starts", k).cast("long").alias("start"), F.substring_index(piece, "\x02", 1).alias("found"),
+            F.right(F.translate(F.right(last, F.lit(AROUND + 1)), "\x02", ""), F.lit(AROUND)).alias("before"), F.left(after, F.lit(AROUND)).alias("after"),
+        )
+
+    found = parts.select("id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), one)).alias("p"))
+    return found.select("id", "p.start", "p.found", "p.before", "p.after", "path")
+
+
+#: What a reviewer goes by: formats of keys, and a value that is assigned to a secret's name outside of samples.
+KEY_FORMAT = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,}|xox[abp]-[0-9A-Za-z-]{20,}|sk_live_[0-9A-Za-z]{20,})$"
+ASSIGNED = r"(?i)(passw(or)?d|pwd|secret|token|api_?key)[\"']?[ \t]*[=:][ \t]*[\"']?$"
+
+
+def reviewed_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, p: ForestParams = ForestParams(), held_out: bool = False) -> list[dict]:
+    """Findings of docs with the label that KEY_FORMAT and ASSIGNED give them: at most p.max_reviewed, the first by a hash.
+
+    A stand-in for a reviewer, whose labels take its place in train(). Rows whose crc32(id as text) mod 5 is 0 are kept
+    out, or are the only ones with held_out. Null text has no findings."""
+    held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    found = candidates(docs.where(held if held_out else ~held), id_col, text_col, path_col)
+    sure = F.col("found").rlike(KEY_FORMAT) | (F.col("before").rlike(ASSIGNED) & ~F.lower("path").rlike(_any(SAMPLE_PATHS)))
+    order = [F.xxhash64(F.lit(p.seed), "id", "start", "found"), F.col("id"), F.col("start"), F.col("found")]
+    rows = found.select("found", "before", "after", "path", sure.cast("int").alias("label"), "id", "start").orderBy(*order).limit(p.max_reviewed)
+    return [r.asDict() for r in rows.drop("id", "start").collect()]
 
 
 def grown(x: np.ndarray, y: np.ndarray, p: ForestParams, rng: np.random.Generator, depth: int = 0):
@@ -140,8 +183,8 @@ def labelled_findings(n: int = 3_000, seed: int = 13) -> list[dict]:
     word = lambda: r.choice(DICTIONARY)
     prose = lambda: " ".join(text("aeinorst", r.randint(2, 8)) for _ in range(r.randint(2, 6))) + " "
 
-    def row(found, before, after, label, path=None):
-        while not any(c.isdigit() for c in found):
+    def row(found, before, after, label, path=None, digit=True):
+        while digit and not any(c.isdigit() for c in found):
             found += r.choice("0123456789")
         return {"found": found, "before": (prose() + before)[-AROUND:], "after": (after + " " + prose())[:AROUND], "path": path or r.choice(["", "src0", "src/main", "app/config", "lib"]), "label": label}
 
@@ -151,6 +194,8 @@ def labelled_findings(n: int = 3_000, seed: int = 13) -> list[dict]:
         lambda: row(text(hexes, r.randint(12, 24)), r.choice(["password", "passwd", "pwd", "PASSWORD"]) + r.choice(["=", ": ", " = "]), "", 1),
         lambda: row(text(base62, r.randint(20, 48)), r.choice(["secret", "token", "apikey", "client_secret", "bearer", "private_key"]) + r.choice(['="', ": ", " = '", "="]), r.choice(['"', "'", ""]), 1),
         lambda: row(r.choice(["ghp_", "xoxb-", "sk_live_"]) + text(base62, r.randint(24, 40)), r.choice(["", "token: ", "export TOKEN="]), "", 1),
+        lambda: row(text(base62 + "._!@#%-", r.randint(7, 16)), r.choice(["password", "pwd", "passwd", "db_password", "secret"]) + r.choice(["=", ": ", " = '"]), "", 1, digit=False),
+        lambda: row(r.choice(["required", word() + "." + word(), "<" + word() + ">", word() + "_" + word(), "******", "changeme", "os.environ", "None or ''"]), r.choice(["password", "token", "secret"]) + r.choice(["=", ": "]), "", 0, digit=False),
         lambda: row(text(hexes, 40), r.choice(["commit ", "revision ", "sha1 ", "checksum: "]), "", 0),
         lambda: row(text(hexes, r.choice([32, 64])), r.choice(["md5=", "sha256:", "digest ", "hash: "]), "", 0),
         lambda: row("-".join(text(hexes, k) for k in (8, 4, 4, 4, 12)), r.choice(["", "uuid ", "id: "]), "", 0),
@@ -194,5 +239,10 @@ def scan(docs: DataFrame, expression: str, id_col: str = "doc_id", text_col: str
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with its verdict; see scan for nulls, empty texts, repeated rows and empty tables.
+
+    The forest learns from at most ForestParams.max_reviewed findings of the documents and as many generated ones."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return scan(docs, train(spark), path_col="source").withColumnRenamed("id", "doc_id")
+    p = ForestParams()
+    findings = reviewed_findings(docs, path_col="source", p=p) + labelled_findings(p.max_reviewed)
+    return scan(docs, train(spark, findings, p), path_col="source").withColumnRenamed("id", "doc_id")
