@@ -26,7 +26,7 @@ class JoinParams:
     recall: float = 0.9999
     most_hashes: int = 192
     #: Members, and bytes of their sets, that are compared in one step; larger buckets are compared in pairs of blocks.
-    block: int = 2048
+    block: int = 512
     block_bytes: int = 16 << 20
     seed: int = 5
 
