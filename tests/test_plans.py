@@ -1,5 +1,9 @@
+import random
+import time
+
 import pytest
 
+from tidewheel.plans.horizon import HorizonPlan
 from tidewheel.plans.sharing import Options, SharePlan, cost_groups, group_cost
 from tidewheel.plans.slices import SlicePlan, next_edge, period
 from tidewheel.plans.spans import SpanTable
@@ -56,6 +60,7 @@ def test_registry():
         r.remove((5, 3), 14)
 
 
+# Edges, due windows, a plan and groups of these timescales.
 def test_greedy_plan():
     plan = SharePlan("(4,2)(5,3)(6,3)", select="greedy")
     scale = {w: k for k, w in enumerate((4, 5, 6))}
@@ -102,6 +107,54 @@ def test_pruned_windows_are_not_shared():
     assert full.cost()["stored_windows"] > 0 and none.cost()["stored_windows"] == 0
 
 
+def test_horizon_plans_cover_windows_of_lives_that_come_and_go():
+    r = random.Random(4)
+    for seed in range(15):
+        registry = Registry.of(random_timescales(3, (2, 20), (1, 7), seed))
+        for _ in range(4):
+            i = r.randint(1, 7)
+            live = registry.add((r.randint(i, 25), i), r.randint(0, 60), r.choice(["own", "grid"]))
+            if r.random() < 0.5:
+                registry.remove(live.scale, live.since + r.randint(0, 40))
+        counts = {}
+        for select in ("slices", "greedy", "dp"):
+            plan = HorizonPlan(registry, 120, select)
+            order = {(x[0], x[2]): k for k, x in enumerate(plan.due(plan.lives[0].since, 120))}
+            assert set(plan.spans) == {(k, e) for k, x in enumerate(registry.lives) for e in range(x.since + x.scale.i, min(120, 120 if x.until is None else x.until) + 1, x.scale.i)}
+            for (life, end), s in plan.spans.items():
+                at = s.begin
+                for k, a, z in s.children:
+                    assert a == at and z <= end and (k < 0 or (plan.spans[k, z].begin == a and order[k, z] < order[life, end]))
+                    at = z
+                assert at == end and s.begin == max(registry.lives[life].since, end - registry.lives[life].scale.w)
+            counts[select] = plan.merges()
+            step = HorizonPlan(registry, 0, select)
+            for t in (7, 60, 61, 120):
+                step.extend(t)
+            assert step.node_rows() == plan.node_rows() and step.edge_rows() == plan.edge_rows()
+            flat = HorizonPlan(registry, 120, select, most_levels=2)
+            assert flat.levels <= 2 and set(flat.spans) == set(plan.spans)
+        assert counts["dp"] <= counts["greedy"] and counts["dp"] <= counts["slices"]
+
+
+def test_horizon_plan_equals_the_periodic_one_in_the_steady_state():
+    scales = parse_timescales("(4,2)(5,3)(6,3)")
+    plan, periodic = HorizonPlan(Registry.of(scales), 60, "dp"), SharePlan(scales, select="dp")
+    tail = [s for s in plan.spans.values() if 30 < s.end <= 30 + periodic.period]
+    assert sum(len(s.children) for s in tail) == sum(len(n.children) for n in periodic.nodes.values())
+
+
+def test_a_hundred_timescales_are_planned_in_seconds():
+    r = random.Random(1)
+    scales = [(r.randint(200, 1200), r.randint(1, 100)) for _ in range(100)]
+    began = time.perf_counter()
+    plan = HorizonPlan(Registry.of(scales), 2400)
+    assert time.perf_counter() - began < 10 and plan.merges() < HorizonPlan(Registry.of(scales), 2400, "slices").merges() / 4
+    kept = len(plan.spans)
+    plan.drop_before(1200)
+    assert len(plan.spans) < kept and plan.extend(2500).until == 2500
+
+
 def test_span_table():
     table = SpanTable()
     for end in (8, 5, 10):

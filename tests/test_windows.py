@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import aggregates as A
 from tidewheel.metrics import Times, merge_counts, observed
-from tidewheel.operators import countwin, dataflow, postops
+from tidewheel.operators import countwin, dataflow, postops, windows
 from tidewheel.operators.windows import multi_window, tick_of
 from tidewheel.plans.timescale import Registry
 from tidewheel.sources import generators, signals, text
 from tidewheel.streaming.windows import WindowStream, live_windows, windows_by_time
 
-MODES = ("naive", "slices", "greedy", "dp", "adaptive", "grouped")
+MODES = ("naive", "slices", "auto", "greedy", "dp", "adaptive", "grouped", "tree")
 # Slices of the scenario, (start, {key: count}).
 SCENARIO = [(0, {1: 10, 2: 15}), (2, {3: 5, 2: 15}), (3, {4: 10, 3: 15}), (4, {5: 10}), (6, {4: 10}), (8, {2: 10}), (9, {3: 10}), (10, {5: 10}), (12, {3: 10}), (14, {2: 10}), (15, {3: 10})]
 
@@ -67,10 +67,35 @@ def test_windows_that_come_and_go(spark):
     table = signals.signals(spark, [(6, 4, 1, 10), (12, 5, 1, 23), (5, 3, 2, 31), (6, 4, 2, 42), (6, 4, 1, 45)])
     for align in ("own", "grid"):
         registry = signals.registry_of(table, "(5,3)", align=align)
-        for mode in ("naive", "slices"):
-            assert found(multi_window(stream_of(spark, rows), registry, ["key"], A.count(), until=61, mode=mode)) == brute(rows, registry.lives, 61)
-    with pytest.raises(ValueError):
-        multi_window(stream_of(spark, rows), registry, ["key"], A.count(), mode="dp")
+        for mode in ("naive", "slices", "greedy", "dp", "grouped", "tree") if align == "own" else ("slices", "greedy", "tree"):
+            assert found(multi_window(stream_of(spark, rows), registry, ["key"], A.count(), until=61, mode=mode)) == brute(rows, registry.lives, 61), (align, mode)
+
+
+def test_timescales_whose_period_is_out_of_reach(spark):
+    scales = [(17, 7), (23, 11), (40, 13), (41, 19), (60, 23)]
+    r = random.Random(13)
+    rows = [(r.randint(0, 90), r.randint(0, 2)) for _ in range(200)]
+    expect = brute(rows, Registry.of(scales).lives, 91)
+    for mode in ("greedy", "dp", "grouped", "tree"):
+        assert found(multi_window(stream_of(spark, rows), scales, ["key"], A.count(), until=91, mode=mode)) == expect, mode
+
+
+def test_rows_are_gathered_some_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(windows, "GATHERED", 4)
+    rows = [(t % 6, t % 2, t * 7 % 101) for t in range(300)]
+    df = spark.createDataFrame(rows, "tick long, key int, v long").repartition(3)
+    agg = A.fold(F.col("v"), F.lit(0).cast("long"), lambda a, b: a + b)
+    got = {(x["window_end"], x["key"]): x["value"] for x in multi_window(df, "(2,2)", ["key"], agg, mode="slices").collect()}
+    assert got == {(e, k): sum(v for t, q, v in rows if q == k and e - 2 <= t < e) for e in (2, 4, 6) for k in (0, 1)}
+
+
+def test_distinct_values_of_nulls(spark):
+    df = spark.createDataFrame([(0, 1, None), (0, 1, 3), (1, 1, 3), (2, 2, None)], "tick long, key int, v long")
+    for mode in ("naive", "slices", "dp"):
+        got = {(x["key"], x["window_end"]): (x["n"], x["fully_processed"]) for x in multi_window(df, "(2,2)(4,2)", ["key"], A.uniq("v", count_name="n"), until=4, mode=mode).where("w = 2").collect()}
+        assert got == {(1, 2): (1, True), (2, 4): (0, True)}
+        sets = {(x["key"], x["window_end"]): x["values"] for x in multi_window(df, "(2,2)", ["key"], A.uniq("v"), until=4, mode=mode).collect()}
+        assert sets == {(1, 2): [3], (2, 4): []}
 
 
 def test_merged_partials_equal_direct_aggregates(spark):
@@ -116,6 +141,12 @@ def test_totals_top_keys_and_maps(spark):
     assert postops.as_maps(counts, "key").where("window_end = 2").first()["result"] == {1: 1, 2: 2}
 
 
+def test_shown_rows_pass_on(spark, capsys):
+    df = spark.createDataFrame([(1,), (2,)], "x long")
+    assert df.transform(dataflow.logged("some", 1)).count() == 2
+    assert "some:" in capsys.readouterr().out
+
+
 def test_nested_windows_add_up(spark):
     rows = generators.zipf_words(spark, 4000, 50, per_tick=100).withColumnRenamed("word", "key")
     got = {(r["w"], r["window_end"], r["key"]): r["n"] for r in multi_window(rows, "(2,2)(4,4)(8,8)", ["key"], A.count(), until=40).collect()}
@@ -147,6 +178,17 @@ def test_count_ticks(spark):
     order = sorted(rows, key=lambda r: (r[1], r[0]))
     got = {r["event_id"]: r["tick"] for r in countwin.count_ticks(df, "ts", "event_id", 100).collect()}
     assert got == {r[0]: k // 100 for k, r in enumerate(order)}
+    # A third of all rows at one time, and some without one: cut by the tie.
+    rows += [(1000 + k, day) for k in range(90)] + [(2000 + k, None) for k in range(80)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp")
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or day, r[0]))
+    for parts in (1, 7, 40):
+        got = {r["event_id"]: r["position"] for r in countwin.positions(df, "ts", "event_id", parts=parts).collect()}
+        assert got == {r[0]: k for k, r in enumerate(order)}, parts
+    rows = rows[:250]
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or day, r[0]))
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp")
     got = {r["event_id"]: r["tick"] for r in countwin.rate_ticks(df, "ts", "event_id", [10, 0, 200]).collect()}
     assert got == {r[0]: 0 if k < 10 else 2 if k < 210 else 3 for k, r in enumerate(order)}
 
@@ -159,6 +201,8 @@ def test_files(spark, tmp_path):
     counts = multi_window(stream_of(spark, [(0, 1), (3, 1)]), "(2,2)", ["key"], A.count(), until=4)
     text.write_by_timescale(counts, f"{tmp_path}/out")
     assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out").select(*counts.columns).collect())) == sorted(map(str, counts.collect()))
+    text.write_totals(postops.totals(counts, "(2,2)", 0, 4).withColumn("deps", F.lit(3)), f"{tmp_path}/with-deps", deps="deps")
+    assert sorted(r["value"] for r in spark.read.text(f"{tmp_path}/with-deps").collect()) == ["2\t1\t3", "4\t1\t3"]
     text.write_totals(postops.totals(counts, "(2,2)", 0, 4), f"{tmp_path}/totals")
     assert sorted(r["value"] for r in spark.read.text(f"{tmp_path}/totals").collect()) == ["2\t1", "4\t1"]
     signals.main(["--path", f"{tmp_path}/signals", "--w", "5", "--i", "3", "--at", "7"])
@@ -204,6 +248,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got and got.items() <= batch.items()
 
 
+def test_append_stream_leaves_out_what_is_before_the_origin(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    early = [(day - dt.timedelta(hours=k, minutes=5), 0) for k in range(6)]
+    some = [(day + dt.timedelta(minutes=37 * k), k % 3) for k in range(60)]
+    late = [(day + dt.timedelta(hours=3), 9), (day + dt.timedelta(hours=90), 0)]  # one behind the watermark, and one that moves it
+    for k, part in enumerate((early, some[:30], some[30:] + some[30:35], late[1:], late)):
+        spark.createDataFrame(part, "ts timestamp, key int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{k}")
+    stream = spark.readStream.schema("ts timestamp, key int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+    origin = int(day.replace(tzinfo=dt.timezone.utc).timestamp())
+    query = windows_by_time(stream, "ts", "(5,3)", ["key"], A.count(), 3600, "1 hour", origin).writeStream.outputMode("append").format("memory").queryName("early").trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = spark.createDataFrame([*some, *some[30:35]], "ts timestamp, key int").withColumn("tick", tick_of("ts", "2024-01-01", 3600))
+    assert found(spark.table("early")) == found(multi_window(kept, "(5,3)", ["key"], A.count(), until=89))
+
+
 def test_window_stream_with_changing_timescales(spark, tmp_path):
     rows, events = _events(spark, tmp_path)
     signals.send(spark, f"{tmp_path}/signals", 6, 4, "addition", 9)
@@ -216,4 +275,4 @@ def test_window_stream_with_changing_timescales(spark, tmp_path):
     registry = Registry.of("(5,3)").apply([(6, 4, 1, 9), (5, 3, 2, 21)])
     ticks = [((t - dt.datetime(2024, 1, 1)) // dt.timedelta(hours=1), k) for t, k in rows]
     assert found(sink.results(spark)) == brute(ticks, registry.lives, 40)
-    assert sink.clean(spark, 101) >= 1 and found(sink.results(spark)) == brute(ticks, registry.lives, 40)
+    assert sink.clean(spark, 101) >= 1 and sink.clean(spark, 101) == 0 and found(sink.results(spark)) == brute(ticks, registry.lives, 40)

@@ -19,9 +19,11 @@ class Aggregate:
     merge: dict[str, Column]
     final: dict[str, Column]
     invertible: bool = False
-    #: Rows of one key and slice are first folded in so many parts, for aggregates that gather rows.
-    parts: int = 1
-    fields: tuple[str, ...] = field(default=())
+    #: Whether partial and merge gather rows: then only so many at a time are given to them.
+    gathers: bool = False
+    #: For aggregates of distinct values: the value, and results by name from the distinct values in _value.
+    value: Column | None = None
+    by_value: dict[str, Column] = field(default_factory=dict)
 
     def partials(self) -> list[Column]:
         return [c.alias(n) for n, c in self.partial.items()]
@@ -29,6 +31,9 @@ class Aggregate:
     def merges(self) -> list[Column]:
         return [c.alias(n) for n, c in self.merge.items()]
 
+    def gathered(self) -> list[Column]:
+        return [c.alias(n) for n, c in self.by_value.items()]
+
     def finals(self) -> list[Column]:
         return [c.alias(n) for n, c in self.final.items()]
 
@@ -76,11 +81,21 @@ def minmax(value, low: str = "low", high: str = "high") -> Aggregate:
     return Aggregate({"_lo": F.min(value), "_hi": F.max(value)}, {"_lo": F.min("_lo"), "_hi": F.max("_hi")}, {low: F.col("_lo"), high: F.col("_hi")})
 
 
+def presence() -> Aggregate:
+    """That there are records, and nothing of them."""
+    return Aggregate({"_any": F.max(F.lit(True))}, {"_any": F.max("_any")}, {})
+
+
 def uniq(value, name: str = "values", count_name: str | None = None) -> Aggregate:
-    """The distinct values, sorted, or their number. A set is as large as a key's distinct values in a window."""
+    """The distinct values that aren't null, sorted, or their number.
+
+    Windows group by the value as well first, so that a number needs no set; a set that is asked for is a result's size.
+    Streams, which keep buffers, keep sets in them."""
+    value = F.col(value) if isinstance(value, str) else value
     merged = F.array_distinct(F.flatten(F.collect_list("_set")))
     final = {count_name: F.size("_set").cast("long")} if count_name else {name: F.array_sort("_set")}
-    return Aggregate({"_set": F.collect_set(value)}, {"_set": merged}, final)
+    by_value = {count_name: F.count("_value")} if count_name else {name: F.array_sort(F.collect_list("_value"))}
+    return Aggregate({"_set": F.collect_set(value)}, {"_set": merged}, final, value=value, by_value=by_value)
 
 
 def approx_uniq(value, name: str = "n_values", lg: int = 12) -> Aggregate:
@@ -88,7 +103,7 @@ def approx_uniq(value, name: str = "n_values", lg: int = 12) -> Aggregate:
     return Aggregate({"_hll": F.hll_sketch_agg(value, lg)}, {"_hll": F.hll_union_agg("_hll")}, {name: F.hll_sketch_estimate("_hll")})
 
 
-def fold(value: Column, zero: Column, step: Callable[[Column, Column], Column], name: str = "value", parts: int = 32) -> Aggregate:
-    """Any commutative and associative step on values of zero's type. Rows are gathered in `parts` parts a key and slice."""
+def fold(value: Column, zero: Column, step: Callable[[Column, Column], Column], name: str = "value") -> Aggregate:
+    """Any commutative and associative step on values of zero's type, which must be neutral. Rows are gathered some at a time."""
     merged = F.aggregate(F.collect_list("_v"), zero, step)
-    return Aggregate({"_v": F.aggregate(F.collect_list(value), zero, step)}, {"_v": merged}, {name: F.col("_v")}, parts=parts)
+    return Aggregate({"_v": F.aggregate(F.collect_list(value), zero, step)}, {"_v": merged}, {name: F.col("_v")}, gathers=True)

@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
-def positions(df: DataFrame, ts: str, tie: str, name: str = "position", bucket_s: int = 60) -> DataFrame:
+def positions(df: DataFrame, ts: str, tie: str, name: str = "position", parts: int | None = None) -> DataFrame:
     """Adds each row's place (from 0) in the order of ts and tie.
 
-    Rows are ordered within time buckets, and each bucket starts at the number of rows before it; only one row a bucket
-    is summed up in order. Null ts come first."""
-    cut = df.withColumn("_b", F.coalesce(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_s * 1_000_000)), F.lit(-(2**62))).cast("long"))
-    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    counts = cut.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = W.partitionBy("_b").orderBy(F.asc_nulls_first(ts), tie)
-    ranked = cut.withColumn("_r", F.row_number().over(inside) - 1).join(counts, "_b")
-    return ranked.withColumn(name, (F.col("_r") + F.col("_before")).cast("long")).drop("_b", "_r", "_before")
+    Rows are cut into `parts` ranges of ts with about as many rows each (default: the shuffle partitions, at most 1000). A
+    ts that alone fills a range is cut further by tie, where that is a number. Rows are ordered within ranges, and each
+    range starts at the number of rows before it; only one row a range is summed up in order. Null ts come first."""
+    parts = parts or min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = [k / parts for k in range(1, parts)] or [0.5]
+    t = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(-(2**62)))
+    found = df.agg(F.percentile_approx(t, shares, 10_000)).first()[0] or []
+    hot = sorted({a for a, b in zip(found, found[1:]) if a == b})
+    edges = sorted({*found, *hot, *(v + 1 for v in hot)})
+
+    def range_of(x: Column, cuts: list) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= x)) if cuts else F.lit(0)
+
+    cut, sub = df.withColumn("_b", range_of(t, edges)), F.lit(0)
+    if hot and isinstance(df.schema[tie].dataType, NumericType):
+        for r in df.where(t.isin(*hot)).groupBy(t.alias("v")).agg(F.percentile_approx(tie, shares, 10_000).alias("cuts")).collect():
+            # A null tie comes first: it is below all cuts.
+            sub = F.when(t == r["v"], range_of(F.col(tie), sorted(set(r["cuts"] or [])))).otherwise(sub)
+    cut = cut.withColumn("_s", sub)
+    before = W.orderBy("_b", "_s").rowsBetween(W.unboundedPreceding, -1)
+    counts = cut.groupBy("_b", "_s").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = W.partitionBy("_b", "_s").orderBy(F.asc_nulls_first(ts), tie)
+    ranked = cut.withColumn("_r", F.row_number().over(inside) - 1).join(F.broadcast(counts), ["_b", "_s"])
+    return ranked.withColumn(name, (F.col("_r") + F.col("_before")).cast("long")).drop("_b", "_s", "_r", "_before")
 
 
 def count_ticks(df: DataFrame, ts: str, tie: str, records: int = 100, name: str = "tick") -> DataFrame:

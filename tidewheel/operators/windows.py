@@ -5,14 +5,17 @@ off at s. Windows are aligned by their end; those that begin before s are report
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.functions.aggregates import Aggregate
+from tidewheel.functions.aggregates import Aggregate, presence
+from tidewheel.plans.horizon import HorizonPlan
 from tidewheel.plans.sharing import Options, SharePlan, cost_groups
-from tidewheel.plans.timescale import Live, Registry
+from tidewheel.plans.slices import period
+from tidewheel.plans.timescale import Live, Registry, Timescale
 
 #: Rows of driver-built plan tables that are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 100_000
@@ -26,7 +29,7 @@ def tick_of(ts, origin: str, unit_s: int = 1) -> Column:
 
 
 def slice_end(tick: Column, lives: list[Live]) -> Column:
-    """The end of the slice that holds a tick: the nearest edge after it of any life.
+    """The end of the slice that holds a tick: the nearest edge after it of any life that still fires (2^62 if none does).
 
     One expression a life, so it does not depend on the length of the common period."""
 
@@ -35,7 +38,8 @@ def slice_end(tick: Column, lives: list[Live]) -> Column:
         c = F.pmod(t, F.lit(s.i))
         step = F.when(c < s.turn, s.turn).otherwise(s.i) if s.turn else F.lit(s.i)
         after = tick - c + step
-        return F.when(t < 0, F.lit(x.since)).otherwise(after).cast("long")
+        out = F.when(t < 0, F.lit(x.since)).otherwise(after).cast("long")
+        return out if x.until is None else F.when(tick < x.until, out).otherwise(F.lit(2**62))
 
     edges = [edge(x) for x in lives]
     return F.least(*edges) if len(edges) > 1 else edges[0]
@@ -70,82 +74,168 @@ def _named(df: DataFrame, keys: list[str], agg: Aggregate) -> DataFrame:
     return df.select("w", "i", F.greatest(nominal, since).alias("window_start"), "window_end", *keys, *agg.finals(), nominal.alias("nominal_start"), (nominal >= since).alias("fully_processed"))
 
 
+#: Rounds that a plan over absolute time takes at most: each is a shuffle.
+LEVELS = 3
+#: Rows of one group that are gathered at a time, for aggregates that gather rows.
+GATHERED = 1024
+
+
+def folded(rows: DataFrame, by: list[str], agg: Aggregate) -> DataFrame:
+    """Buffers of rows by group. Aggregates that gather rows fold at most GATHERED of one group at a time, and their results in steps."""
+    if not agg.gathers:
+        return rows.groupBy(*by).agg(*agg.partials())
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    # Numbers of rows go up by one within a partition, whose number is in the bits from 33 on.
+    out = rows.withColumn("_part", F.floor(F.col("_row") / GATHERED)).groupBy(*by, "_part").agg(*agg.partials())
+    for size in (GATHERED, 2**33 // GATHERED**2):
+        out = out.withColumn("_part", F.floor(F.col("_part") / size)).groupBy(*by, "_part").agg(*agg.merges())
+    return out.groupBy(*by).agg(*agg.merges())
+
+
 def partials(df: DataFrame, registry: Registry, keys: list[str], agg: Aggregate, tick: str) -> DataFrame:
     """One row for each slice and key that has records: _end, keys, buffers."""
     cut = df.where(F.col(tick) >= min(x.since for x in registry.lives)).withColumn("_end", slice_end(F.col(tick).cast("long"), registry.lives))
-    if agg.parts > 1:
-        part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(agg.parts))
-        cut = cut.withColumn("_part", part).groupBy("_end", *keys, "_part").agg(*agg.partials())
-        return cut.groupBy("_end", *keys).agg(*agg.merges())
-    return cut.groupBy("_end", *keys).agg(*agg.partials())
+    return folded(cut, ["_end", *keys], agg)
+
+
+def _fan_out(registry: Registry) -> float:
+    """To how many windows a record belongs."""
+    return sum(x.scale.w / x.scale.i for x in registry.lives)
+
 
+#: Estimated bytes of input, times the windows that a record belongs to, up to which one shuffle beats slicing first.
+SMALL = 256 << 20
 
-def multi_window(df: DataFrame, timescales, keys: list[str], agg: Aggregate, tick: str = "tick", start: int = 0, until: int | None = None, mode: str = "slices", **plan) -> DataFrame:
+
+def choose_mode(df: DataFrame, registry: Registry) -> str:
+    """naive for inputs so small that a second shuffle costs more than handing records to all their windows; else slices."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return "naive" if size * _fan_out(registry) < SMALL else "slices"
+
+
+def multi_window(df: DataFrame, timescales, keys: list[str], agg: Aggregate, tick: str = "tick", start: int = 0, until: int | None = None, mode: str = "auto", **plan) -> DataFrame:
     """The aggregate of every window of every timescale, by key; windows without records of a key have no row of it.
 
     timescales: text, pairs or a Registry. until: the last tick at which windows fire (default: when the last record's
     tick closes). mode: "naive" (each record goes to all its windows), "slices" (records are aggregated by slice once,
-    slices go to windows), "greedy", "dp" or "adaptive" (windows also from windows; see Options), "grouped" (timescales
-    that gain by it slice together). All modes give the same rows. Records before start are left out."""
+    slices go to windows), "auto" (one of these, see choose_mode), "greedy", "dp" or "adaptive" (windows also from windows;
+    see Options), "grouped" (timescales that gain by it slice together, from one set of common slices), "tree" (slices in a
+    tree of merges, of which each window reads a few nodes). All modes give the same rows, for timescales that come and go
+    as well. Records before start are left out."""
     registry = Registry.of(timescales, start)
     if not registry.lives:
         raise ValueError("no timescales")
-    end = F.lit(last_tick(df, tick) if until is None else until).cast("long")
+    if agg.value is not None:
+        # Distinct values are a key first, so that no buffer holds them; then they are gathered by window.
+        held = multi_window(df.withColumn("_value", agg.value), registry, [*keys, "_value"], presence(), tick, until=until, mode=mode, **plan)
+        window = ["w", "i", "window_start", "window_end", "nominal_start", "fully_processed"]
+        out = held.groupBy(*window, *keys).agg(*agg.gathered())
+        return out.select("w", "i", "window_start", "window_end", *keys, *agg.final, "nominal_start", "fully_processed")
+    if mode == "auto":
+        mode = choose_mode(df, registry)
+    last = last_tick(df, tick) if until is None else until
+    end = F.lit(last).cast("long")
+    by = ["w", "i", "_since", "_n_life", "window_end", *keys]
     if mode == "naive":
         low = min(x.since for x in registry.lives)
         rows = df.where(F.col(tick) >= low).withColumn("_end", F.col(tick).cast("long") + 1)
         rows = _fanned(rows, "_end", registry, end, "window_end")
-        by = ["w", "i", "_since", "_n_life", "window_end", *keys]
-        if agg.parts > 1:
-            part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(agg.parts))
-            rows = rows.withColumn("_part", part).groupBy(*by, "_part").agg(*agg.partials())
-            return _named(rows.groupBy(*by).agg(*agg.merges()), keys, agg)
-        return _named(rows.groupBy(*by).agg(*agg.partials()), keys, agg)
+        return _named(folded(rows, by, agg), keys, agg)
+    if mode == "tree":
+        return _by_tree(df, registry, keys, agg, tick, last)
+    cut = partials(df, registry, keys, agg, tick)
     if mode == "slices":
-        cut = partials(df, registry, keys, agg, tick)
         wide = _fanned(cut, "_end", registry, end, "window_end")
-        return _named(wide.groupBy("w", "i", "_since", "_n_life", "window_end", *keys).agg(*agg.merges()), keys, agg)
-    same = {(x.since, x.until) for x in registry.lives}
-    if len(same) > 1:
-        raise ValueError(f"mode {mode} needs timescales of one life; use slices for those that come and go")
-    since = registry.lives[0].since
-    scales = [x.scale for x in registry.lives]
+        return _named(wide.groupBy(*by).agg(*agg.merges()), keys, agg)
     if mode == "grouped":
-        parts = [multi_window(df, Registry(since, [Live(t, since, registry.lives[0].until) for t in g]), keys, agg, tick, until=until, mode="slices") for g in cost_groups(scales)]
+        lives: dict[Timescale, list[Live]] = {}
+        for x in registry.lives:
+            lives.setdefault(x.scale, []).append(x)
+        parts = []
+        for group in cost_groups([x.scale for x in registry.lives]):
+            own = Registry(registry.start, [lives[t].pop(0) for t in group])
+            # The group's slices are unions of the common ones: its edges are among theirs.
+            coarse = cut.where(F.col("_end") > min(x.since for x in own.lives)).withColumn("_end", slice_end(F.col("_end") - 1, own.lives)).groupBy("_end", *keys).agg(*agg.merges())
+            parts.append(_named(_fanned(coarse, "_end", own, end, "window_end").groupBy(*by).agg(*agg.merges()), keys, agg))
         return reduce(DataFrame.unionByName, parts)
-    return _by_levels(df, registry, SharePlan(scales, Options(select=mode, **plan)), keys, agg, tick, end)
-
-
-def _by_levels(df: DataFrame, registry: Registry, plan: SharePlan, keys: list[str], agg: Aggregate, tick: str, end: Column) -> DataFrame:
-    """Executes a plan level by level: each level is one join with its pattern table and one merge."""
-    spark, since, stop = df.sparkSession, registry.lives[0].since, registry.lives[0].until
-    if stop is not None:
-        end = F.least(end, F.lit(stop))
-    buffers = list(agg.partial)
-    known = partials(df, registry, keys, agg, tick).select(F.lit(-1).alias("_child"), (F.col("_end") - since).alias("_at"), *keys, *buffers)
-    patterns = plan.patterns()
-    done = []
-    for level in range(1, plan.levels + 1):
-        rows = [(p, c, phase, delta) for n, p, c, phase, delta in patterns if n == level]
-        table = spark.createDataFrame(rows, "_parent int, _c int, _phase long, _delta long")
-        table = F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
-        known = known.persist()
-        fed = known.join(table, (F.col("_child") == F.col("_c")) & (F.pmod("_at", F.lit(plan.period)) == F.col("_phase")))
-        fed = fed.withColumn("_to", F.col("_at") + F.col("_delta")).where(F.col("_to") <= end - since)
-        made = fed.groupBy("_parent", "_to", *keys).agg(*agg.merges()).select(F.col("_parent").alias("_child"), F.col("_to").alias("_at"), *keys, *buffers)
-        done.append(made)
-        known = known.unionByName(made)
+    since = registry.lives[0].since
+    scales = [x.scale for x in registry.lives]
+    if len({(x.since, x.until) for x in registry.lives}) > 1 or period(scales) > max(1, last - since):
+        shared = HorizonPlan(registry, last, "dp" if mode == "adaptive" else mode, LEVELS)
+        levels, rows, schema = shared.levels, shared.edge_rows(), "_level int, _c int, _at long, _parent int, _to long"
+        known = cut.select(F.lit(-1).alias("_c"), F.col("_end").alias("_at"), *keys, *agg.partial)
+        return _by_levels(known, levels, rows, schema, lambda t: t, registry, keys, agg)
+    shared = SharePlan(scales, Options(select=mode, **plan))
+    stop = last if registry.lives[0].until is None else min(last, registry.lives[0].until)
+    rows, schema = [(n, c, phase, p, delta) for n, p, c, phase, delta in shared.patterns()], "_level int, _c int, _phase long, _parent int, _delta long"
+    known = cut.select(F.lit(-1).alias("_c"), F.col("_end").alias("_at"), *keys, *agg.partial).withColumn("_phase", F.pmod(F.col("_at") - since, F.lit(shared.period)))
+    return _by_levels(known, shared.levels, rows, schema, lambda t: t.withColumn("_to", F.col("_at") + F.col("_delta")).where(F.col("_to") <= stop), registry, keys, agg, lambda t: t.withColumn("_phase", F.pmod(F.col("_at") - since, F.lit(shared.period))))
+
+
+def _by_levels(known: DataFrame, levels: int, rows: list[tuple], schema: str, reach, registry: Registry, keys: list[str], agg: Aggregate, mark=lambda t: t) -> DataFrame:
+    """Executes a plan level by level: each level is one join with its rows of the plan and one merge.
+
+    known: slices (_c, _at, keys, buffers). rows: the plan, (level, what tells a child, its parent, what leads to the
+    parent's end). reach adds the parent's end, _to. A level joins only those earlier levels of which it has children."""
+    spark, buffers = known.sparkSession, list(agg.partial)
+    level_of: dict[int, set[int]] = {}
+    for r in rows:
+        level_of.setdefault(r[3], set()).add(r[0])
+    names = [c.split()[0] for c in schema.split(", ")]
+    on = [c for c in names[1:3] if c in known.columns] + [c for c in names[2:3] if c not in known.columns]
+    made, done = {0: known}, []
+    for level in range(1, levels + 1):
+        mine = [r for r in rows if r[0] == level]
+        table = spark.createDataFrame(mine, schema).drop("_level")
+        table = F.broadcast(table) if len(mine) <= BROADCAST_ROWS else table
+        children = {r[1] for r in mine}
+        needed = {0} if -1 in children else set()
+        needed |= {n for c in children if c >= 0 for n in level_of.get(c, ()) if n < level}
+        fed = [reach(made[n].join(table, on)) for n in sorted(needed)]
+        fed = reduce(DataFrame.unionByName, [x.select("_parent", "_to", *keys, *buffers) for x in fed])
+        out = fed.groupBy("_parent", "_to", *keys).agg(*agg.merges()).select(F.col("_parent").alias("_c"), F.col("_to").alias("_at"), *keys, *buffers)
+        made[level] = mark(out)
+        done.append(out)
+    if not done:
+        w = F.lit(None).cast("long")
+        return _named(known.where(F.lit(False)).select(w.alias("w"), w.alias("i"), w.alias("_since"), w.alias("window_end"), *keys, *buffers), keys, agg)
     every = reduce(DataFrame.unionByName, done)
-    w, i = (F.element_at(F.array(*[F.lit(getattr(t, c)).cast("long") for t in plan.scales]), F.col("_child") + 1) for c in ("w", "i"))
-    return _named(every.select(w.alias("w"), i.alias("i"), F.lit(since).cast("long").alias("_since"), (F.col("_at") + since).alias("window_end"), *keys, *buffers), keys, agg)
+    w, i, since = (F.element_at(F.array(*[F.lit(x).cast("long") for x in some]), F.col("_c") + 1) for some in zip(*((x.scale.w, x.scale.i, x.since) for x in registry.lives)))
+    return _named(every.select(w.alias("w"), i.alias("i"), since.alias("_since"), F.col("_at").alias("window_end"), *keys, *buffers), keys, agg)
+
+
+def _by_tree(df: DataFrame, registry: Registry, keys: list[str], agg: Aggregate, tick: str, last: int) -> DataFrame:
+    """Equal slices in a binary tree of merges: a window of n slices reads at most 2 log2(n) nodes.
+
+    A slice has as many ticks as divide all windows, intervals and starts. All levels are made in one shuffle, to which a
+    slice and key adds a row a level after map-side merging."""
+    low = min(x.since for x in registry.lives)
+    unit = math.gcd(*(n for x in registry.lives for n in (x.scale.w, x.scale.i, x.since - low)))
+    depth = max(x.scale.w // unit for x in registry.lives).bit_length()
+    rows = df.where(F.col(tick) >= low).withColumn("_node", F.floor((F.col(tick).cast("long") - low) / unit).cast("long"))
+    leaves = folded(rows, ["_node", *keys], agg)
+    up = leaves.withColumn("_up", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("_node", F.expr("shiftright(_node, _up)"))
+    nodes = up.groupBy("_up", "_node", *keys).agg(*agg.merges())
+    windows = spine(df.sparkSession, registry, low, last).withColumn("_a", F.expr(f"(window_start - {low}) div {unit}")).withColumn("_z", F.expr(f"(window_end - {low}) div {unit}"))
+    wide = windows.withColumn("_up", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    wide = wide.withColumn("_a", F.expr("shiftright(_a + shiftleft(1L, _up) - 1, _up)")).withColumn("_z", F.expr("shiftright(_z, _up)")).where("_a < _z")
+    left, right = F.when(F.expr("_a % 2 = 1"), F.col("_a")), F.when(F.expr("_z % 2 = 1 AND _a + _a % 2 < _z"), F.col("_z") - 1)
+    top = F.col("_up") == depth  # nodes above are not made: what is left is read whole
+    picked = F.when(top, F.sequence(F.col("_a"), F.col("_z") - 1)).otherwise(F.array_compact(F.array(left, right)))
+    wide = wide.withColumn("_node", F.explode(picked)).select("w", "i", F.col("_life"), F.col("_since"), "window_end", "_up", "_node")
+    by = ["w", "i", "_since", "_life", "window_end", *keys]
+    return _named(nodes.join(wide, ["_up", "_node"]).groupBy(*by).agg(*agg.merges()), keys, agg)
 
 
 def spine(spark, timescales, start: int = 0, until: int = 0) -> DataFrame:
-    """(w, i, window_start, window_end, nominal_start, fully_processed) of every window that fires up to `until`, with records or not."""
+    """(w, i, window_start, window_end, nominal_start, fully_processed, _since, _life) of every window that fires up to `until`, with records or not."""
     registry = Registry.of(timescales, start)
     life = spark.range(1).select(F.explode(_lives(registry)).alias("x"))
     last = F.least(F.lit(until).cast("long"), F.coalesce(F.col("x.gone"), F.lit(until).cast("long")))
     first = F.col("x.since") + F.col("x.i")
     ends = life.select("x", F.explode(F.when(first <= last, F.sequence(first, last, F.col("x.i")))).alias("window_end"))
     nominal = F.col("window_end") - F.col("x.w")
-    return ends.select(F.col("x.w").alias("w"), F.col("x.i").alias("i"), F.greatest(nominal, F.col("x.since")).alias("window_start"), "window_end", nominal.alias("nominal_start"), (nominal >= F.col("x.since")).alias("fully_processed"))
+    return ends.select(
+        F.col("x.w").alias("w"), F.col("x.i").alias("i"), F.greatest(nominal, F.col("x.since")).alias("window_start"), "window_end", nominal.alias("nominal_start"),
+        (nominal >= F.col("x.since")).alias("fully_processed"), F.col("x.since").alias("_since"), F.col("x.life").alias("_life"),
+    )

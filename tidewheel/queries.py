@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions import aggregates as A
 from tidewheel.operators import countwin, dataflow, postops
 from tidewheel.operators.windows import multi_window, tick_of
+from tidewheel.plans.horizon import HorizonPlan
 from tidewheel.plans.sharing import SharePlan
 from tidewheel.plans.slices import SlicePlan
 from tidewheel.plans.timescale import Registry
+from tidewheel.sources import text
 
 ORIGIN = "2024-01-01"
 SCALES = "(5,4)(6,6)(24,6)(48,10)"
@@ -39,7 +44,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.transform(dataflow.split_then_filter("line", STOP_WORDS)).select("tick", "word")
 
 
-def _hourly(aggregate, mode: str = "slices", scales: str = SCALES, **plan):
+def _hourly(aggregate, mode: str = "auto", scales: str = SCALES, **plan):
     """aggregate makes the aggregate once there is a session."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +121,7 @@ def mts_count_based(spark, sf_dir):
     return multi_window(ticks, "(5,2)(10,5)", ["event_type"], A.count()).select("w", "i", "window_end", "event_type", "n")
 
 
-RATES = [50, 150, 100, 300, 200] * 20
+RATES = [50, 150, 100, 300, 200]
 
 
 def mts_rate_based(spark, sf_dir):
@@ -161,7 +166,8 @@ def mts_linreg(spark, sf_dir):
 
 _LINREG_SQL = """
 WITH s(w, i) AS (VALUES (30,30), (90,30), (100,60)),
-sp AS (SELECT w, i, e FROM s, LATERAL (SELECT unnest(range(i, 2701, i)) AS e)),
+top AS (SELECT max(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE))) AS t FROM lineitem),
+sp AS (SELECT w, i, e FROM s, top, LATERAL (SELECT unnest(range(i, top.t + w + 1, i)) AS e)),
 li AS (SELECT l_returnflag, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS t FROM lineitem)
 SELECT CAST(w AS BIGINT) AS w, CAST(i AS BIGINT) AS i, CAST(e AS BIGINT) AS window_end, l_returnflag,
   round(CASE WHEN count(*) * sum(x * x) - sum(x) * sum(x) = 0 THEN 0 ELSE (count(*) * sum(x * y) - sum(x) * sum(y)) / (count(*) * sum(x * x) - sum(x) * sum(x)) END, 3) AS slope,
@@ -237,13 +243,70 @@ def word_count_windows(spark, sf_dir):
 
 _WORDS_SQL = f"""
 WITH s(w, i) AS (VALUES (4,2), (5,3)),
-sp AS (SELECT w, i, e FROM s, LATERAL (SELECT unnest(range(i, 41, i)) AS e)),
+top AS (SELECT max(conv_id) // 10 AS t FROM conversations),
+sp AS (SELECT w, i, e FROM s, top, LATERAL (SELECT unnest(range(i, top.t + w + 1, i)) AS e)),
 said AS (SELECT conv_id // 10 AS t, coalesce(text, '') AS text FROM conversations),
 ev AS (SELECT t, word FROM (SELECT t, {_SPLIT} FROM said) WHERE word NOT IN ({_STOP}))
 SELECT CAST(w AS BIGINT) AS w, CAST(i AS BIGINT) AS i, CAST(e AS BIGINT) AS window_end, word, count(*) AS n
 FROM sp JOIN ev ON t >= e - w AND t < e GROUP BY w, i, e, word"""
 
 
+#: 24 timescales with windows of 50 to 510 hours that fire every 1 to 10 hours: a record belongs to 1,800 windows.
+WIDE = "".join(f"({50 + 20 * k},{1 + k % 10})" for k in range(24))
+
+
+def mts_shared_dynamic(spark, sf_dir):
+    """Windows from windows while timescales come and go."""
+    out = multi_window(events(spark, sf_dir), _changing(), ["event_type"], A.count(), until=HOURS, mode="greedy")
+    return out.select("w", "i", "window_start", "window_end", "event_type", "n", "fully_processed")
+
+
+def mts_grouped_dynamic(spark, sf_dir):
+    out = multi_window(events(spark, sf_dir), _changing(), ["event_type"], A.count(), until=HOURS, mode="grouped")
+    return out.select("w", "i", "window_start", "window_end", "event_type", "n", "fully_processed")
+
+
+def _written(spark, name: str) -> str:
+    """A new folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def sink_by_timescale(spark, sf_dir):
+    """Results in folders by timescale, written and read again."""
+    path = _written(spark, "by-timescale")
+    text.write_by_timescale(QUERIES["mts_count_shared"](spark, sf_dir), path)
+    out = spark.read.parquet(path)
+    return out.select(F.col("w").cast("long").alias("w"), F.col("i").cast("long").alias("i"), "window_end", "event_type", "n")
+
+
+def sink_totals(spark, sf_dir):
+    """Totals with the number of windows and slices each was merged from, as tab-separated lines, written and read again."""
+    path = _written(spark, "totals")
+    counts = multi_window(events(spark, sf_dir), SCALES, ["event_type"], A.count(), until=HOURS)
+    deps = HorizonPlan(Registry.of(SCALES), HOURS, "slices")
+    deps = spark.createDataFrame([(w, i, e, n) for w, i, _, e, n, _, _ in deps.node_rows()], "w long, i long, window_end long, n_children int")
+    text.write_totals(postops.totals(counts, SCALES, 0, HOURS).join(deps, ["w", "i", "window_end"]), path, deps="n_children")
+    cells = F.split("value", "\t")
+    return spark.read.text(path).select(F.col("w").cast("long").alias("w"), F.col("i").cast("long").alias("i"), *[F.get(cells, F.lit(k)).cast("long").alias(n) for k, n in enumerate(("window_end", "total", "n_deps"))])
+
+
+def source_lines(spark, sf_dir):
+    """Lines of text files, split into words."""
+    path = _written(spark, "lines")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    text.write_lines(turns.select(F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]", " ").alias("line")), path, "line")
+    return text.lines(spark, path).transform(dataflow.split_words("line")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def source_separated(spark, sf_dir):
+    """One field of a log whose fields a bar separates."""
+    path = _written(spark, "log")
+    log = events(spark, sf_dir).select(F.concat_ws("|", F.col("event_id").cast("string"), F.col("tick").cast("string"), "event_type").alias("line"))
+    text.write_lines(log, path, "line")
+    return text.separated(spark, path, 2, column="event_type").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 def plan_slices(spark, sf_dir):
     plan = SlicePlan(SCALES)
     return spark.createDataFrame([(plan.begin(e), e) for e in plan.edges], "slice_start long, slice_end long")
@@ -264,7 +327,8 @@ def plan_edges(spark, sf_dir):
 
 
 QUERIES = {
-    "mts_count_shared": _hourly(A.count),
+    "mts_count_shared": _hourly(A.count, "slices"),
+    "mts_count_auto": _hourly(A.count),
     "mts_count_naive": _hourly(A.count, "naive"),
     "mts_sum_value": mts_sum_value,
     "mts_avg": mts_avg,
@@ -288,7 +352,17 @@ QUERIES = {
     "mts_shared_dp": _hourly(A.count, "dp", NESTED),
     "mts_shared_adaptive": _hourly(A.count, "adaptive", NESTED),
     "mts_shared_pruned": _hourly(lambda: A.minmax("value"), "dp", NESTED, prune="cost", reuse=0.5, tradeoff=10),
-    "mts_triweave": _hourly(A.count, "grouped", NESTED),
+    "mts_grouped": _hourly(A.count, "grouped", NESTED),
+    "mts_tree": _hourly(A.count, "tree"),
+    "mts_wide_naive": _hourly(A.count, "naive", WIDE),
+    "mts_wide_slices": _hourly(A.count, "slices", WIDE),
+    "mts_wide_tree": _hourly(A.count, "tree", WIDE),
+    "mts_shared_dynamic": mts_shared_dynamic,
+    "mts_grouped_dynamic": mts_grouped_dynamic,
+    "sink_by_timescale": sink_by_timescale,
+    "sink_totals": sink_totals,
+    "source_lines": source_lines,
+    "source_separated": source_separated,
     "word_count_dynamic": word_count_dynamic,
     "mts_avg_dynamic": mts_avg_dynamic,
     "mts_linreg_dynamic": mts_linreg_dynamic,
@@ -315,6 +389,7 @@ FROM sp JOIN ev ON t >= e - w AND t < e GROUP BY w, i, e, event_type"""
 ORACLE_SQL = {
     "mts_count_shared": _with(SCALES, _COUNT),
     "mts_count_naive": _with(SCALES, _COUNT),
+    "mts_count_auto": _with(SCALES, _COUNT),
     "mts_sum_value": _with(SCALES, "CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total_cents"),
     "mts_avg": _with(SCALES, "CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(value) AS mean_cents"),
     "mts_avg_trunc": _with(SCALES, "CAST(CAST(sum(CAST(floor(value) AS BIGINT) - 20) AS BIGINT) // count(value) AS BIGINT) AS mean"),
@@ -329,7 +404,7 @@ SELECT w, i, window_end, CAST(rank AS INTEGER) AS rank, user_id, n, CAST(total A
     "mts_totals": f"""
 WITH s(w, i) AS (VALUES (5,4), (6,6), (24,6), (48,10)),
 sp AS (SELECT w, i, e FROM s, LATERAL (SELECT unnest(range(i, {HOURS + 1}, i)) AS e)),
-ev AS (SELECT CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '{ORIGIN}')) / 3600000000) AS BIGINT) AS t FROM events WHERE event_type = 'purchase' AND user_id < 20)
+ev AS (SELECT CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '{ORIGIN}')) / 3600000000) AS BIGINT) AS t FROM events)
 SELECT CAST(w AS BIGINT) AS w, CAST(i AS BIGINT) AS i, CAST(greatest(e - w, 0) AS BIGINT) AS window_start, CAST(e AS BIGINT) AS window_end, count(t) AS total, e >= w AS fully_processed
 FROM sp LEFT JOIN ev ON t >= e - w AND t < e GROUP BY w, i, e""",
     "mts_map_view": f"SELECT w, i, window_end, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS result FROM ({_with(SCALES, _COUNT)}) GROUP BY w, i, window_end",
@@ -342,7 +417,7 @@ ev AS (SELECT event_type, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '{ORIGIN
 SELECT CAST(w AS BIGINT) AS w, CAST(i AS BIGINT) AS i, CAST(greatest(e - w, 101) AS BIGINT) AS window_start, CAST(e AS BIGINT) AS window_end, event_type, count(*) AS n, e - w >= 101 AS fully_processed
 FROM sp JOIN ev ON t >= greatest(e - w, 101) AND t < e GROUP BY w, i, e, event_type""",
     "mts_count_based": _TICKED.format(tick="p // 100", end="(SELECT max(t) + 1 FROM ev)"),
-    "mts_rate_based": _TICKED.format(tick="(SELECT count(*) FROM (SELECT unnest(range(0, 20)) AS k), (VALUES (50), (200), (300), (600), (800)) v(c) WHERE k * 800 + c <= p)", end=str(len(RATES))),
+    "mts_rate_based": _TICKED.format(tick="p // 800 * 5 + CASE WHEN p % 800 < 50 THEN 0 WHEN p % 800 < 200 THEN 1 WHEN p % 800 < 300 THEN 2 WHEN p % 800 < 600 THEN 3 ELSE 4 END", end="(SELECT max(t) + 11 FROM ev)"),
     "mts_dynamic_add": _dynamic_sql("own", SIGNALS[:2]),
     "mts_dynamic_remove": _dynamic_sql("own", SIGNALS),
     "mts_dynamic_grid_align": _dynamic_sql("grid", SIGNALS),
@@ -350,14 +425,21 @@ FROM sp JOIN ev ON t >= greatest(e - w, 101) AND t < e GROUP BY w, i, e, event_t
     "mts_shared_dp": _with(NESTED, _COUNT),
     "mts_shared_adaptive": _with(NESTED, _COUNT),
     "mts_shared_pruned": _with(NESTED, "min(value) AS low, max(value) AS high"),
-    "mts_triweave": _with(NESTED, _COUNT),
+    "mts_grouped": _with(NESTED, _COUNT),
     "filter_drop": "SELECT event_id, event_type FROM events WHERE event_type NOT LIKE 'p%' OR event_type IS NULL",
     "map_project": f"SELECT event_id, event_type || ':' || user_id AS label, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '{ORIGIN}')) / 3600000000) AS BIGINT) AS hour FROM events",
     "split_words": f"SELECT word, count(*) AS n FROM (SELECT {_SPLIT} FROM conversations) GROUP BY word",
     "stopword_split_then_filter": f"SELECT word, count(*) AS n FROM (SELECT {_SPLIT} FROM conversations) WHERE word NOT IN ({_STOP}) GROUP BY word",
     "stopword_filter_then_split": f"SELECT word, count(*) AS n FROM (SELECT {_SPLIT} FROM conversations WHERE text NOT IN ({_STOP})) GROUP BY word",
     "word_count_windows": _WORDS_SQL,
-    "word_count_dynamic": _WORDS_SQL.replace("WITH s(w, i) AS (VALUES (4,2), (5,3)),", "WITH s(w, i, b, z) AS (VALUES (4,2,0,20), (5,3,6,40)),").replace("SELECT w, i, e FROM s, LATERAL (SELECT unnest(range(i, 41, i)) AS e)", "SELECT w, i, b, e FROM s, LATERAL (SELECT unnest(range(b + i, z + 1, i)) AS e)").replace("t >= e - w AND", "t >= greatest(e - w, b) AND").replace("GROUP BY w, i, e, word", "GROUP BY w, i, b, e, word"),
+    "word_count_dynamic": f"""
+WITH s(w, i, b, z) AS (VALUES (4,2,0,20), (5,3,6,NULL)),
+top AS (SELECT max(conv_id) // 10 AS t FROM conversations),
+sp AS (SELECT w, i, b, e FROM s, top, LATERAL (SELECT unnest(range(b + i, coalesce(z, top.t + w) + 1, i)) AS e)),
+said AS (SELECT conv_id // 10 AS t, coalesce(text, '') AS text FROM conversations),
+ev AS (SELECT t, word FROM (SELECT t, {_SPLIT} FROM said) WHERE word NOT IN ({_STOP}))
+SELECT CAST(w AS BIGINT) AS w, CAST(i AS BIGINT) AS i, CAST(e AS BIGINT) AS window_end, word, count(*) AS n
+FROM sp JOIN ev ON t >= greatest(e - w, b) AND t < e GROUP BY w, i, b, e, word""",
     "mts_avg_dynamic": f"{_spine_sql(_changing().lives)} SELECT {_WINDOW_SQL}, event_type, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(value) AS mean_cents {_JOIN_SQL} GROUP BY w, i, b, e, event_type",
     "mts_linreg_dynamic": f"""{_spine_sql(_changing().lives)},
 g AS (SELECT w, i, b, e, event_type, count(*) AS n, CAST(sum(user_id) AS DOUBLE) AS x, CAST(sum(c) AS DOUBLE) AS y, CAST(sum(user_id * c) AS DOUBLE) AS xy, CAST(sum(user_id * user_id) AS DOUBLE) AS xx FROM sp JOIN (SELECT *, {_CENTS} AS c FROM ev) ON t >= greatest(e - w, b) AND t < e GROUP BY w, i, b, e, event_type)
@@ -366,6 +448,22 @@ SELECT {_WINDOW_SQL}, event_type, CASE WHEN n * xx - x * x = 0 THEN 0 ELSE (n *
 c AS (SELECT w, i, b, e, user_id, count(*) AS n {_JOIN_SQL} GROUP BY w, i, b, e, user_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY w, i, b, e ORDER BY n DESC, user_id) AS rank, sum(n) OVER (PARTITION BY w, i, b, e) AS total FROM c)
 SELECT {_WINDOW_SQL}, CAST(rank AS INTEGER) AS rank, user_id, n, CAST(total AS BIGINT) AS total FROM r WHERE rank <= 5""",
+    "mts_tree": _with(SCALES, _COUNT),
+    "mts_wide_naive": _with(WIDE, _COUNT),
+    "mts_wide_slices": _with(WIDE, _COUNT),
+    "mts_wide_tree": _with(WIDE, _COUNT),
+    "mts_shared_dynamic": _dynamic_sql("own", SIGNALS),
+    "mts_grouped_dynamic": _dynamic_sql("own", SIGNALS),
+    "sink_by_timescale": _with(SCALES, _COUNT),
+    "sink_totals": f"""
+WITH s(w, i) AS (VALUES (5,4), (6,6), (24,6), (48,10)),
+sp AS (SELECT w, i, e FROM s, LATERAL (SELECT unnest(range(i, {HOURS + 1}, i)) AS e)),
+ev AS (SELECT CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '{ORIGIN}')) / 3600000000) AS BIGINT) AS t FROM events),
+n AS (SELECT w, i, e, count(t) AS total FROM sp LEFT JOIN ev ON t >= e - w AND t < e GROUP BY w, i, e),
+cuts AS (SELECT DISTINCT c FROM (SELECT unnest(range(i, {HOURS + 1}, i)) AS c FROM s UNION ALL SELECT unnest(range((i - w % i) % i, {HOURS + 1}, i)) AS c FROM s) WHERE c > 0)
+SELECT CAST(w AS BIGINT) AS w, CAST(i AS BIGINT) AS i, CAST(e AS BIGINT) AS window_end, total, count(c) AS n_deps FROM n LEFT JOIN cuts ON c > greatest(e - w, 0) AND c <= e GROUP BY w, i, e, total""",
+    "source_lines": "SELECT word, count(*) AS n FROM (SELECT unnest(CASE WHEN text = '' THEN [''] WHEN rtrim(text, ' ') = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(rtrim(text, ' '), ' ') END) AS word FROM (SELECT regexp_replace(coalesce(text, ''), '[\\r\\n]', ' ', 'g') AS text FROM conversations)) GROUP BY word",
+    "source_separated": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "plan_slices": _PLAN_SQL,
     "custom_fold": _with(SCALES, "max(user_id) AS largest"),
 }

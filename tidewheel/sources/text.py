@@ -27,9 +27,9 @@ def write_by_timescale(df: DataFrame, path: str, mode: str = "append", form: str
     df.write.mode(mode).partitionBy("w", "i").format(form).save(path)
 
 
-def write_totals(totals: DataFrame, path: str, value: str = "total", mode: str = "append") -> None:
-    """Tab-separated lines window_end, total in folders w=.../i=..."""
-    line = F.concat_ws("\t", F.col("window_end").cast("string"), F.col(value).cast("string"))
+def write_totals(totals: DataFrame, path: str, value: str = "total", mode: str = "append", deps: str | None = None) -> None:
+    """Tab-separated lines window_end, total[, deps] in folders w=.../i=...; deps: a column with how many slices and windows each was merged from."""
+    line = F.concat_ws("\t", *[F.col(c).cast("string") for c in ("window_end", value, deps) if c])
     totals.select("w", "i", line.alias("value")).write.mode(mode).partitionBy("w", "i").text(path)
 
 

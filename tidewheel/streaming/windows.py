@@ -21,8 +21,9 @@ from tidewheel.sources.signals import registry_of
 def windows_by_time(events: DataFrame, ts: str, timescales, keys: list[str], agg: Aggregate, unit_s: int, delay: str, origin_s: int = 0) -> DataFrame:
     """events must hold a TIMESTAMP; windows (w, i) of unit_s seconds a tick end at origin_s + k*i ticks.
 
-    Windows that begin before the origin come too, as what they hold is what there is. Empty windows don't fire."""
-    marked = events.withWatermark(ts, delay)
+    Records before the origin are left out, and so are windows that end by it; those that begin before it come with what
+    there is. Empty windows don't fire."""
+    marked = events.where(F.col(ts) >= F.timestamp_seconds(F.lit(origin_s))).withWatermark(ts, delay)
 
     def one(t) -> DataFrame:
         w, i = t.w * unit_s, t.i * unit_s
@@ -45,8 +46,8 @@ def live_windows(events: DataFrame, ts: str, timescales, keys: list[str], agg: A
 class WindowStream:
     """query = events.writeStream.foreachBatch(WindowStream(...)).option("checkpointLocation", ...).start()
 
-    path holds slices/batch=n (results by tick and key), closed/batch=n (the tick up to which windows are out) and
-    out/batch=n. A record later than `late` ticks behind the newest one may miss windows that are out already.
+    path holds slices/batch=n (results by tick and key, deleted when no live window reaches them any more), closed/batch=n
+    (the tick up to which windows are out) and out/batch=n. A record later than `late` ticks behind the newest one may miss windows that are out already.
     signals: path of a signal table, read at each batch; timescales that it adds see the slices since their start."""
 
     def __init__(self, path: str, timescales, keys: list[str], agg: Aggregate, tick: str = "tick", late: int = 0, signals: str | None = None, start: int = 0):
@@ -65,6 +66,7 @@ class WindowStream:
         newest = mine.agg(F.max("_end")).first()[0]
         closed = self._closed(spark, number)
         self._emit(spark, number, closed, closed if newest is None else max(closed, newest - 1 - self.late))
+        self.clean(spark, number)
 
     def _closed(self, spark: SparkSession, number: int) -> int:
         """Up to where batches before this one have emitted."""
@@ -85,7 +87,8 @@ class WindowStream:
         spark.range(1).select(F.lit(upto).cast("long").alias("upto")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/closed/batch={number}")
 
     def clean(self, spark: SparkSession, number: int) -> int:
-        """Deletes slices of batches before `number` that no live window reaches any more; returns how many batches went."""
+        """Deletes slices of batches before `number` that no live window reached any more when it began, so that `number` can
+        be run again; returns how many batches went. Each batch does so at its end."""
         closed, registry = self._closed(spark, number), self._registry(spark)
         keep = closed - max((x.scale.w for x in registry.lives if x.until is None or x.until > closed), default=0)
         old = spark.read.parquet(f"{self.path}/slices").where(F.col("batch") < number).groupBy("batch").agg(F.max("_end").alias("top")).where(F.col("top") <= keep).collect()
