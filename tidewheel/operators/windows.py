@@ -49,11 +49,14 @@ def _lives(registry: Registry) -> Column:
     return F.array(*[F.struct(F.lit(x.scale.w).cast("long").alias("w"), F.lit(x.scale.i).cast("long").alias("i"), F.lit(x.since).cast("long").alias("since"), F.lit(x.until).cast("long").alias("gone"), F.lit(k).alias("life")) for k, x in enumerate(registry.lives)])
 
 
-def _fanned(df: DataFrame, end: str, registry: Registry, until: Column, name: str) -> DataFrame:
+def _fanned(df: DataFrame, end: str, registry: Registry, until: Column, name: str, groups: list[int] | None = None) -> DataFrame:
     """df once for every window that the span of ticks ending at column `end` feeds; adds w, i, since, life and the window's end.
 
-    The span lies between edges, so it is in a window wholly or not at all: end <= e < end + w."""
+    The span lies between edges, so it is in a window wholly or not at all: end <= e < end + w. groups: the group of each
+    life, where rows of df are for the lives of the group in _group only."""
     life = df.withColumn("_life", F.explode(_lives(registry))).where(F.col(end) > F.col("_life.since"))
+    if groups is not None:
+        life = life.where(F.element_at(F.array(*map(F.lit, groups)), F.col("_life.life") + 1) == F.col("_group"))
     since, i, w = F.col("_life.since"), F.col("_life.i"), F.col("_life.w")
     first = since + F.ceil((F.col(end) - since) / i) * i
     last = F.least(F.col(end) + w - 1, until, F.coalesce(F.col("_life.gone"), until))
@@ -148,16 +151,15 @@ def multi_window(df: DataFrame, timescales, keys: list[str], agg: Aggregate, tic
         wide = _fanned(cut, "_end", registry, end, "window_end")
         return _named(wide.groupBy(*by).agg(*agg.merges()), keys, agg)
     if mode == "grouped":
-        lives: dict[Timescale, list[Live]] = {}
-        for x in registry.lives:
-            lives.setdefault(x.scale, []).append(x)
-        parts = []
-        for group in cost_groups([x.scale for x in registry.lives]):
-            own = Registry(registry.start, [lives[t].pop(0) for t in group])
-            # The group's slices are unions of the common ones: its edges are among theirs.
-            coarse = cut.where(F.col("_end") > min(x.since for x in own.lives)).withColumn("_end", slice_end(F.col("_end") - 1, own.lives)).groupBy("_end", *keys).agg(*agg.merges())
-            parts.append(_named(_fanned(coarse, "_end", own, end, "window_end").groupBy(*by).agg(*agg.merges()), keys, agg))
-        return reduce(DataFrame.unionByName, parts)
+        numbers: dict[Timescale, list[int]] = {}
+        for k, x in enumerate(registry.lives):
+            numbers.setdefault(x.scale, []).append(k)
+        groups = [[numbers[t].pop(0) for t in group] for group in cost_groups([x.scale for x in registry.lives])]
+        # A group's slices are unions of the common ones: its edges are among theirs. One row for each group that a slice is in.
+        ends = F.array(*[slice_end(F.col("_end") - 1, [registry.lives[k] for k in group]) for group in groups])
+        coarse = cut.select("*", F.posexplode(ends).alias("_group", "_coarse")).groupBy("_group", F.col("_coarse").alias("_end"), *keys).agg(*agg.merges())
+        wide = _fanned(coarse, "_end", registry, end, "window_end", [next(g for g, some in enumerate(groups) if k in some) for k in range(len(registry.lives))])
+        return _named(wide.groupBy(*by).agg(*agg.merges()), keys, agg)
     since = registry.lives[0].since
     scales = [x.scale for x in registry.lives]
     if len({(x.since, x.until) for x in registry.lives}) > 1 or period(scales) > max(1, last - since):
