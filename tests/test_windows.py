@@ -10,6 +10,7 @@ from tidewheel.operators import countwin, dataflow, postops, windows
 from tidewheel.operators.windows import multi_window, tick_of
 from tidewheel.plans.timescale import Registry
 from tidewheel.sources import generators, signals, text
+from tidewheel.streaming.state import windows_in_state
 from tidewheel.streaming.windows import WindowStream, live_windows, windows_by_time
 
 MODES = ("naive", "slices", "auto", "greedy", "dp", "adaptive", "grouped", "tree")
@@ -276,3 +277,32 @@ def test_window_stream_with_changing_timescales(spark, tmp_path):
     ticks = [((t - dt.datetime(2024, 1, 1)) // dt.timedelta(hours=1), k) for t, k in rows]
     assert found(sink.results(spark)) == brute(ticks, registry.lives, 40)
     assert sink.clean(spark, 101) >= 1 and sink.clean(spark, 101) == 0 and found(sink.results(spark)) == brute(ticks, registry.lives, 40)
+
+
+def test_windows_in_state_equal_batch(spark, tmp_path):
+    """Early, late and repeated records, null keys and values, timescales that come and go."""
+    day = dt.datetime(2024, 1, 1)
+    r = random.Random(8)
+    early = [(day - dt.timedelta(hours=k, minutes=5), 0, 1) for k in range(6)]
+    some = [(day + dt.timedelta(minutes=31 * k), r.choice([0, 1, None]), r.choice([3, 2**53 + 1, None])) for k in range(60)]
+    late = [(day + dt.timedelta(hours=3), 7, 1)]
+    after = [(day + dt.timedelta(hours=90), 0, 5)]
+    schema = "ts timestamp, key int, value long"
+    for k, part in enumerate((early, some[:30], some[28:30] + some[30:], after, late)):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in{k}")
+    kept = spark.createDataFrame([*some, *some[28:30]], schema).withColumn("tick", tick_of("ts", "2024-01-01", 3600))
+    origin = int(day.replace(tzinfo=dt.timezone.utc).timestamp())
+    registry = lambda: Registry.of("(5,3)(7,2)").apply([(6, 4, 1, 9), (5, 3, 2, 21)])
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for name, agg in (("counted", A.count()), ("summed", A.total("value", "n"))):
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+            out = windows_in_state(stream, "ts", registry(), ["key"], agg, 3600, "2 hours", origin)
+            query = out.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+            query.awaitTermination()
+            rows = spark.table(name).where("window_end < 80")
+            assert rows.count() == len(found(rows)) and found(rows) == found(multi_window(kept, registry(), ["key"], agg, until=79)), name
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    with pytest.raises(ValueError):
+        windows_in_state(kept, "ts", "(5,3)", ["key"], A.minmax("value"), 3600, "0 seconds")

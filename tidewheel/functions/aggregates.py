@@ -19,6 +19,8 @@ class Aggregate:
     merge: dict[str, Column]
     final: dict[str, Column]
     invertible: bool = False
+    #: For aggregates whose buffers are sums: buffer name -> what one record adds; null adds nothing.
+    row: dict[str, Column] = field(default_factory=dict)
     #: Whether partial and merge gather rows: then only so many at a time are given to them.
     gathers: bool = False
     #: For aggregates of distinct values: the value, and results by name from the distinct values in _value.
@@ -38,28 +40,36 @@ class Aggregate:
         return [c.alias(n) for n, c in self.final.items()]
 
 
-def _sums(partial: dict[str, Column], final: dict[str, Column]) -> Aggregate:
-    return Aggregate(partial, {n: F.sum(n) for n in partial}, final, invertible=True)
+def _col(value) -> Column:
+    return F.col(value) if isinstance(value, str) else value
+
+
+def _sums(partial: dict[str, Column], final: dict[str, Column], row: dict[str, Column]) -> Aggregate:
+    return Aggregate(partial, {n: F.sum(n) for n in partial}, final, invertible=True, row=row)
+
+
+def _known(value) -> Column:
+    return F.when(_col(value).isNotNull(), 1).otherwise(0).cast("long")
 
 
 def count(name: str = "n") -> Aggregate:
-    return _sums({"_n": F.count("*")}, {name: F.col("_n")})
+    return _sums({"_n": F.count("*")}, {name: F.col("_n")}, {"_n": F.lit(1).cast("long")})
 
 
 def total(value, name: str = "total") -> Aggregate:
-    return _sums({"_s": F.sum(value)}, {name: F.col("_s")})
+    return _sums({"_s": F.sum(value)}, {name: F.col("_s")}, {"_s": _col(value)})
 
 
 def avg(value, name: str = "mean") -> Aggregate:
     """Exact mean of the values that aren't null, in double."""
-    return _sums({"_s": F.sum(value), "_n": F.count(value)}, {name: F.col("_s") / F.col("_n")})
+    return _sums({"_s": F.sum(value), "_n": F.count(value)}, {name: F.col("_s") / F.col("_n")}, {"_s": _col(value), "_n": _known(value)})
 
 
 def avg_trunc(value, name: str = "mean") -> Aggregate:
     """Mean of whole numbers, cut toward zero."""
     whole = F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(None)).cast("long")
     cut = F.when(F.col("_n") > 0, F.expr("_s div _n"))
-    return _sums({"_s": F.sum(whole), "_n": F.count(whole)}, {name: cut})
+    return _sums({"_s": F.sum(whole), "_n": F.count(whole)}, {name: cut}, {"_s": whole, "_n": _known(whole)})
 
 
 def linreg(x, y, slope: str = "slope", intercept: str = "intercept") -> Aggregate:
@@ -74,7 +84,7 @@ def linreg(x, y, slope: str = "slope", intercept: str = "intercept") -> Aggregat
         return F.when(level, F.lit(0.0)).otherwise(top / bottom)
 
     final = {slope: ratio(F.col("_n") * F.col("_xy") - F.col("_x") * F.col("_y")), intercept: ratio(F.col("_xx") * F.col("_y") - F.col("_xy") * F.col("_x"))}
-    return _sums({"_x": F.sum(x), "_y": F.sum(y), "_xy": F.sum(x * y), "_xx": F.sum(x * x), "_n": F.count(x)}, final)
+    return _sums({"_x": F.sum(x), "_y": F.sum(y), "_xy": F.sum(x * y), "_xx": F.sum(x * x), "_n": F.count(x)}, final, {"_x": x, "_y": y, "_xy": x * y, "_xx": x * x, "_n": _known(x)})
 
 
 def minmax(value, low: str = "low", high: str = "high") -> Aggregate:
