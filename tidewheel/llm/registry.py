@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from tidewheel.llm import exact_dedup, licences, mixing, near_join, neighbours, packing, secrets, substring_dedup, suffix_dedup, toxicity
+from tidewheel.llm import exact_dedup, hard_negatives, licences, mixing, near_join, neighbours, packing, periodic, quality, secrets, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,8 +13,12 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_nearest": neighbours.op9_nearest,
     "op10_secrets": secrets.op10_secrets,
+    "op11_quality": quality.op11_quality,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
