@@ -6,7 +6,6 @@ import pytest
 from tidewheel.plans.horizon import HorizonPlan
 from tidewheel.plans.sharing import Options, SharePlan, cost_groups, group_cost
 from tidewheel.plans.slices import SlicePlan, next_edge, period
-from tidewheel.plans.spans import SpanTable
 from tidewheel.plans.timescale import Registry, Timescale, format_timescales, parse_timescales
 from tidewheel.sources.generators import random_timescales
 
@@ -153,19 +152,3 @@ def test_a_hundred_timescales_are_planned_in_seconds():
     kept = len(plan.spans)
     plan.drop_before(1200)
     assert len(plan.spans) < kept and plan.extend(2500).until == 2500
-
-
-def test_span_table():
-    table = SpanTable()
-    for end in (8, 5, 10):
-        table.save(0, end, f"0-{end}")
-    table.save(3, 7, "3-7")
-    assert [table.longest(0, e)[0] for e in (7, 8, 9, 11)] == [5, 8, 8, 10]
-    assert table.find(0, 8) == "0-8" and list(table.row(0)) == [5, 8, 10]
-    table.delete(0, 8)
-    assert table.longest(0, 9) == (5, "0-5")
-    table.drop_before(3)
-    assert table.find(3, 7) == "3-7"
-    for missing in (lambda: table.find(3, 8), lambda: table.longest(3, 6), lambda: table.row(0)):
-        with pytest.raises(KeyError):
-            missing()

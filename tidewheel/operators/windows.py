@@ -8,13 +8,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions.aggregates import Aggregate, presence
-from tidewheel.plans.horizon import HorizonPlan
+from tidewheel.plans.epochs import EpochPlan, TooLarge
 from tidewheel.plans.sharing import Options, SharePlan, cost_groups
-from tidewheel.plans.slices import period
 from tidewheel.plans.timescale import Live, Registry, Timescale
 
 #: Rows of driver-built plan tables that are broadcast; larger ones are shuffled.
@@ -49,7 +49,7 @@ def _lives(registry: Registry) -> Column:
     return F.array(*[F.struct(F.lit(x.scale.w).cast("long").alias("w"), F.lit(x.scale.i).cast("long").alias("i"), F.lit(x.since).cast("long").alias("since"), F.lit(x.until).cast("long").alias("gone"), F.lit(k).alias("life")) for k, x in enumerate(registry.lives)])
 
 
-def _fanned(df: DataFrame, end: str, registry: Registry, until: Column, name: str, groups: list[int] | None = None) -> DataFrame:
+def fanned(df: DataFrame, end: str, registry: Registry, until: Column, name: str, groups: list[int] | None = None) -> DataFrame:
     """df once for every window that the span of ticks ending at column `end` feeds; adds w, i, since, life and the window's end.
 
     The span lies between edges, so it is in a window wholly or not at all: end <= e < end + w. groups: the group of each
@@ -79,6 +79,8 @@ def _named(df: DataFrame, keys: list[str], agg: Aggregate) -> DataFrame:
 
 #: Rounds that a plan over absolute time takes at most: each is a shuffle.
 LEVELS = 3
+#: Ticks over which windows are listed without a look at where the records end.
+LISTED = 1_000_000
 #: Rows of one group that are gathered at a time, for aggregates that gather rows.
 GATHERED = 1024
 
@@ -121,8 +123,8 @@ def multi_window(df: DataFrame, timescales, keys: list[str], agg: Aggregate, tic
 
     timescales: text, pairs or a Registry. until: the last tick at which windows fire (default: when the last record's
     tick closes). mode: "naive" (each record goes to all its windows), "slices" (records are aggregated by slice once,
-    slices go to windows), "auto" (one of these, see choose_mode), "greedy", "dp" or "adaptive" (windows also from windows;
-    see Options), "grouped" (timescales that gain by it slice together, from one set of common slices), "tree" (slices in a
+    slices go to windows), "auto" (one of these, see choose_mode), "greedy", "dp" or "adaptive" (windows also from windows, by
+    EpochPlan, whose size does not follow the time span, or by the tree where that is too large; with options of SharePlan by it), "grouped" (timescales that gain by it slice together, from one set of common slices), "tree" (slices in a
     tree of merges, of which each window reads a few nodes). All modes give the same rows, for timescales that come and go
     as well. Records before start are left out."""
     registry = Registry.of(timescales, start)
@@ -142,31 +144,31 @@ def multi_window(df: DataFrame, timescales, keys: list[str], agg: Aggregate, tic
     if mode == "naive":
         low = min(x.since for x in registry.lives)
         rows = df.where(F.col(tick) >= low).withColumn("_end", F.col(tick).cast("long") + 1)
-        rows = _fanned(rows, "_end", registry, end, "window_end")
+        rows = fanned(rows, "_end", registry, end, "window_end")
         return _named(folded(rows, by, agg), keys, agg)
     if mode == "tree":
         return _by_tree(df, registry, keys, agg, tick, last)
     cut = partials(df, registry, keys, agg, tick)
     if mode == "slices":
-        wide = _fanned(cut, "_end", registry, end, "window_end")
+        wide = fanned(cut, "_end", registry, end, "window_end")
         return _named(wide.groupBy(*by).agg(*agg.merges()), keys, agg)
     if mode == "grouped":
         numbers: dict[Timescale, list[int]] = {}
         for k, x in enumerate(registry.lives):
             numbers.setdefault(x.scale, []).append(k)
         groups = [[numbers[t].pop(0) for t in group] for group in cost_groups([x.scale for x in registry.lives])]
-        # A group's slices are unions of the common ones: its edges are among theirs. One row for each group that a slice is in.
-        ends = F.array(*[slice_end(F.col("_end") - 1, [registry.lives[k] for k in group]) for group in groups])
-        coarse = cut.select("*", F.posexplode(ends).alias("_group", "_coarse")).groupBy("_group", F.col("_coarse").alias("_end"), *keys).agg(*agg.merges())
-        wide = _fanned(coarse, "_end", registry, end, "window_end", [next(g for g, some in enumerate(groups) if k in some) for k in range(len(registry.lives))])
+        wide = fanned(group_slices(cut, registry, groups, keys, agg), "_end", registry, end, "window_end", [next(g for g, some in enumerate(groups) if k in some) for k in range(len(registry.lives))])
         return _named(wide.groupBy(*by).agg(*agg.merges()), keys, agg)
-    since = registry.lives[0].since
-    scales = [x.scale for x in registry.lives]
-    if len({(x.since, x.until) for x in registry.lives}) > 1 or period(scales) > max(1, last - since):
-        shared = HorizonPlan(registry, last, "dp" if mode == "adaptive" else mode, LEVELS)
-        levels, rows, schema = shared.levels, shared.edge_rows(), "_level int, _c int, _at long, _parent int, _to long"
-        known = cut.select(F.lit(-1).alias("_c"), F.col("_end").alias("_at"), *keys, *agg.partial)
-        return _by_levels(known, levels, rows, schema, lambda t: t, registry, keys, agg)
+    if not plan:
+        try:
+            shared = EpochPlan(registry, last, mode, LEVELS)
+        except TooLarge:
+            return _by_tree(df, registry, keys, agg, tick, last)
+        return _by_segments(cut, shared, registry, keys, agg)
+    # Options of sharing are for timescales that live all the time.
+    if len({(x.since, x.until) for x in registry.lives}) > 1:
+        raise ValueError("timescales that come and go take no options of sharing")
+    since, scales = registry.lives[0].since, [x.scale for x in registry.lives]
     shared = SharePlan(scales, Options(select=mode, **plan))
     stop = last if registry.lives[0].until is None else min(last, registry.lives[0].until)
     rows, schema = [(n, c, phase, p, delta) for n, p, c, phase, delta in shared.patterns()], "_level int, _c int, _phase long, _parent int, _delta long"
@@ -174,6 +176,53 @@ def multi_window(df: DataFrame, timescales, keys: list[str], agg: Aggregate, tic
     return _by_levels(known, shared.levels, rows, schema, lambda t: t.withColumn("_to", F.col("_at") + F.col("_delta")).where(F.col("_to") <= stop), registry, keys, agg, lambda t: t.withColumn("_phase", F.pmod(F.col("_at") - since, F.lit(shared.period))))
 
 
+def group_slices(cut: DataFrame, registry: Registry, groups: list[list[int]], keys: list[str], agg: Aggregate) -> DataFrame:
+    """Slices of each group, from common ones: a group's are unions of these, as its edges are among theirs. One row for
+    each group that a common slice is in; adds _group."""
+    ends = F.array(*[slice_end(F.col("_end") - 1, [registry.lives[k] for k in group]) for group in groups])
+    coarse = cut.select("*", F.posexplode(ends).alias("_group", "_coarse")).where(F.col("_coarse") < 2**62)
+    return coarse.groupBy("_group", F.col("_coarse").alias("_end"), *keys).agg(*agg.merges())
+
+
+def _by_segments(cut: DataFrame, plan: EpochPlan, registry: Registry, keys: list[str], agg: Aggregate) -> DataFrame:
+    """Executes a plan by epochs level by level: each level is one join with its rows of the plan, by phase, and one merge.
+
+    Segments (a few for each change) are broadcast; patterns up to BROADCAST_ROWS rows a level."""
+    spark, buffers = cut.sparkSession, list(agg.partial)
+    if len(plan.groups) > 1:
+        cut = group_slices(cut, registry, plan.groups, keys, agg)
+    else:
+        cut = cut.withColumn("_group", F.lit(0))
+    known = cut.select(F.lit(-1).alias("_c"), F.col("_end").alias("_at"), "_group", *keys, *buffers)
+    segments = spark.createDataFrame(plan.segment_rows() or [(0, -1, 0, 0, 1, 0)], "_seg int, _group int, _low long, _high long, _mod long, _reach long")
+    patterns, level_of = plan.pattern_rows(), {}
+    for r in patterns:
+        level_of.setdefault(r[4], set()).add(r[1])
+    group_of = F.array(*[F.lit(next(g for g, some in enumerate(plan.groups) if k in some)) for k in range(len(registry.lives))])
+
+    def placed(t: DataFrame) -> DataFrame:
+        """Rows once for each segment whose windows they may be in, with their phase there."""
+        inside = (F.col("_at") > F.col("_low") - F.col("_reach")) & (F.col("_at") <= F.col("_high"))
+        return t.join(F.broadcast(segments), "_group").where(inside).withColumn("_phase", F.pmod(F.col("_at") - F.col("_low") + F.col("_reach"), "_mod"))
+
+    made, done = {0: placed(known)}, []
+    for level in range(1, plan.levels + 1):
+        mine = [r for r in patterns if r[1] == level]
+        names = ("_seg", "_c", "_phase", "_parent", "_delta")
+        columns = zip(*((s, c, ph, p, d) for s, _, c, ph, p, d in mine))
+        table = spark.createDataFrame(pa.table({n: pa.array(c, pa.int32() if n in ("_seg", "_c", "_parent") else pa.int64()) for n, c in zip(names, columns)}))
+        table = F.broadcast(table) if len(mine) <= BROADCAST_ROWS else table
+        children = {r[2] for r in mine}
+        needed = {0} if -1 in children else set()
+        needed |= {n for c in children if c >= 0 for n in level_of.get(c, ()) if n < level}
+        fed = [made[n].join(table, ["_seg", "_c", "_phase"]).withColumn("_to", F.col("_at") + F.col("_delta")).where("_to > _low AND _to <= _high") for n in sorted(needed)]
+        fed = reduce(DataFrame.unionByName, [x.select("_parent", "_to", *keys, *buffers) for x in fed])
+        out = fed.groupBy("_parent", "_to", *keys).agg(*agg.merges()).select(F.col("_parent").alias("_c"), F.col("_to").alias("_at"), *keys, *buffers)
+        made[level] = placed(out.withColumn("_group", F.element_at(group_of, F.col("_c") + 1)))
+        done.append(out)
+    return _finished(done, known, registry, keys, agg)
+
+
 def _by_levels(known: DataFrame, levels: int, rows: list[tuple], schema: str, reach, registry: Registry, keys: list[str], agg: Aggregate, mark=lambda t: t) -> DataFrame:
     """Executes a plan level by level: each level is one join with its rows of the plan and one merge.
 
@@ -198,6 +247,12 @@ def _by_levels(known: DataFrame, levels: int, rows: list[tuple], schema: str, re
         out = fed.groupBy("_parent", "_to", *keys).agg(*agg.merges()).select(F.col("_parent").alias("_c"), F.col("_to").alias("_at"), *keys, *buffers)
         made[level] = mark(out)
         done.append(out)
+    return _finished(done, known, registry, keys, agg)
+
+
+def _finished(done: list[DataFrame], known: DataFrame, registry: Registry, keys: list[str], agg: Aggregate) -> DataFrame:
+    """Windows of all levels (_c, _at, keys, buffers) as results."""
+    buffers = list(agg.partial)
     if not done:
         w = F.lit(None).cast("long")
         return _named(known.where(F.lit(False)).select(w.alias("w"), w.alias("i"), w.alias("_since"), w.alias("window_end"), *keys, *buffers), keys, agg)
@@ -212,6 +267,8 @@ def _by_tree(df: DataFrame, registry: Registry, keys: list[str], agg: Aggregate,
     A slice has as many ticks as divide all windows, intervals and starts. All levels are made in one shuffle, to which a
     slice and key adds a row a level after map-side merging."""
     low = min(x.since for x in registry.lives)
+    if last - low > LISTED:  # windows are listed: none that come after the last record
+        last = min(last, last_tick(df, tick) + max(x.scale.w for x in registry.lives))
     unit = math.gcd(*(n for x in registry.lives for n in (x.scale.w, x.scale.i, x.since - low)))
     depth = max(x.scale.w // unit for x in registry.lives).bit_length()
     rows = df.where(F.col(tick) >= low).withColumn("_node", F.floor((F.col(tick).cast("long") - low) / unit).cast("long"))

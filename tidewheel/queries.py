@@ -6,13 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewheel.functions import aggregates as A
 from tidewheel.operators import countwin, dataflow, postops
-from tidewheel.operators.windows import multi_window, tick_of
-from tidewheel.plans.horizon import HorizonPlan
-from tidewheel.plans.sharing import SharePlan
+from tidewheel.operators.windows import fanned, last_tick, multi_window, slice_end, tick_of
 from tidewheel.plans.slices import SlicePlan
 from tidewheel.plans.timescale import Registry
 from tidewheel.sources import text
@@ -20,8 +19,6 @@ from tidewheel.sources import text
 ORIGIN = "2024-01-01"
 SCALES = "(5,4)(6,6)(24,6)(48,10)"
 NESTED = "(4,2)(8,4)(10,5)(16,4)"
-#: Hours of the events' 30 days.
-HOURS = 720
 #: Later than any tick: every window that holds a record fires.
 ALL = 2**62
 # Words that the word queries leave out.
@@ -49,18 +46,22 @@ def _hourly(aggregate, mode: str = "auto", scales: str = SCALES, **plan):
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         agg = aggregate()
-        out = multi_window(events(spark, sf_dir), scales, ["event_type"], agg, until=HOURS, mode=mode, **plan)
+        out = multi_window(events(spark, sf_dir), scales, ["event_type"], agg, until=ALL, mode=mode, **plan)
         return out.select("w", "i", "window_end", "event_type", *agg.final)
 
     return query
 
 
+_HOUR = f"CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '{ORIGIN}')) / 3600000000) AS BIGINT)"
+
+
 def _with(scales: str, value: str, having: str = "events", extra: str = "") -> str:
     pairs = ", ".join(f"({w},{i})" for w, i in ((t.w, t.i) for t in SlicePlan(scales).scales))
     return f"""
 WITH s(w, i) AS (VALUES {pairs}),
-sp AS (SELECT w, i, e FROM s, LATERAL (SELECT unnest(range(i, {HOURS + 1}, i)) AS e)),
-ev AS (SELECT *, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '{ORIGIN}')) / 3600000000) AS BIGINT) AS t FROM {having})
+ev AS (SELECT *, {_HOUR} AS t FROM {having}),
+top AS (SELECT max(t) AS last FROM ev),
+sp AS (SELECT w, i, e FROM s, top, LATERAL (SELECT unnest(range(i, last + w + 1, i)) AS e))
 SELECT CAST(w AS BIGINT) AS w, CAST(i AS BIGINT) AS i, CAST(e AS BIGINT) AS window_end, event_type, {value}
 FROM sp JOIN ev ON t >= e - w AND t < e{extra} GROUP BY w, i, e, event_type"""
 
@@ -70,49 +71,49 @@ _COUNT = "count(*) AS n"
 
 def mts_sum_value(spark, sf_dir):
     cents = events(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
-    return multi_window(cents, SCALES, ["event_type"], A.total("cents", "total_cents"), until=HOURS).select("w", "i", "window_end", "event_type", "total_cents")
+    return multi_window(cents, SCALES, ["event_type"], A.total("cents", "total_cents"), until=ALL).select("w", "i", "window_end", "event_type", "total_cents")
 
 
 def mts_avg(spark, sf_dir):
     """The mean in cents: whole sums, so that the order of addition can't show."""
     cents = events(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
-    return multi_window(cents, SCALES, ["event_type"], A.avg("cents", "mean_cents"), until=HOURS).select("w", "i", "window_end", "event_type", "mean_cents")
+    return multi_window(cents, SCALES, ["event_type"], A.avg("cents", "mean_cents"), until=ALL).select("w", "i", "window_end", "event_type", "mean_cents")
 
 
 def mts_avg_trunc(spark, sf_dir):
     whole = events(spark, sf_dir).withColumn("whole", F.floor("value").cast("long") - 20)
-    return multi_window(whole, SCALES, ["event_type"], A.avg_trunc("whole", "mean"), until=HOURS).select("w", "i", "window_end", "event_type", "mean")
+    return multi_window(whole, SCALES, ["event_type"], A.avg_trunc("whole", "mean"), until=ALL).select("w", "i", "window_end", "event_type", "mean")
 
 
 def mts_uniq_set(spark, sf_dir):
     some = events(spark, sf_dir).withColumn("weekday", F.pmod("user_id", F.lit(7)))
-    out = multi_window(some, SCALES, ["event_type"], A.uniq("weekday", "found"), until=HOURS)
+    out = multi_window(some, SCALES, ["event_type"], A.uniq("weekday", "found"), until=ALL)
     return out.select("w", "i", "window_end", "event_type", F.array_join("found", ",").alias("found"))
 
 
 def mts_topk(spark, sf_dir):
-    counts = multi_window(events(spark, sf_dir), SCALES, ["user_id"], A.count(), until=HOURS)
+    counts = multi_window(events(spark, sf_dir), SCALES, ["user_id"], A.count(), until=ALL)
     return postops.top_keys(counts, "user_id", 10).select("w", "i", "window_end", "rank", "user_id", "n", "total")
 
 
 def mts_totals(spark, sf_dir):
-    counts = multi_window(events(spark, sf_dir), SCALES, ["event_type"], A.count(), until=HOURS)
-    return postops.totals(counts, SCALES, 0, HOURS).select("w", "i", "window_start", "window_end", "total", "fully_processed")
+    counts = multi_window(events(spark, sf_dir), SCALES, ["event_type"], A.count(), until=ALL)
+    return postops.totals(counts, SCALES, 0, last_tick(events(spark, sf_dir), "tick")).select("w", "i", "window_start", "window_end", "total", "fully_processed")
 
 
 def mts_map_view(spark, sf_dir):
-    counts = multi_window(events(spark, sf_dir), SCALES, ["event_type"], A.count(), until=HOURS)
+    counts = multi_window(events(spark, sf_dir), SCALES, ["event_type"], A.count(), until=ALL)
     pairs = F.array_join(F.transform(F.array_sort(F.map_entries("result")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return postops.as_maps(counts, "event_type").select("w", "i", "window_end", pairs.alias("result"))
 
 
 def mts_fully_processed(spark, sf_dir):
-    out = multi_window(events(spark, sf_dir), SCALES, ["event_type"], A.count(), until=HOURS)
+    out = multi_window(events(spark, sf_dir), SCALES, ["event_type"], A.count(), until=ALL)
     return out.select("w", "i", "window_start", "window_end", "nominal_start", "event_type", "n", "fully_processed")
 
 
 def mts_late_start(spark, sf_dir):
-    out = multi_window(events(spark, sf_dir), SCALES, ["event_type"], A.count(), start=101, until=HOURS)
+    out = multi_window(events(spark, sf_dir), SCALES, ["event_type"], A.count(), start=101, until=ALL)
     return out.select("w", "i", "window_start", "window_end", "event_type", "n", "fully_processed")
 
 
@@ -135,18 +136,19 @@ SIGNALS = [(24, 6, 1, 100), (48, 10, 1, 205), (24, 6, 2, 400), (6, 6, 2, 300), (
 def _dynamic(align: str, signals):
     def query(spark, sf_dir):
         registry = Registry.of("(5,4)(6,6)").apply(signals, align)
-        out = multi_window(events(spark, sf_dir), registry, ["event_type"], A.count(), until=HOURS)
+        out = multi_window(events(spark, sf_dir), registry, ["event_type"], A.count(), until=ALL)
         return out.select("w", "i", "window_start", "window_end", "event_type", "n", "fully_processed")
 
     return query
 
 
 def _spine_sql(lives) -> str:
-    rows = ", ".join(f"({x.scale.w},{x.scale.i},{x.since},{HOURS if x.until is None else x.until})" for x in lives)
+    rows = ", ".join(f"({x.scale.w},{x.scale.i},{x.since},{'CAST(NULL AS BIGINT)' if x.until is None else x.until})" for x in lives)
     return f"""
 WITH s(w, i, b, z) AS (VALUES {rows}),
-sp AS (SELECT w, i, b, e FROM s, LATERAL (SELECT unnest(range(b + i, z + 1, i)) AS e)),
-ev AS (SELECT *, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '{ORIGIN}')) / 3600000000) AS BIGINT) AS t FROM events)"""
+ev AS (SELECT *, {_HOUR} AS t FROM events),
+top AS (SELECT max(t) AS last FROM ev),
+sp AS (SELECT w, i, b, e FROM s, top, LATERAL (SELECT unnest(range(b + i, coalesce(z, last + w) + 1, i)) AS e))"""
 
 
 _WINDOW_SQL = "CAST(w AS BIGINT) AS w, CAST(i AS BIGINT) AS i, CAST(greatest(e - w, b) AS BIGINT) AS window_start, CAST(e AS BIGINT) AS window_end"
@@ -189,24 +191,24 @@ def word_count_dynamic(spark, sf_dir):
 
 def mts_avg_dynamic(spark, sf_dir):
     cents = events(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
-    return multi_window(cents, _changing(), ["event_type"], A.avg("cents", "mean_cents"), until=HOURS).select("w", "i", "window_start", "window_end", "event_type", "mean_cents")
+    return multi_window(cents, _changing(), ["event_type"], A.avg("cents", "mean_cents"), until=ALL).select("w", "i", "window_start", "window_end", "event_type", "mean_cents")
 
 
 def mts_linreg_dynamic(spark, sf_dir):
     cents = events(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
-    out = multi_window(cents, _changing(), ["event_type"], A.linreg("user_id", "cents"), until=HOURS)
+    out = multi_window(cents, _changing(), ["event_type"], A.linreg("user_id", "cents"), until=ALL)
     return out.select("w", "i", "window_start", "window_end", "event_type", "slope", "intercept")
 
 
 def mts_topk_dynamic(spark, sf_dir):
-    counts = multi_window(events(spark, sf_dir), _changing(), ["user_id"], A.count(), until=HOURS)
+    counts = multi_window(events(spark, sf_dir), _changing(), ["user_id"], A.count(), until=ALL)
     return postops.top_keys(counts, "user_id", 5).select("w", "i", "window_start", "window_end", "rank", "user_id", "n", "total")
 
 
 def custom_fold(spark, sf_dir):
     """The largest of two numbers as a fold of one's own, over user ids."""
     agg = A.fold(F.col("user_id"), F.lit(-1).cast("long"), lambda a, b: F.when(b > a, b).otherwise(a), "largest")
-    return multi_window(events(spark, sf_dir), SCALES, ["event_type"], agg, until=HOURS).select("w", "i", "window_end", "event_type", "largest")
+    return multi_window(events(spark, sf_dir), SCALES, ["event_type"], agg, until=ALL).select("w", "i", "window_end", "event_type", "largest")
 
 
 def filter_drop(spark, sf_dir):
@@ -257,18 +259,27 @@ WIDE = "".join(f"({50 + 20 * k},{1 + k % 10})" for k in range(24))
 
 def mts_shared_dynamic(spark, sf_dir):
     """Windows from windows while timescales come and go."""
-    out = multi_window(events(spark, sf_dir), _changing(), ["event_type"], A.count(), until=HOURS, mode="greedy")
+    out = multi_window(events(spark, sf_dir), _changing(), ["event_type"], A.count(), until=ALL, mode="greedy")
     return out.select("w", "i", "window_start", "window_end", "event_type", "n", "fully_processed")
 
 
 def mts_grouped_dynamic(spark, sf_dir):
-    out = multi_window(events(spark, sf_dir), _changing(), ["event_type"], A.count(), until=HOURS, mode="grouped")
+    out = multi_window(events(spark, sf_dir), _changing(), ["event_type"], A.count(), until=ALL, mode="grouped")
     return out.select("w", "i", "window_start", "window_end", "event_type", "n", "fully_processed")
 
 
 def _written(spark, name: str) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    """A new folder that driver and executors share: in spark.checkpoint.dir, else in the context's own. Without either, a
+    local master gets a temporary folder; on a cluster there is none that every machine sees, and that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if found.isDefined():
+            base = found.get()
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            base = f"file://{tempfile.mkdtemp()}"
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -280,13 +291,27 @@ def sink_by_timescale(spark, sf_dir):
     return out.select(F.col("w").cast("long").alias("w"), F.col("i").cast("long").alias("i"), "window_end", "event_type", "n")
 
 
+def _cuts(frame: DataFrame) -> DataFrame:
+    """(slice_end, n) of the slices of SCALES that hold records."""
+    cut = frame.withColumn("slice_end", slice_end(F.col("tick"), Registry.of(SCALES).lives))
+    return cut.groupBy("slice_end").agg(F.count("*").alias("n"))
+
+
+def _edges(spark, last: int) -> DataFrame:
+    """Ends of all slices of SCALES up to `last`, whether they hold records or not."""
+    ticks = spark.range(last).select(F.col("id").alias("tick"))
+    return ticks.select(slice_end(F.col("tick"), Registry.of(SCALES).lives).alias("slice_end")).distinct().where(F.col("slice_end") <= last)
+
+
 def sink_totals(spark, sf_dir):
-    """Totals with the number of windows and slices each was merged from, as tab-separated lines, written and read again."""
+    """Totals with the number of slices each was merged from, as tab-separated lines, written and read again."""
     path = _written(spark, "totals")
-    counts = multi_window(events(spark, sf_dir), SCALES, ["event_type"], A.count(), until=HOURS)
-    deps = HorizonPlan(Registry.of(SCALES), HOURS, "slices")
-    deps = spark.createDataFrame([(w, i, e, n) for w, i, _, e, n, _, _ in deps.node_rows()], "w long, i long, window_end long, n_children int")
-    text.write_totals(postops.totals(counts, SCALES, 0, HOURS).join(deps, ["w", "i", "window_end"]), path, deps="n_children")
+    rows = events(spark, sf_dir)
+    counts, last = multi_window(rows, SCALES, ["event_type"], A.count(), until=ALL), last_tick(rows, "tick")
+    # Slices go to the windows that they are in: no join of ranges.
+    lives = Registry.of(SCALES)
+    deps = fanned(_edges(spark, last), "slice_end", lives, F.lit(last), "window_end").groupBy("w", "i", "window_end").agg(F.count("*").alias("n_children"))
+    text.write_totals(postops.totals(counts, SCALES, 0, last).join(deps, ["w", "i", "window_end"]), path, deps="n_children")
     cells = F.split("value", "\t")
     return spark.read.text(path).select(F.col("w").cast("long").alias("w"), F.col("i").cast("long").alias("i"), *[F.get(cells, F.lit(k)).cast("long").alias(n) for k, n in enumerate(("window_end", "total", "n_deps"))])
 
@@ -308,22 +333,45 @@ def source_separated(spark, sf_dir):
 
 
 def plan_slices(spark, sf_dir):
-    plan = SlicePlan(SCALES)
-    return spark.createDataFrame([(plan.begin(e), e) for e in plan.edges], "slice_start long, slice_end long")
+    """The slices of the timescales that hold events, with how many."""
+    cut = _cuts(events(spark, sf_dir))
+    start = F.lit(0).cast("long")
+    for x in Registry.of(SCALES).lives:  # a slice begins at the last edge before its end
+        back = (F.col("slice_end") - 1) % x.scale.i
+        edge = F.col("slice_end") - 1 - back
+        start = F.greatest(start, F.when(back >= x.scale.turn, edge + x.scale.turn).otherwise(edge))
+    return cut.select(start.alias("slice_start"), "slice_end", "n")
 
 
-_PLAN_SQL = """
+_CUTS_SQL = f"""
 WITH s(w, i) AS (VALUES (5,4), (6,6), (24,6), (48,10)),
-edges AS (SELECT DISTINCT e FROM (SELECT unnest(range(i, 61, i)) AS e FROM s UNION ALL SELECT unnest(range((i - w % i) % i, 61, i)) AS e FROM s) WHERE e > 0)
-SELECT coalesce(lag(e) OVER (ORDER BY e), 0) AS slice_start, e AS slice_end FROM edges"""
+ev AS (SELECT {_HOUR} AS t FROM events),
+top AS (SELECT max(t) AS last FROM ev),
+cuts AS (SELECT DISTINCT c FROM (SELECT unnest(range(0, last + i + 1, i)) AS c FROM s, top UNION ALL SELECT unnest(range((i - w % i) % i, last + i + 1, i)) AS c FROM s, top)),
+sl AS (SELECT * FROM (SELECT lag(c) OVER (ORDER BY c) AS a, c AS z FROM cuts) WHERE a IS NOT NULL)"""
+_PLAN_SQL = f"{_CUTS_SQL} SELECT CAST(a AS BIGINT) AS slice_start, CAST(z AS BIGINT) AS slice_end, count(*) AS n FROM sl JOIN ev ON t >= a AND t < z GROUP BY a, z"
 
 
 def plan_nodes(spark, sf_dir):
-    return spark.createDataFrame(SharePlan(NESTED, select="greedy").node_rows(), "w long, i long, window_start long, window_end long, n_children int, ref_cnt int, level int")
+    """How many slices with events each window is merged from, and how many events they hold."""
+    cut = _cuts(events(spark, sf_dir))
+    wide = fanned(cut, "slice_end", Registry.of(SCALES), F.lit(ALL), "window_end")
+    return wide.groupBy("w", "i", "window_end").agg(F.count("*").alias("n_children"), F.sum("n").alias("n"))
 
 
 def plan_edges(spark, sf_dir):
-    return spark.createDataFrame(SharePlan(NESTED, select="dp").edge_rows(), "w long, i long, window_end long, position int, child_w long, child_i long, child_start long, child_end long")
+    """Which slices with events each window is merged from, by place."""
+    cut = _cuts(events(spark, sf_dir))
+    wide = fanned(cut, "slice_end", Registry.of(SCALES), F.lit(ALL), "window_end")
+    by = W.partitionBy("w", "i", "window_end").orderBy("slice_end")  # at most as many rows as a window has ticks
+    return wide.select("w", "i", "window_end", (F.row_number().over(by) - 1).alias("position"), "slice_end", "n")
+
+
+_NODES_SQL = f"""{_CUTS_SQL},
+held AS (SELECT z, count(*) AS n FROM sl JOIN ev ON t >= a AND t < z GROUP BY z),
+sp AS (SELECT w, i, e FROM s, top, LATERAL (SELECT unnest(range(i, last + i + w + 1, i)) AS e))
+SELECT CAST(w AS BIGINT) AS w, CAST(i AS BIGINT) AS i, CAST(e AS BIGINT) AS window_end, """
+_IN_SQL = "FROM sp JOIN held ON z > e - w AND z <= e"
 
 
 QUERIES = {
@@ -403,8 +451,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY w, i, window_end ORDER BY n DESC
 SELECT w, i, window_end, CAST(rank AS INTEGER) AS rank, user_id, n, CAST(total AS BIGINT) AS total FROM r WHERE rank <= 10""",
     "mts_totals": f"""
 WITH s(w, i) AS (VALUES (5,4), (6,6), (24,6), (48,10)),
-sp AS (SELECT w, i, e FROM s, LATERAL (SELECT unnest(range(i, {HOURS + 1}, i)) AS e)),
-ev AS (SELECT CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '{ORIGIN}')) / 3600000000) AS BIGINT) AS t FROM events)
+ev AS (SELECT {_HOUR} AS t FROM events),
+top AS (SELECT max(t) AS last FROM ev),
+sp AS (SELECT w, i, e FROM s, top, LATERAL (SELECT unnest(range(i, last + 2, i)) AS e))
 SELECT CAST(w AS BIGINT) AS w, CAST(i AS BIGINT) AS i, CAST(greatest(e - w, 0) AS BIGINT) AS window_start, CAST(e AS BIGINT) AS window_end, count(t) AS total, e >= w AS fully_processed
 FROM sp LEFT JOIN ev ON t >= e - w AND t < e GROUP BY w, i, e""",
     "mts_map_view": f"SELECT w, i, window_end, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS result FROM ({_with(SCALES, _COUNT)}) GROUP BY w, i, window_end",
@@ -412,8 +461,9 @@ FROM sp LEFT JOIN ev ON t >= e - w AND t < e GROUP BY w, i, e""",
     "mts_fully_processed": f"SELECT w, i, greatest(window_end - w, 0) AS window_start, window_end, window_end - w AS nominal_start, event_type, n, window_end >= w AS fully_processed FROM ({_with(SCALES, _COUNT)})",
     "mts_clamped_start": f"""
 WITH s(w, i) AS (VALUES (5,4), (6,6), (24,6), (48,10)),
-sp AS (SELECT w, i, e FROM s, LATERAL (SELECT unnest(range(101 + i, {HOURS + 1}, i)) AS e)),
-ev AS (SELECT event_type, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '{ORIGIN}')) / 3600000000) AS BIGINT) AS t FROM events)
+ev AS (SELECT event_type, {_HOUR} AS t FROM events),
+top AS (SELECT max(t) AS last FROM ev),
+sp AS (SELECT w, i, e FROM s, top, LATERAL (SELECT unnest(range(101 + i, last + w + 1, i)) AS e))
 SELECT CAST(w AS BIGINT) AS w, CAST(i AS BIGINT) AS i, CAST(greatest(e - w, 101) AS BIGINT) AS window_start, CAST(e AS BIGINT) AS window_end, event_type, count(*) AS n, e - w >= 101 AS fully_processed
 FROM sp JOIN ev ON t >= greatest(e - w, 101) AND t < e GROUP BY w, i, e, event_type""",
     "mts_count_based": _TICKED.format(tick="p // 100", end="(SELECT max(t) + 1 FROM ev)"),
@@ -457,13 +507,16 @@ SELECT {_WINDOW_SQL}, CAST(rank AS INTEGER) AS rank, user_id, n, CAST(total AS B
     "sink_by_timescale": _with(SCALES, _COUNT),
     "sink_totals": f"""
 WITH s(w, i) AS (VALUES (5,4), (6,6), (24,6), (48,10)),
-sp AS (SELECT w, i, e FROM s, LATERAL (SELECT unnest(range(i, {HOURS + 1}, i)) AS e)),
-ev AS (SELECT CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '{ORIGIN}')) / 3600000000) AS BIGINT) AS t FROM events),
+ev AS (SELECT {_HOUR} AS t FROM events),
+top AS (SELECT max(t) + 1 AS last FROM ev),
+sp AS (SELECT w, i, e FROM s, top, LATERAL (SELECT unnest(range(i, last + 1, i)) AS e)),
 n AS (SELECT w, i, e, count(t) AS total FROM sp LEFT JOIN ev ON t >= e - w AND t < e GROUP BY w, i, e),
-cuts AS (SELECT DISTINCT c FROM (SELECT unnest(range(i, {HOURS + 1}, i)) AS c FROM s UNION ALL SELECT unnest(range((i - w % i) % i, {HOURS + 1}, i)) AS c FROM s) WHERE c > 0)
+cuts AS (SELECT DISTINCT c FROM (SELECT unnest(range(i, last + 1, i)) AS c FROM s, top UNION ALL SELECT unnest(range((i - w % i) % i, last + 1, i)) AS c FROM s, top) WHERE c > 0)
 SELECT CAST(w AS BIGINT) AS w, CAST(i AS BIGINT) AS i, CAST(e AS BIGINT) AS window_end, total, count(c) AS n_deps FROM n LEFT JOIN cuts ON c > greatest(e - w, 0) AND c <= e GROUP BY w, i, e, total""",
     "source_lines": "SELECT word, count(*) AS n FROM (SELECT unnest(CASE WHEN text = '' THEN [''] WHEN rtrim(text, ' ') = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(rtrim(text, ' '), ' ') END) AS word FROM (SELECT regexp_replace(coalesce(text, ''), '[\\r\\n]', ' ', 'g') AS text FROM conversations)) GROUP BY word",
     "source_separated": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "plan_slices": _PLAN_SQL,
+    "plan_nodes": f"{_NODES_SQL} count(*) AS n_children, CAST(sum(n) AS BIGINT) AS n {_IN_SQL} GROUP BY w, i, e",
+    "plan_edges": f"{_NODES_SQL} CAST(row_number() OVER (PARTITION BY w, i, e ORDER BY z) - 1 AS INTEGER) AS position, CAST(z AS BIGINT) AS slice_end, n {_IN_SQL}",
     "custom_fold": _with(SCALES, "max(user_id) AS largest"),
 }

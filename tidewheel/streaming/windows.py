@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions.aggregates import Aggregate
-from tidewheel.operators.windows import _fanned, _named, tick_of
+from tidewheel.operators.windows import fanned, _named, tick_of
 from tidewheel.plans.timescale import Registry, as_timescales
 from tidewheel.sources.signals import registry_of
 
@@ -39,7 +39,7 @@ def live_windows(events: DataFrame, ts: str, timescales, keys: list[str], agg: A
     """Every window of every timescale up to tick `until`, for output mode complete; state holds all windows."""
     registry = Registry.of(timescales)
     rows = events.withColumn("_end", tick_of(ts, origin, unit_s) + 1).where("_end > 0")
-    rows = _fanned(rows, "_end", registry, F.lit(until).cast("long"), "window_end")
+    rows = fanned(rows, "_end", registry, F.lit(until).cast("long"), "window_end")
     return _named(rows.groupBy("w", "i", "_since", "_n_life", "window_end", *keys).agg(*agg.partials()), keys, agg)
 
 
@@ -81,7 +81,7 @@ class WindowStream:
         registry = self._registry(spark)
         reach = max(x.scale.w for x in registry.lives)
         known = spark.read.parquet(f"{self.path}/slices").where((F.col("batch") <= number) & (F.col("_end") > closed - reach) & (F.col("_end") <= upto)).drop("batch")
-        wide = _fanned(known, "_end", registry, F.lit(upto).cast("long"), "window_end").where(F.col("window_end") > closed)
+        wide = fanned(known, "_end", registry, F.lit(upto).cast("long"), "window_end").where(F.col("window_end") > closed)
         done = _named(wide.groupBy("w", "i", "_since", "_n_life", "window_end", *self.keys).agg(*self.agg.merges()), self.keys, self.agg)
         done.write.mode("overwrite").parquet(f"{self.path}/out/batch={number}")
         spark.range(1).select(F.lit(upto).cast("long").alias("upto")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/closed/batch={number}")
