@@ -304,5 +304,3 @@ def test_windows_in_state_equal_batch(spark, tmp_path):
             assert rows.count() == len(found(rows)) and found(rows) == found(multi_window(kept, registry(), ["key"], agg, until=79)), name
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    with pytest.raises(ValueError):
-        windows_in_state(kept, "ts", "(5,3)", ["key"], A.minmax("value"), 3600, "0 seconds")
