@@ -17,7 +17,7 @@ from tidewheel.queries import QUERIES
 NAMES = (
     "mts_count_shared", "mts_count_naive", "mts_linreg", "mts_uniq_count", "mts_topk", "mts_totals", "mts_count_based", "mts_dynamic_remove",
     "mts_shared_greedy", "mts_shared_dp", "mts_grouped", "word_count_windows", "split_words", "custom_fold",
-    "mts_count_auto", "mts_tree", "mts_shared_dynamic", "mts_wide_naive", "mts_wide_slices", "mts_wide_tree",
+    "mts_count_auto", "mts_tree", "mts_shared_dynamic", "mts_wide_naive", "mts_wide_slices", "mts_wide_tree", "mts_wide_auto", "mts_active",
 )
 
 

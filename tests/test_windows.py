@@ -13,7 +13,7 @@ from tidewheel.sources import generators, signals, text
 from tidewheel.streaming.state import windows_in_state
 from tidewheel.streaming.windows import WindowStream, live_windows, windows_by_time
 
-MODES = ("naive", "slices", "auto", "greedy", "dp", "adaptive", "grouped", "tree")
+MODES = ("naive", "slices", "active", "auto", "greedy", "dp", "adaptive", "grouped", "tree")
 # Slices of the scenario, (start, {key: count}).
 SCENARIO = [(0, {1: 10, 2: 15}), (2, {3: 5, 2: 15}), (3, {4: 10, 3: 15}), (4, {5: 10}), (6, {4: 10}), (8, {2: 10}), (9, {3: 10}), (10, {5: 10}), (12, {3: 10}), (14, {2: 10}), (15, {3: 10})]
 
@@ -68,10 +68,36 @@ def test_windows_that_come_and_go(spark):
     table = signals.signals(spark, [(6, 4, 1, 10), (12, 5, 1, 23), (5, 3, 2, 31), (6, 4, 2, 42), (6, 4, 1, 45)])
     for align in ("own", "grid"):
         registry = signals.registry_of(table, "(5,3)", align=align)
-        for mode in ("naive", "slices", "greedy", "dp", "grouped", "tree") if align == "own" else ("slices", "greedy", "tree"):
+        for mode in ("naive", "slices", "active", "greedy", "dp", "grouped", "tree") if align == "own" else ("slices", "greedy", "tree"):
             assert found(multi_window(stream_of(spark, rows), registry, ["key"], A.count(), until=61, mode=mode)) == brute(rows, registry.lives, 61), (align, mode)
 
 
+def test_active_slices_are_fewer_and_windows_end_inside_them(spark):
+    rows = [(t, k) for t in range(240) for k in range(2)]
+    df = stream_of(spark, rows)
+    registry = Registry.of("(5,4)(7,6)(25,8)(51,12)")
+    paired = windows.partials(df, registry, ["key"], A.count(), "tick").count()
+    ends = df.select(windows.active_end(F.col("tick"), registry.lives).alias("end")).distinct()
+    active = 2 * ends.count()
+    assert active < 0.75 * paired
+    cuts = {r["end"] for r in ends.collect()}
+    assert {e for x in registry.lives for e in range(x.scale.i, 241, x.scale.i)} - cuts  # ends that are no cuts
+    assert all(e - x.scale.w in cuts | {0} for x in registry.lives for e in range(x.scale.w + x.scale.i - x.scale.w % x.scale.i, 241, x.scale.i))
+    for agg in (A.count(), A.fold(F.lit(1).cast("long"), F.lit(0).cast("long"), lambda a, b: a + b, "n")):
+        assert found(multi_window(df, registry, ["key"], agg, until=240, mode="active")) == brute(rows, registry.lives, 240)
+
+
+def test_the_mode_is_chosen_by_cost(spark, monkeypatch):
+    costs = windows.mode_costs(Registry.of([(50 + 20 * k, 1 + k % 10) for k in range(24)]))
+    assert costs["tree"] < costs["slices"] / 3
+    few = windows.mode_costs(Registry.of("(5,4)(6,6)(24,6)(48,10)"))
+    assert few["slices"] < few["tree"]
+    df = spark.range(10).withColumnRenamed("id", "tick")
+    assert windows.choose_mode(df, Registry.of("(5,4)")) == "naive"
+    monkeypatch.setattr(windows, "SMALL", 0)
+    assert windows.choose_mode(df, Registry.of("(5,4)")) == "slices" and windows.choose_mode(df, Registry.of("(5000,1)(300,2)")) == "tree"
+
+
 def test_timescales_whose_period_is_out_of_reach(spark):
     scales = [(17, 7), (23, 11), (40, 13), (41, 19), (60, 23)]
     r = random.Random(13)

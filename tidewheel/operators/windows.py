@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions.aggregates import Aggregate, presence
 from tidewheel.plans.epochs import EpochPlan, TooLarge
-from tidewheel.plans.sharing import Options, SharePlan, cost_groups
+from tidewheel.plans.sharing import Options, SharePlan, cost_groups, edges_per_tick
 from tidewheel.plans.timescale import Live, Registry, Timescale
 
 #: Rows of driver-built plan tables that are broadcast; larger ones are shuffled.
@@ -45,6 +45,20 @@ def slice_end(tick: Column, lives: list[Live]) -> Column:
     return F.least(*edges) if len(edges) > 1 else edges[0]
 
 
+def active_end(tick: Column, lives: list[Live]) -> Column:
+    """slice_end for coarser slices, which are cut only where windows begin; those that end inside one read what it holds so far."""
+
+    def edge(x: Live) -> Column:
+        t, s = tick - F.lit(x.since), x.scale
+        c = F.pmod(t, F.lit(s.i))
+        step = F.when(c < s.turn, s.turn).otherwise(s.i + s.turn) if s.turn else F.lit(s.i)
+        out = F.when(t < 0, F.lit(x.since)).otherwise(tick - c + step).cast("long")
+        return out if x.until is None else F.when(tick < x.until, out).otherwise(F.lit(2**62))
+
+    edges = [edge(x) for x in lives]
+    return F.least(*edges) if len(edges) > 1 else edges[0]
+
+
 def _lives(registry: Registry) -> Column:
     return F.array(*[F.struct(F.lit(x.scale.w).cast("long").alias("w"), F.lit(x.scale.i).cast("long").alias("i"), F.lit(x.since).cast("long").alias("since"), F.lit(x.until).cast("long").alias("gone"), F.lit(k).alias("life")) for k, x in enumerate(registry.lives)])
 
@@ -112,10 +126,25 @@ def _fan_out(registry: Registry) -> float:
 SMALL = 256 << 20
 
 
+def mode_costs(registry: Registry) -> dict[str, float]:
+    """Rows a tick and key that slices and the tree hand out and merge, besides reading the records. How many keys and ticks there
+    are multiplies both alike, so the choice between them needs no look at the data."""
+    scales = [x.scale for x in registry.lives]
+    low = min(x.since for x in registry.lives)
+    unit = math.gcd(*(n for x in registry.lives for n in (x.scale.w, x.scale.i, x.since - low)))
+    levels = max(t.w // unit for t in scales).bit_length() + 1
+    picked = sum(min(t.w / unit, 2 * math.log2(t.w / unit) + 1) / t.i for t in scales)
+    # The tree's windows meet its nodes in a join: a row there costs about three of those that are only handed out.
+    return {"slices": edges_per_tick(scales) * _fan_out(registry), "tree": levels / unit + 3 * picked}
+
+
 def choose_mode(df: DataFrame, registry: Registry) -> str:
-    """naive for inputs so small that a second shuffle costs more than handing records to all their windows; else slices."""
+    """naive for inputs so small that a second shuffle costs more than handing records to all their windows; else slices or tree."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return "naive" if size * _fan_out(registry) < SMALL else "slices"
+    if size * _fan_out(registry) < SMALL:
+        return "naive"
+    costs = mode_costs(registry)
+    return min(costs, key=costs.get)
 
 
 def multi_window(df: DataFrame, timescales, keys: list[str], agg: Aggregate, tick: str = "tick", start: int = 0, until: int | None = None, mode: str = "auto", **plan) -> DataFrame:
@@ -123,7 +152,7 @@ def multi_window(df: DataFrame, timescales, keys: list[str], agg: Aggregate, tic
 
     timescales: text, pairs or a Registry. until: the last tick at which windows fire (default: when the last record's
     tick closes). mode: "naive" (each record goes to all its windows), "slices" (records are aggregated by slice once,
-    slices go to windows), "auto" (one of these, see choose_mode), "greedy", "dp" or "adaptive" (windows also from windows, by
+    slices go to windows), "active" (the same with fewer slices, cut only where windows begin, and open ones read by record), "auto" (one of these, see choose_mode), "greedy", "dp" or "adaptive" (windows also from windows, by
     EpochPlan, whose size does not follow the time span, or by the tree where that is too large; with options of SharePlan by it), "grouped" (timescales that gain by it slice together, from one set of common slices), "tree" (slices in a
     tree of merges, of which each window reads a few nodes). All modes give the same rows, for timescales that come and go
     as well. Records before start are left out."""
@@ -148,6 +177,14 @@ def multi_window(df: DataFrame, timescales, keys: list[str], agg: Aggregate, tic
         return _named(folded(rows, by, agg), keys, agg)
     if mode == "tree":
         return _by_tree(df, registry, keys, agg, tick, last)
+    if mode == "active":
+        low = min(x.since for x in registry.lives)
+        rows = df.where(F.col(tick) >= low).withColumn("_end", active_end(F.col(tick).cast("long"), registry.lives))
+        whole = fanned(folded(rows, ["_end", *keys], agg), "_end", registry, end, "window_end")
+        # A window that ends inside a slice began at its start or before: of that slice it holds the records so far.
+        inside = fanned(rows.withColumn("_next", F.col(tick).cast("long") + 1), "_next", registry, F.least(end, F.col("_end") - 1), "window_end")
+        parts = folded(inside, by, agg).unionByName(whole.select(*by, *agg.partial))
+        return _named(parts.groupBy(*by).agg(*agg.merges()), keys, agg)
     cut = partials(df, registry, keys, agg, tick)
     if mode == "slices":
         wide = fanned(cut, "_end", registry, end, "window_end")

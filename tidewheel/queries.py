@@ -119,7 +119,7 @@ def mts_late_start(spark, sf_dir):
 
 def mts_count_based(spark, sf_dir):
     ticks = countwin.count_ticks(events(spark, sf_dir).drop("tick"), "ts", "event_id", 100)
-    return multi_window(ticks, "(5,2)(10,5)", ["event_type"], A.count()).select("w", "i", "window_end", "event_type", "n")
+    return multi_window(ticks, "(5,2)(10,5)", ["event_type"], A.count(), until=ALL).select("w", "i", "window_end", "event_type", "n")
 
 
 RATES = [50, 150, 100, 300, 200]
@@ -263,6 +263,16 @@ def mts_shared_dynamic(spark, sf_dir):
     return out.select("w", "i", "window_start", "window_end", "event_type", "n", "fully_processed")
 
 
+#: Windows that end inside the slices of others: begins and ends are never the same ticks.
+UNEVEN = "(5,4)(7,6)(25,8)(51,12)"
+
+
+def mts_active_dynamic(spark, sf_dir):
+    """Slices cut only where windows begin, while timescales come and go."""
+    out = multi_window(events(spark, sf_dir), _changing(), ["event_type"], A.count(), until=ALL, mode="active")
+    return out.select("w", "i", "window_start", "window_end", "event_type", "n", "fully_processed")
+
+
 def mts_grouped_dynamic(spark, sf_dir):
     out = multi_window(events(spark, sf_dir), _changing(), ["event_type"], A.count(), until=ALL, mode="grouped")
     return out.select("w", "i", "window_start", "window_end", "event_type", "n", "fully_processed")
@@ -402,6 +412,9 @@ QUERIES = {
     "mts_shared_pruned": _hourly(lambda: A.minmax("value"), "dp", NESTED, prune="cost", reuse=0.5, tradeoff=10),
     "mts_grouped": _hourly(A.count, "grouped", NESTED),
     "mts_tree": _hourly(A.count, "tree"),
+    "mts_active": _hourly(lambda: A.minmax("value"), "active", UNEVEN),
+    "mts_active_dynamic": mts_active_dynamic,
+    "mts_wide_auto": _hourly(A.count, "auto", WIDE),
     "mts_wide_naive": _hourly(A.count, "naive", WIDE),
     "mts_wide_slices": _hourly(A.count, "slices", WIDE),
     "mts_wide_tree": _hourly(A.count, "tree", WIDE),
@@ -466,7 +479,7 @@ top AS (SELECT max(t) AS last FROM ev),
 sp AS (SELECT w, i, e FROM s, top, LATERAL (SELECT unnest(range(101 + i, last + w + 1, i)) AS e))
 SELECT CAST(w AS BIGINT) AS w, CAST(i AS BIGINT) AS i, CAST(greatest(e - w, 101) AS BIGINT) AS window_start, CAST(e AS BIGINT) AS window_end, event_type, count(*) AS n, e - w >= 101 AS fully_processed
 FROM sp JOIN ev ON t >= greatest(e - w, 101) AND t < e GROUP BY w, i, e, event_type""",
-    "mts_count_based": _TICKED.format(tick="p // 100", end="(SELECT max(t) + 1 FROM ev)"),
+    "mts_count_based": _TICKED.format(tick="p // 100", end="(SELECT max(t) + 11 FROM ev)"),
     "mts_rate_based": _TICKED.format(tick="p // 800 * 5 + CASE WHEN p % 800 < 50 THEN 0 WHEN p % 800 < 200 THEN 1 WHEN p % 800 < 300 THEN 2 WHEN p % 800 < 600 THEN 3 ELSE 4 END", end="(SELECT max(t) + 11 FROM ev)"),
     "mts_dynamic_add": _dynamic_sql("own", SIGNALS[:2]),
     "mts_dynamic_remove": _dynamic_sql("own", SIGNALS),
@@ -499,6 +512,9 @@ c AS (SELECT w, i, b, e, user_id, count(*) AS n {_JOIN_SQL} GROUP BY w, i, b, e,
 r AS (SELECT *, row_number() OVER (PARTITION BY w, i, b, e ORDER BY n DESC, user_id) AS rank, sum(n) OVER (PARTITION BY w, i, b, e) AS total FROM c)
 SELECT {_WINDOW_SQL}, CAST(rank AS INTEGER) AS rank, user_id, n, CAST(total AS BIGINT) AS total FROM r WHERE rank <= 5""",
     "mts_tree": _with(SCALES, _COUNT),
+    "mts_active": _with(UNEVEN, "min(value) AS low, max(value) AS high"),
+    "mts_active_dynamic": _dynamic_sql("own", SIGNALS),
+    "mts_wide_auto": _with(WIDE, _COUNT),
     "mts_wide_naive": _with(WIDE, _COUNT),
     "mts_wide_slices": _with(WIDE, _COUNT),
     "mts_wide_tree": _with(WIDE, _COUNT),
