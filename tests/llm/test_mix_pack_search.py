@@ -1,3 +1,4 @@
+import tracemalloc
 import itertools
 import random
 import re
@@ -23,6 +24,17 @@ def test_targets():
     assert mixing.targets({}) == {} and mixing.targets({"a": 0, "b": 4}) == {"a": 0, "b": 4}
 
 
+def test_the_fit_of_a_very_long_text_is_bounded_in_bytes():
+    """Lengths 1 to 1,000, 100 of each, and one text of ten million words: three bytes a sum, not a set of sums a step."""
+    lengths = {n: 100 for n in range(1, 1001)} | {10_000_000: 1}
+    tracemalloc.start()
+    took = mixing.fit_budget(lengths, 45_000_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n * k for n, k in took.items()) == 45_000_000 and all(0 < k <= lengths[n] for n, k in took.items())
+    assert peak < 200 << 20
+
+
 def test_fit_budget():
     r = random.Random(1)
     for _ in range(60):
