@@ -208,6 +208,57 @@ def test_secret_scan_equals_brute_force(spark):
     assert secrets.scan(docs.limit(0), expression).count() == 0
 
 
+def assigned_by_hand(text):
+    """Values of 6 or more characters that are assigned to a secret's name, by reading on from each name; (name's start, start, value)."""
+    out, low = [], text.lower()
+    for name in ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key"):
+        at = low.find(name)
+        while at >= 0:
+            k = at + len(name)
+            k += text[k : k + 1] in ('"', "'") and bool(text[k : k + 1])
+            blanks = 0
+            while text[k : k + 1] in (" ", "\t") and text[k : k + 1] and blanks < 3:
+                k, blanks = k + 1, blanks + 1
+            if text[k : k + 1] in ("=", ":") and text[k : k + 1]:
+                k, blanks = k + 1, 0
+                while text[k : k + 1] in (" ", "\t") and text[k : k + 1] and blanks < 3:
+                    k, blanks = k + 1, blanks + 1
+                k += text[k : k + 1] in ('"', "'") and bool(text[k : k + 1])
+                z = k
+                while z < len(text) and not text[z].isspace() and text[z] not in "\"',;<>":
+                    z += 1
+                if z - k >= 6:
+                    out.append((at, k, text[k:z]))
+            at = low.find(name, at + 1)
+    return out
+
+
+def test_no_name_swallows_its_secret(spark):
+    """Every value that is assigned to a secret's name is a candidate, whatever stands before the name."""
+    r = random.Random(6)
+    lines = ["db2_admin_password=hunter2xyz", 'service1_api_token = "CorrectHorse"', "x9y8z7_SECRET: abcdef", "abc123def456=value99 rest", "abc123def456== rest", "my2token2secret='p@ss.w0rd!x'"]
+    parts = ["db", "_", "2", "admin", "password", "api_key", "token", "Secret", "PWD", "=", ": ", " = ", '"', "'", " ", "hunter2xyz", "CorrectHorse", "a1b2c3d4e5f6", "x", ",", "/", "="]
+    lines += ["".join(r.choice(parts) for _ in range(r.randint(2, 14))) for _ in range(900)]
+    docs = spark.createDataFrame([(k, t, None) for k, t in enumerate(lines)], "doc_id long, text string, source string")
+    found = {}
+    for x in secrets.candidates(docs, "doc_id", "text", "source").collect():
+        found.setdefault(x["id"], []).append((x["start"], x["found"]))
+    n = 0
+    for k, t in enumerate(lines):
+        spans = [(a, a + len(f)) for a, f in found.get(k, [])]
+        assert [t[a:z] for a, z in spans] == [f for _, f in found.get(k, [])]
+        for at, a, value in assigned_by_hand(t):
+            n += 1
+            # The value begins a candidate or lies in one; or the name is part of the value of another name.
+            inside = [(s, e) for s, e in spans if s <= a < e]
+            assert inside or any(s <= at < e and (s, t[s:e]) in {(x, v) for _, x, v in assigned_by_hand(t)} for s, e in spans), (t, a, value, found.get(k))
+    assert n > 60
+    assert found[0] == [(19, "hunter2xyz")] and found[1] == [(22, "CorrectHorse")] and found[2] == [(15, "abcdef")]
+    assert found[3] == [(0, "abc123def456")] and found[4] == [(0, "abc123def456==")] and found[5] == [(17, "p@ss.w0rd!x")]
+    scores = secrets.scan(docs.where("doc_id < 2"), secrets.train(spark), path_col="source").collect()
+    assert len(scores) == 2 and all(x["is_secret"] for x in scores)
+
+
 def test_secret_forest_on_held_out_findings(spark):
     findings = secrets.labelled_findings(1200, seed=99)
     rows = [(k, f["before"] + f["found"] + f["after"], f["path"], f["label"], len(f["before"])) for k, f in enumerate(findings)]

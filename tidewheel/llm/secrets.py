@@ -12,11 +12,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ASSIGNED_TO = r"(?i:passw(?:or)?d|pwd|secret|token|api_?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
+_VALUE = r"[^\s\"',;<>\x01\x02]{6,}"
 #: Runs of 12 or more characters of secrets' alphabets with a digit among them (group 1), and whatever of 6 or more
-#: characters is assigned to a secret's name (group 3, after the name and the sign in group 2).
+#: characters is assigned to a secret's name (group 3, after the name and the sign in group 2). A run that ends in such a
+#: name, with a value after it, gives way to the value; a sign belongs to a run only where nothing follows it.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])([A-Za-z0-9_+/\-]{12,}={0,2})"
-    r"|((?i:passw(?:or)?d|pwd|secret|token|api_?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?)([^\s\"',;<>\x01\x02]{6,})"
+    r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])(?![A-Za-z0-9_+/\-]*" + _ASSIGNED_TO + _VALUE + r")([A-Za-z0-9_+/\-]{12,}(?:={1,2}(?![^\s\"',;<>\x01\x02]))?)"
+    r"|(" + _ASSIGNED_TO + ")(" + _VALUE + ")"
 )
 #: Characters of context on either side.
 AROUND = 48
