@@ -179,9 +179,9 @@ def _vectors(spark, n=900, d=16):
 
 def test_nearest(spark):
     x, table = _vectors(spark)
-    for shard, block in ((16_384, 1024), (200, 10)):
+    for shard, least in ((16_384, 8_192), (200, 8_192), (16_384, 100)):
         got = defaultdict(list)
-        for r in neighbours.nearest(table.repartition(4), p=neighbours.SearchParams(shard=shard, block=block)).collect():
+        for r in neighbours.nearest(table.repartition(4), p=neighbours.SearchParams(shard=shard, least=least)).collect():
             got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
         assert sorted(got) == [*range(0, 900, 20), 2000, 2020]
         hits = 0

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import scratch, small_batches
+from tidewheel.llm.common import scratch, small_batches, tasks
 
 
 @dataclass(frozen=True)
@@ -31,8 +31,9 @@ class MiningParams:
     pivots: int = 64
     pivot_rows: int = 2_048
     sample: int = 4_096
-    #: Vectors of one block of the stored keys, which a task holds at a time.
+    #: Vectors of one block of the stored keys, which a task holds at a time, and as few as give each task a block.
     block: int = 65_536
+    least: int = 8_192
     #: Keys that are read at first to either side; then twice as many.
     step: int = 512
     seed: int = 13
@@ -178,7 +179,8 @@ class Keys:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.int32()), pa.array(away[np.arange(len(near)), near])], ["id", "label", "v", "pivot", "dist"])
 
         keys = rows.mapInArrow(keyed, "id long, label long, v array<long>, pivot int, dist double")
-        ranges = keys.repartitionByRange(max(1, -(-self.n // p.block)), "pivot", "dist", "id").sortWithinPartitions("pivot", "dist", "id")
+        parts = max(1, -(-self.n // p.block), min(tasks(spark), self.n // p.least))
+        ranges = keys.repartitionByRange(parts, "pivot", "dist", "id").sortWithinPartitions("pivot", "dist", "id")
         self.rows = scratch(ranges.withColumn("block", F.spark_partition_id()), "keys")
         # One row for each block and pivot in it: as many as there are blocks and pivots together, at most.
         rings = self.rows.groupBy("block", "pivot").agg(F.min("dist").alias("near"), F.max("dist").alias("far")).orderBy("block", "pivot").toArrow()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import scratch
+from tidewheel.llm.common import scratch, small_batches, tasks
 
 
 @dataclass(frozen=True)
@@ -27,9 +27,9 @@ class SearchParams:
     #: First half-width of a window, in standard deviations of the projections, and its growth.
     width: float = 0.9
     growth: float = 1.04
-    #: Vectors of one shard, which are indexed together, and queries that meet them in one task.
+    #: Vectors of one shard, which are indexed together, and as few as a shard has only where there is one.
     shard: int = 32_768
-    block: int = 1024
+    least: int = 16_384
     seed: int = 9
 
 
@@ -132,36 +132,45 @@ def nearest(table: DataFrame, every: int = 20, id_col: str = "vec_id", vector_co
 
     Candidates are all other ids of the same dimension; all are returned if there are fewer than p.k. Vectors null, zero or
     with null or non-finite components, and rows without an id, take no part; of rows repeated under one id the least
-    vector counts. Ties go to the smaller id. Vectors are dealt by hash into shards of about p.shard, queries into blocks of
-    about p.block; a task indexes one shard and answers one block, and the k best of every shard are merged by a shuffle
-    on the query. An empty table gives an empty result."""
-    rows = scratch(vectors_of(table, id_col, vector_col), "vectors")
-    n = rows.agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("asked")).first()
-    shards, blocks = (max(1, -(-a // b)) for a, b in ((n["n"], p.shard), (n["asked"], p.block)))
-    deal = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(parts)).cast("int")
-    every_one = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    rows = rows.withColumn("dim", F.size("v"))
-    base = rows.withColumn("shard", deal(9, shards)).withColumn("block", every_one(blocks))
-    asked = rows.where(F.col("id") % every == 0).withColumn("block", deal(10, blocks)).withColumn("shard", every_one(shards))
-    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "v", "dim", "shard", "block")])
-
-    def matrix(t: pa.Table, name: str) -> np.ndarray:
-        column = t.column(name).combine_chunks()
-        return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.empty((0, 0))
-
-    def searched(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            index = LengthBands(matrix(left, "v"), left.column("id").to_numpy(), p)
-            for own, q in zip(right.column("q_id").to_pylist(), matrix(right, "q_v")):
-                best, scores = index.top(q, own)
-                out["query_id"].append(np.full(len(best), own))
-                out["vec_id"].append(best)
-                out["score"].append(scores)
-        kinds = (np.int64, np.int64, np.float64)
-        return pa.table({name: np.concatenate([np.empty(0, kind), *x]) for (name, x), kind in zip(out.items(), kinds)})
-
-    found = base.groupBy("dim", "shard", "block").cogroup(asked.groupBy("q_dim", "q_shard", "q_block")).applyInArrow(searched, "query_id long, vec_id long, score double")
+    vector counts. Ties go to the smaller id. Vectors are dealt by hash into shards of about p.shard (as
+    many as there are tasks, if they hold p.least then); each vector is shuffled once and each shard indexed once. Queries
+    go to every shard, pass its index batch by batch, and the k best of every shard are merged by a shuffle on the query. An empty table gives an empty result."""
+    small_batches(table.sparkSession)
+    rows = scratch(vectors_of(table, id_col, vector_col), "vectors").withColumn("dim", F.size("v"))
+    n = rows.count()
+    shards = max(1, -(-n // p.shard), min(tasks(table.sparkSession), n // p.least))
+    base = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(shards)).cast("int")).withColumn("kind", F.lit(0))
+    asked = rows.where(F.col("id") % every == 0).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("kind", F.lit(1))
+    both = base.unionByName(asked).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "kind", "id")
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy().reshape(len(column), -1)
+
+    def searched(batches):
+        """A shard's vectors come first and are indexed once; then its queries pass, batch by batch."""
+        here, parts, index = None, [], None
+        for b in batches:
+            dim, shard, kind = (b.column(c).to_numpy() for c in ("dim", "shard", "kind"))
+            cuts = np.flatnonzero((np.diff(dim) != 0) | (np.diff(shard) != 0) | (np.diff(kind) != 0)) + 1
+            for a, z in zip([0, *cuts], [*cuts, b.num_rows]):
+                if a == z:
+                    continue
+                if (dim[a], shard[a]) != here:
+                    here, parts, index = (dim[a], shard[a]), [], None
+                ids, vectors = b.column("id").slice(a, z - a).to_numpy(), matrix(b.column("v").slice(a, z - a))
+                if not kind[a]:
+                    parts.append((ids.copy(), vectors.copy()))
+                    continue
+                if index is None:
+                    if not parts:
+                        continue
+                    index, parts = LengthBands(np.concatenate([v for _, v in parts]), np.concatenate([i for i, _ in parts]), p), []
+                found = [index.top(q, own) for own, q in zip(ids, vectors)]
+                sizes = [len(best) for best, _ in found]
+                columns = [np.repeat(ids, sizes), np.concatenate([best for best, _ in found]), np.concatenate([scores for _, scores in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+    found = both.mapInArrow(searched, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 
