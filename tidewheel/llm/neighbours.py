@@ -60,6 +60,18 @@ class CollisionIndex:
         z = (p.projections * one - math.ceil(p.threshold * p.projections) + 0.5) / math.sqrt(p.projections * one * (1 - one))
         return 0.5 * (1 + math.erf(z / math.sqrt(2))) >= p.catch
 
+    def _windows(self, at: np.ndarray, half: float, growth: float, steps: int = 16):
+        """First and last places of the next windows in every projection: each array is searched once for all of them."""
+        halves = []
+        for _ in range(steps):
+            halves.append(half)
+            half *= growth
+            growth *= 1.01
+        halves = np.array(halves)
+        a = np.array([v.searchsorted(x - halves) for v, x in zip(self.values, at)])
+        z = np.array([v.searchsorted(x + halves, "right") for v, x in zip(self.values, at)])
+        return zip(a.T, z.T)
+
     def top(self, query: np.ndarray, own: int, best: tuple[np.ndarray, np.ndarray], seen: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores): the k best of `best` and of what is verified here but the query's own, best first, ties to the smaller id.
 
@@ -71,9 +83,12 @@ class CollisionIndex:
         at, least, enough = query @ self.axes[:-1], math.ceil(p.threshold * p.projections), min(n, p.k + p.more)
         counts, verified = np.zeros(n, np.int16), np.zeros(n, bool)
         half, growth, lo, hi, found = p.width * self.spread, p.growth, None, None, 0
+        ahead = iter(())
         while True:
-            a = np.array([v.searchsorted(x) for v, x in zip(self.values, at - half)])
-            z = np.array([v.searchsorted(x, "right") for v, x in zip(self.values, at + half)])
+            if (edges := next(ahead, None)) is None:
+                ahead = self._windows(at, half, growth)
+                edges = next(ahead)
+            a, z = edges
             if lo is None:
                 new = [o[i:j] for o, i, j in zip(self.order, a, z)]
             else:
