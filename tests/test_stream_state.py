@@ -170,3 +170,26 @@ def test_one_hot_key_spreads_over_all_tasks(spark, tmp_path):
     assert rows_of(spark.table("hot_fold")) == rows_of(spark.table("hot"))
     first = max(op["numRowsUpdated"] for p in query.recentProgress for op in p["stateOperators"])
     assert first > 20  # dealt to a state for each salt
+
+
+def test_windows_of_a_stopped_source_fire_by_the_clock(spark, tmp_path):
+    """The source says nothing any more; beats go on. A beat is no record."""
+    rows = [(DAY + dt.timedelta(minutes=25 * k), k % 2, k) for k in range(24)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/events")
+    (tmp_path / "beats").mkdir()
+    events = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/events")
+    beats = spark.readStream.schema("at timestamp").parquet(f"{tmp_path}/beats")
+    out = windows_in_state(events, "ts", "(3,1)(5,2)", ["key"], A.count(), 3600, "1 hour", ORIGIN, beats=beats)
+    query = out.writeStream.outputMode("append").format("memory").queryName("idle").option("checkpointLocation", f"{tmp_path}/check").start()
+    kept = spark.createDataFrame(rows, SCHEMA).withColumn("tick", tick_of("ts", "2024-01-01", 3600))
+    try:
+        query.processAllAvailable()
+        before = spark.table("idle").count()
+        for hour in (12, 18):
+            spark.createDataFrame([(DAY + dt.timedelta(hours=hour),)], "at timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/beats")
+            query.processAllAvailable()
+        got = rows_of(spark.table("idle"))
+    finally:
+        query.stop()
+    want = rows_of(multi_window(kept, "(3,1)(5,2)", ["key"], A.count(), until=17))
+    assert got == want and before < len(want)

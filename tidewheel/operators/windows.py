@@ -6,6 +6,7 @@ off at s. Windows are aligned by their end; those that begin before s are report
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
@@ -147,7 +148,7 @@ def choose_mode(df: DataFrame, registry: Registry) -> str:
     return min(costs, key=costs.get)
 
 
-def multi_window(df: DataFrame, timescales, keys: list[str], agg: Aggregate, tick: str = "tick", start: int = 0, until: int | None = None, mode: str = "auto", **plan) -> DataFrame:
+def multi_window(df: DataFrame, timescales, keys: list[str], agg: Aggregate, tick: str = "tick", start: int = 0, until: int | None = None, mode: str = "auto", watch: Callable[[str, DataFrame], DataFrame] | None = None, **plan) -> DataFrame:
     """The aggregate of every window of every timescale, by key; windows without records of a key have no row of it.
 
     timescales: text, pairs or a Registry. until: the last tick at which windows fire (default: when the last record's
@@ -155,13 +156,17 @@ def multi_window(df: DataFrame, timescales, keys: list[str], agg: Aggregate, tic
     slices go to windows), "active" (the same with fewer slices, cut only where windows begin, and open ones read by record), "auto" (one of these, see choose_mode), "greedy", "dp" or "adaptive" (windows also from windows, by
     EpochPlan, whose size does not follow the time span, or by the tree where that is too large; with options of SharePlan by it), "grouped" (timescales that gain by it slice together, from one set of common slices), "tree" (slices in a
     tree of merges, of which each window reads a few nodes). All modes give the same rows, for timescales that come and go
-    as well. Records before start are left out."""
+    as well. Records before start are left out.
+
+    watch: gets "records", "slices", "handed" (rows that windows are merged from) and "windows" with their rows as they
+    are made, and returns these; see metrics.Watch."""
+    watch = watch or (lambda name, rows: rows)
     registry = Registry.of(timescales, start)
     if not registry.lives:
         raise ValueError("no timescales")
     if agg.value is not None:
         # Distinct values are a key first, so that no buffer holds them; then they are gathered by window.
-        held = multi_window(df.withColumn("_value", agg.value), registry, [*keys, "_value"], presence(), tick, until=until, mode=mode, **plan)
+        held = multi_window(df.withColumn("_value", agg.value), registry, [*keys, "_value"], presence(), tick, until=until, mode=mode, watch=watch, **plan)
         window = ["w", "i", "window_start", "window_end", "nominal_start", "fully_processed"]
         out = held.groupBy(*window, *keys).agg(*agg.gathered())
         return out.select("w", "i", "window_start", "window_end", *keys, *agg.final, "nominal_start", "fully_processed")
@@ -170,25 +175,26 @@ def multi_window(df: DataFrame, timescales, keys: list[str], agg: Aggregate, tic
     last = last_tick(df, tick) if until is None else until
     end = F.lit(last).cast("long")
     by = ["w", "i", "_since", "_n_life", "window_end", *keys]
+    if mode == "tree":
+        return _by_tree(df, registry, keys, agg, tick, last, watch)
+    df = watch("records", df)
     if mode == "naive":
         low = min(x.since for x in registry.lives)
         rows = df.where(F.col(tick) >= low).withColumn("_end", F.col(tick).cast("long") + 1)
-        rows = fanned(rows, "_end", registry, end, "window_end")
-        return _named(folded(rows, by, agg), keys, agg)
-    if mode == "tree":
-        return _by_tree(df, registry, keys, agg, tick, last)
+        rows = watch("handed", fanned(rows, "_end", registry, end, "window_end"))
+        return watch("windows", _named(folded(rows, by, agg), keys, agg))
     if mode == "active":
         low = min(x.since for x in registry.lives)
         rows = df.where(F.col(tick) >= low).withColumn("_end", active_end(F.col(tick).cast("long"), registry.lives))
-        whole = fanned(folded(rows, ["_end", *keys], agg), "_end", registry, end, "window_end")
+        whole = fanned(watch("slices", folded(rows, ["_end", *keys], agg)), "_end", registry, end, "window_end")
         # A window that ends inside a slice began at its start or before: of that slice it holds the records so far.
         inside = fanned(rows.withColumn("_next", F.col(tick).cast("long") + 1), "_next", registry, F.least(end, F.col("_end") - 1), "window_end")
-        parts = folded(inside, by, agg).unionByName(whole.select(*by, *agg.partial))
-        return _named(parts.groupBy(*by).agg(*agg.merges()), keys, agg)
-    cut = partials(df, registry, keys, agg, tick)
+        parts = watch("handed", folded(inside, by, agg).unionByName(whole.select(*by, *agg.partial)))
+        return watch("windows", _named(parts.groupBy(*by).agg(*agg.merges()), keys, agg))
+    cut = watch("slices", partials(df, registry, keys, agg, tick))
     if mode == "slices":
-        wide = fanned(cut, "_end", registry, end, "window_end")
-        return _named(wide.groupBy(*by).agg(*agg.merges()), keys, agg)
+        wide = watch("handed", fanned(cut, "_end", registry, end, "window_end"))
+        return watch("windows", _named(wide.groupBy(*by).agg(*agg.merges()), keys, agg))
     if mode == "grouped":
         numbers: dict[Timescale, list[int]] = {}
         for k, x in enumerate(registry.lives):
@@ -200,7 +206,7 @@ def multi_window(df: DataFrame, timescales, keys: list[str], agg: Aggregate, tic
         try:
             shared = EpochPlan(registry, last, mode, LEVELS)
         except TooLarge:
-            return _by_tree(df, registry, keys, agg, tick, last)
+            return _by_tree(df, registry, keys, agg, tick, last, watch)
         return _by_segments(cut, shared, registry, keys, agg)
     # Options of sharing are for timescales that live all the time.
     if len({(x.since, x.until) for x in registry.lives}) > 1:
@@ -298,7 +304,7 @@ def _finished(done: list[DataFrame], known: DataFrame, registry: Registry, keys:
     return _named(every.select(w.alias("w"), i.alias("i"), since.alias("_since"), F.col("_at").alias("window_end"), *keys, *buffers), keys, agg)
 
 
-def _by_tree(df: DataFrame, registry: Registry, keys: list[str], agg: Aggregate, tick: str, last: int) -> DataFrame:
+def _by_tree(df: DataFrame, registry: Registry, keys: list[str], agg: Aggregate, tick: str, last: int, watch) -> DataFrame:
     """Equal slices in a binary tree of merges: a window of n slices reads at most 2 log2(n) nodes.
 
     A slice has as many ticks as divide all windows, intervals and starts. All levels are made in one shuffle, to which a
@@ -308,8 +314,8 @@ def _by_tree(df: DataFrame, registry: Registry, keys: list[str], agg: Aggregate,
         last = min(last, last_tick(df, tick) + max(x.scale.w for x in registry.lives))
     unit = math.gcd(*(n for x in registry.lives for n in (x.scale.w, x.scale.i, x.since - low)))
     depth = max(x.scale.w // unit for x in registry.lives).bit_length()
-    rows = df.where(F.col(tick) >= low).withColumn("_node", F.floor((F.col(tick).cast("long") - low) / unit).cast("long"))
-    leaves = folded(rows, ["_node", *keys], agg)
+    rows = watch("records", df).where(F.col(tick) >= low).withColumn("_node", F.floor((F.col(tick).cast("long") - low) / unit).cast("long"))
+    leaves = watch("slices", folded(rows, ["_node", *keys], agg))
     up = leaves.withColumn("_up", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("_node", F.expr("shiftright(_node, _up)"))
     nodes = up.groupBy("_up", "_node", *keys).agg(*agg.merges())
     windows = spine(df.sparkSession, registry, low, last).withColumn("_a", F.expr(f"(window_start - {low}) div {unit}")).withColumn("_z", F.expr(f"(window_end - {low}) div {unit}"))
@@ -320,7 +326,8 @@ def _by_tree(df: DataFrame, registry: Registry, keys: list[str], agg: Aggregate,
     picked = F.when(top, F.sequence(F.col("_a"), F.col("_z") - 1)).otherwise(F.array_compact(F.array(left, right)))
     wide = wide.withColumn("_node", F.explode(picked)).select("w", "i", F.col("_life"), F.col("_since"), "window_end", "_up", "_node")
     by = ["w", "i", "_since", "_life", "window_end", *keys]
-    return _named(nodes.join(wide, ["_up", "_node"]).groupBy(*by).agg(*agg.merges()), keys, agg)
+    handed = watch("handed", nodes.join(wide, ["_up", "_node"]))
+    return watch("windows", _named(handed.groupBy(*by).agg(*agg.merges()), keys, agg))
 
 
 def spine(spark, timescales, start: int = 0, until: int = 0) -> DataFrame:

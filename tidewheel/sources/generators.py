@@ -37,6 +37,11 @@ def rate_stream(spark: SparkSession, rows_per_second: int) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
 
 
+def beats(spark: SparkSession, per_second: int = 1) -> DataFrame:
+    """A stream of the clock's times, which lets windows of an idle source fire (see streaming.state)."""
+    return rate_stream(spark, per_second).select("timestamp")
+
+
 def random_timescales(n: int, windows: tuple[int, int], intervals: tuple[int, int], seed: int = 0, max_period: int | None = None, divisors_of: int | None = None) -> list[Timescale]:
     """n timescales with different windows; the common period stays within max_period. With divisors_of, intervals divide it."""
     r, out = random.Random(seed), []

@@ -31,14 +31,17 @@ def _at(tick: Column, origin_s: int, unit_s: int, name: str) -> Column:
     return F.timestamp_seconds(F.lit(origin_s) + tick * unit_s).alias(name, metadata=_CLOSING)
 
 
-def ticks(events: DataFrame, ts: str, keys: list[str], agg: Aggregate, unit_s: int, delay: str, origin_s: int, low: int, salts: int) -> DataFrame:
+def ticks(events: DataFrame, ts: str, keys: list[str], agg: Aggregate, unit_s: int, delay: str, origin_s: int, low: int, salts: int, beat: str | None = None) -> DataFrame:
     """(_tick, keys, buffers), once the watermark has passed a tick's end; up to `salts` rows of a tick and key.
 
     Records of one key are combined in every task before they meet in its state. Aggregates that gather rows can't be:
-    their records are dealt to `salts` states by a hash of the whole record."""
+    their records are dealt to `salts` states by a hash of the whole record. beat: a column that is null in records; rows
+    where it is not move the watermark and are nothing else."""
     origin = F.timestamp_seconds(F.lit(origin_s))
     start = F.timestamp_seconds(F.lit(origin_s + low * unit_s))
-    marked = events.withWatermark(ts, delay).where((F.col(ts) >= origin) & (F.col(ts) >= start))
+    # Beats are left out after the watermark has seen them.
+    time = F.col(ts) if beat is None else F.when(F.col(beat).isNull() & (F.rand() < 2), F.col(ts))
+    marked = events.withWatermark(ts, delay).where((time >= origin) & (time >= start))
     span = F.window(ts, f"{unit_s} seconds", f"{unit_s} seconds", f"{origin_s % unit_s} seconds")
     deal = F.pmod(F.xxhash64(*[F.col(c) for c in events.columns if not events.schema[c].dataType.simpleString().startswith(("map", "variant"))]), F.lit(salts))
     rows = marked.groupBy(span.alias("_span"), deal.alias("_salt"), *keys).agg(*agg.partials())
@@ -180,7 +183,7 @@ class _Changing(StatefulProcessor):
         pass
 
 
-def windows_in_state(events: DataFrame, ts: str, timescales, keys: list[str], agg: Aggregate, unit_s: int, delay: str, origin_s: int = 0, mode: str = "tree", salts: int | None = None, signals: DataFrame | None = None, largest: int | None = None, buckets: int | None = None) -> DataFrame:
+def windows_in_state(events: DataFrame, ts: str, timescales, keys: list[str], agg: Aggregate, unit_s: int, delay: str, origin_s: int = 0, mode: str = "tree", salts: int | None = None, signals: DataFrame | None = None, largest: int | None = None, buckets: int | None = None, beats: DataFrame | None = None) -> DataFrame:
     """Every window of every timescale once, in append mode, when the watermark passes its end; columns of multi_window.
 
     Takes every aggregate. Timescales may be a Registry whose lives come and go. mode: "tree" (a window is merged from at
@@ -193,6 +196,9 @@ def windows_in_state(events: DataFrame, ts: str, timescales, keys: list[str], ag
     do nothing. They need `largest`, the largest window that may come, and the RocksDB state store; keys are dealt to
     `buckets` states (default: spark.sql.shuffle.partitions), and signals go to each.
 
+    beats: a stream with a column of times, such as sources.generators.beats(): each moves the watermark on as a record of
+    its time would, so windows fire by the clock while the source is idle.
+
     Records before the origin, without a time, or not later than the watermark are left out; null keys are a key; empty
     windows don't fire. Output comes with the micro-batch in which the watermark passes."""
     if mode not in ("tree", "ticks"):
@@ -208,8 +214,14 @@ def windows_in_state(events: DataFrame, ts: str, timescales, keys: list[str], ag
     depth = largest.bit_length() - 1 if mode == "tree" else 0
     low = 0 if signals is not None else min(x.since for x in registry.lives)
     buffers = list(agg.partial)
+    beat = None
+    if beats is not None:
+        beat, kind = "_beat", events.schema[ts].dataType
+        # Neither a constant nor deterministic: else the optimizer would leave beats out before the watermark sees them.
+        ticking = beats.select(F.col(beats.columns[0]).cast(kind).alias(ts), F.when(F.rand() < 2, True).alias(beat))
+        events = events.withColumn(beat, F.lit(None).cast("boolean")).unionByName(ticking, allowMissingColumns=True)
     if signals is None:
-        closed = ticks(events, ts, keys, agg, unit_s, delay, origin_s, low, salts)
+        closed = ticks(events, ts, keys, agg, unit_s, delay, origin_s, low, salts, beat)
         # Ticks are nodes of level 0, in as many rows as there are salts.
         made = nodes(closed, keys, agg, unit_s, origin_s, depth) if depth else closed.withColumn("_up", F.lit(0)).withColumnRenamed("_tick", "_node")
         wide = handed_out(made, registry, depth)
@@ -222,7 +234,7 @@ def windows_in_state(events: DataFrame, ts: str, timescales, keys: list[str], ag
         F.struct(F.col("type").cast("int").alias("kind"), F.col("window").cast("long").alias("w"), F.col("interval").cast("long").alias("i"), F.col("start_time").cast("long").alias("at")).alias("_signal"),
     )
     both = events.withColumn("_signal", F.lit(None).cast(told.schema["_signal"].dataType)).unionByName(told, allowMissingColumns=True)
-    closed = ticks(both, ts, ["_signal", *keys], agg, unit_s, delay, origin_s, low, salts)
+    closed = ticks(both, ts, ["_signal", *keys], agg, unit_s, delay, origin_s, low, salts, beat)
     is_signal = F.col("_signal").isNotNull()
     made = nodes(closed, ["_signal", *keys], agg, unit_s, origin_s, depth, is_signal)
     shape = StructType([made.schema[c] for c in (*keys, *buffers)])
