@@ -67,10 +67,27 @@ def test_totals_are_over_all_events(spark, tmp_path):
     day, scales = dt.datetime(2024, 1, 1), [(5, 4), (6, 6), (24, 6), (48, 10)]
     rows = [(k, day + dt.timedelta(hours=7 * k % 720), 5 * k, ["view", "purchase", "click"][k % 3]) for k in range(150) if not 200 < 7 * k % 720 < 300]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
-    expect = {(w, i, e): 0 for w, i in scales for e in range(i, 721, i)}
+    last = max(7 * k % 720 for k, *_ in rows) + 1  # windows end with the table, here before and below after hour 720
+    expect = {(w, i, e): 0 for w, i in scales for e in range(i, last + 1, i)}
     for k, *_ in rows:
         for key in ends(scales, 7 * k % 720):
             if key in expect:
                 expect[key] += 1
     assert {(r["w"], r["i"], r["window_end"]): r["total"] for r in QUERIES["mts_totals"](spark, str(tmp_path)).collect()} == expect
     assert 0 in expect.values()
+
+
+def test_events_after_a_month_are_in_windows(spark, tmp_path):
+    """The end comes from the table: nothing is cut at the 30 days of the sample tables."""
+    day, scales = dt.datetime(2024, 1, 1), [(5, 4), (6, 6), (24, 6), (48, 10)]
+    hours = [0, 719, 720, 733, 1500]
+    rows = [(k, day + dt.timedelta(hours=h), k, "view", 1.0) for k, h in enumerate(hours)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    held = {}
+    for h in hours:
+        for key in ends(scales, h):
+            held[key] = held.get(key, 0) + 1
+    for name in ("mts_count_shared", "mts_count_auto", "mts_tree", "sink_by_timescale"):
+        assert {(r["w"], r["i"], r["window_end"]): r["n"] for r in QUERIES[name](spark, str(tmp_path)).collect()} == held, name
+    totals = {(r["w"], r["i"], r["window_end"]): r["total"] for r in QUERIES["mts_totals"](spark, str(tmp_path)).collect()}
+    assert totals == {(w, i, e): held.get((w, i, e), 0) for w, i in scales for e in range(i, 1502, i)}
