@@ -28,38 +28,73 @@ def _licence_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
+def _plain_templates():
+    """(label, words, key phrases as (start, size), most) from the fixed values; those of whole texts by the operator's rule."""
+    line = lambda label, p, most: (label, _licence_words(p), [(0, len(_licence_words(p)))], most)
+    out = [line(label, p, 0.5) for p, label in licences.BASE.items()] + [line(label, p, 0.5) for label, some in licences.NAMES.items() for p in some]
+    out += [line(label, f"spdx license identifier {x}", 1.0) for label, some in licences.SPDX.items() for x in some]
+    for label, some in licences.TEXTS.items():
+        for t in some:
+            keys = [(len(_licence_words(t[: m.start()])), len(_licence_words(m[0]))) for m in re.finditer(r"\[.*?\]", t, re.S)]
+            out.append((label, _licence_words(t), keys, 1.0))
+    whole = licences.templates()[len(out) :]
+    return out, [(t.label, [w.decode() for w in t.words], t.keys, 1.0) for t in whole]
+
+
+def test_key_phrases_of_whole_licences_tell_them_apart():
+    short, whole = _plain_templates()
+    assert {x[0] for x in whole} == {"apache", "gpl", "lgpl", "mpl", "cc0"} and all(len(keys) >= 4 for _, _, keys, _ in whole)
+    for label, words, keys, _ in whole:
+        for a, m in keys:
+            phrase = " " + " ".join(words[a : a + m]) + " "
+            assert not any(phrase in " " + " ".join(w) + " " for other, w, _, _ in short + whole if other != label), phrase
+
+
 def test_licence_labels_and_scores_equal_brute_force(spark):
     """Every template whole, cut, with words put in, its key phrase broken, and beside others."""
     r = random.Random(2)
     filler = lambda n: " ".join(r.choice(["this", "software", "code", "license", "the", "free", "permission", "zz"]) for _ in range(n))
-    texts = [t.replace("[", "").replace("]", "") for t in licences.TEXTS.values()]
+    short, whole = _plain_templates()
+    texts = [t.replace("[", "").replace("]", "") for some in licences.TEXTS.values() for t in some]
     names = [x for some in licences.NAMES.values() for x in some] + list(licences.BASE)
-    rows = [*texts, *names, "", None]
+    stated = [f"// SPDX-License-Identifier: {x}" for some in licences.SPDX.values() for x in some]
+    bodies = [" ".join(w[30:]) for _, w, _, _ in whole]
+    rows = [*texts, *names, *stated, *bodies, "", None]
     for t in texts:
         w = t.split()
         rows += [" ".join(w[: len(w) // 2]), filler(9) + " " + t + " " + filler(5), " ".join(w[:12] + ["Jane", "Doe"] * 3 + w[12:]), " ".join(x for k, x in enumerate(w) if k % 3), " ".join(w[3:] + w[:3]), " ".join(w[:1] + w), t + " " + r.choice(texts)]
+    for t in bodies:
+        w = t.split()
+        rows += [" ".join(w[: len(w) // 3]), " ".join(x if r.random() < 0.97 else "zz" for x in w), " ".join(w[:700] + ["Jane"] * 30 + w[700:])]
     rows += [f"{filler(4)}, {r.choice(names).upper()}. {filler(3)} {r.choice(names)} {filler(2)}" for _ in range(30)]
     rows = list(enumerate(rows))
     got = {x["id"]: (x["labels"], x["score"]) for x in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     words = {k: _licence_words(t or "") for k, t in rows}
-    idf = lambda w: np.log((len(rows) + 1) / (sum(w in set(x) for x in words.values()) + 1)) + 1
-    weight = {}
-    plain = [(label, _licence_words(p), 0, len(_licence_words(p)), 0.5) for label, p in [*((v, k) for k, v in licences.BASE.items()), *((k, p) for k, some in licences.NAMES.items() for p in some)]]
-    for label, t in licences.TEXTS.items():
-        a, z = len(_licence_words(t[: t.index("[")])), len(_licence_words(t[: t.index("]")]))
-        plain.append((label, _licence_words(t), a, z - a, 1.0))
+    df = Counter(w for x in words.values() for w in set(x))
+    idf = lambda w: np.log((len(rows) + 1) / (df[w] + 1)) + 1
+    known = []
+    for label, t, keys, most in short + whole:
+        ends = [0, *((a + m + b) // 2 for (a, m), (b, _) in zip(keys, keys[1:])), len(t)]
+        known.append((label, t, [(t[a : a + m], a, ends[k], ends[k + 1]) for k, (a, m) in enumerate(keys)], most, sum(map(idf, t))))
     for k, w in words.items():
-        labels, best = set(), 0.0
-        for label, t, a, size, most in plain:
-            for p in range(len(w) - size + 1):
-                if w[p : p + size] == t[a : a + size]:
+        labels, best, line = set(), 0.0, " " + " ".join(w) + " "
+        for label, t, parts, most, mass in known:
+            held = 0.0
+            for key, a, begin, end in parts:
+                here = [0.0]
+                if f" {' '.join(key)} " in line:
                     labels.add(label)
-                    for x in t:
-                        weight.setdefault(x, idf(x))
-                    held = sum(weight[x] for o, x in enumerate(t) if x in w[max(0, p - a + o - 8) : max(0, p - a + o + 9)])
-                    best = max(best, most * held / sum(weight[x] for x in t))
+                    for p in range(len(w) - len(key) + 1):
+                        if w[p : p + len(key)] == key:
+                            at = p - a
+                            here.append(sum(idf(t[o]) for o in range(begin, end) if t[o] in w[max(0, at + o - 8) : max(0, at + o + 9)]))
+                held += max(here)
+            best = max(best, most * held / mass)
         assert got[k][0] == ",".join(sorted(labels)) and got[k][1] == pytest.approx(best), rows[k]
-    assert [got[k][1] for k in range(len(texts))] == [1.0] * len(texts) and all(got[k][1] == 0.5 for k in range(len(texts), len(texts) + len(names)))
+    ends = np.cumsum([0, len(texts), len(names), len(stated), len(bodies)])
+    score = [[got[k][1] for k in range(a, z)] for a, z in zip(ends, ends[1:])]
+    assert score[0] == pytest.approx([1.0] * len(texts)) and all(x == 0.5 for x in score[1]) and all(x == pytest.approx(1.0) for x in score[2])
+    assert all(x > 0.9 for x in score[3]) and all(x[0] in got[k][0].split(",") for k, x in zip(range(ends[3], ends[4]), whole))  # GPL-2 names LGPL
     assert len({x for x, _ in got.values()}) > 12
 
 

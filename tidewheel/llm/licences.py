@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Iterable
+from dataclasses import dataclass
+from importlib.resources import files
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import small_batches
-from tidewheel.llm.licence_texts import BASE, NAMES, TEXTS
+from tidewheel.llm.licence_texts import BASE, FILES, NAMES, SPDX, TEXTS
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -19,67 +22,146 @@ _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SLACK = 8
 #: The most that a licence's name alone scores.
 NAME = 0.5
+#: Words of a key phrase in a whole licence text, and of the stretches that have one each.
+PHRASE, STRETCH = 8, 250
+#: Words of a key phrase that are looked up before the whole phrase is compared.
+RARE = 3
+
+
+@dataclass
+class Phrase:
+    """A mandatory key phrase of a template, and the stretch of the template that stands or falls with it."""
+
+    template: int
+    start: int
+    size: int
+    begin: int
+    end: int
 
 
 @dataclass
 class Template:
     label: str
     words: list[bytes]
-    start: int  # of the key phrase
-    size: int
+    keys: list[tuple[int, int]]  # start and size of its key phrases, by place
     base: bool = False
     most: float = 1.0  # what the whole template scores
-    keys: list[int] = field(default_factory=list)  # offsets of its rarest words in the key phrase
-
 
-def templates(base: dict[str, str] = BASE, names: dict[str, list[str]] = NAMES, texts: dict[str, str] = TEXTS) -> list[Template]:
-    """base: label by phrase; names: phrases by label; texts: by label, with the mandatory key phrase in brackets."""
-    named = [(label, phrase, True) for phrase, label in base.items()] + [(label, phrase, False) for label, some in names.items() for phrase in some]
-    out = [Template(label, words_of(phrase.encode()), 0, len(words_of(phrase.encode())), is_base, NAME) for label, phrase, is_base in named]
-    for label, text in texts.items():
-        before, key, after = (words_of(x.encode()) for x in (text.partition("[")[0], text.partition("[")[2].partition("]")[0], text.partition("]")[2]))
-        out.append(Template(label, before + key + after, len(before), len(key)))
+    def phrases(self, number: int) -> list[Phrase]:
+        """Its key phrases; a stretch reaches half-way to the neighbouring phrases."""
+        edges = [0, *((a + m + b) // 2 for (a, m), (b, _) in zip(self.keys, self.keys[1:])), len(self.words)]
+        return [Phrase(number, a, m, *edges[k : k + 2]) for k, (a, m) in enumerate(self.keys)]
+
+
+def marked(label: str, text: str) -> Template:
+    """A template whose key phrases are in brackets."""
+    words, keys = [], []
+    for k, part in enumerate(re.split(r"[\[\]]", text)):
+        found = words_of(part.encode())
+        if k % 2:
+            keys.append((len(words), len(found)))
+        words += found
+    return Template(label, words, keys)
+
+
+def keyed(texts: Iterable[tuple[str, list[bytes]]], others: Iterable[Template] = ()) -> list[Template]:
+    """Templates of whole texts, whose key phrases go by a rule: in each stretch of about STRETCH words the PHRASE words in a
+    row, found in no text of another label, of which the rarest words stand in the fewest texts."""
+    texts = list(texts)
+    known = [*texts, *((t.label, t.words) for t in others)]
+    grams: dict[tuple, set[str]] = {}
+    for label, words in known:
+        for k in range(len(words) - PHRASE + 1):
+            grams.setdefault(tuple(words[k : k + PHRASE]), set()).add(label)
+    spread = Counter(w for _, words in known for w in set(words))
+    out = []
+    for label, words in texts:
+        keys = []
+        parts = max(1, round(len(words) / STRETCH))
+        for k in range(parts):
+            places = range(len(words) * k // parts, len(words) * (k + 1) // parts - PHRASE + 1)
+            own = [p for p in places if len(grams[tuple(words[p : p + PHRASE])]) == 1]
+            if own:
+                keys.append((min(own, key=lambda p: (sorted(spread[w] for w in words[p : p + PHRASE]), p)), PHRASE))
+        out.append(Template(label, words, keys))
     return out
 
 
+def templates(base=BASE, names=NAMES, spdx=SPDX, texts=TEXTS, whole=FILES) -> list[Template]:
+    """base: label by phrase; names, spdx: phrases and identifiers by label; texts: by label, with key phrases in brackets;
+    whole: files of the folder texts/ by label."""
+    phrase = lambda label, text, **more: Template(label, w := words_of(text.encode()), [(0, len(w))], **more)
+    out = [phrase(label, p, base=True, most=NAME) for p, label in base.items()]
+    out += [phrase(label, p, most=NAME) for label, some in names.items() for p in some]
+    out += [phrase(label, f"SPDX-License-Identifier: {x}") for label, some in spdx.items() for x in some]
+    out += [marked(label, t) for label, some in texts.items() for t in some]
+    folder = files("tidewheel.llm") / "texts"
+    read = [(label, (folder / name).read_bytes().partition(b"END OF TERMS AND CONDITIONS")[0]) for label, some in whole.items() for name in some]
+    return out + keyed([(label, words_of(t)) for label, t in read], out)
+
+
 class RareWordIndex:
-    """Positional postings of every template's key words: word -> (template, offset). A template's two rarest ones, by the
-    frequencies of the scanned texts, have to meet in their relative positions before its key phrase is verified."""
+    """Positional postings of the words of all key phrases.
+
+    A file's licence words are looked up from the highest IDF downwards. A word that is a phrase's rarest opens it, with one
+    place for each of its own; the phrase's next words keep the places that they stand beside. As a phrase's words come in
+    the same order in every file, postings of its RARE highest are all that a look-up can need, and no phrase that stands in
+    the file is lost. What is left is compared word by word."""
 
-    def __init__(self, known: list[Template], idf: dict[bytes, float], rare: int = 2):
+    def __init__(self, known: list[Template], idf: dict[bytes, float], rare: int = RARE):
         self.templates, self.idf = known, idf
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        for k, t in enumerate(known):
-            phrase = range(t.start, t.start + t.size)
-            t.keys = sorted(phrase, key=lambda o: (-idf[t.words[o]], o))[:rare]
-            for o in t.keys:
-                self.postings.setdefault(t.words[o], []).append((k, o))
+        self.phrases = [p for k, t in enumerate(known) for p in t.phrases(k)]
+        self.mass = [sum(idf[w] for w in t.words) for t in known]
+        self.postings: dict[bytes, list[tuple[int, int]]] = {}  # word: (phrase, offset in the template)
+        self.opener: list[bytes] = []  # each phrase's rarest word
+        for k, p in enumerate(self.phrases):
+            words = known[p.template].words
+            order = sorted(range(p.start, p.start + p.size), key=lambda o: (-idf[words[o]], words[o], o))[:rare]
+            self.opener.append(words[order[0]])
+            for o in order:
+                self.postings.setdefault(words[o], []).append((k, o))
+        self.openers = set(self.opener)
 
     def matches(self, words: list[bytes]) -> list[tuple[int, int]]:
-        """(template, place of its first word, perhaps before the text) where rare words meet in their relative positions
-        and the whole key phrase stands."""
-        if not self.postings.keys() & set(words):
+        """(phrase, place of its template's first word, perhaps before the text) of all places where a key phrase stands."""
+        held = self.postings.keys() & set(words)
+        if not self.openers & held:
             return []
-        votes: dict[tuple[int, int], int] = {}
+        places: dict[bytes, list[int]] = {}
         for p, w in enumerate(words):
-            for k, o in self.postings.get(w, ()):
-                votes[k, p - o] = votes.get((k, p - o), 0) + 1
+            if w in held:
+                places.setdefault(w, []).append(p)
+        found: dict[int, set[int]] = {}
+        for w in sorted(held, key=lambda w: (-self.idf[w], w)):
+            for k, o in self.postings[w]:
+                here = {p - o for p in places[w]}
+                found[k] = found[k] & here if k in found else here if w == self.opener[k] else set()
         out = []
-        for (k, at), n in votes.items():
-            t = self.templates[k]
-            a = at + t.start
-            if n == len(t.keys) and a >= 0 and words[a : a + t.size] == t.words[t.start : t.start + t.size]:
-                out.append((k, at))
+        for k, some in found.items():
+            p = self.phrases[k]
+            key = self.templates[p.template].words[p.start : p.start + p.size]
+            out += [(k, at) for at in some if at + p.start >= 0 and words[at + p.start : at + p.start + p.size] == key]
         return out
 
-    def score(self, words: list[bytes], k: int, at: int) -> float:
-        """The part of the template, by IDF, of which each word stands at most SLACK words off its place."""
-        t = self.templates[k]
+    def scores(self, words: list[bytes], found: list[tuple[int, int]]) -> float:
+        """The largest part of a template, by IDF, of which each word stands at most SLACK words off its place beside its
+        stretch's key phrase; of a stretch that stands several times the best place counts, and none without its phrase."""
+        best: dict[int, float] = {}
+        for k, at in found:
+            best[k] = max(best.get(k, 0.0), self._held(words, self.phrases[k], at))
+        sums: dict[int, float] = {}
+        for k in sorted(best):
+            number = self.phrases[k].template
+            sums[number] = sums.get(number, 0.0) + best[k]
+        return max((self.templates[number].most * min(1.0, s / self.mass[number]) for number, s in sums.items()), default=0.0)
+
+    def _held(self, words: list[bytes], p: Phrase, at: int) -> float:
+        """The IDF of the words of p's stretch that stand in their places."""
         near: dict[bytes, list[int]] = {}
-        for p in range(max(0, at - SLACK), min(len(words), at + len(t.words) + SLACK)):
-            near.setdefault(words[p], []).append(p)
-        found = sum(self.idf[w] for o, w in enumerate(t.words) if any(abs(p - at - o) <= SLACK for p in near.get(w, ())))
-        return t.most * min(1.0, found / sum(self.idf[w] for w in t.words))
+        for q in range(max(0, at + p.begin - SLACK), min(len(words), at + p.end + SLACK)):
+            near.setdefault(words[q], []).append(q)
+        own = self.templates[p.template].words
+        return sum(self.idf[own[o]] for o in range(p.begin, p.end) if any(abs(q - at - o) <= SLACK for q in near.get(own[o], ())))
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -91,10 +173,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row of docs.
 
     First, document frequencies of the templates' words are counted over all docs; one number a template word reaches
-    the driver. Then a text's words that are among some template's two rarest are looked up, their postings are
-    intersected by relative position, and the mandatory key phrase is verified word by word. Base phrases are templates
-    that are all key phrase. score is the largest part, by IDF, of a verified template that stands in its place; 0 for
-    none. Null text counts as empty: no words, empty labels, null places. Rows repeated are scanned each."""
+    the driver, so that what is collected and sent to tasks follows the templates, not docs. Then each text's licence words
+    are looked up, the rarest first, their postings are intersected by relative position, and the mandatory key phrase is
+    verified word by word. Names and SPDX lines are templates that are all key phrase; of an SPDX expression the first
+    identifier counts. A licence text of several key phrases is labelled by any of them, each of which no other licence has.
+    score is the largest part, by IDF, of a verified template that stands in its place (names: at most NAME); 0 for none.
+    Null text counts as empty: no words, empty labels, null places. Rows repeated are scanned each; an empty table gives an
+    empty result."""
     small_batches(docs.sparkSession)
     known = known or templates()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
@@ -124,10 +209,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
             for ident, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
                 words = words_of(t)
                 found = index.matches(words)
-                base = [(at, known[k].label) for k, at in found if known[k].base]
+                named = [(at, known[index.phrases[k].template]) for k, at in found]
+                base = [(at, x.label) for at, x in named if x.base]
                 places = [at for at, _ in base]
-                labels = {known[k].label for k, _ in found}
-                score = max((index.score(words, k, at) for k, at in found), default=0.0)
+                labels = {x.label for _, x in named}
+                score = index.scores(words, found)
                 out.append((ident, len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), score))
             columns = list(zip(*out)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
