@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -330,6 +331,51 @@ def test_window_stream_with_changing_timescales(spark, tmp_path):
     assert sink.clean(spark, 101) >= 1 and sink.clean(spark, 101) == 0 and found(sink.results(spark)) == brute(ticks, registry.lives, 40)
 
 
+@pytest.mark.parametrize("select", ["greedy", "dp"])
+def test_window_stream_plans_each_batch(spark, tmp_path, select):
+    """Windows of a batch from each other, with timescales that come and go, gaps, repeated batches and a null key."""
+    r = random.Random(4)
+    rows = [(t, r.choice([0, 1, None])) for t in [*range(40), *range(90, 130)] for _ in range(r.randint(0, 3))]
+    signals.send(spark, f"{tmp_path}/signals", 6, 4, "addition", 9)
+    signals.send(spark, f"{tmp_path}/signals", 12, 2, "addition", 33)
+    signals.send(spark, f"{tmp_path}/signals", 5, 3, "deletion", 100)
+    sink = WindowStream(f"{tmp_path}/state", "(5,3)(10,5)", ["key"], A.count(), signals=f"{tmp_path}/signals", late=3, select=select)
+    parts = [rows[:30], rows[30:70], [], rows[70:]]
+    for k, part in enumerate(parts):
+        for _ in range(1 + (k == 1)):
+            sink(spark.createDataFrame(part, "tick long, key int"), k)
+    sink.flush(spark, len(parts), 150)
+    registry = Registry.of("(5,3)(10,5)").apply([(6, 4, 1, 9), (12, 2, 1, 33), (5, 3, 2, 100)])
+    got, want = sink.results(spark), multi_window(spark.createDataFrame(rows, "tick long, key int"), registry, ["key"], A.count(), until=150, mode="naive")
+    cells = lambda df: Counter(map(tuple, df.select("w", "i", "window_start", "window_end", "key", "n", "fully_processed").collect()))
+    assert cells(got) == cells(want) and sink.selected == select and got.count() > 100
+    assert len(list((tmp_path / "state" / "closed").glob("batch=*"))) <= 3
+
+
+def test_window_stream_goes_by_measured_seconds(spark, tmp_path, monkeypatch):
+    """dp while planning takes up to a twentieth of the seconds of earlier batches; slices where a plan would be too large."""
+    now, steps = [0.0], iter([1, 10, 0.1, 30, 1, 1, 5, 5])  # planning, making windows, planning, ...
+
+    def clock():
+        clock.calls += 1
+        if clock.calls % 3 != 1:  # three looks a batch: before planning, after it, after writing
+            now[0] += next(steps)
+        return now[0]
+
+    clock.calls = 0
+    sink = WindowStream(f"{tmp_path}/state", "(4,2)(5,3)(12,3)", ["key"], A.count(), select="adaptive", clock=clock)
+    taken = []
+    for k in range(3):
+        sink(spark.createDataFrame([(t, 0) for t in range(20 * k, 20 * k + 20)], "tick long, key int"), k)
+        taken.append((sink.selected, round(sink.planning_s, 6), round(sink.final_s, 6)))
+    assert taken == [("dp", 1, 10), ("greedy", 1.1, 40), ("dp", 2.1, 41)]
+    monkeypatch.setattr("tidewheel.streaming.windows.MOST_EDGES", 3)
+    sink(spark.createDataFrame([(t, 0) for t in range(60, 80)], "tick long, key int"), 3)
+    assert sink.selected == "slices"
+    want = multi_window(spark.createDataFrame([(t, 0) for t in range(80)], "tick long, key int"), "(4,2)(5,3)(12,3)", ["key"], A.count(), until=79, mode="naive")
+    assert found(sink.results(spark)) == found(want)
+
+
 def test_windows_in_state_equal_batch(spark, tmp_path):
     """Early, late and repeated records, null keys and values, timescales that come and go."""
     day = dt.datetime(2024, 1, 1)

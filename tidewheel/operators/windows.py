@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions.aggregates import Aggregate, presence
 from tidewheel.plans.epochs import EpochPlan, TooLarge
+from tidewheel.plans.horizon import HorizonPlan
 from tidewheel.plans.sharing import Options, SharePlan, cost_groups, edges_per_tick
 from tidewheel.plans.timescale import Live, Registry, Timescale
 
@@ -293,6 +294,14 @@ def _by_levels(known: DataFrame, levels: int, rows: list[tuple], schema: str, re
     return _finished(done, known, registry, keys, agg)
 
 
+def planned_windows(known: DataFrame, plan: HorizonPlan, registry: Registry, keys: list[str], agg: Aggregate) -> DataFrame:
+    """The windows of a plan over absolute time, from results of any finer slices (_end, keys, buffers) that reach back far enough."""
+    end = slice_end(F.col("_end") - 1, registry.lives).alias("_at")
+    cut = known.where(F.col("_end") > min(x.since for x in registry.lives)).groupBy(end, *keys).agg(*agg.merges())
+    known = cut.select(F.lit(-1).alias("_c"), "_at", *keys, *agg.partial)
+    return _by_levels(known, plan.levels, plan.edge_rows(), "_level int, _c int, _at long, _parent int, _to long", lambda t: t, registry, keys, agg)
+
+
 def _finished(done: list[DataFrame], known: DataFrame, registry: Registry, keys: list[str], agg: Aggregate) -> DataFrame:
     """Windows of all levels (_c, _at, keys, buffers) as results."""
     buffers = list(agg.partial)
