@@ -2,7 +2,8 @@
 
 value is the sum of all queries' best times. The ratios say how many times as fast as the naive form others are:
 "shared_vs_naive" slices on four timescales (as in the first round), "wide_shared_vs_naive" slices on 24 timescales with windows of
-50 to 510 ticks and intervals of 1 to 10, "auto_vs_naive" and "wide_auto_vs_naive" the mode that multi_window chooses."""
+50 to 510 ticks and intervals of 1 to 10, "auto_vs_naive" and "wide_auto_vs_naive" the mode that multi_window chooses. "plan_seconds" are
+what planning alone takes for 16 timescales over ten years of minutes, and what each change there adds."""
 
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ import time
 
 from pyspark.sql import SparkSession
 
+from tidewheel.plans.epochs import EpochPlan
+from tidewheel.plans.timescale import Registry
 from tidewheel.queries import QUERIES
 
 NAMES = (
@@ -21,6 +24,21 @@ NAMES = (
 )
 
 
+def plan_seconds() -> dict[str, float]:
+    """Seconds that plans take to build: steady timescales, and what each of eight changes adds."""
+    scales, until = [(20 + 17 * k, 1 + k % 12) for k in range(16)], 5_256_000
+    changes = [(50 + 40 * k, 2 + k, 1, until // 6 * (k + 1)) for k in range(4)]
+    changes += [(w, i, 2, at + until // 12) for w, i, _, at in changes]
+    out = {}
+    for select in ("greedy", "dp"):
+        for name, signals in ((select, []), (f"{select}_changes", changes)):
+            began = time.perf_counter()
+            EpochPlan(Registry.of(scales).apply(signals), until, select, 3, most_edges=10**7)
+            out[name] = time.perf_counter() - began
+        out[f"{select}_each_change"] = (out.pop(f"{select}_changes") - out[select]) / len(changes)
+    return {name: round(s, 4) for name, s in out.items()}
+
+
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     conf = {"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", "spark.sql.session.timeZone": "UTC"}
@@ -40,7 +58,7 @@ def main() -> None:
         "auto_vs_naive": ("mts_count_naive", "mts_count_auto"), "wide_auto_vs_naive": ("mts_wide_naive", "mts_wide_auto"),
     }
     ratios = {name: round(seconds[naive] / seconds[other], 2) for name, (naive, other) in against.items()}
-    print(json.dumps({"metric": "multi-timescale window queries", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), **ratios}))
+    print(json.dumps({"metric": "multi-timescale window queries", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "plan_seconds": plan_seconds(), "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), **ratios}))
 
 
 if __name__ == "__main__":

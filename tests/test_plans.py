@@ -6,7 +6,7 @@ import pytest
 from tidewheel.plans.horizon import HorizonPlan
 from tidewheel.plans.sharing import Options, SharePlan, cost_groups, group_cost
 from tidewheel.plans.slices import SlicePlan, next_edge, period
-from tidewheel.plans.timescale import Registry, Timescale, format_timescales, parse_timescales
+from tidewheel.plans.timescale import Live, Registry, Timescale, format_timescales, parse_timescales
 from tidewheel.sources.generators import random_timescales
 
 
@@ -152,3 +152,14 @@ def test_a_hundred_timescales_are_planned_in_seconds():
     kept = len(plan.spans)
     plan.drop_before(1200)
     assert len(plan.spans) < kept and plan.extend(2500).until == 2500
+
+
+def test_subscriptions_end_their_own_life():
+    registry = Registry.of("(5,3)")
+    first, second = registry.subscribe((6, 4), 2), registry.subscribe((6, 4), 7)
+    second.unsubscribe(20)
+    assert registry.lives == [Live(Timescale(5, 3)), Live(Timescale(6, 4), 2), Live(Timescale(6, 4), 7, 20)]
+    assert second.unsubscribe(30).until == 20 and first.unsubscribe(9).until == 9
+    with pytest.raises(ValueError):
+        registry.subscribe((4, 2), 10).unsubscribe(5)
+    assert [x.until for x in registry.lives] == [None, 9, 20, None]

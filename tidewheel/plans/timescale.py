@@ -87,6 +87,10 @@ class Registry:
                 return self.lives[k]
         raise KeyError(f"no live timescale {scale} at {at}")
 
+    def subscribe(self, scale: Timescale | tuple[int, int], at: int, align: str = "own") -> Subscription:
+        """Adds the timescale and returns what ends just this life of it."""
+        return Subscription(self, self.add(scale, at, align))
+
     def apply(self, signals: Iterable[tuple[int, int, int, int]], align: str = "own") -> Registry:
         """Signals (window, interval, type, start_time), type 1 to add and 2 to remove, by time."""
         for w, i, kind, at in sorted(signals, key=lambda s: s[3]):
@@ -102,3 +106,21 @@ class Registry:
         """Lives that fire at t, smaller windows first."""
         some = [x for x in self.lives if t > x.since and (t - x.since) % x.scale.i == 0 and (x.until is None or t <= x.until)]
         return sorted(some, key=lambda x: (x.scale.w, x.scale.i))
+
+
+@dataclass
+class Subscription:
+    """One life of a timescale in a registry, for those who asked for it."""
+
+    registry: Registry
+    live: Live
+
+    def unsubscribe(self, at: int) -> Live:
+        """Ends the life, whatever other lives its timescale has; the firing at `at` itself still happens. What has ended stays as it
+        ended. ValueError before its start."""
+        if self.live.until is None:
+            if at < self.live.since:
+                raise ValueError(f"{self.live.scale} starts at {self.live.since}, after {at}")
+            k = self.registry.lives.index(self.live)
+            self.live = self.registry.lives[k] = Live(self.live.scale, self.live.since, at)
+        return self.live
