@@ -127,15 +127,17 @@ class RareWordIndex:
         held = self.postings.keys() & set(words)
         if not self.openers & held:
             return []
-        places: dict[bytes, list[int]] = {}
+        places: dict[bytes, set[int]] = {}
         for p, w in enumerate(words):
             if w in held:
-                places.setdefault(w, []).append(p)
+                places.setdefault(w, set()).add(p)
         found: dict[int, set[int]] = {}
         for w in sorted(held, key=lambda w: (-self.idf[w], w)):
             for k, o in self.postings[w]:
-                here = {p - o for p in places[w]}
-                found[k] = found[k] & here if k in found else here if w == self.opener[k] else set()
+                if k in found:
+                    found[k] = {at for at in found[k] if at + o in places[w]}
+                elif w == self.opener[k]:
+                    found[k] = {p - o for p in places[w]}
         out = []
         for k, some in found.items():
             p = self.phrases[k]
