@@ -98,6 +98,15 @@ def test_licence_labels_and_scores_equal_brute_force(spark):
     assert len({x for x, _ in got.values()}) > 12
 
 
+def test_licence_in_a_very_long_text(spark):
+    """A licence after two million licence words that open no phrase."""
+    body = licences.TEXTS["mit"][0].replace("[", "").replace("]", "")
+    got = licences.scan(spark.createDataFrame([(1, "software license the " * 700_000 + body + " under the MIT License"), (2, None)], "doc_id long, text string")).collect()
+    by = {r["id"]: r for r in got}
+    assert by[1]["n_words"] == 2_100_000 + len(_licence_words(body)) + 4 and by[1]["first_word"] == by[1]["n_words"] - 2
+    assert by[1]["labels"] == "mit" and by[1]["score"] == pytest.approx(1.0) and by[2]["labels"] == "" and by[2]["score"] == 0
+
+
 def _labelled(spark, n=600):
     """Insult and group words are harmless alone and toxic together."""
     r = random.Random(5)
