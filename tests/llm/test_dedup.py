@@ -10,8 +10,8 @@ import pytest
 
 from tidewheel.llm import exact_dedup, near_join, rounds, substring_dedup, suffix_dedup
 from tidewheel.llm.rounds import placed, places, spans_of, table, verdict_rows
-from tidewheel.llm.sketch import TOLD, Shape, answered, packed, repeated, told, unpacked
-from tidewheel.llm.words import Words, runs
+from tidewheel.llm.sketch import TOLD, Shape, answered, often, packed, repeated, told, unpacked
+from tidewheel.llm.words import Words, loads, mixed, runs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LAST = 2**63
@@ -164,6 +164,18 @@ def test_sketch_misses_no_repeat(spark):
         assert unpacked(packed(np.array(numbers, np.int64))).tolist() == numbers
 
 
+def test_hot_hashes_are_hot_in_every_bucket(spark):
+    rng = np.random.default_rng(2)
+    common = rng.integers(0, 2**63, 3, dtype=np.uint64)
+    parts = [np.concatenate([rng.integers(0, 2**63, 9000, dtype=np.uint64), np.repeat(common, [n, 40, 9])]) for n in (900, 0, 1, 300)]
+    shape = Shape.of(40_000)
+    rows = [r for k, x in enumerate(parts) for r in told(k, x, shape, True).to_pylist()]
+    answers = answered(spark.createDataFrame([tuple(r.values()) for r in rows], TOLD).repartition(3), shape, 100).toArrow()
+    for k, x in enumerate(parts):
+        hit = often(x, answers.filter(pc.equal(answers["bucket"], k)), shape)
+        assert set(x[hit].tolist()) == set(common[:2].tolist()) & set(x.tolist())
+
+
 def test_verdicts_come_back_as_joined_spans():
     r = random.Random(6)
     rows = [(r.randrange(3), r.randrange(4), a, a + r.randint(1, 9)) for a in (r.randrange(60) for _ in range(80))]
@@ -206,6 +218,41 @@ def test_suffix_dedup(docs, rows, none):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+def test_suffixes_of_a_hot_hash_are_split(spark, docs, rows):
+    """One 32-byte string in a third of the texts, each time in other surroundings, and a passage that begins with it."""
+    r = random.Random(8)
+    text = lambda n: bytes(r.choice(b"abcdefghijklmnop ") for _ in range(n))
+
+    def hash_of(t):
+        eight = loads(np.frombuffer(t, np.uint8))
+        return int(mixed(sum(eight[8 * k : 8 * k + 1] * suffix_dedup._WEIGHTS[k] for k in range(4)))[0])
+
+    common = min((text(32) for _ in range(6000)), key=hash_of)  # the least hash of nearly all strings around it
+    passage, made = common + text(170), []
+    for k in range(1500):
+        t = text(r.randint(150, 500))
+        at = r.randrange(len(t))
+        made.append((k, (t[:at] + (passage if k % 30 == 0 else common) + t[at:] if k % 3 == 0 else t).decode()))
+    made += [(k, made[r.randrange(1500)][1][: r.randint(120, 400)]) for k in range(1500, 1560)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    expect = Counter((k, sum(gone), sha(bytes(b for b, g in zip(t, gone) if not g))) for k, t, gone in repeats([(k, t.encode()) for k, t in made], 100, bytes))
+    for hot in (40, 60_000):
+        got = Counter((x["id"], x["n_removed"], x["kept_sha256"]) for x in suffix_dedup.suffix_dedup(df, hot=hot).collect())
+        assert got == expect
+    dealt, shape = rounds.Dealt.of(df, "doc_id", "text"), Shape.of(20_000)
+
+    def loads_of(hot):
+        answers = dealt.sketched(lambda b: suffix_dedup._Stretches(b, 100).seen, shape, hot)
+        found = suffix_dedup._candidates(dealt, answers, 100, shape, 8)
+        return sorted(x[1] for x in found.where("not sure").selectExpr("shard", "length(data) AS n").groupBy("shard").sum("n").collect())
+
+    even, uneven = loads_of(40), loads_of(60_000)
+    assert uneven[-1] > 3 * uneven[len(uneven) // 2] and even[-1] <= 3 * even[len(even) // 2]
+    # Every hash hot: all suffixes go by the second sketch.
+    plain = Counter(map(str, suffix_dedup.suffix_dedup(docs).collect()))
+    assert Counter(map(str, suffix_dedup.suffix_dedup(docs, hot=2).collect())) == plain
+
+
 def test_difference_cover_and_suffix_order(monkeypatch):
     v = suffix_dedup.STEP
     assert {(a - b) % v for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(v))

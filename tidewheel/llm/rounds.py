@@ -37,13 +37,13 @@ class Dealt:
         bucket = F.pmod(F.xxhash64(F.lit(41), "id", "key"), F.lit(buckets)).cast("int")
         return cls(rows.select(bucket.alias("bucket"), "id", "key", "text").repartition(parts, "bucket"), buckets, size)
 
-    def sketched(self, hashes: Callable[[Bucket], np.ndarray], shape: Shape) -> DataFrame:
-        """Answers (see sketch) for the hashes of every bucket."""
+    def sketched(self, hashes: Callable[[Bucket], np.ndarray], shape: Shape, hot: int | None = None) -> DataFrame:
+        """Answers (see sketch) for the hashes of every bucket; with hot also on which are used about so often."""
 
         def say(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield told(key[0].as_py(), hashes(Bucket(batches)), shape)
+            yield told(key[0].as_py(), hashes(Bucket(batches)), shape, hot is not None)
 
-        return answered(self.texts.groupBy("bucket").applyInArrow(say, TOLD), shape)
+        return answered(self.texts.groupBy("bucket").applyInArrow(say, TOLD), shape, hot)
 
     def with_answers(self, answers: DataFrame, function: Callable[[Bucket, pa.Table], pa.Table], schema: str) -> DataFrame:
         """function for every bucket that has texts, with the rows of answers that are for it."""

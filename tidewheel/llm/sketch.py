@@ -1,7 +1,7 @@
 """A Count-min sketch over 64-bit hashes that parts of the data fill and a shuffle merges, shard by shard.
 
-Counters stop at 2: all that is asked of it is which hashes may have been seen twice. An estimate never is below the
-count, so no repeated hash is missed; a hash seen once passes if all its counters are shared.
+Counters stop at 65,535: asked of it is which hashes may have been seen twice, and which very often. An estimate of two
+never is below the count, so no repeated hash is missed; a hash seen once passes if all its counters are shared.
 
 The sketch grows with the hashes and is never in one place: each shard is a range of counters, told which of them every
 part of the data uses, and answers every part for just those. So as few hashes seen once pass at any size."""
@@ -78,47 +78,59 @@ def _used(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(cells))) > 1
 
 
-def told(bucket: int, hashes: np.ndarray, shape: Shape) -> pa.RecordBatch:
-    """What a bucket of the data says to each shard: the cells that it uses once, and those that it uses more often."""
+def told(bucket: int, hashes: np.ndarray, shape: Shape, counted: bool = False) -> pa.RecordBatch:
+    """What a bucket of the data says to each shard: the cells that it uses once, and those that it uses more often; counted:
+    for each of these also the whole logarithm, base 2, of how often."""
     out, width = [], shape.log2 - shape.cut
     for row in range(shape.depth):
         cells = np.sort(shape.cells(hashes, row))
         first, two = _used(cells)
+        times = np.log2(np.diff(np.append(first, len(cells)))).astype(np.uint8)
         cells = cells[first].astype(np.int64)
         edges = np.searchsorted(cells, np.arange((1 << shape.cut) + 1, dtype=np.int64) << width)
         for shard in np.flatnonzero(np.diff(edges)).tolist():
             a, z = edges[shard], edges[shard + 1]
             own = cells[a:z] - (shard << width)
-            out.append((row, shard, bucket, packed(own[~two[a:z]]), packed(own[two[a:z]])))
-    columns = list(zip(*out)) or [[]] * 5
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["line", "shard", "bucket", "one", "two"])
+            out.append((row, shard, bucket, packed(own[~two[a:z]]), packed(own[two[a:z]]), times[a:z][two[a:z]].tobytes() if counted else b""))
+    columns = list(zip(*out)) or [[]] * 6
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["line", "shard", "bucket", "one", "two", "times"])
 
 
-TOLD = "line int, shard int, bucket int, one binary, two binary"
-ANSWER = "bucket int, line int, shard int, bits binary"
+TOLD = "line int, shard int, bucket int, one binary, two binary, times binary"
+ANSWER = "bucket int, line int, shard int, bits binary, hot binary"
+#: What a counter stops at.
+_FULL = 65_535
 
 
-def answered(parts: DataFrame, shape: Shape) -> DataFrame:
-    """ANSWER rows: for every bucket, row and shard of parts (TOLD), which of the cells that it uses once others use as well."""
+def answered(parts: DataFrame, shape: Shape, hot: int | None = None) -> DataFrame:
+    """ANSWER rows: for every bucket, row and shard of parts (TOLD), which of the cells that it uses once others use as well,
+    and which of all that it uses have a sum of at least `hot`. All buckets that use a cell hear the same of it."""
     width = 1 << (shape.log2 - shape.cut)
+    if hot is not None and not 2 <= hot <= _FULL:
+        raise ValueError(f"hot is 2 to {_FULL}")
 
     def answer(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(width, bool), np.zeros(width, bool)
+        sums = np.zeros(width, np.uint16)
         said = []
         for b in batches:
-            for bucket, one, two in zip(b.column("bucket").to_pylist(), b.column("one").to_pylist(), b.column("two").to_pylist()):
-                said.append((bucket, one))
-                one, two = unpacked(one), unpacked(two)
-                twice[one] |= once[one]
-                once[one] = True
-                twice[two] = True
-                once[two] = True
+            for bucket, one, two, times in zip(*(b.column(c).to_pylist() for c in ("bucket", "one", "two", "times"))):
+                said.append((bucket, one, two))
+                one, two, times = unpacked(one), unpacked(two), np.frombuffer(times, np.uint8)
+                for cells, more in ((one, 1), (two, 1 << np.minimum(times, 16).astype(np.int64) if len(times) else 2)):
+                    sums[cells] = np.minimum(sums[cells] + np.int64(more), _FULL)
         line, shard = (k.as_py() for k in keys)
-        out = [(bucket, line, shard, np.packbits(twice[unpacked(one)]).tobytes()) for bucket, one in said]
+        out = []
+        for bucket, one, two in said:
+            one = unpacked(one)
+            often = np.empty(0, np.int64)
+            if hot is not None:
+                often = np.concatenate([one, unpacked(two)])
+                often = np.sort(often[sums[often] >= hot])
+            out.append((bucket, line, shard, np.packbits(sums[one] > 1).tobytes(), packed(often)))
         columns = list(zip(*out))
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "line", "shard", "bits"])
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "line", "shard", "bits", "hot"])
 
     return parts.groupBy("line", "shard").applyInArrow(answer, ANSWER)
 
@@ -145,3 +157,15 @@ def repeated(hashes: np.ndarray, answers: pa.Table, shape: Shape) -> np.ndarray:
             hit[one[a:z]] = np.unpackbits(np.frombuffer(bits[row, shard], np.uint8), count=z - a).astype(bool)
         out[order] &= np.repeat(hit, np.diff(np.append(first, len(cells))))
     return out
+
+
+def often(hashes: np.ndarray, answers: pa.Table, shape: Shape) -> np.ndarray:
+    """Which hashes of a bucket are hot by the merged sketch: the same in every bucket that has them.
+
+    Sums add up powers of two, so a hash that is used twice as often as asked is among them, whatever the buckets."""
+    out = np.ones(len(hashes), bool)
+    rows = [(r["line"], r["shard"], r["hot"]) for r in answers.select(["line", "shard", "hot"]).to_pylist() if r["hot"]]
+    for row in range(shape.depth):
+        cells = [unpacked(hot) + (shard << (shape.log2 - shape.cut)) for line, shard, hot in rows if line == row]
+        out &= np.isin(shape.cells(hashes, row).astype(np.int64), np.concatenate(cells)) if cells else False
+    return out

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.common import shards_for, small_batches
 from tidewheel.llm.rounds import VERDICT, Bucket, Dealt, placed, places, spans_of, table, verdict_rows
-from tidewheel.llm.sketch import Shape, repeated
+from tidewheel.llm.sketch import TOLD, Shape, answered, often, repeated, told
 from tidewheel.llm.words import joined, loads, mixed
 
 LENGTH = 100
@@ -32,6 +32,8 @@ BLOCK = 1 << 20
 RANGE, SUFFIXES = 4 << 20, 1 << 18
 #: Suffixes of one stretch; longer ones are cut.
 STRETCH = 1 << 16
+#: Places that make a least hash hot: their stretches fill about RANGE.
+HOT = RANGE // (2 * LENGTH)
 _U = np.uint64
 #: Odd numbers that weigh the four parts of a string.
 _WEIGHTS = tuple(_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -143,33 +145,96 @@ def _cut(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 _FOUND = "shard int, sure boolean, bucket int, texts binary, counts binary, starts binary, ends binary, tops binary, ids binary, least binary, mark binary, own binary, data binary"
 
 
+def string_hashes(raw: bytes, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of raw[i:i+length] for the i of at."""
+    eight, out = loads(np.frombuffer(raw, np.uint8)), np.zeros(len(at), np.uint64)
+    for k in [*range(0, length - 7, 8), length - 8]:
+        out = joined(out, eight[at + k])
+    return out
+
+
+def _each(count: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for every n of count, joined."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+
+class _Hits:
+    """A bucket's stretches whose least hash is estimated to be used twice (numbers in s), which of them are equal to an
+    earlier one, and which have a hot hash."""
+
+    def __init__(self, b: Bucket, answers: pa.Table, length: int, shape: Shape):
+        self.s = s = _Stretches(b, length)
+        self.at = np.flatnonzero(np.isin(s.least, np.unique(s.seen[repeated(s.seen, answers, shape)])))
+        self.start, self.size = s.start[self.at], s.count[self.at] + length - 1
+        same = equal_to(s.raw, self.start, self.size, s.mark[self.at])
+        self.late = same != np.arange(len(self.at))
+        self.hot = np.isin(s.least[self.at], np.unique(s.seen[often(s.seen, answers, shape)])) & ~self.late
+        #: Every suffix of the first ones of hot stretches: where it begins, and the hash of its first `length` bytes.
+        count = s.count[self.at[self.hot]]
+        self.suffix = np.repeat(self.start[self.hot], count) + _each(count)
+        self.hash = string_hashes(s.raw, self.suffix, length)
+
+
+def _hot_suffixes(dealt: Dealt, answers: DataFrame, length: int, shape: Shape) -> DataFrame:
+    """Answers of a second sketch on the suffixes of hot stretches; a bucket says equal ones once. Without such it does not look at its texts."""
+
+    def say(b: Bucket, answers: pa.Table) -> pa.Table:
+        if not any(answers.column("hot").to_pylist()):
+            return table([], TOLD)
+        return pa.Table.from_batches([told(b.number, np.unique(_Hits(b, answers, length, shape).hash), shape)])
+
+    return answered(dealt.with_answers(answers, say, TOLD), shape)
+
+
 def _candidates(dealt: Dealt, answers: DataFrame, length: int, shape: Shape, shards: int) -> DataFrame:
-    """Stretches whose least hash is estimated to be used twice; of those equal within a bucket only the first."""
+    """Stretches whose least hash is estimated to be used twice, those of hot hashes as single suffixes that are estimated to be
+    in other buckets; of what is equal within a bucket only the first."""
+    second = _hot_suffixes(dealt, answers, length, shape).withColumn("line", F.col("line") + shape.depth)
 
     def found(b: Bucket, answers: pa.Table) -> pa.Table:
-        s = _Stretches(b, length)
-        twice = np.unique(s.seen[repeated(s.seen, answers, shape)])
-        hit = np.flatnonzero(np.isin(s.least, twice))
-        start, size, of = s.start[hit], s.count[hit] + length - 1, s.of[hit]
-        own = start - s.begins[of]
-        same = equal_to(s.raw, start, size, s.mark[hit])
-        late = same != np.arange(len(hit))
-        out = [(b.number % shards, True, *row, *[b""] * 5) for row in verdict_rows(np.full(int(late.sum()), b.number), of[late], own[late], (own + size)[late])]
-        first = np.flatnonzero(~late)
-        shard = ((s.least[hit[first]] >> _U(20)) % _U(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        first, shard = first[order], shard[order]
-        edges = np.flatnonzero(np.diff(shard, prepend=-1))
-        data = np.frombuffer(s.raw, np.uint8)
-        for a, z in zip(edges, np.append(edges[1:], len(shard))):
-            mine = first[a:z]
-            texts, counts, starts, ends, tops = places(of[mine], own[mine], (own + size)[mine])
-            ids = np.diff(b.ids[np.unique(of[mine])], prepend=0)
-            more = (ids, s.least[hit[mine]], s.mark[hit[mine]], s.own[hit[mine]])
-            out.append((int(shard[a]), False, b.number, texts, counts, starts, ends, tops, *(x.tobytes() for x in more), _cut(data, start[mine], size[mine]).tobytes()))
+        line = answers.column("line").to_numpy()
+        hits = _Hits(b, answers.filter(pa.array(line < shape.depth)), length, shape)
+        s, data, out = hits.s, np.frombuffer(hits.s.raw, np.uint8), []
+
+        def sure(start: np.ndarray, size: np.ndarray) -> None:
+            of = np.searchsorted(s.begins, start, "right") - 1
+            own = start - s.begins[of]
+            out.extend((b.number % shards, True, *row, *[b""] * 5) for row in verdict_rows(np.full(len(of), b.number), of, own, own + size))
+
+        def sent(start: np.ndarray, size: np.ndarray, least: np.ndarray, mark: np.ndarray, within: np.ndarray) -> None:
+            shard = ((least >> _U(20)) % _U(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            edges = np.flatnonzero(np.diff(shard[order], prepend=-1))
+            for a, z in zip(edges, np.append(edges[1:], len(order))):
+                mine = order[a:z]
+                of = np.searchsorted(s.begins, start[mine], "right") - 1
+                own = start[mine] - s.begins[of]
+                ids = np.diff(b.ids[np.unique(of)], prepend=0)
+                more = (ids, least[mine], mark[mine], within[mine])
+                out.append((int(shard[order[a]]), False, b.number, *places(of, own, own + size[mine]), *(x.tobytes() for x in more), _cut(data, start[mine], size[mine]).tobytes()))
+
+        sure(hits.start[hits.late], hits.size[hits.late])
+        cold = ~hits.late & ~hits.hot
+        at = hits.at[cold]
+        sent(hits.start[cold], hits.size[cold], s.least[at], s.mark[at], s.own[at])
+        if hits.hot.any():
+            values, number, counts = np.unique(hits.hash, return_inverse=True, return_counts=True)
+            twice = (counts > 1)[number]
+            count = s.count[hits.at[hits.hot]]
+            some = np.logical_or.reduceat(twice, np.cumsum(count) - count)  # stretches with a suffix that may repeat here
+            at = hits.at[hits.hot][some]
+            at = at[np.argsort(s.least[at], kind="stable")]
+            gone = [np.empty(0, np.int64)]
+            for which, inside in _late(data, s.start[at], s.count[at] + length - 1, s.least[at], s.start[at], length):
+                gone.append(s.start[at[which]] + inside)
+            late = np.concatenate(gone)
+            sure(late, np.full(len(late), length))
+            go = repeated(values, answers.filter(pa.array(line >= shape.depth)).set_column(1, "line", pa.array(line[line >= shape.depth] - shape.depth)), shape)[number]
+            go &= ~np.isin(hits.suffix, late)
+            sent(hits.suffix[go], np.full(int(go.sum()), length), hits.hash[go], hits.hash[go], np.zeros(int(go.sum()), bool))
         return table(out, _FOUND)
 
-    return dealt.with_answers(answers, found, _FOUND)
+    return dealt.with_answers(answers.unionByName(second), found, _FOUND)
 
 
 class CoverRanks:
@@ -297,46 +362,54 @@ def _repeats(ids, bucket, of, start, size, least, mark, own, raw, length):
     edges = np.flatnonzero(new[: len(first)])
     each = np.diff(np.append(edges, len(first)))
     if len(first):
-        several = np.repeat((each > 1) | np.logical_or.reduceat(own[first], edges), each)
-        first, new = first[several], new[several]
-    total, cut = np.cumsum(size[first]), np.append(np.flatnonzero(new[: len(first)]), len(first))
-    data, at = np.frombuffer(raw, np.uint8), 0
-    while at < len(first):
+        first = first[np.repeat((each > 1) | np.logical_or.reduceat(own[first], edges), each)]
+    spot = (place[first] << 32) | start[first]  # places of stretches are in order of theirs
+    for which, inside in _late(np.frombuffer(raw, np.uint8), begins[first], size[first], least[first], spot, length):
+        who = first[which]
+        gone.append([bucket[who], of[who], start[who] + inside, start[who] + inside + length])
+    return [np.concatenate(x) for x in zip(*gone)]
+
+
+def _late(data: np.ndarray, begins: np.ndarray, size: np.ndarray, least: np.ndarray, spot: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(stretch, offset) of suffixes of stretches whose first `length` bytes a suffix of an earlier spot has.
+
+    Stretches are given by least hash; spot is where each one's first suffix stands in the order of all places."""
+    new = np.append(True, least[1:] != least[:-1])
+    total, cut = np.cumsum(size), np.append(np.flatnonzero(new[: len(least)]), len(least))
+    at = 0
+    while at < len(least):
         z = int(np.searchsorted(total, (total[at - 1] if at else 0) + RANGE, "right"))
         z = int(max(cut[np.searchsorted(cut, z, "right") - 1], cut[np.searchsorted(cut, at, "right")]))
-        pick = first[at:z]
-        text, ends = _cut(data, begins[pick], size[pick]), np.cumsum(size[pick])
-        base, count = ends - size[pick], size[pick] - length + 1
-        row = np.repeat(np.arange(len(pick)), count)
-        suffixes = base[row] + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        text, ends = _cut(data, begins[at:z], size[at:z]), np.cumsum(size[at:z])
+        base, count = ends - size[at:z], size[at:z] - length + 1
+        suffixes = np.repeat(base, count) + _each(count)
         cover = CoverRanks(text, length)
         for some in cover.buckets(suffixes):
             found, begin = cover.sorted_bucket(some)
             stretch = np.searchsorted(base, found, "right") - 1
             inside = found - base[stretch]
-            spot = (place[pick[stretch]] << 32) | (start[pick[stretch]] + inside)  # places of stretches are in order of theirs
+            own = spot[at + stretch] + inside
             edge = np.flatnonzero(begin)
-            hit = spot > np.repeat(np.minimum.reduceat(spot, edge), np.diff(np.append(edge, len(spot))))
-            who, inside = pick[stretch[hit]], inside[hit]
-            gone.append([bucket[who], of[who], start[who] + inside, start[who] + inside + length])
+            hit = own > np.repeat(np.minimum.reduceat(own, edge), np.diff(np.append(edge, len(own))))
+            yield at + stretch[hit], inside[hit]
         at = z
-    return [np.concatenate(x) for x in zip(*gone)]
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): each text's UTF-8 bytes without repeated strings of `length` bytes.
 
     A byte goes if such a string of its text covers it that also starts at an earlier place (a smaller id, or the same
     text before; they may overlap); strings are judged on the input and never cross texts. Null text counts as empty;
     texts shorter than length stay whole. kept is binary, as a cut may split a character. A null id comes after all
     others; rows of one id with different texts come in an order of their hashes. Rows repeated are one place: none
-    removes from the other. An empty table gives an empty result."""
+    removes from the other. An empty table gives an empty result. hot: places from which on a least hash is split (the
+    result is the same)."""
     if not 64 <= length <= 160:
         raise ValueError("length is 64 to 160")
     small_batches(docs.sparkSession)
     dealt = Dealt.of(docs, id_col, text_col)
     shape = Shape.of(2 * dealt.size // (length - STEP))
-    answers = dealt.sketched(lambda b: _Stretches(b, length).seen, shape)
+    answers = dealt.sketched(lambda b: _Stretches(b, length).seen, shape, hot)
     found = _candidates(dealt, answers, length, shape, shards_for(docs.sparkSession, dealt.size))
     verdicts = found.groupBy("shard").applyInArrow(_sorter(length), VERDICT)
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
