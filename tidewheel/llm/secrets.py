@@ -212,6 +212,48 @@ def labelled_findings(n: int = 3_000, seed: int = 13) -> list[dict]:
     return [makers[k % len(makers)]() for k in range(n)]
 
 
+#: A table of findings that people judged: a candidate, the text on either side, the file's path, and 1 for a secret, else 0.
+FINDINGS = "found string, before string, after string, path string, label int"
+
+
+def to_judge(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, seed: int = 13) -> DataFrame:
+    """A sample of n different candidates of docs, at most, as a FINDINGS table whose labels are null: for people to fill in."""
+    found = candidates(docs, id_col, text_col, path_col).select("found", "before", "after", "path").distinct()
+    order = [F.xxhash64(F.lit(seed), *found.columns), *map(F.col, found.columns)]
+    return found.orderBy(*order).limit(n).withColumn("label", F.lit(None).cast("int"))
+
+
+def findings_of(table: DataFrame, p: ForestParams = ForestParams()) -> list[dict]:
+    """What train() takes, from a FINDINGS table: at most p.max_findings of its judged rows, the first by a hash.
+
+    Rows without a candidate or a label are left out; null context and paths are empty; a label that is neither 0 nor 1
+    is an error; an empty table gives an empty list. More columns may follow."""
+    rows = _judged(table).orderBy(F.xxhash64(F.lit(p.seed), "found", "before", "after", "path"), "found", "before", "after", "path", "label")
+    return [r.asDict() for r in rows.limit(p.max_findings).collect()]
+
+
+def _judged(table: DataFrame) -> DataFrame:
+    near = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("before", "after", "path")]
+    known = table.where("found IS NOT NULL AND label IS NOT NULL")
+    label = F.when(F.col("label").isin(0, 1), F.col("label").cast("int")).otherwise(F.raise_error(F.lit("a label is 0 or 1")).cast("int"))
+    return known.select("found", *near, label.alias("label"))
+
+
+def agreement(table: DataFrame, expression: str) -> DataFrame:
+    """(findings, secrets, taken, agreed, precision, recall) of the forest's verdicts against the labels of a FINDINGS table.
+
+    taken: findings that the forest takes for secrets; agreed: those of them that are. A share of nothing is null."""
+    columns = features(F.col("found"), F.col("before"), F.col("after"), F.col("path"))
+    rows = _judged(table).select("label", *[columns[f].alias(f) for f in FEATURES])
+    taken = (F.expr(expression) >= 0.5).cast("long")
+    sums = rows.select("label", taken.alias("taken")).agg(
+        F.count("*").alias("findings"), F.coalesce(F.sum("label"), F.lit(0)).alias("secrets"), F.coalesce(F.sum("taken"), F.lit(0)).alias("taken"),
+        F.coalesce(F.sum(F.col("taken") * F.col("label")), F.lit(0)).alias("agreed"),
+    )
+    share = lambda of: F.when(F.col(of) > 0, F.col("agreed") / F.col(of))
+    return sums.select("*", share("taken").alias("precision"), share("secrets").alias("recall"))
+
+
 def train(spark: SparkSession, findings: list[dict] | None = None, p: ForestParams = ForestParams()) -> str:
     """The forest as an SQL expression over FEATURES: the mean of its trees' shares.
 
