@@ -1,6 +1,9 @@
 import datetime as dt
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,6 +224,25 @@ def test_count_ticks(spark):
     assert got == {r[0]: 0 if k < 10 else 2 if k < 210 else 3 for k, r in enumerate(order)}
 
 
+def test_positions_of_files(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    for name, rows in (("apart", [(k, day + dt.timedelta(seconds=(k * 37) % 901)) for k in range(901)]), ("hot", [(k, day + dt.timedelta(days=(k * k) % 5)) for k in range(900)])):
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/{name}")
+        order = {k: p for p, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+        for parts in (4, 50, 200):
+            placed = countwin.positions(spark.read.parquet(f"{tmp_path}/{name}"), "ts", "event_id", parts=parts)
+            assert {r["event_id"]: r["position"] for r in placed.collect()} == order, (name, parts)
+    # The first relation that a session reads: there a filter of ranges by ts reached their counts.
+    code = f"""if True:
+        from pyspark.sql import SparkSession
+        from tidewheel.operators import countwin
+        session = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+        placed = countwin.count_ticks(session.read.parquet("{tmp_path}/apart"), "ts", "event_id", 100)
+        print(sorted((r["tick"], r["count"]) for r in placed.groupBy("tick").count().collect()))"""
+    ran = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=120)
+    assert ran.stdout.split("\n")[-2:] == [str([(k, 100) for k in range(9)] + [(9, 1)]), ""], ran.stderr[-2000:]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.log").write_text("x|y|one\nx|y|two|z\nx\n")
     assert [r["word"] for r in text.separated(spark, str(tmp_path / "a.log")).collect()] == ["one", "two", None]
