@@ -372,3 +372,36 @@ def test_band_shape():
     assert bands * per <= 192 and 1 - (1 - 0.8**per) ** bands >= 0.9999
     with pytest.raises(ValueError):
         near_join.band_shape(0.1, 0.9999, 5)
+
+
+def shuffled(df, column):
+    """The most rows that one exchange of this column sends."""
+    top = df._jdf.queryExecution()
+    top.toRdd().count()
+    nodes, most = [top.executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        some = node.children()
+        nodes += [some.apply(k) for k in range(some.size())]
+        if node.nodeName() == "Exchange" and f"{column}#" in node.output().mkString(","):
+            most = max(most, node.metrics().apply("shuffleRecordsWritten").value())
+    return most
+
+
+def test_only_texts_that_may_go_are_shuffled(spark):
+    texts = [" ".join(f"w{(k * 7919 + j * j) % 5003}" for j in range(40)) for k in range(2000)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(5000 + k, texts[k]) for k in range(40)] + [(6000 + k, texts[k] + " end") for k in range(50, 90)] + [(None, texts[3]), (None, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        unique, distinct = exact_dedup.unique_documents(df), near_join.distinct_documents(df)
+        sent = [shuffled(unique, "text"), shuffled(distinct, "text")]
+        got = sorted(r["doc_id"] for r in unique.where("doc_id is not null").collect())
+        assert got == [*range(40, 2000), *range(5000, 5040), *range(6050, 6090)] and unique.where("doc_id is null").count() == 1
+        assert sorted(r["doc_id"] for r in distinct.where("doc_id is not null").collect()) == list(range(2000)) and distinct.where("doc_id is null").count() == 2
+    finally:
+        for name in conf:
+            spark.conf.unset(name)
+    assert all(0 < n < 400 for n in sent), sent

@@ -132,6 +132,28 @@ def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], uses: str, tota
     return rows.join(hot, keys).unionByName(cold)
 
 
+#: Bits of `without`'s bitmap for each row of gone, and the most bits that are broadcast (32 MB).
+_BITS, _MOST_BITS = 32, 1 << 28
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose keys are not in gone, as by a left anti-join, but only rows that may be in it are shuffled.
+
+    A bitmap of bounded size marks the hashes of gone's first key. Rows whose place is not marked stay where they are; the
+    others (all that go, and about one of 32 besides, more where gone has over 8 million rows) are joined on all keys.
+    Both sides are read twice, so gone is best a scratch table. A null first key is in no gone row."""
+    bits = min(_MOST_BITS, max(1 << 15, 1 << (_BITS * gone.count()).bit_length()))
+    number, bitmap, marked = (fresh(rows, c) for c in ("number", "bitmap", "marked"))
+    place = F.pmod(F.xxhash64(F.lit(37), keys[0]), F.lit(bits)) + 1
+    maps = gone.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias(number)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias(bitmap))
+    seen = rows.withColumn(number, F.bitmap_bucket_number(place)).join(F.broadcast(maps), number, "left")
+    at = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    seen = seen.withColumn(marked, F.coalesce(F.getbit(byte, at % 8), F.lit(0).cast("tinyint"))).select(*rows.columns, marked)
+    some = seen.where(F.col(marked) == 1).join(gone.select(*keys), keys, "left_anti")
+    return seen.where(F.col(marked) == 0).unionByName(some).select(*rows.columns)
+
+
 def salted_rank(df: DataFrame, group: list[str], order: list[Column], salts: int = 64, attach: DataFrame | None = None) -> DataFrame:
     """Adds rank (from 0) within each group by a seeded hash of `order`, then by `order` itself.
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import drop_path, forget_table, fresh, hot_join, path_exists, scratch, scratch_path, tasks
+from tidewheel.llm.common import drop_path, forget_table, fresh, hot_join, path_exists, scratch, scratch_path, tasks, without
 
 
 class DigestIndex:
@@ -144,7 +144,8 @@ def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of docs that stay, with all their columns: of equal texts the largest id, null ids being below all others.
 
     Null text is the empty text. Rows repeated under one id and text stay once. An empty table gives an empty result.
-    Rows are chosen by id and digest; only then are texts read again, against the list of those that go."""
+    Rows are chosen by id and digest; only then are texts read again, against the list of those that go, and only texts that
+    may be in it are shuffled."""
     digests = digests_of(docs, id_col, text_col)
     # As in keyed(), null is a number that no document has, here the smallest.
     found = scratch(digests.withColumn("id", F.coalesce("id", F.lit(-(2**63)))), "digests")
@@ -156,5 +157,5 @@ def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     mark, ident = fresh(docs, "digest"), fresh(docs, "keep_id")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias(ident), F.unhex(F.sha2(text, 256)).alias(mark))
-    out = rows.join(gone.toDF(ident, mark), [ident, mark], "left_anti")
+    out = without(rows, gone.toDF(ident, mark), [ident, mark])
     return (out.dropDuplicates([ident, mark]) if repeated else out).select(*docs.columns)

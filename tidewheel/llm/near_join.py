@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import fresh, hot_join, keyed, scratch, small_batches, tasks
+from tidewheel.llm.common import fresh, hot_join, keyed, scratch, small_batches, tasks, without
 from tidewheel.llm.components import components
 from tidewheel.llm.words import Words, mixed, runs
 
@@ -292,10 +292,10 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     First is the smallest id, of different texts under one id the one with the smaller hash. Rows repeated under one id
     and text are one document and stay together. Rows without an id stay; null, empty and blank texts link to nothing and
-    stay. An empty table gives an empty result."""
+    stay. Only texts that may be among those that go are shuffled. An empty table gives an empty result."""
     found = _classes(docs.where(F.col(id_col).isNotNull()), id_col, text_col, JoinParams())
     gone = scratch(found.where("id <> root or key <> root_key").select("id", "key").distinct(), "gone")
     ident, mark = fresh(docs, "id"), fresh(docs, "key")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select("*", F.col(id_col).cast("long").alias(ident), F.xxhash64(text).alias(mark))
-    return rows.join(gone.toDF(ident, mark), [ident, mark], "left_anti").select(*docs.columns)
+    return without(rows, gone.toDF(ident, mark), [ident, mark]).select(*docs.columns)
